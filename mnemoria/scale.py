@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -82,8 +83,7 @@ def carry_forward(df: DataFrame, keys: list[str], seq: str, value: str, name: st
 def blocked_product(
     left: DataFrame,
     right: DataFrame,
-    prepare: Callable[[pd.DataFrame], object],
-    kernel: Callable[[pd.DataFrame, object], pd.DataFrame],
+    kernel: Callable[[Iterator[pd.DataFrame], pd.DataFrame], Iterator[pd.DataFrame]],
     schema: str,
     left_key: str,
     right_key: str,
@@ -93,8 +93,8 @@ def blocked_product(
 ) -> DataFrame:
     """Score every ``left`` row against every ``right`` row without forming the pairs as rows.
 
-    ``kernel`` gets a batch of left rows and a prepared block of right rows and returns only the
-    hits worth keeping (a local top-k or the rows over a threshold).
+    ``kernel`` gets the left rows of a task as batches and a block of right rows, and yields only
+    the hits worth keeping (a local top-k or the rows over a threshold).
 
     When the right side is measured to be at most ``right_rows`` rows and ``right_bytes`` bytes
     it is broadcast once and the left side is streamed in place, without any shuffle. Beyond
@@ -102,32 +102,31 @@ def blocked_product(
     and every pair of blocks is one cogrouped task.
     """
     spark = left.sparkSession
-    size = sum(_bytes(c) for c in right.dtypes if True) if right.dtypes else F.lit(0)
-    head = right.limit(right_rows + 1)
-    probe = head.agg(F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
-    if probe["n"] <= right_rows and probe["bytes"] <= right_bytes:
+    right = cut_lineage(right)
+    size = functools.reduce(lambda a, b: a + b, [_bytes(c) for c in right.dtypes])
+    totals = right.agg(F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
+    if totals["n"] <= right_rows and totals["bytes"] <= right_bytes:
         shared = spark.sparkContext.broadcast(right.toPandas())
+        return left.mapInPandas(lambda batches: kernel(batches, shared.value), schema)
 
-        def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            state = prepare(shared.value)
-            for batch in batches:
-                yield kernel(batch, state)
-
-        return left.mapInPandas(stream, schema)
-
-    totals = right.agg(F.count("*").alias("n"), F.sum(size).alias("bytes")).first()
-    blocks = max(-(-totals["n"] // right_rows), -(-int(totals["bytes"]) // right_bytes), 1) * 2
-    slices = max(1, -(-left.count() // left_slice)) * 2
-    left_parts = left.withColumn("__slice", F.pmod(F.xxhash64(left_key), F.lit(slices))).withColumn(
+    # Twice the blocks the averages ask for, since a hash does not fill them evenly.
+    blocks = 2 * max(-(-totals["n"] // right_rows), -(-int(totals["bytes"]) // right_bytes))
+    slices = 2 * -(-max(1, left.count()) // left_slice)
+    left_parts = left.withColumn("__slice", F.pmod(F.xxhash64(left_key), F.lit(slices)).cast("int")).withColumn(
         "__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     )
     right_parts = right.withColumn("__block", F.pmod(F.xxhash64(right_key), F.lit(blocks)).cast("int")).withColumn(
-        "__slice", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(slices - 1).cast("bigint")))
+        "__slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))
     )
+    columns = [part.strip().split(" ")[0] for part in schema.split(",")]
 
     def pair(left_pdf: pd.DataFrame, right_pdf: pd.DataFrame) -> pd.DataFrame:
-        state = prepare(right_pdf.drop(columns=["__block", "__slice"]).reset_index(drop=True))
-        return kernel(left_pdf.drop(columns=["__block", "__slice"]).reset_index(drop=True), state)
+        if left_pdf.empty or right_pdf.empty:
+            return pd.DataFrame(columns=columns)
+        right_block = right_pdf.drop(columns=["__block", "__slice"]).reset_index(drop=True)
+        left_block = left_pdf.drop(columns=["__block", "__slice"]).reset_index(drop=True)
+        found = list(kernel(iter([left_block]), right_block))
+        return pd.concat(found, ignore_index=True) if found else pd.DataFrame(columns=columns)
 
     return (
         left_parts.groupBy("__block", "__slice")
