@@ -159,9 +159,10 @@ def bm25_search(
 
 
 def substring_search(
-    queries: DataFrame, memories: DataFrame, entities: DataFrame, limit: int = 600, right_rows: int = 4096, **flags: bool
+    queries: DataFrame, memories: DataFrame, entities: DataFrame, limit: int | None = 600, right_rows: int = 4096,
+    **flags: bool,
 ) -> DataFrame:
-    """(query_id, id, importance, last_accessed_at, like_rank, in_entity).
+    """(query_id, id, importance, last_accessed_at, like_rank, in_entity), or all hits unranked.
 
     A query that names an entity looks for that name in entity names only and ignores its text;
     any other query looks for its text, literally and case-insensitively, in names and contents.
@@ -185,8 +186,9 @@ def substring_search(
         finder = _Finder(q["needle"].tolist())
         entity_only = q["entity_only"].to_numpy(dtype=bool)
         names = q["query_id"].to_numpy(dtype=object)
-        best = BestPerQuery(limit, len(q), 3)
+        best = BestPerQuery(limit or 0, len(q), 3)
         for batch in batches:
+            rows = []
             allowed = _layer_allows(q["layer"], batch["layer"])
             cache: dict[str, np.ndarray] = {}
             columns = zip(
@@ -200,7 +202,9 @@ def substring_search(
                 if allowed is not None:
                     hit = hit & allowed[i]
                 found = np.flatnonzero(hit)
-                if len(found):
+                if limit is None:
+                    rows += [(names[c], row_id, importance, accessed, by_name[c]) for c in found]
+                elif len(found):
                     ones = np.ones(len(found))
                     best.add(
                         found,
@@ -209,6 +213,8 @@ def substring_search(
                         ones * accessed,
                         by_name[found].astype(float),
                     )
+            if rows:
+                yield pd.DataFrame(rows, columns=["query_id", "id", "importance", "last_accessed_at", "in_entity"])
         out = best.result()
         if out is not None:
             yield pd.DataFrame(
@@ -223,6 +229,8 @@ def substring_search(
 
     schema = "query_id string, id bigint, importance double, last_accessed_at bigint, in_entity boolean"
     hits = blocked_product(haystack, needles, kernel, schema, "id", "query_id", right_rows=right_rows)
+    if limit is None:
+        return hits
     return _ranked(hits, limit, "like_rank", F.desc("importance"), F.desc("last_accessed_at"))
 
 

@@ -12,10 +12,10 @@ def load_store(spark: SparkSession, path: str) -> Store:
     return Store(**{name: spark.read.schema(ddl).parquet(f"{path}/{name}") for name, ddl in SCHEMAS.items()})
 
 
-def save_store(store: Store, path: str) -> None:
-    """Write every table below a new folder. Refuses to touch an existing one."""
+def save_store(store: Store, path: str, overwrite: bool = False) -> None:
+    """Write every table below a new folder; an existing one is refused unless ``overwrite``."""
     for name, table in store.tables().items():
-        table.write.mode("error").parquet(f"{path}/{name}")
+        table.write.mode("overwrite" if overwrite else "error").parquet(f"{path}/{name}")
 
 
 def session_of(json_column: str):
