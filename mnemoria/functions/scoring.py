@@ -116,4 +116,4 @@ def linear_relevance(text: Column, vector: Column, vector_weight: float) -> Colu
 
 def min_max(value: Column, low: Column, high: Column) -> Column:
     span = high - low
-    return F.when(span < 1e-6, 1.0).otherwise((value - low) / span)
+    return F.when(value.isNotNull() & (span < 1e-6), 1.0).otherwise((value - low) / span)

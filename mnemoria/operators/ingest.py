@@ -72,6 +72,21 @@ def resolve_entities(
     )
     matched = cut_lineage(matched)
 
+    # A keyless entity met under a name takes the first key it is given; later names find it by that key.
+    keyless = entities.filter(F.col("canonical_key").isNull()).select(F.col("id").alias("entity_id"))
+    given = (
+        matched.filter(F.col("entity_key").isNotNull())
+        .join(keyless, "entity_id", "left_semi")
+        .groupBy("entity_id")
+        .agg(F.min_by("entity_key", "seq").alias("entity_key"), F.min("seq").alias("given_at"))
+        .select("entity_key", "given_at", F.col("entity_id").alias("given_id"))
+    )
+    if backfill_key:
+        later = F.when(F.col("given_at") < F.col("seq"), F.col("given_id"))
+        matched = cut_lineage(
+            matched.join(given, "entity_key", "left").withColumn("entity_id", F.coalesce("entity_id", later))
+        )
+
     missing = matched.filter(F.col("entity_id").isNull())
     groups = missing.groupBy("entity_kind", "norm").agg(
         F.min("seq").alias("first_seq"),
@@ -184,7 +199,9 @@ def update_memories(store: Store, patches: DataFrame, as_of: int) -> tuple[Store
         .when(F.col("content").isNull() & F.col("layer").isNull() & F.col("importance").isNull(), "nothing")
         .otherwise("updated")
     )
-    importance = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("importance")))
+    # least and greatest skip nulls, and no importance means no change.
+    clamped = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("importance")))
+    importance = F.when(F.col("importance").isNotNull(), clamped)
     clean = redacted(F.col("content"))
     changed = F.array_compact(
         F.array(

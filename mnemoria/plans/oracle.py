@@ -1 +1,977 @@
-ORACLES = {}
+"""The queries in DuckDB SQL over the same whole tables, written independently of the Spark plans."""
+
+from __future__ import annotations
+
+from mnemoria.functions.redact import CREDENTIAL_KEYS, HEADER_KEYS, KEY_BLOCK
+from mnemoria.functions.text import (
+    ACKNOWLEDGEMENTS, FOLD_FROM, FOLD_TO, NOISE_PHRASES, NOISE_PREFIXES, PASTE_PATTERNS, SLASH_COMMAND,
+)
+
+AS_OF = 1706745600
+DAY = 86400
+LAYERS = "['goal','context','emotion','implementation','realize','learning']"
+KINDS = "['person','company','project','concept','file','other']"
+
+
+def quote(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def tok(x: str) -> str:
+    return f"trim(regexp_replace(translate(lower({x}), '{FOLD_FROM}', '{FOLD_TO}'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+
+
+def strip(x: str) -> str:
+    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+def collapse(x: str) -> str:
+    return f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
+
+
+def day(x: str) -> str:
+    return f"strftime(make_timestamp(({x}) * 1000000), '%Y-%m-%d')"
+
+
+def heat(n="access_count", last="last_accessed_at", imp="importance", as_of=AS_OF) -> str:
+    d = f"(({as_of} - {last}) / 86400.0e0)"
+    return (
+        f"greatest(0e0, least(100e0, least(CASE WHEN {d} < 30 THEN {n}::DOUBLE ELSE 0e0 END * 3, 30e0)"
+        f" + least(CASE WHEN {d} < 90 THEN {n}::DOUBLE ELSE 0e0 END, 20e0)"
+        f" + CASE WHEN {d} <= 7 THEN 20e0 WHEN {d} <= 30 THEN 10e0 WHEN {d} <= 90 THEN 0e0 ELSE -10e0 END"
+        f" + least({n} * 0.5e0, 15e0) + {imp} * 15))"
+    )
+
+
+def band(h: str) -> str:
+    return f"CASE WHEN {h} >= 70 THEN 'hot' WHEN {h} >= 40 THEN 'warm' WHEN {h} >= 20 THEN 'cold' ELSE 'frozen' END"
+
+
+def risk() -> str:
+    d = f"(({AS_OF} - last_accessed_at) / 86400.0e0)"
+    return (
+        "CASE WHEN protected OR layer = 'goal' THEN 0e0 ELSE "
+        f"(1 - {heat()} / 100) * (1 - importance) * {d} * (1 + {d} / 30) END"
+    )
+
+
+def action() -> str:
+    return f"CASE WHEN {risk()} >= 200 THEN 'drop' WHEN {risk()} >= 50 THEN 'compress' ELSE 'keep' END"
+
+
+def noise(x: str) -> str:
+    t = strip(f"coalesce({x}, '')")
+    tests = [f"{t} = ''", f"regexp_matches({t}, {quote(SLASH_COMMAND)})"]
+    tests += [f"starts_with({t}, {quote(p)})" for p in NOISE_PREFIXES]
+    tests += [f"contains({t}, {quote(p)})" for p in NOISE_PHRASES]
+    return "(" + " OR ".join(tests) + ")"
+
+
+def paste(x: str) -> str:
+    t = strip(f"coalesce({x}, '')")
+    cases = []
+    for name, head, pattern in PASTE_PATTERNS:
+        seen = f"substring({t}, 1, {head})" if head else t
+        holds = f"regexp_matches({seen}, {quote(pattern)})"
+        if name == "box_drawing":
+            holds += f" AND length({t}) > 100"
+        elif name == "clock_stamps":
+            holds = f"len(regexp_extract_all({t}, {quote(pattern)})) >= 3"
+        elif name == "deployed":
+            holds += f" AND regexp_matches(substring({t}, 1, 200), '(?i)デプロイ|deploy')"
+        elif name == "forum_rule":
+            holds += f" AND regexp_matches({t}, '(?i)your (post|submission)')"
+        cases.append(f"WHEN {holds} THEN '{name}'")
+    return "CASE " + " ".join(cases) + " END"
+
+
+HEADER = rf"(?i)((?:{'|'.join(HEADER_KEYS)})[ \t]*:[ \t]*)[^\r\n]+"
+# Values already replaced start with a bracket, which no credential does.
+ASSIGN = (
+    rf"(?i)([\"']?(?:{'|'.join(CREDENTIAL_KEYS)})[\"']?[ \t]*[:=][ \t]*)"
+    r"(?:(\")[^\"\r\n\[][^\"\r\n]*\"|(')[^'\r\n\[][^'\r\n]*'|[^\s\"',;)}\]\[][^\s\"',;)}\]]*)"
+)
+
+
+def redact_steps(x: str) -> tuple[str, str, str]:
+    blocks = f"regexp_replace({x}, {quote(KEY_BLOCK)}, '[REDACTED]', 'g')"
+    headers = f"regexp_replace({blocks}, {quote(HEADER)}, '\\1[REDACTED]', 'g')"
+    return blocks, headers, f"regexp_replace({headers}, {quote(ASSIGN)}, '\\1\\2\\3[REDACTED]\\2\\3', 'g')"
+
+
+def matches(x: str, pattern: str) -> str:
+    return f"len(regexp_extract_all({x}, {quote(pattern)}))"
+
+
+TTL = "CASE layer WHEN 'learning' THEN 365 WHEN 'implementation' THEN 90 WHEN 'context' THEN 30 WHEN 'emotion' THEN 14 END"
+NUM = "CAST(regexp_extract(source, '(\\d+)$', 1) AS BIGINT)"
+
+VIEWS = {
+    "v_entities": f"""
+        SELECT n + 1 AS id, {KINDS}[(n + 1) % 6 + 1] AS kind, source AS name, source AS normalized_name,
+          CASE WHEN (n + 1) % 2 = 0 THEN 'key:' || source END AS canonical_key, ((n + 1) * 7 % 100) / 10e0 AS momentum_score,
+          {AS_OF} - (n + 1) * 5 * {DAY} AS created_at
+        FROM (SELECT DISTINCT source, {NUM} AS n FROM documents)""",
+    "v_memories": f"""
+        SELECT *, importance >= 0.9e0 OR layer = 'realize' AS protected, created_at + ({TTL}) * {DAY} AS expires_at
+        FROM (SELECT d.doc_id AS id, {NUM} + 1 AS entity_id, {LAYERS}[d.doc_id % 6 + 1] AS layer, d.text AS content,
+            coalesce(l.quality * 0.5e0 + 0.25e0, (d.doc_id % 11) / 10e0) AS importance,
+            'c' || (d.doc_id % 100) AS session_id, {AS_OF} - d.doc_id % 120 * {DAY} AS created_at,
+            {AS_OF} - d.doc_id % 97 * {DAY} AS last_accessed_at, d.doc_id % 13 AS access_count,
+            CASE WHEN d.doc_id % 29 = 0 OR d.doc_id % 31 = 0 THEN {AS_OF - DAY} END AS archived_at,
+            CASE WHEN d.doc_id % 31 = 0 THEN d.doc_id + 1 END AS superseded_by_id, e.embedding,
+            CASE WHEN d.doc_id % 7 = 0 THEN 'old-model' ELSE 'm64' END AS embedding_model,
+            CASE WHEN d.doc_id % 10 = 0 THEN 'pending' ELSE 'done' END AS embedding_status, 64 AS embedding_dim,
+            CASE WHEN d.doc_id % 17 <> 0 THEN {tok('d.text')} END AS content_tokenized,
+            CASE WHEN d.doc_id % 5 <> 0 THEN (d.doc_id % 10 + 1) / 10e0 END AS activation_score,
+            CASE WHEN d.doc_id % 5 <> 0 THEN (d.doc_id % 3 + 1) / 3e0 END AS ttl_penalty,
+            CASE WHEN d.doc_id % 5 <> 0 THEN 1e0 END AS supersession_penalty,
+            CASE WHEN d.doc_id % 5 <> 0 THEN {AS_OF} - d.doc_id % 40 * 60 END AS activation_computed_at
+          FROM documents d LEFT JOIN labels l USING (doc_id) LEFT JOIN embeddings e ON e.vec_id = d.doc_id)""",
+    "v_view": """
+        SELECT m.*, e.name AS entity_name, e.kind AS entity_kind, e.momentum_score
+        FROM v_memories m JOIN v_entities e ON e.id = m.entity_id""",
+    "v_access_log": "SELECT event_id AS id, user_id AS memory_id, CAST(floor(epoch(ts)) AS BIGINT) AS accessed_at FROM events",
+    "v_edits": f"""
+        SELECT l_orderkey * 8 + l_linenumber AS id, 's' || l_orderkey AS session_id, l_suppkey AS memory_id,
+          '/work/' || p_brand || '/' || replace(p_name, ' ', '_') || '.py' AS file_path,
+          CASE l_returnflag WHEN 'A' THEN 'edit' WHEN 'R' THEN 'write' ELSE 'read' END AS operation,
+          'change ' || lower(p_type) || ' ' || p_name AS context_snippet,
+          CAST(epoch(l_shipdate) AS BIGINT) + l_linenumber * 4 AS occurred_at
+        FROM lineitem JOIN part ON p_partkey = l_partkey""",
+    "v_ring": "SELECT * FROM v_edits WHERE contains(lower(file_path), 'ring')",
+    "v_turns": f"""
+        SELECT 'c' || conv_id AS session_id, conv_id, turn AS seq, role, text, conv_id || '-' || turn AS uuid,
+          {AS_OF} + turn * 60 AS ts FROM conversations""",
+    "v_requests": f"SELECT * FROM v_turns WHERE role = 'user' AND NOT {noise('text')}",
+    "v_first": f"""
+        SELECT session_id, min(seq) AS seq, arg_min(text, seq) AS text FROM v_requests
+        WHERE length({strip('text')}) >= 20 GROUP BY 1""",
+    "v_clar": f"""
+        SELECT * FROM (SELECT r.session_id, r.seq, r.text, row_number() OVER (PARTITION BY r.session_id ORDER BY r.seq) AS n
+          FROM v_requests r JOIN v_first f ON f.session_id = r.session_id AND f.seq <> r.seq
+          WHERE length({strip('r.text')}) >= 40) WHERE n <= 3""",
+    "v_ops": """
+        SELECT *, '/home/dev/proj' || (conv_id % 5) || '/src/f' || (seq % 3) || '.py' AS file_path
+        FROM v_turns WHERE role = 'assistant'""",
+    "v_queries": f"""
+        SELECT item_id, item_id::VARCHAR AS query_id, text, embedding AS vec,
+          CASE WHEN item_id % 4 = 2 THEN {LAYERS}[item_id % 6 + 1] END AS layer,
+          CASE WHEN item_id % 4 = 3 THEN 'src' || (item_id % 20) END AS entity_name,
+          CASE WHEN item_id % 2 = 0 THEN 'en' ELSE 'code' END AS lang
+        FROM benchmark LEFT JOIN embeddings ON vec_id = item_id""",
+    "v_free": "SELECT * REPLACE (NULL::VARCHAR AS layer, NULL::VARCHAR AS entity_name) FROM v_queries",
+    "v_shown": "SELECT * FROM v_view WHERE archived_at IS NULL AND superseded_by_id IS NULL",
+    "v_corpus": """
+        SELECT id, layer, archived_at, superseded_by_id,
+          list_filter(string_split(content_tokenized, ' '), lambda t: t <> '') AS toks
+        FROM v_memories WHERE content_tokenized IS NOT NULL""",
+    "v_size": "SELECT count(*) AS n, avg(len(toks)) AS mean FROM v_corpus",
+    "v_post": """
+        SELECT id, any_value(layer) AS layer, any_value(dl) AS dl, term, count(*) AS tf,
+          any_value(archived_at IS NULL AND superseded_by_id IS NULL) AS shown
+        FROM (SELECT id, layer, archived_at, superseded_by_id, len(toks) AS dl, unnest(toks) AS term FROM v_corpus)
+        GROUP BY id, term""",
+    "v_df": "SELECT term, count(*) AS df FROM v_post GROUP BY 1",
+}
+
+
+def bm25_views(source: str) -> dict[str, str]:
+    return {
+        "q_terms": f"""
+            SELECT query_id, layer, term, count(*) AS times
+            FROM (SELECT query_id, layer, unnest(string_split({tok('text')}, ' ')) AS term FROM {source} WHERE entity_name IS NULL)
+            WHERE term <> '' GROUP BY ALL""",
+        "v_bm25": """
+            SELECT query_id, id, bm25, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, id) AS fts_rank
+            FROM (SELECT q.query_id, p.id, round(sum(
+                q.times * CASE WHEN ln((s.n - d.df + 0.5e0) / (d.df + 0.5e0)) > 0 THEN ln((s.n - d.df + 0.5e0) / (d.df + 0.5e0)) ELSE 1e-6 END
+                * p.tf * 2.2e0 / (p.tf + 1.2e0 * (0.25e0 + 0.75e0 * p.dl / s.mean))), 9) AS bm25
+              FROM q_terms q JOIN v_df d USING (term) JOIN v_post p USING (term) CROSS JOIN v_size s
+              WHERE p.shown AND (q.layer IS NULL OR q.layer = p.layer) GROUP BY 1, 2)
+            WHERE bm25 > 0""",
+    }
+
+
+HYBRID = {
+    **bm25_views("v_queries"),
+    "v_like": """
+        SELECT query_id, id, in_entity,
+          row_number() OVER (PARTITION BY query_id ORDER BY importance DESC, last_accessed_at DESC, id) AS like_rank
+        FROM (SELECT q.query_id, m.id, m.importance, m.last_accessed_at,
+            contains(lower(m.entity_name), lower(coalesce(q.entity_name, q.text))) AS in_entity
+          FROM v_queries q JOIN v_shown m ON (q.layer IS NULL OR q.layer = m.layer)
+            AND (contains(lower(m.entity_name), lower(coalesce(q.entity_name, q.text)))
+              OR (q.entity_name IS NULL AND contains(lower(m.content), lower(q.text)))))""",
+    "v_vec": """
+        SELECT query_id, id, cos, row_number() OVER (PARTITION BY query_id ORDER BY cos DESC, id) AS vec_rank
+        FROM (SELECT q.query_id, m.id, round(list_cosine_similarity(q.vec::DOUBLE[], m.embedding::DOUBLE[]), 6) AS cos
+          FROM v_queries q JOIN v_shown m ON (q.layer IS NULL OR q.layer = m.layer)
+          WHERE q.vec IS NOT NULL AND m.embedding IS NOT NULL AND m.embedding_status = 'done' AND m.embedding_model = 'm64')
+        WHERE cos >= 0.25""",
+}
+
+
+def candidates(fetch: int, vec: int) -> dict[str, str]:
+    return {
+        **HYBRID,
+        "v_cand": f"""
+            SELECT query_id, id, fts_rank, bm25, like_rank, in_entity, vec_rank, cos,
+              CASE WHEN vec_rank IS NOT NULL THEN CASE WHEN fts_rank IS NOT NULL THEN 'vector+fts' WHEN like_rank IS NOT NULL
+                  THEN 'vector+like' ELSE 'vector' END
+                WHEN fts_rank IS NOT NULL AND like_rank IS NOT NULL THEN 'fts+like'
+                WHEN fts_rank IS NOT NULL THEN 'fts' ELSE 'like' END AS via
+            FROM (SELECT * FROM v_bm25 WHERE fts_rank <= {fetch})
+            FULL JOIN (SELECT * FROM v_like WHERE like_rank <= {fetch}) USING (query_id, id)
+            FULL JOIN (SELECT * FROM v_vec WHERE vec_rank <= {vec}) USING (query_id, id)""",
+        "v_rrf": f"""
+            SELECT *, CASE WHEN raw > 0 THEN CASE WHEN hi - lo < 1e-6 THEN 1e0 ELSE (raw - lo) / (hi - lo) END ELSE 0.5e0 END AS relevance
+            FROM (SELECT *, min(nullif(raw, 0)) OVER (PARTITION BY query_id) AS lo, max(nullif(raw, 0)) OVER (PARTITION BY query_id) AS hi
+              FROM (SELECT *, coalesce(1e0 / (60 + fts_rank), 0) + coalesce(1e0 / (60 + vec_rank), 0) AS raw FROM v_cand))""",
+    }
+
+
+def ranked(fetch: int, vec: int, as_of: int = AS_OF, only_band: str | None = None) -> dict[str, str]:
+    h = heat(as_of=as_of)
+    where = f"WHERE band = '{only_band}'" if only_band else ""
+    return {
+        **candidates(fetch, vec),
+        "v_scored": f"""
+            SELECT *, {band('heat')} AS band,
+              (0.45e0 * relevance + 0.25e0 * (heat / 100) + 0.15e0 * least(1e0, coalesce(momentum_score, 0) / 10) + 0.15e0 * importance)
+                * coalesce(activation_score, 1) * coalesce(ttl_penalty, 1) * coalesce(supersession_penalty, 1) AS composite
+            FROM (SELECT r.*, m.* EXCLUDE (id), {h} AS heat FROM v_rrf r JOIN v_shown m USING (id))""",
+        "v_ranked": f"""
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(composite, 9) DESC, id) AS rank,
+              count(*) OVER (PARTITION BY query_id) AS total_candidates,
+              CAST(ceil(length(content) * 0.3e0) AS BIGINT) AS tokens,
+              array_to_string(list_filter([
+                CASE WHEN via = 'fts+like' THEN 'content_match_dual' WHEN via IN ('fts', 'vector+fts') THEN 'content_match_fts' END,
+                CASE WHEN via IN ('like', 'fts+like', 'vector+like') THEN CASE WHEN in_entity THEN 'entity_name_match' ELSE 'content_substring' END END,
+                CASE WHEN via LIKE 'vector%' THEN 'content_match_vector' END, CASE WHEN via = 'vector' THEN 'vector_only' END,
+                CASE WHEN band IN ('hot', 'warm') THEN 'heat:' || band END, CASE WHEN momentum_score >= 5 THEN 'entity_active' END,
+                CASE WHEN importance >= 0.9e0 THEN 'pinned' WHEN importance >= 0.8e0 THEN 'high_importance' END,
+                CASE WHEN protected AND layer = 'realize' THEN 'realize_protected' END], lambda r: r IS NOT NULL), ',') AS reasons
+            FROM v_scored {where}""",
+    }
+
+
+def budget(source: str, limit: int, offset: int = 0, max_tokens: int = 2000, tokens: str = "tokens") -> dict[str, str]:
+    return {
+        "b_run": f"""
+            SELECT *, sum({tokens}) OVER (PARTITION BY query_id ORDER BY rank) AS run, rank - {offset} AS place,
+              count(*) OVER (PARTITION BY query_id) AS open_rows
+            FROM {source} WHERE rank > {offset}""",
+        "b_kept": f"""
+            SELECT *, count(*) OVER (PARTITION BY query_id) AS kept, CAST(max(run) OVER (PARTITION BY query_id) AS BIGINT) AS used_tokens
+            FROM b_run WHERE place = 1 OR (run <= {min(max_tokens, 6000)} AND place <= {limit})""",
+        "b_out": f"""
+            SELECT *, CASE WHEN kept = open_rows THEN 'end' WHEN kept >= {limit} THEN 'limit' ELSE 'tokens' END AS stopped_by FROM b_kept""",
+    }
+
+
+ACTIVATION = {
+    "a_recent": """
+        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY memory_id ORDER BY accessed_at DESC, id DESC) AS rn FROM v_access_log)
+        WHERE rn <= 50""",
+    "a_strength": f"""
+        SELECT memory_id AS id, sum(pow(greatest(1, {AS_OF} - accessed_at), -0.5e0)) AS strength, count(*) AS accesses FROM a_recent GROUP BY 1""",
+    "a_level": f"""
+        SELECT m.id, coalesce(s.accesses, 0) AS accesses, coalesce(s.strength, pow(greatest(1, {AS_OF} - m.created_at), -0.5e0)) AS strength
+        FROM v_memories m LEFT JOIN a_strength s USING (id)""",
+    "a_mem": f"""
+        SELECT m.* EXCLUDE (activation_score, ttl_penalty, supersession_penalty, activation_computed_at),
+          CASE WHEN stale THEN CASE WHEN m.importance >= 0.9e0 OR protected OR layer = 'goal' THEN 1e0
+            ELSE 1 / (1 + exp(-(ln(a.strength) + 6) / 1.5e0)) END ELSE m.activation_score END AS activation_score,
+          CASE WHEN stale THEN CASE WHEN expires_at IS NULL OR expires_at > {AS_OF} THEN 1e0
+            ELSE greatest(0.05e0, exp(-(({AS_OF} - expires_at) / 86400e0) / 14)) END ELSE m.ttl_penalty END AS ttl_penalty,
+          CASE WHEN stale THEN CASE WHEN superseded_by_id IS NULL THEN 1e0 ELSE 0e0 END ELSE m.supersession_penalty END AS supersession_penalty,
+          CASE WHEN stale THEN {AS_OF} ELSE m.activation_computed_at END AS activation_computed_at
+        FROM (SELECT *, archived_at IS NULL AND (activation_computed_at IS NULL OR activation_computed_at < {AS_OF - 600}) AS stale FROM v_memories) m
+        JOIN a_level a USING (id)""",
+}
+
+
+def consolidation(source: str) -> dict[str, str]:
+    return {
+        "c_cold": f"""
+            SELECT * FROM {source} WHERE NOT protected AND archived_at IS NULL AND embedding_status = 'done'
+              AND layer IN ('context', 'emotion', 'implementation') AND created_at <= {AS_OF - 7 * DAY} AND {heat()} < 30""",
+        "c_groups": "SELECT entity_id, layer, count(*) AS n, avg(importance) AS avg_imp, min(created_at) AS lo, max(created_at) AS hi FROM c_cold GROUP BY 1, 2 HAVING count(*) >= 2",
+        "c_members": "SELECT c.id, c.layer FROM c_cold c JOIN c_groups g USING (entity_id, layer)",
+        "c_mem": f"""
+            SELECT * REPLACE (CASE WHEN id IN (SELECT id FROM c_members) THEN {AS_OF} ELSE archived_at END AS archived_at) FROM {source}""",
+        "c_drop": f"SELECT id, layer FROM c_mem WHERE NOT protected AND archived_at IS NULL AND embedding_status = 'done' AND {action()} = 'drop'",
+        "c_after": f"SELECT * REPLACE (CASE WHEN id IN (SELECT id FROM c_drop) THEN {AS_OF} ELSE archived_at END AS archived_at) FROM c_mem",
+    }
+
+
+EXPIRED = (
+    f"archived_at IS NULL AND expires_at < {AS_OF} AND NOT protected AND layer <> 'goal' AND importance < 0.9e0 AND embedding_status = 'done'"
+)
+
+FILES = {
+    "f_docs": f"""
+        SELECT doc_id, 'doc/' || doc_id || '.txt' AS path, text AS old,
+          CASE WHEN doc_id % 3 = 0 THEN 'edited ' || text || chr(10) || 'last line' ELSE text END AS new FROM documents""",
+}
+
+
+def windows(name: str, source: str, column: str) -> dict[str, str]:
+    return {
+        name: f"""
+            SELECT path, 'lines:' || s || '_' || least(s + 99, n) AS id, s AS start_line, least(s + 99, n) AS end_line,
+              array_to_string(lines[s:least(s + 99, n)], chr(10)) AS content
+            FROM (SELECT path, lines, len(lines) AS n, unnest(range(1, len(lines) + 1, 100)) AS s
+              FROM (SELECT path, string_split({column}, chr(10)) AS lines FROM {source}))"""
+    }
+
+
+DIFF = {
+    **FILES,
+    **windows("w_old", "f_docs", "old"),
+    **windows("w_new", "f_docs", "new"),
+    "f_diff": """
+        SELECT path, id, coalesce(n.start_line, o.start_line) AS start_line, coalesce(n.end_line, o.end_line) AS end_line, n.content,
+          CASE WHEN o.content IS NULL THEN 'added' WHEN n.content IS NULL THEN 'removed' WHEN o.content <> n.content THEN 'modified'
+            ELSE 'unchanged' END AS status
+        FROM w_new n FULL JOIN w_old o USING (path, id)""",
+    "f_state": f"""
+        SELECT *, CASE WHEN doc_id % 2 = 0 THEN 'unchanged' WHEN doc_id % 3 = 0 THEN 'modified' ELSE 'unchanged_content' END AS status FROM f_docs""",
+    "f_counts": """
+        SELECT path, count(*) FILTER (status IN ('added', 'modified')) AS changed, count(*) FILTER (status = 'unchanged') AS unchanged,
+          count(*) FILTER (status = 'removed') AS removed,
+          sum(CASE WHEN status IN ('added', 'modified') THEN CAST(ceil(length(content) * 0.3e0) AS BIGINT) ELSE 0 END) AS sent
+        FROM f_diff GROUP BY 1""",
+    "f_changes": """
+        SELECT s.path, s.status, CASE WHEN s.status = 'modified' THEN changed ELSE 0 END AS changed,
+          CASE WHEN s.status = 'modified' THEN unchanged ELSE 0 END AS unchanged,
+          CASE WHEN s.status = 'modified' THEN removed ELSE 0 END AS removed,
+          CAST(ceil(length(new) * 0.3e0) AS BIGINT) AS tokens_full,
+          CASE WHEN s.status = 'modified' THEN CAST(sent + 80 AS BIGINT) END AS tokens_returned,
+          CASE WHEN s.status = 'modified' THEN CAST(greatest(0, CAST(ceil(length(new) * 0.3e0) AS BIGINT) - (sent + 80)) AS BIGINT)
+            ELSE CAST(round(strlen(new) * 0.3e0) AS BIGINT) END AS tokens_saved
+        FROM f_state s JOIN f_counts USING (path)""",
+}
+
+
+def mined() -> dict[str, str]:
+    """What a transcript corpus yields per session."""
+    warning = (
+        r"(?i)\b(?:don'?t|do\s+not)\s+(?:do|use|run|call|forget|try|send|share|commit|push|paste|edit)\b"
+        r"|\bnever\s+(?:do|use|call|share|commit|paste|run|push|edit)\b"
+        r"|\bavoid\s+(?:using|running|calling|committing|pushing|sharing|pasting|editing|creating|modifying)\b|\bwatch\s+out\b"
+    )
+    decision = (
+        r"(?i)learn(ed)?|decid(?:e|ed|ing)|chose|picked|going with|let'?s\s+go|pivot(?:ing|ed)?|switch(?:ing)?\s+to"
+        r"|settled\s+on|approved|we'?ll\s+use|commit(?:ting)?\s+to"
+    )
+    own = f"SELECT * FROM v_requests WHERE {paste('text')} IS NULL"
+    return {
+        "s_all": "SELECT session_id, any_value(conv_id) AS conv_id, min(ts) AS started_at, max(ts) AS ended_at, "
+                 "count(*) FILTER (role = 'user') AS turns_user, count(*) FILTER (role = 'assistant') AS turns_assistant "
+                 "FROM v_turns GROUP BY 1 HAVING count(*) FILTER (role IN ('user', 'assistant')) > 0",
+        "s_ops": "SELECT session_id, count(*) AS ops, count(DISTINCT file_path) AS files FROM v_ops GROUP BY 1",
+        "s_said": f"""
+            SELECT session_id, count(*) FILTER (regexp_matches(text, {quote(warning)}) AND length(text) > 20) AS realize,
+              count(*) FILTER (regexp_matches(text, {quote(decision)}) AND length(text) > 15) AS decision FROM ({own}) GROUP BY 1""",
+        "s_clar": "SELECT session_id, count(*) AS n FROM v_clar GROUP BY 1",
+        "s_found": """
+            SELECT s.*, CASE WHEN f.session_id IS NULL THEN 0 ELSE 1 END AS first_intent, coalesce(c.n, 0) AS clarification,
+              coalesce(o.files, 0) AS file_edit, coalesce(o.ops, 0) AS ops, coalesce(w.realize, 0) AS realize, coalesce(w.decision, 0) AS decision
+            FROM s_all s LEFT JOIN v_first f USING (session_id) LEFT JOIN s_clar c USING (session_id) LEFT JOIN s_ops o USING (session_id)
+            LEFT JOIN s_said w USING (session_id)""",
+        "s_memories": """
+            SELECT *, first_intent + clarification + file_edit + realize + decision + 1 AS memories,
+              CASE WHEN ops > 0 THEN 'proj' || (conv_id % 5) ELSE 'start' END AS project
+            FROM s_found WHERE first_intent + clarification + file_edit + realize + decision > 0""",
+    }
+
+
+INCOMING = {
+    "i_raw": """
+        SELECT doc_id, text, (doc_id % 11) / 10e0 AS importance,
+          ['goal', 'implementation', 'learning', 'emotion', 'realize', NULL][doc_id % 6 + 1] AS layer FROM documents""",
+    "i_checked": f"""
+        SELECT *, CASE WHEN layer IS NULL THEN 'unknown_layer' WHEN length(text) > 8000 THEN 'too_long' WHEN {paste('text')} IS NOT NULL THEN 'pasted'
+          ELSE 'accepted' END AS outcome FROM i_raw""",
+}
+
+DOC_VECTORS = {
+    "d_counts": f"""
+        SELECT id, bucket, count(*)::DOUBLE AS n FROM (SELECT id, ('0x' || substr(md5(t), 1, 4))::INT % 64 AS bucket
+          FROM (SELECT id, unnest(string_split({tok('content')}, ' ')) AS t FROM v_memories) WHERE t <> '') GROUP BY 1, 2""",
+    "d_norm": "SELECT id, sqrt(sum(n * n)) AS norm FROM d_counts GROUP BY 1",
+    "d_rows": """
+        SELECT id, entity_id, layer, created_at, row_number() OVER (PARTITION BY entity_id, layer ORDER BY created_at, id) AS pos
+        FROM v_memories WHERE archived_at IS NULL AND superseded_by_id IS NULL""",
+    "d_pairs": f"""
+        SELECT m.id AS new_id, p.id AS old_id, m.pos, sum(a.n * b.n) / (any_value(na.norm) * any_value(nb.norm)) AS cos
+        FROM d_rows m JOIN d_rows p ON m.entity_id = p.entity_id AND m.layer = p.layer AND p.pos < m.pos AND m.pos - p.pos <= 200
+          AND m.created_at - p.created_at <= {90 * DAY}
+        JOIN d_counts a ON a.id = m.id JOIN d_counts b ON b.id = p.id AND b.bucket = a.bucket
+        JOIN d_norm na ON na.id = m.id JOIN d_norm nb ON nb.id = p.id
+        GROUP BY m.id, p.id, m.pos HAVING sum(a.n * b.n) / (any_value(na.norm) * any_value(nb.norm)) >= 0.97""",
+    "d_chosen": "SELECT old_id AS id, arg_min(new_id, pos) AS new_id, arg_min(cos, pos) AS cos FROM d_pairs GROUP BY 1",
+}
+
+EMB_PAIRS = f"""
+    SELECT m.vec_id AS new_id, p.vec_id AS old_id, round(list_cosine_similarity(m.embedding::DOUBLE[], p.embedding::DOUBLE[]), 6) AS cos, m.pos - p.pos AS gap
+    FROM e_rows m JOIN e_rows p ON m.label = p.label AND p.pos < m.pos AND m.pos - p.pos <= 200 AND m.created_at - p.created_at <= {90 * DAY}"""
+EMB = {
+    "e_rows": f"""
+        SELECT *, row_number() OVER (PARTITION BY label ORDER BY created_at, vec_id) AS pos
+        FROM (SELECT *, {AS_OF} - vec_id % 100 * {DAY} AS created_at FROM embeddings)""",
+    "e_pairs": EMB_PAIRS,
+}
+
+RESOLVE = {
+    "r_in": """
+        SELECT doc_id AS seq, source, CASE doc_id % 3 WHEN 0 THEN source WHEN 1 THEN 'New_' || source ELSE 'new ' || source END AS name,
+          CASE WHEN doc_id % 3 = 0 THEN source ELSE 'new ' || source END AS norm,
+          CASE WHEN doc_id % 5 = 0 THEN 'key:' || source END AS key FROM documents""",
+    "r_names": "SELECT name, norm, key, min(seq) AS seq FROM r_in GROUP BY ALL",
+    "r_match": """
+        SELECT n.*, k.id AS key_id, coalesce(k.id, e.id) AS entity_id FROM r_names n
+        LEFT JOIN v_entities k ON k.canonical_key = n.key LEFT JOIN v_entities e ON e.kind = 'project' AND e.normalized_name = n.norm""",
+    # A keyless entity met under a name takes the first key it is given; later rows find it by that key.
+    "r_fill": """
+        SELECT arg_min(m.key, m.seq) AS key, min(m.seq) AS seq, e.id FROM r_match m JOIN v_entities e ON e.id = m.entity_id
+        WHERE m.key IS NOT NULL AND e.canonical_key IS NULL GROUP BY e.id""",
+    "r_match2": """
+        SELECT m.* REPLACE (coalesce(m.entity_id, CASE WHEN f.seq < m.seq THEN f.id END) AS entity_id)
+        FROM r_match m LEFT JOIN r_fill f ON f.key = m.key""",
+    "r_groups": "SELECT norm, min(seq) AS first_seq, arg_min(name, seq) AS name, arg_min(key, seq) FILTER (key IS NOT NULL) AS key FROM r_match2 WHERE entity_id IS NULL GROUP BY 1",
+    "r_roots": """
+        SELECT *, least(first_seq, min(first_seq) OVER (PARTITION BY lower(name)),
+          CASE WHEN key IS NULL THEN first_seq ELSE min(first_seq) OVER (PARTITION BY key) END) AS root FROM r_groups""",
+    "r_new": "SELECT r.norm, h.name, h.norm AS created_norm FROM r_roots r JOIN r_roots h ON h.first_seq = r.root",
+}
+
+
+def closure(*names: str, extra: dict[str, str] | None = None) -> str:
+    """WITH clause holding the named views and, before them, the views they read."""
+    pool = {**VIEWS, **(extra or {})}
+    ordered: list[str] = []
+
+    def visit(name: str) -> None:
+        if name in ordered:
+            return
+        for other in pool:
+            if other != name and other in pool[name]:
+                visit(other)
+        if name not in ordered:
+            ordered.append(name)
+
+    for name in names:
+        visit(name)
+    return "WITH " + ",\n".join(f"{n} AS ({pool[n]})" for n in ordered) if ordered else ""
+
+
+def build(body: str, *extras: dict[str, str]) -> str:
+    pool = dict(VIEWS)
+    for e in extras:
+        pool.update(e)
+    used = [n for n in pool if n in body]
+    return closure(*used, extra=pool) + "\n" + body
+
+
+SHORT = "id, entity_name, layer, round(importance, 6) AS importance, protected OR importance >= 0.9e0 AS pinned, access_count, last_accessed_at"
+
+ORACLES: dict[str, str] = {
+    "scan_transcripts": build(
+        "SELECT session_id, count(*) AS turns, CAST(sum(length(text)) AS BIGINT) AS chars, count(*) FILTER (role = 'user') AS user_turns, "
+        "count(*) FILTER (role = 'assistant') AS calls, max(ts) AS last_ts FROM v_turns WHERE role IN ('user', 'assistant') GROUP BY 1"
+    ),
+    "scan_curated_notes": build(
+        f"""SELECT '/notes/' || source || '/memory/n' || doc_id || '.md' AS path, 'note-' || doc_id AS name, 'about ' || source AS description, kind AS type,
+        CASE WHEN kind = 'feedback' THEN 'learning' ELSE 'context' END AS layer,
+        CASE WHEN kind = 'feedback' THEN 0.7e0 WHEN kind = 'misc' THEN 0.5e0 ELSE 0.6e0 END AS importance, length({strip('text')}) AS body_chars
+        FROM (SELECT *, ['feedback', 'user', 'project', 'reference', 'misc'][doc_id % 5 + 1] AS kind FROM documents)"""
+    ),
+    "replace_sessions": build(
+        """SELECT session_id, count(*) AS memories, CAST(sum(length(content)) AS BIGINT) AS chars FROM (
+        SELECT session_id, content FROM v_memories WHERE session_id NOT IN (SELECT session_id FROM v_turns)
+        UNION ALL SELECT session_id, text FROM v_turns) GROUP BY 1"""
+    ),
+    "ingest_memories": build(
+        f"""SELECT outcome, coalesce(layer, 'unheard') AS layer, count(*) AS n,
+        CAST(sum(CASE WHEN outcome = 'accepted' AND (importance >= 0.9e0 OR layer = 'realize') THEN 1 ELSE 0 END) AS BIGINT) AS pinned,
+        CAST(sum(CASE WHEN outcome = 'accepted' THEN length({tok(redact_steps('text')[2])}) ELSE 0 END) AS BIGINT) AS chars
+        FROM i_checked GROUP BY 1, 2""", INCOMING
+    ),
+    "ingest_vectors": build(
+        """SELECT v.id, v.outcome, round(CASE WHEN v.outcome = 'ok' THEN v.first ELSE m.embedding[1] END::DOUBLE, 6) AS v0 FROM (
+          SELECT e.vec_id * 3 AS id, e.embedding[1] AS first, CASE WHEN e.vec_id % 5 = 0 THEN 'bad_request' WHEN t.id IS NULL OR t.archived_at IS NOT NULL THEN 'not_found'
+          WHEN e.vec_id % 4 = 0 THEN 'content_changed' ELSE 'ok' END AS outcome
+          FROM embeddings e LEFT JOIN v_memories t ON t.id = e.vec_id * 3) v
+        LEFT JOIN (SELECT id, NULL::FLOAT[] AS embedding FROM v_memories) m ON m.id = v.id"""
+    ),
+    "upsert_file_snapshots": build(
+        f"""SELECT path, sha256(new) AS content_hash, {AS_OF} + doc_id % 2 AS mtime, strlen(new) AS size_bytes, {AS_OF + 60} AS last_read_at,
+        2 AS read_count, CAST(ceil(len(string_split(new, chr(10))) / 100e0) AS INT) AS n_chunks FROM f_docs""", FILES
+    ),
+    "upsert_session_snapshots": build(
+        f"""SELECT session_id, md5(arg_max(snapshot_text, created_at)) AS snapshot_text, max(created_at) AS created_at FROM (
+          SELECT session_id, text AS snapshot_text, {AS_OF} - seq * {3 * DAY} AS created_at FROM v_turns
+            WHERE role = 'assistant' AND {AS_OF} - seq * {3 * DAY} >= {AS_OF - 24 * DAY}
+          UNION ALL SELECT session_id, text, {AS_OF} FROM v_turns WHERE role = 'system')
+        GROUP BY 1 HAVING max(created_at) >= {AS_OF - 14 * DAY}"""
+    ),
+    "visible_memories": build(
+        """SELECT flags, count(*) AS n, CAST(sum(id) AS BIGINT) AS id_sum FROM (
+        SELECT '00' AS flags, id FROM v_memories WHERE superseded_by_id IS NULL AND archived_at IS NULL
+        UNION ALL SELECT '01', id FROM v_memories WHERE archived_at IS NULL OR superseded_by_id IS NOT NULL
+        UNION ALL SELECT '10', id FROM v_memories WHERE superseded_by_id IS NULL
+        UNION ALL SELECT '11', id FROM v_memories) GROUP BY 1"""
+    ),
+    "substring_search": build("SELECT query_id, id, like_rank, in_entity FROM v_like WHERE like_rank <= 600", HYBRID),
+    "fetch_by_ids": build(
+        "SELECT id, entity_name, layer, 0.5e0 AS relevance, length(content) AS chars FROM v_shown WHERE id IN (SELECT item_id * 7 FROM benchmark)"
+    ),
+    "filter_noise_turns": build(f"SELECT session_id, seq, length(text) AS chars FROM v_turns WHERE NOT {noise('text')}"),
+    "flag_pasted_text": build(f"SELECT id, {paste('content')} IS NOT NULL AS is_pasted, coalesce({paste('content')}, 'none') AS rule FROM v_memories"),
+    "triage_prompts": build(
+        f"""SELECT session_id, seq, reason, reason = 'meaningful' AS should_recall,
+        md5(CASE WHEN reason = 'meaningful' THEN substring({collapse('text')}, 1, 2000) ELSE '' END) AS query_md5 FROM (
+        SELECT *, CASE WHEN {collapse('text')} = '' THEN 'empty' WHEN {noise(collapse('text'))} THEN 'meta'
+          WHEN lower({collapse('text')}) IN ({', '.join(quote(a) for a in ACKNOWLEDGEMENTS)}) THEN 'acknowledgement'
+          WHEN length({collapse('text')}) < 4 THEN 'too_short' ELSE 'meaningful' END AS reason FROM v_turns)"""
+    ),
+    "heat_band_filter": build(
+        "SELECT query_id, rank, id, band FROM b_out", {**ranked(60, 60, only_band="warm"), **budget("v_ranked", 20)}
+    ),
+    "project_scope": build(
+        "SELECT entity_name, entity_kind, count(*) AS n FROM v_view WHERE entity_kind <> 'project' OR lower(entity_name) = 'src1' GROUP BY 1, 2"
+    ),
+    "path_roots_scope": build(
+        """SELECT file_path, count(*) AS edits FROM v_edits e WHERE EXISTS (
+        SELECT 1 FROM (SELECT DISTINCT '/work/' || p_brand AS root FROM part WHERE p_size > 48) r WHERE starts_with(e.file_path, r.root)) GROUP BY 1"""
+    ),
+    "memory_entity_view": build("SELECT id, entity_name, entity_kind, round(momentum_score, 6) AS momentum_score FROM v_view"),
+    "resolve_entities": build(
+        """SELECT i.seq, coalesce(e.name, n.name) AS name, coalesce(e.normalized_name, n.created_norm) AS normalized_name
+        FROM r_in i JOIN r_match2 m ON m.name = i.name AND m.key IS NOT DISTINCT FROM i.key
+        LEFT JOIN v_entities e ON e.id = m.entity_id LEFT JOIN r_new n ON m.entity_id IS NULL AND n.norm = m.norm""", RESOLVE
+    ),
+    "bm25_search": build("SELECT query_id, id, round(bm25, 6) AS bm25, fts_rank FROM v_bm25 WHERE fts_rank <= 600", HYBRID),
+    "vector_search": build("SELECT query_id, id, cos, vec_rank FROM v_vec WHERE vec_rank <= 200", HYBRID),
+    "minmax_vector_scores": build(
+        """SELECT query_id, id, round(CASE WHEN max(cos) OVER w - min(cos) OVER w < 1e-6 THEN 1e0
+        ELSE (cos - min(cos) OVER w) / (max(cos) OVER w - min(cos) OVER w) END, 4) AS vec_norm FROM v_vec WHERE vec_rank <= 200
+        WINDOW w AS (PARTITION BY query_id)""", HYBRID
+    ),
+    "vector_self_search": build(
+        """SELECT query_id, id, cos, vec_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cos DESC, id) AS vec_rank FROM (
+        SELECT a.vec_id::VARCHAR AS query_id, b.vec_id AS id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cos
+        FROM embeddings a, embeddings b) WHERE cos >= 0.3) WHERE vec_rank <= 10"""
+    ),
+    "hybrid_candidates": build("SELECT query_id, id, via, fts_rank, like_rank, vec_rank FROM v_cand", candidates(60, 60)),
+    "near_duplicate_pairs": build("SELECT new_id, old_id, cos FROM e_pairs WHERE cos >= 0.25", EMB),
+    "latest_peers": build(
+        "SELECT new_id, count(*) AS peers, min(old_id) AS lowest, CAST(sum(old_id) AS BIGINT) AS id_sum FROM e_pairs WHERE gap <= 5 GROUP BY 1", EMB
+    ),
+    "chunk_diff": build("SELECT path, id, status, start_line, end_line FROM f_diff", DIFF),
+    "file_linked_memories": build(
+        """SELECT id, entity_name, layer, round(importance, 6) AS importance, CASE WHEN length(content) > 300 THEN 303 ELSE length(content) END AS preview_chars
+        FROM v_view WHERE id IN (SELECT memory_id FROM v_ring) ORDER BY v_view.importance DESC, id LIMIT 20"""
+    ),
+    "attribute_intent": build(
+        f"""SELECT session_id, seq, md5(intent) AS intent_md5, length(intent) AS chars FROM (
+        SELECT session_id, seq, substring(coalesce(last_value(said IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY seq
+          ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), ''), 1, 600) AS intent FROM (
+        SELECT *, CASE WHEN role = 'user' AND NOT {noise('text')} THEN {strip('text')} END AS said FROM v_turns))"""
+    ),
+    "link_edits_to_memories": build(
+        """SELECT memory_id, count(*) AS edits, max(occurred_at) AS last_at FROM (
+        SELECT min(id) OVER (PARTITION BY session_id, file_path) AS memory_id, occurred_at FROM v_edits) GROUP BY 1"""
+    ),
+    "entity_overview": build(
+        """SELECT e.id, e.name, e.kind, round(e.momentum_score, 2) AS momentum, count(m.id) AS memory_count, max(m.last_accessed_at) AS last_memory_access,
+        count(*) FILTER (m.layer = 'goal') AS goal_count, count(*) FILTER (m.layer = 'realize') AS realize_count,
+        count(*) FILTER (m.layer = 'learning') AS learning_count, count(*) FILTER (m.layer = 'implementation') AS implementation_count,
+        count(*) FILTER (m.importance >= 0.9e0) AS pinned_count
+        FROM v_entities e LEFT JOIN v_memories m ON m.entity_id = e.id GROUP BY e.id, e.name, e.kind, e.momentum_score
+        ORDER BY round(e.momentum_score * 10 + count(m.id) * 0.5e0 + max(m.last_accessed_at) / 86400e0 / 365 * 2, 6) DESC NULLS LAST, e.id LIMIT 30"""
+    ),
+    "layer_kind_breakdown": build(
+        "SELECT 'layer' AS dimension, layer AS value, count(*) AS n FROM v_memories GROUP BY 2 UNION ALL SELECT 'kind', kind, count(*) FROM v_entities GROUP BY 2"
+    ),
+    "top_entities": build(
+        """SELECT e.id, e.name, e.kind, round(e.momentum_score, 2) AS momentum, count(m.id) AS memory_count, max(m.last_accessed_at) AS last_access
+        FROM v_entities e LEFT JOIN v_memories m ON m.entity_id = e.id GROUP BY e.id, e.name, e.kind, e.momentum_score
+        ORDER BY count(m.id) DESC, e.momentum_score DESC, e.id LIMIT 10"""
+    ),
+    "top_files": build(
+        """SELECT file_path, count(*) AS edits, count(DISTINCT session_id) AS in_sessions FROM v_edits WHERE operation IN ('edit', 'write')
+        GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5"""
+    ),
+    "file_edit_summary": build(
+        "SELECT count(*) AS total_edits, min(occurred_at) AS first_edit_at, max(occurred_at) AS last_edit_at, count(DISTINCT session_id) AS sessions_involved FROM v_ring"
+    ),
+    "file_edit_daily": build(f"SELECT {day('occurred_at')} AS day, operation, count(*) AS edits FROM v_ring GROUP BY 1, 2"),
+    "file_edit_intents": build(
+        """SELECT context_snippet AS intent, max(occurred_at) AS last_at, count(*) AS occurrences FROM v_ring WHERE length(context_snippet) > 20
+        GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10"""
+    ),
+    "file_edit_paths": build("SELECT file_path, count(*) AS edits FROM v_ring GROUP BY 1"),
+    "entity_momentum": build(
+        f"""SELECT id, events_24h, events_7d, events_all, round(quality, 6) AS quality, round(velocity, 6) AS velocity, round(volume, 6) AS relative_volume,
+        round(score, 6) AS momentum, CASE WHEN round(score, 6) >= 7 THEN 'surging' WHEN round(score, 6) >= 4 THEN 'active' WHEN round(score, 6) >= 1.5e0 THEN 'quiet' ELSE 'dormant' END AS momentum_band
+        FROM (SELECT *, greatest(0e0, least(10e0, quality * 0.4e0 + velocity * 0.3e0 + volume * 0.3e0)) AS score FROM (
+          SELECT *, CASE WHEN weekly > 0 THEN CASE WHEN events_7d / weekly >= 3 THEN 10e0 WHEN events_7d / weekly >= 2 THEN 7e0 WHEN events_7d / weekly >= 1 THEN 4e0 ELSE events_7d / weekly * 4 END
+            WHEN events_7d > 0 THEN 5e0 ELSE 0e0 END AS volume FROM (
+          SELECT id, events_24h, events_7d, events_all, events_all / greatest(1e0, ({AS_OF} - created_at) / 86400e0) * 7 AS weekly,
+            least(10e0, coalesce(avg_imp, 0.5e0) * 10) AS quality,
+            CASE WHEN events_24h >= 3 THEN 10e0 WHEN events_24h >= 1 THEN 7e0 WHEN events_7d >= 3 THEN 4e0 WHEN events_7d >= 1 THEN 2e0 ELSE 0e0 END AS velocity
+          FROM (SELECT user_id AS id, {AS_OF} - user_id % 60 * {DAY} AS created_at, count(*) FILTER (epoch(ts) >= {AS_OF - DAY}) AS events_24h,
+              count(*) FILTER (floor(epoch(ts)) >= {AS_OF - 7 * DAY}) AS events_7d, count(*) AS events_all FROM events GROUP BY 1)
+          LEFT JOIN (SELECT entity_id AS id, avg(importance) AS avg_imp FROM v_memories WHERE created_at >= {AS_OF - 7 * DAY} GROUP BY 1) USING (id))))"""
+    ),
+    "base_level_activation": build(
+        """SELECT id, accesses, round(ln(strength), 6) AS base_level, round(1 / (1 + exp(-(ln(strength) + 6) / 1.5e0)), 6) AS activation FROM a_level""",
+        ACTIVATION,
+    ),
+    "consolidation_clusters": build(
+        f"""SELECT g.entity_id, e.name AS entity_name, g.layer, g.n AS count, round(avg_imp, 6) AS avg_importance, round(greatest(avg_imp, 0.55e0), 6) AS importance,
+        {day('g.lo')} AS period_from, {day('g.hi')} AS period_to, x.days AS exemplar_days FROM c_groups g JOIN v_entities e ON e.id = g.entity_id
+        JOIN (SELECT entity_id, layer, string_agg({day('created_at')}, ',' ORDER BY rn) AS days FROM (
+          SELECT *, row_number() OVER (PARTITION BY entity_id, layer ORDER BY importance DESC, id) AS rn FROM c_cold) WHERE rn <= 3 GROUP BY 1, 2) x
+        ON x.entity_id = g.entity_id AND x.layer = g.layer""", consolidation("v_memories"),
+    ),
+    "consolidation_preview": build(
+        f"""SELECT entity_id, entity_name, layer, count(*) AS count FROM v_view WHERE NOT protected AND importance < 0.9e0
+        AND layer IN ('context', 'emotion', 'implementation') AND created_at <= {AS_OF - 7 * DAY} GROUP BY 1, 2, 3 HAVING count(*) >= 2
+        ORDER BY 4 DESC, 1, 3 LIMIT 20"""
+    ),
+    "session_project_vote": build(
+        "SELECT session_id, CASE WHEN ops > 0 THEN 'proj' || (conv_id % 5) ELSE 'start' END AS project FROM s_found", mined()
+    ),
+    "session_overview": build(
+        f"""SELECT s.session_id, '/home/dev/start' AS project_cwd, 'main' AS git_branch, started_at, ended_at,
+        CAST(floor((ended_at - started_at) / 60e0 + 0.5e0) AS BIGINT) AS duration_min, turns_user, turns_assistant, 0 AS errors,
+        coalesce(m.n, 0) AS turns_meaningful, ops AS file_ops_raw, file_edit AS files_touched, false AS high_error
+        FROM s_found s LEFT JOIN (SELECT session_id, count(*) AS n FROM v_requests GROUP BY 1) m USING (session_id)""", mined()
+    ),
+    "embedding_status_report": build(
+        """SELECT 'status:' || embedding_status AS item, count(*) AS n FROM v_memories WHERE archived_at IS NULL GROUP BY 1
+        UNION ALL SELECT 'stale', count(*) FROM v_memories WHERE archived_at IS NULL AND embedding_status = 'done' AND embedding_model <> 'm64'
+        UNION ALL SELECT 'tokenized', count(content_tokenized) FROM v_memories WHERE archived_at IS NULL
+        UNION ALL SELECT 'untokenized', count(*) - count(content_tokenized) FROM v_memories WHERE archived_at IS NULL"""
+    ),
+    "forget_sweep_summary": build(
+        f"""SELECT count(*) AS scanned, count(*) FILTER (action = 'drop') AS to_drop, least(20, count(*) FILTER (action = 'drop')) AS affected,
+        greatest(0, count(*) FILTER (action = 'drop') - 20) AS remaining, count(*) FILTER (action = 'compress') AS to_compress
+        FROM (SELECT {action()} AS action FROM v_memories WHERE NOT protected AND importance < 0.9e0 AND archived_at IS NULL)"""
+    ),
+    "recall_quality": build(
+        """SELECT subset, count(*) AS cases, round(avg(CASE WHEN best <= 5 THEN 1e0 ELSE 0e0 END), 6) AS recall_at_5,
+        round(avg(CASE WHEN best <= 10 THEN 1e0 ELSE 0e0 END), 6) AS recall_at_10, round(avg(coalesce(1e0 / best, 0)), 6) AS mrr
+        FROM (SELECT unnest([lang, 'overall']) AS subset, best FROM v_queries LEFT JOIN (
+          SELECT q.query_id, min(b.fts_rank) AS best FROM v_queries q JOIN v_view m ON contains(lower(m.content), lower(q.text)) OR contains(lower(m.entity_name), lower(q.text))
+          JOIN v_bm25 b ON b.query_id = q.query_id AND b.id = m.id AND b.fts_rank <= 10 GROUP BY 1) USING (query_id)) GROUP BY 1""",
+        bm25_views("v_free"),
+    ),
+    "recall_staleness": build(
+        f"""SELECT CASE WHEN {AS_OF + 7200} - oldest > 3600 THEN CAST(floor(({AS_OF + 7200} - oldest) / 60e0) AS BIGINT) END AS activation_age_minutes,
+        (SELECT count(*) FROM v_memories WHERE embedding_status = 'pending' AND archived_at IS NULL) AS embedding_missing_count
+        FROM (SELECT min(activation_computed_at) AS oldest FROM b_out)""",
+        {**ranked(30, 30, AS_OF + 7200), **budget("v_ranked", 10)},
+    ),
+    "reread_savings": build(
+        """SELECT path, CAST(sum(tokens_full) AS BIGINT) AS tokens_full, CAST(sum(tokens_returned) AS BIGINT) AS tokens_returned,
+        CAST(sum(tokens_saved) AS BIGINT) AS tokens_saved,
+        CAST(CASE WHEN sum(tokens_full) > 0 THEN round(sum(tokens_saved)::DOUBLE / sum(tokens_full)::DOUBLE * 100) ELSE 0 END AS BIGINT) AS pct_saved
+        FROM (SELECT unnest([path, '*']) AS path, tokens_full, tokens_returned, tokens_saved FROM f_changes WHERE status = 'modified') GROUP BY 1""", DIFF
+    ),
+    "prune_access_log": build("SELECT id, memory_id, accessed_at FROM a_recent", ACTIVATION),
+    "prune_access_log_small": build("SELECT id, memory_id, accessed_at FROM a_recent WHERE rn <= 5", ACTIVATION),
+    "rrf_fuse": build("SELECT query_id, id, round(raw, 8) AS rrf_raw, round(relevance, 6) AS relevance FROM v_rrf", candidates(60, 60)),
+    "token_budget_select": build(
+        "SELECT query_id, id, rank, tokens, used_tokens, stopped_by FROM b_out",
+        {
+            **HYBRID,
+            "t_rows": "SELECT b.query_id, b.id, b.fts_rank AS rank, CAST(ceil(length(m.content) * 0.3e0) AS BIGINT) AS tokens "
+                      "FROM v_bm25 b JOIN v_memories m USING (id) WHERE fts_rank <= 100",
+            **budget("t_rows", 5, 1),
+        },
+    ),
+    "debounce_edits": build(
+        """SELECT operation, file_path, k.at AS occurred_at, k.id FROM (
+        SELECT operation, file_path, unnest(list_reduce(list_transform(s, lambda x: [x]),
+          lambda a, x: CASE WHEN x[1].at - a[len(a)].at >= 10 THEN list_concat(a, x) ELSE a END)) AS k
+        FROM (SELECT operation, file_path, list({'at': occurred_at, 'id': id} ORDER BY occurred_at) AS s FROM (
+          SELECT operation, file_path, occurred_at, min(id) AS id FROM v_edits GROUP BY 1, 2, 3) GROUP BY 1, 2))"""
+    ),
+    "first_intent": build("SELECT session_id, seq, md5(text) AS text_md5 FROM v_first"),
+    "clarifications": build("SELECT session_id, seq, n, md5(text) AS text_md5 FROM v_clar"),
+    "view_hot": build(f"SELECT {SHORT} FROM v_view ORDER BY access_count DESC, v_view.last_accessed_at DESC, id LIMIT 50"),
+    "view_recent": build(
+        f"SELECT {SHORT} FROM v_view WHERE v_view.last_accessed_at >= {AS_OF - 7 * DAY} ORDER BY v_view.last_accessed_at DESC, id LIMIT 50"
+    ),
+    "view_realizes": build(f"SELECT {SHORT} FROM v_view WHERE layer = 'realize'"),
+    "view_entity": build(f"SELECT {SHORT} FROM v_view WHERE lower(entity_name) = 'src3'"),
+    "view_layer": build(f"SELECT {SHORT} FROM v_view WHERE layer = 'context' ORDER BY v_view.importance DESC, created_at DESC, id LIMIT 200"),
+    "pending_backlog": build(
+        """SELECT id, md5(CASE WHEN length(content_tokenized) > 0 THEN content_tokenized ELSE content END) AS text_md5 FROM v_memories
+        WHERE embedding_status = 'pending' AND archived_at IS NULL AND id > 100 AND length(coalesce(content_tokenized, content)) > 0 ORDER BY id LIMIT 200"""
+    ),
+    "rerank_top_n": build(
+        """SELECT query_id, id, rank, CASE WHEN rank <= 20 THEN row_number() OVER (PARTITION BY query_id, rank <= 20 ORDER BY length(content), rank) ELSE rank END AS new_rank
+        FROM (SELECT b.query_id, b.id, b.fts_rank AS rank, m.content FROM v_bm25 b JOIN v_memories m USING (id) WHERE fts_rank <= 50)""", HYBRID
+    ),
+    "sweep_cap": build(
+        f"""SELECT id FROM v_memories WHERE NOT protected AND importance < 0.9e0 AND archived_at IS NULL AND {action()} = 'drop' ORDER BY id LIMIT 20"""
+    ),
+    "hybrid_recall": build(
+        """SELECT query_id, rank, id, band, round(relevance, 6) AS relevance, round(heat, 6) AS heat, round(composite, 6) AS composite, reasons, tokens,
+        used_tokens, stopped_by, total_candidates, total_candidates > kept AS has_more FROM b_out""",
+        {**ranked(600, 200), **budget("v_ranked", 200)},
+    ),
+    "mark_accessed": build(
+        f"""SELECT m.id, m.access_count + coalesce(h.n, 0) AS access_count, CASE WHEN h.n IS NULL THEN m.last_accessed_at ELSE {AS_OF} END AS last_accessed_at,
+        coalesce(l.n, 0) + coalesce(h.n, 0) AS log_rows FROM v_memories m LEFT JOIN (SELECT id, count(*) AS n FROM v_bm25 WHERE fts_rank <= 10 GROUP BY 1) h USING (id)
+        LEFT JOIN (SELECT memory_id AS id, count(*) AS n FROM v_access_log GROUP BY 1) l USING (id)""", HYBRID
+    ),
+    "activation_refresh": build(
+        """SELECT id, round(activation_score, 6) AS activation_score, round(ttl_penalty, 6) AS ttl_penalty, round(supersession_penalty, 6) AS supersession_penalty,
+        activation_computed_at FROM a_mem""", ACTIVATION
+    ),
+    "expire_ttl": build(f"SELECT id, CASE WHEN {EXPIRED} THEN {AS_OF} ELSE archived_at END AS archived_at FROM v_memories"),
+    "forgetting_sweep": build(
+        f"""SELECT id, CASE WHEN id IN (SELECT id FROM v_memories WHERE NOT protected AND importance < 0.9e0 AND archived_at IS NULL
+        AND {action()} = 'drop' ORDER BY id LIMIT 20) THEN {AS_OF} ELSE archived_at END AS archived_at FROM v_memories"""
+    ),
+    "forgetting_risk": build(f"SELECT id, round({heat()}, 6) AS heat, round({risk()}, 6) AS risk, {action()} AS action FROM v_memories"),
+    "archive_memories": build(
+        f"""SELECT id, CASE WHEN archived_at IS NULL AND hit THEN {AS_OF} ELSE archived_at END AS archived_at,
+        CASE WHEN archived_at IS NULL AND hit THEN 1 ELSE 0 END AS noted
+        FROM (SELECT *, id IN (SELECT doc_id FROM labels WHERE toxic = 1) AS hit FROM v_memories)"""
+    ),
+    "forget_by_id": build(
+        """SELECT l.id, CASE WHEN m.id IS NULL THEN 'not_found' WHEN m.protected OR m.importance >= 0.9e0 THEN 'preserved'
+        WHEN m.archived_at IS NOT NULL THEN 'already_archived' ELSE 'archived' END AS outcome
+        FROM (SELECT DISTINCT doc_id * 2 AS id FROM labels) l LEFT JOIN v_memories m USING (id)"""
+    ),
+    "consolidate_cold": build(
+        """SELECT item, n FROM (SELECT 'memory_archived' AS item, count(*) AS n FROM c_members UNION ALL SELECT 'memory_consolidated', count(*) FROM c_groups
+        UNION ALL SELECT 'memory_swept_to_archive', count(*) FROM c_drop
+        UNION ALL SELECT 'active:' || layer, count(*) FROM (SELECT layer FROM c_after WHERE archived_at IS NULL UNION ALL SELECT 'learning' FROM c_groups) GROUP BY 1
+        UNION ALL SELECT 'replaced:' || layer, count(*) FROM c_members GROUP BY 1) WHERE n > 0""", consolidation("v_memories")
+    ),
+    "supersede_sweep": build(
+        f"""SELECT m.id, coalesce(c.new_id, m.superseded_by_id) AS superseded_by_id, CASE WHEN c.new_id IS NOT NULL THEN {AS_OF} ELSE m.archived_at END AS archived_at,
+        round(c.cos, 4) AS confidence FROM v_memories m LEFT JOIN d_chosen c USING (id)""", DOC_VECTORS
+    ),
+    "supersede_manual": build(
+        f"""SELECT l.old_id, l.new_id, outcome, coalesce(p.new_id, m.superseded_by_id) AS superseded_by_id,
+        CASE WHEN p.new_id IS NOT NULL THEN {AS_OF} ELSE m.archived_at END AS archived_at FROM s_out l LEFT JOIN v_memories m ON m.id = l.old_id
+        LEFT JOIN (SELECT old_id, new_id FROM s_out WHERE outcome = 'superseded') p ON p.old_id = l.old_id""",
+        {
+            "s_out": """SELECT p.*, CASE WHEN p.old_id = p.new_id THEN 'self' WHEN m.id IS NULL OR m.archived_at IS NOT NULL THEN 'not_active'
+            WHEN m.protected OR m.importance >= 0.9e0 OR m.layer = 'goal' THEN 'skipped_protected' ELSE 'superseded' END AS outcome
+            FROM (SELECT doc_id AS old_id, doc_id + doc_id % 3 AS new_id FROM labels) p LEFT JOIN v_memories m ON m.id = p.old_id"""
+        },
+    ),
+    "update_memories": build(
+        f"""SELECT memory_id, outcome, CASE WHEN ok AND n_layer IS NOT NULL THEN 'learning' ELSE layer END AS layer,
+        round(CASE WHEN ok THEN coalesce(n_imp, importance) ELSE importance END, 6) AS importance,
+        CASE WHEN ok AND n_imp IS NOT NULL THEN n_imp >= 0.9e0 OR protected ELSE protected END AS protected,
+        CASE WHEN ok AND n_text IS NOT NULL THEN 'pending' ELSE embedding_status END AS embedding_status,
+        length(CASE WHEN ok THEN coalesce(n_text, content) ELSE content END) AS chars,
+        CASE WHEN id IS NOT NULL THEN md5(coalesce(CASE WHEN ok AND n_text IS NOT NULL THEN {tok('n_text')} ELSE content_tokenized END, '')) END AS token_md5
+        FROM u_out""",
+        {
+            "u_in": """SELECT doc_id * 2 AS memory_id, CASE WHEN doc_id % 2 = 0 THEN 'patched ' || doc_id END AS n_text,
+            CASE WHEN doc_id % 3 = 0 THEN 'decisions' WHEN doc_id % 7 = 0 THEN 'nowhere' END AS n_layer,
+            CASE WHEN doc_id % 5 = 0 THEN quality * 1e0 END AS n_imp FROM labels""",
+            "u_res": """SELECT u.*, m.*, CASE WHEN m.id IS NULL THEN 'not_found' WHEN n_layer = 'nowhere' THEN 'unknown_layer'
+            WHEN m.layer = 'realize' AND n_layer IS NOT NULL AND m.protected THEN 'protected_layer'
+            WHEN n_text IS NULL AND n_layer IS NULL AND n_imp IS NULL THEN 'nothing' ELSE 'updated' END AS outcome
+            FROM u_in u LEFT JOIN v_memories m ON m.id = u.memory_id""",
+            "u_out": "SELECT *, outcome = 'updated' AS ok FROM u_res",
+        },
+    ),
+    "reset_stale_vectors": build(
+        """SELECT status AS embedding_status, embedding_model, count(*) AS n, CAST(sum(id) AS BIGINT) AS id_sum FROM (
+        SELECT *, CASE WHEN embedding_status = 'done' AND archived_at IS NULL AND embedding_model <> 'm64' THEN 'pending' ELSE embedding_status END AS status
+        FROM v_memories) GROUP BY 1, 2"""
+    ),
+    "tokenize_backfill": build(
+        f"SELECT id, md5(CASE WHEN content_tokenized IS NULL AND archived_at IS NULL THEN {tok('content')} ELSE content_tokenized END) AS token_md5 FROM v_memories"
+    ),
+    "redact_corpus": build(
+        f"""SELECT id, md5({redact_steps('content')[2]}) AS text_md5, {matches('content', KEY_BLOCK)} AS key_block, {matches(redact_steps('content')[0], HEADER)} AS header,
+        {matches(redact_steps('content')[1], ASSIGN)} AS assignment,
+        {matches('content', KEY_BLOCK)} + {matches(redact_steps('content')[0], HEADER)} + {matches(redact_steps('content')[1], ASSIGN)} AS redacted_count FROM v_memories"""
+    ),
+    "redact_by_source": build(
+        f"""SELECT source, CAST(sum({matches('text', KEY_BLOCK)}) AS BIGINT) AS key_block, CAST(sum({matches(redact_steps('text')[0], HEADER)}) AS BIGINT) AS header,
+        CAST(sum({matches(redact_steps('text')[1], ASSIGN)}) AS BIGINT) AS assignment FROM documents GROUP BY 1"""
+    ),
+    "extract_file_ops": build(
+        f"""SELECT session_id, uuid AS turn_uuid, 'edit' AS operation, file_path, ts AS occurred_at, md5(intent) AS intent_md5,
+        md5('OLD(' || length(substring(text, 1, 40)) || 'ch): ' || substring(text, 1, 40) || '... NEW(' || length(text) || 'ch): ' || substring(text, 1, 80) || '...') AS preview_md5
+        FROM v_ops JOIN (SELECT session_id, seq, substring(coalesce(last_value(said IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY seq
+          ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), ''), 1, 600) AS intent FROM (
+        SELECT *, CASE WHEN role = 'user' AND NOT {noise('text')} THEN {strip('text')} END AS said FROM v_turns)) USING (session_id, seq)"""
+    ),
+    "extract_memories": build(
+        """SELECT session_id, CAST(first_intent AS BIGINT) AS first_intent, clarification, file_edit, realize, decision, CAST(1 AS BIGINT) AS session_summary FROM s_memories""",
+        mined(),
+    ),
+    "import_sessions": build(
+        """SELECT session_id, project, memories, CASE WHEN ops > 0 THEN ops END AS edits, CASE WHEN ops > 0 THEN file_edit END AS linked FROM s_memories
+        UNION ALL SELECT m.session_id, e.name, count(*), NULL, NULL FROM v_memories m JOIN v_entities e ON e.id = m.entity_id
+        WHERE m.session_id NOT IN (SELECT session_id FROM s_all) GROUP BY 1, 2""", mined()
+    ),
+    "import_notes": build(
+        """SELECT source AS project, CASE WHEN kind = 'feedback' THEN 'learning' ELSE 'context' END AS layer, count(*) AS notes,
+        round(sum(CASE WHEN kind = 'feedback' THEN 0.7e0 WHEN kind = 'misc' THEN 0.5e0 ELSE 0.6e0 END), 6) AS importance
+        FROM (SELECT *, ['feedback', 'user', 'project', 'reference', 'misc'][doc_id % 5 + 1] AS kind FROM documents) GROUP BY 1, 2"""
+    ),
+    "chunk_documents": build(
+        "SELECT path, id, 'fixed' AS kind, start_line, end_line, substring(sha256(content), 1, 16) AS hash FROM (SELECT * FROM w_old UNION ALL SELECT * FROM w_pages)",
+        {**FILES, **windows("w_old", "f_docs", "old"), "p_pages": "SELECT url AS path, html AS old FROM pages", **windows("w_pages", "p_pages", "old")},
+    ),
+    "detect_changes": build(
+        """SELECT * FROM f_changes UNION ALL SELECT url, 'first_read', 0, 0, 0, CAST(ceil(length(html) * 0.3e0) AS BIGINT), NULL, 0 FROM pages""", DIFF
+    ),
+    "maintenance_check": build(
+        f"""SELECT unnest(['activation', 'scanned', 'pending', 'unembedded', 'expired']) AS phase,
+        unnest([count(*) FILTER (archived_at IS NULL AND (activation_computed_at IS NULL OR activation_computed_at < {AS_OF - 600})),
+          count(*) FILTER (archived_at IS NULL AND NOT protected), count(*) FILTER (archived_at IS NULL AND embedding_status = 'pending'),
+          count(*) FILTER (archived_at IS NULL), count(*) FILTER ({EXPIRED})]) AS n FROM v_memories"""
+    ),
+    "maintenance_pass": build(
+        f"""SELECT layer, embedding_status, count(*) AS n, count(archived_at) AS archived, round(sum(activation_score), 4) AS activation FROM (
+        SELECT layer, CASE WHEN embedding_status = 'pending' AND archived_at IS NULL THEN 'done' ELSE embedding_status END AS embedding_status, activation_score,
+          CASE WHEN {EXPIRED} THEN {AS_OF} ELSE archived_at END AS archived_at FROM c_after
+        UNION ALL SELECT 'learning', 'done', NULL, NULL FROM c_groups) GROUP BY 1, 2""",
+        {**ACTIVATION, **consolidation("a_mem")},
+    ),
+    "linear_relevance": build(
+        """SELECT query_id, id, round(CASE WHEN f IS NOT NULL AND v IS NOT NULL THEN f * 0.5e0 + v * 0.5e0 ELSE coalesce(f, v, 0.5e0) END, 4) AS relevance FROM (
+        SELECT query_id, id, CASE WHEN max(bm25) OVER w - min(bm25) OVER w < 1e-6 AND bm25 IS NOT NULL THEN 1e0 ELSE (bm25 - min(bm25) OVER w) / (max(bm25) OVER w - min(bm25) OVER w) END AS f,
+          CASE WHEN max(cos) OVER w - min(cos) OVER w < 1e-6 AND cos IS NOT NULL THEN 1e0 ELSE (cos - min(cos) OVER w) / (max(cos) OVER w - min(cos) OVER w) END AS v
+        FROM v_cand WINDOW w AS (PARTITION BY query_id))""", candidates(60, 60)
+    ),
+    "stream_import_sessions": build(
+        """SELECT session_id, memories FROM s_memories UNION ALL SELECT session_id, count(*) FROM v_memories
+        WHERE session_id NOT IN (SELECT session_id FROM s_all) GROUP BY 1""", mined()
+    ),
+    "stream_access_window": build(
+        "SELECT memory_id, count(*) AS accesses, max(accessed_at) AS newest, min(accessed_at) AS oldest FROM a_recent GROUP BY 1", ACTIVATION
+    ),
+    "stream_momentum": f"""
+        SELECT user_id AS entity_id, (d + k) * {DAY} AS window_end, count(*) AS events_7d, count(*) FILTER (k = 1) AS events_24h
+        FROM (SELECT user_id, CAST(floor(floor(epoch(ts)) / {DAY}) AS BIGINT) AS d, unnest(range(1, 8)) AS k FROM events) GROUP BY 1, 2""",
+    "stream_debounce_edits": """
+        SELECT operation, file_path, k.at AS occurred_at, k.id FROM (
+        SELECT operation, file_path, unnest(list_reduce(list_transform(s, lambda x: [x]),
+          lambda a, x: CASE WHEN x[1].at - a[len(a)].at >= 10 THEN list_concat(a, x) ELSE a END)) AS k
+        FROM (SELECT operation, file_path, list({'at': occurred_at, 'id': id} ORDER BY occurred_at) AS s FROM (
+          SELECT l_returnflag AS operation, 'part' || (l_partkey % 50) AS file_path, CAST(epoch(l_shipdate) AS BIGINT) + l_linenumber * 4 AS occurred_at,
+            min(l_orderkey * 8 + l_linenumber) AS id FROM lineitem GROUP BY 1, 2, 3) GROUP BY 1, 2))""",
+    "stream_maintenance": build(
+        f"""SELECT layer, count(*) AS n, count(archived_at) AS archived, round(sum(activation_score), 4) AS activation FROM (
+        SELECT layer, activation_score, CASE WHEN {EXPIRED} THEN {AS_OF} ELSE archived_at END AS archived_at FROM c_after
+        UNION ALL SELECT 'learning', NULL, NULL FROM c_groups) GROUP BY 1""",
+        {**ACTIVATION, **consolidation("a_mem")},
+    ),
+}
+
+HEADING = r"^#{2,3}\s+(.+?)\s*$"
+MARKDOWN = {
+    "m_files": """
+        SELECT path, lines, len(lines) AS n FROM (SELECT 'doc/' || doc_id || '.md' AS path,
+          string_split(replace(text, chr(10), chr(10) || '## '), chr(10)) AS lines FROM documents)""",
+    "m_marks": f"""
+        SELECT path, s, 'heading:' || regexp_extract(lines[s], {quote(HEADING)}, 1) AS id
+        FROM (SELECT path, lines, unnest(range(1, n + 1)) AS s FROM m_files) WHERE regexp_matches(lines[s], {quote(HEADING)})""",
+    "m_first": "SELECT path, min(s) AS first FROM m_marks GROUP BY 1",
+    "m_starts": f"""
+        SELECT path, s, id, 'heading' AS kind FROM m_marks
+        UNION ALL SELECT path, 1, 'heading:_preamble', 'heading' FROM m_files JOIN m_first USING (path)
+          WHERE first > 1 AND {strip('array_to_string(lines[1:first - 1], chr(10))')} <> ''
+        UNION ALL SELECT path, s, 'lines:' || s || '_' || least(s + 99, n), 'fixed'
+          FROM (SELECT path, n, unnest(range(1, n + 1, 100)) AS s FROM m_files WHERE path NOT IN (SELECT path FROM m_first))""",
+    "m_chunks": """
+        SELECT path, id, kind, s, coalesce(lead(s) OVER (PARTITION BY path ORDER BY s) - 1, n) AS e, lines FROM m_starts JOIN m_files USING (path)""",
+}
+ORACLES["chunk_markdown"] = build(
+    """SELECT path, md5(id) AS id_md5, kind, s AS start_line, e AS end_line, substring(sha256(array_to_string(lines[s:e], chr(10))), 1, 16) AS hash FROM m_chunks""",
+    MARKDOWN,
+)
+
+
+def snippet(window: int) -> dict[str, str]:
+    """The text around the earliest query term, for ranked rows joined with their query."""
+    return {
+        "n_hit": f"""
+            SELECT r.* EXCLUDE (tokens), q.text AS question, length(content) AS total,
+              list_sort(list_filter(list_transform(string_split_regex(q.text, '\\s+'), lambda t, i: {{'p': instr(lower(content), lower(t)), 'i': i, 'n': length(t)}}),
+                lambda h: h.p > 0 AND h.n > 0))[1] AS hit
+            FROM v_ranked r JOIN v_queries q USING (query_id)""",
+        "n_at": f"""
+            SELECT *, greatest(0, least(coalesce(CAST(hit.p - 1 + floor(hit.n / 2) - {window // 2} AS BIGINT), 0), total - {window})) AS start FROM n_hit""",
+        "n_shown": f"""
+            SELECT *, CASE WHEN total <= {window} THEN content ELSE CASE WHEN start > 0 THEN '…' ELSE '' END
+              || substring(content, CAST(start + 1 AS BIGINT), {window}) || CASE WHEN start + {window} < total THEN '…' ELSE '' END END AS shown FROM n_at""",
+        "n_rows": "SELECT *, CAST(ceil(length(shown) * 0.3e0) AS BIGINT) AS tokens FROM n_shown",
+    }
+
+
+ORACLES["hybrid_recall_snippets"] = build(
+    "SELECT query_id, rank, id, shown <> content AS content_truncated, length(shown) AS chars, stopped_by FROM b_out",
+    {**ranked(30, 30), **snippet(240), **budget("n_rows", 10)},
+)
+MULTI = {
+    **ranked(24, 24), **snippet(240), **budget("n_rows", 8, 0, 1500),
+    "v_base": VIEWS["v_queries"],
+    "v_queries": """
+        SELECT query_id || '|' || wanted AS query_id, query_id AS base_id, text, vec, wanted AS layer, entity_name
+        FROM v_base, (SELECT unnest(['realize', 'learning']) AS wanted)""",
+    "m_ranked": """
+        SELECT split_part(query_id, '|', 1) AS query_id, id, layer, entity_name, importance, composite, shown, created_at,
+          row_number() OVER (PARTITION BY split_part(query_id, '|', 1) ORDER BY round(composite, 9) DESC, id) AS rank FROM b_out""",
+    "m_top": "SELECT *, entity_name || ' / ' || layer AS title FROM m_ranked WHERE rank <= 8",
+}
+ORACLES["multi_layer_recall"] = build(
+    """SELECT query_id, rank, id, layer, title, round(composite, 6) AS score, strftime(make_timestamp(created_at * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS created_at FROM m_top""",
+    MULTI,
+)
+ORACLES["recall_context"] = build(
+    f"""SELECT query_id, CASE WHEN n > 6000 THEN 6000 - 17 + 13 ELSE n END AS chars FROM (
+    SELECT query_id, CAST(sum(length('- [' || layer || '] score=' || printf('%.3f', composite) || ' project=' || entity_name || ' id=' || id || ' title=' || title
+      || chr(10) || '  ' || {collapse('shown')})) + count(*) - 1 + 11 + 123 + 1 + 13 AS BIGINT) AS n FROM m_top GROUP BY 1)""",
+    MULTI,
+)
+ORACLES["embed_backlog"] = build(
+    """SELECT m.id, CASE WHEN waiting THEN 'done' ELSE embedding_status END AS embedding_status, CASE WHEN waiting THEN 'keyword-64' ELSE embedding_model END AS embedding_model,
+    round(CASE WHEN waiting THEN v.total END, 4) AS vector_sum FROM k_rows m LEFT JOIN k_sums v USING (id)""",
+    {
+        "k_rows": "SELECT *, embedding_status = 'pending' AND archived_at IS NULL AS waiting FROM v_memories",
+        "k_counts": """
+            SELECT id, bucket, count(*)::DOUBLE AS n FROM (SELECT id, ('0x' || substr(md5(t), 1, 4))::INT % 64 AS bucket
+              FROM (SELECT id, unnest(string_split_regex(coalesce(content_tokenized, content), '\\s+')) AS t FROM k_rows WHERE waiting) WHERE t <> '') GROUP BY 1, 2""",
+        "k_norms": "SELECT id, sqrt(sum(n * n)) AS norm FROM k_counts GROUP BY 1",
+        "k_sums": "SELECT id, sum((n / norm)::FLOAT::DOUBLE) AS total FROM k_counts JOIN k_norms USING (id) GROUP BY 1",
+    },
+)
+ORACLES["snapshot_inputs"] = build(
+    f"""SELECT session_id, tier, rn, md5(line) AS line_md5 FROM (
+    SELECT session_id, 'files' AS tier, row_number() OVER (PARTITION BY session_id ORDER BY n DESC, last_at DESC, file_path) AS rn, '- ' || file_path || ' (' || n || ' edits)' AS line
+      FROM (SELECT session_id, file_path, count(*) AS n, max(occurred_at) AS last_at FROM v_edits GROUP BY 1, 2)
+    QUALIFY rn <= 10
+    UNION ALL SELECT session_id, layer, row_number() OVER (PARTITION BY session_id, layer ORDER BY importance DESC, id DESC) AS rn,
+      '- ' || CASE WHEN length({collapse('content')}) > 160 THEN substring({collapse('content')}, 1, 160) || '…' ELSE {collapse('content')} END
+      FROM v_memories WHERE layer IN ('realize', 'goal', 'learning') AND archived_at IS NULL QUALIFY rn <= 5)"""
+)
+
+STATS = """SELECT (SELECT count(*) FROM v_entities) AS entities, count(*) AS memories, count(*) FILTER (importance >= 0.9e0) AS pinned,
+    count(*) FILTER (protected) AS protected, min(created_at) AS oldest, max(created_at) AS newest, (SELECT count(*) FROM v_edits) AS file_edits,
+    (SELECT count(DISTINCT file_path) FROM v_edits) AS unique_files, (SELECT count(DISTINCT session_id) FROM v_edits) AS sessions_seen,
+    0 AS consolidations, (SELECT count(*) FROM events) AS events FROM v_memories"""
+ORACLES["store_stats"] = build(STATS)
+ORACLES["load_store"] = build(STATS)

@@ -506,6 +506,12 @@ def q_clarifications(spark, d):
     return sessions.clarifications(fx.v_turns(spark, d)).select("session_id", "seq", "n", F.md5("text").alias("text_md5"))
 
 
+@query
+def q_snapshot_inputs(spark, d):
+    rows = snapshots.snapshot_inputs(fx.v_store(spark, d))
+    return rows.select("session_id", "tier", "rn", F.md5("line").alias("line_md5"))
+
+
 @query
 def q_snapshot_tiers(spark, d):
     rows = snapshots.snapshot_tiers(fx.v_store(spark, d))
