@@ -17,6 +17,7 @@ from mnemoria.functions import text
 from mnemoria.functions.vectors import unit_rows
 from mnemoria.operators.filters import visible_memories
 from mnemoria.operators.joins import memory_entity_view
+from mnemoria.runtime import cut_lineage
 from mnemoria.scale import blocked_product
 
 # BM25 saturation, length weight and the floor of a term's weight.
@@ -64,11 +65,15 @@ class BestPerQuery:
 
 def _layer_allows(query_layers: pd.Series, row_layers: pd.Series) -> np.ndarray | None:
     """Boolean (rows x queries) or None when no query names a layer."""
-    wanted = query_layers.to_numpy(dtype=object)
-    if all(x is None or x != x for x in wanted):
+    wanted = [(i, w) for i, w in enumerate(query_layers) if isinstance(w, str)]
+    if not wanted:
         return None
     rows = row_layers.to_numpy(dtype=object)
-    return np.array([[w is None or w != w or w == r for w in wanted] for r in rows], dtype=bool)
+    allowed = np.ones((len(rows), len(query_layers)), dtype=bool)
+    of_layer = {w: rows == w for w in {w for _, w in wanted}}
+    for i, w in wanted:
+        allowed[:, i] = of_layer[w]
+    return allowed
 
 
 def _ranked(hits: DataFrame, limit: int, rank: str, *order) -> DataFrame:
@@ -95,13 +100,18 @@ def bm25_search(
     visibility and layer apply to the hits only. Rows without ``content_tokenized`` are skipped.
     """
     corpus = memories.filter(F.col("content_tokenized").isNotNull())
-    words = F.filter(F.split("content_tokenized", " "), lambda t: t != "")
-    size = corpus.select(F.size(words).alias("n")).agg(F.count("*").alias("rows"), F.avg("n").alias("mean")).first()
-    rows, mean = size["rows"], float(size["mean"] or 1.0) or 1.0
-    # Counted per term before the shuffle, so a frequent term is one row per task.
-    frequency = (
-        corpus.select(F.explode(F.array_distinct(words)).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    )
+    words = F.split("content_tokenized", " ")
+    size = F.when(F.col("content_tokenized") == "", 0).otherwise(F.size(words))
+    # One pass counts the rows per term and, under names no term can have (a blank and the
+    # length), the rows per length. Counted before the shuffle: a term is one row per task.
+    marked = F.array_append(F.array_distinct(words), F.concat(F.lit(" "), size.cast("string")))
+    counted = cut_lineage(corpus.select(F.explode(marked).alias("term")).groupBy("term").agg(F.count("*").alias("df")))
+    is_length = F.col("term").startswith(" ")
+    totals = counted.filter(is_length).agg(
+        F.sum("df").alias("rows"), F.sum(F.col("df") * F.trim("term").cast("bigint")).alias("tokens")
+    ).first()
+    rows, mean = (totals["rows"], max(totals["tokens"], 1) / totals["rows"]) if totals["rows"] else (0, 1.0)
+    frequency = counted.filter(~is_length)
     weight = F.log((F.lit(rows) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = query_terms(queries, min_chars).join(frequency, "term").withColumn(
         "weight", F.col("times") * F.when(weight > 0, weight).otherwise(IDF_FLOOR)
@@ -131,7 +141,7 @@ def bm25_search(
         for batch in batches:
             allowed = _layer_allows(q["layer"], batch["layer"])
             for i, (row_id, words_text) in enumerate(zip(batch["id"], batch["content_tokenized"])):
-                words_list = words_text.split()
+                words_list = words_text.split(" ") if words_text else []
                 counts = Counter(map(lookup, words_list))
                 counts.pop(None, None)
                 if not counts:

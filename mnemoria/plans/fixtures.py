@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from mnemoria.functions import scoring, text
 from mnemoria.model import ENTITY_KINDS, LAYERS, Store, make_store
 from mnemoria.operators.ingest import encode_texts, keyword_encoder
+from mnemoria.scale import spread
 
 AS_OF = 1_706_745_600
 MODEL, DIM = "m64", 64
@@ -16,6 +17,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# The tables of long texts, with their unique key.
+TEXT_KEYS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
+
+
+def texts(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """The given columns of a text table, on all cores."""
+    return spread(table(spark, sf_dir, name).select(*columns), TEXT_KEYS[name])
+
+
 def _pick(values: list[str], index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
 
@@ -41,7 +51,7 @@ def v_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def v_memories(spark: SparkSession, sf_dir: str, vectors: bool = False) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    docs = texts(spark, sf_dir, "documents", "doc_id", "text", "source")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
     rows = docs.join(labels, "doc_id", "left").withColumnRenamed("doc_id", "id")
     if vectors:
@@ -141,7 +151,7 @@ def v_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def v_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls = "array<struct<name:string,input:string,id:string>>"
-    return table(spark, sf_dir, "conversations").select(
+    return texts(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text").select(
         F.concat(F.lit("c"), F.col("conv_id")).alias("session_id"), F.col("turn").alias("seq"),
         F.concat_ws("-", "conv_id", "turn").alias("uuid"), "role",
         (F.lit(AS_OF) + F.col("turn") * 60).alias("ts"), "text",
@@ -151,7 +161,7 @@ def v_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def v_transcript_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as transcript lines: assistant turns edit a file, user turns are plain text."""
-    turns = table(spark, sf_dir, "conversations")
+    turns = texts(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
     path = F.format_string("/home/dev/proj%d/src/f%d.py", F.col("conv_id") % 5, F.col("turn") % 3)
     call = F.struct(
         F.lit("tool_use").alias("type"), F.lit("Edit").alias("name"),
@@ -189,7 +199,7 @@ def v_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def v_files(spark: SparkSession, sf_dir: str, version: int = 1, suffix: str = ".txt") -> DataFrame:
     """Documents as files; in version 2 some are edited, some only touched."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = texts(spark, sf_dir, "documents", "doc_id", "text")
     i = F.col("doc_id")
     content = F.col("text")
     mtime = F.lit(AS_OF).cast("bigint")
@@ -209,7 +219,7 @@ def v_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def v_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select(
+    return texts(spark, sf_dir, "pages", "page_id", "url", "html").select(
         F.col("url").alias("path"), F.lit(AS_OF).cast("bigint").alias("mtime"),
         F.octet_length("html").cast("bigint").alias("size_bytes"), F.col("html").alias("content"),
     )
@@ -221,7 +231,7 @@ def v_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = _pick(["feedback", "user", "project", "reference", "misc"], i % 5)
     head = F.concat(F.lit("---\nname: note-"), i, F.lit("\ndescription: about "), "source")
     typed = F.when(i % 2 == 0, F.concat(F.lit("\ntype: "), kind)).otherwise(F.concat(F.lit("\nmetadata:\n  type: "), kind))
-    return table(spark, sf_dir, "documents").select(
+    return texts(spark, sf_dir, "documents", "doc_id", "source", "text").select(
         F.concat(F.lit("/notes/"), "source", F.lit("/memory/n"), i, F.lit(".md")).alias("path"),
         F.concat(head, typed, F.lit("\n---\n"), "text").alias("raw"),
     )

@@ -401,17 +401,17 @@ DOC_VECTORS = {
     "d_counts": f"""
         SELECT id, bucket, count(*)::DOUBLE AS n FROM (SELECT id, ('0x' || substr(md5(t), 1, 4))::INT % 64 AS bucket
           FROM (SELECT id, unnest(string_split({tok('content')}, ' ')) AS t FROM v_memories) WHERE t <> '') GROUP BY 1, 2""",
-    "d_norm": "SELECT id, sqrt(sum(n * n)) AS norm FROM d_counts GROUP BY 1",
+    "d_vec": """
+        SELECT id, list(coalesce(n, 0) ORDER BY bucket) AS vec
+        FROM (SELECT id, unnest(range(64)) AS bucket FROM v_memories) LEFT JOIN d_counts USING (id, bucket) GROUP BY 1""",
     "d_rows": """
         SELECT id, entity_id, layer, created_at, row_number() OVER (PARTITION BY entity_id, layer ORDER BY created_at, id) AS pos
         FROM v_memories WHERE archived_at IS NULL AND superseded_by_id IS NULL""",
     "d_pairs": f"""
-        SELECT m.id AS new_id, p.id AS old_id, m.pos, sum(a.n * b.n) / (any_value(na.norm) * any_value(nb.norm)) AS cos
-        FROM d_rows m JOIN d_rows p ON m.entity_id = p.entity_id AND m.layer = p.layer AND p.pos < m.pos AND m.pos - p.pos <= 200
-          AND m.created_at - p.created_at <= {90 * DAY}
-        JOIN d_counts a ON a.id = m.id JOIN d_counts b ON b.id = p.id AND b.bucket = a.bucket
-        JOIN d_norm na ON na.id = m.id JOIN d_norm nb ON nb.id = p.id
-        GROUP BY m.id, p.id, m.pos HAVING sum(a.n * b.n) / (any_value(na.norm) * any_value(nb.norm)) >= 0.97""",
+        SELECT * FROM (SELECT m.id AS new_id, p.id AS old_id, m.pos, list_cosine_similarity(a.vec, b.vec) AS cos
+          FROM d_rows m JOIN d_rows p ON m.entity_id = p.entity_id AND m.layer = p.layer AND p.pos < m.pos AND m.pos - p.pos <= 200
+            AND m.created_at - p.created_at <= {90 * DAY}
+          JOIN d_vec a ON a.id = m.id JOIN d_vec b ON b.id = p.id) WHERE cos >= 0.97""",
     "d_chosen": "SELECT old_id AS id, arg_min(new_id, pos) AS new_id, arg_min(cos, pos) AS cos FROM d_pairs GROUP BY 1",
 }
 
@@ -554,7 +554,7 @@ ORACLES: dict[str, str] = {
         FROM r_in i JOIN r_match2 m ON m.name = i.name AND m.key IS NOT DISTINCT FROM i.key
         LEFT JOIN v_entities e ON e.id = m.entity_id LEFT JOIN r_new n ON m.entity_id IS NULL AND n.norm = m.norm""", RESOLVE
     ),
-    "bm25_search": build("SELECT query_id, id, round(bm25, 6) AS bm25, fts_rank FROM v_bm25 WHERE fts_rank <= 600", HYBRID),
+    "bm25_search": build("SELECT query_id, id, floor(bm25 * 1e6 + 0.5e0) / 1e6 AS bm25, fts_rank FROM v_bm25 WHERE fts_rank <= 600", HYBRID),
     "vector_search": build("SELECT query_id, id, cos, vec_rank FROM v_vec WHERE vec_rank <= 200", HYBRID),
     "minmax_vector_scores": build(
         """SELECT query_id, id, round(CASE WHEN max(cos) OVER w - min(cos) OVER w < 1e-6 THEN 1e0

@@ -19,10 +19,10 @@ from mnemoria.plans.fixtures import AS_OF, DIM, MODEL
 from mnemoria.plans.imports import import_parsed, import_parsed_notes
 from mnemoria.plans import streams
 from mnemoria.plans.maintenance import maintenance_check, maintenance_pass
-from mnemoria.runtime import scratch_path
+from mnemoria.runtime import cut_lineage, scratch_path
 from mnemoria.sources.notes import parse_notes
 from mnemoria.sources.store import load_store, replace_sessions, save_store
-from mnemoria.sources.transcripts import parse_lines, scan_transcripts
+from mnemoria.sources.transcripts import parse_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -123,7 +123,7 @@ def q_ingest_memories(spark, d):
 
 def _incoming(spark, d):
     i = F.col("doc_id")
-    return fx.table(spark, d, "documents").select(
+    return fx.texts(spark, d, "documents", "doc_id", "text", "lang").select(
         i.alias("seq"), F.lit("concept").alias("entity_kind"),
         F.when(i % 2 == 0, F.concat(F.lit("Topic_"), "lang")).otherwise(F.concat(F.lit("topic "), "lang")).alias("entity_name"),
         F.lit(None).cast("string").alias("entity_key"),
@@ -264,7 +264,8 @@ def q_resolve_entities(spark, d):
 @query
 def q_bm25_search(spark, d):
     hits = search.bm25_search(fx.v_queries(spark, d), fx.v_memories(spark, d))
-    return hits.select("query_id", "id", r6("bm25"), "fts_rank")
+    # Scores come rounded to nine places; cutting to six by plain arithmetic is the same in SQL.
+    return hits.select("query_id", "id", (F.floor(F.col("bm25") * 1e6 + 0.5) / 1e6).alias("bm25"), "fts_rank")
 
 
 @query
@@ -410,16 +411,22 @@ def q_consolidation_preview(spark, d):
     return lifecycle.consolidation_preview(fx.v_memories(spark, d), fx.v_entities(spark, d), AS_OF)
 
 
+def _mined(spark, d):
+    """Sessions, turns and file operations of the transcript view, each written once."""
+    parsed, turns = parse_lines(fx.v_transcript_lines(spark, d))
+    turns = cut_lineage(turns)
+    return cut_lineage(parsed), turns, cut_lineage(sessions.extract_file_ops(turns))
+
+
 @query
 def q_session_project_vote(spark, d):
-    parsed, turns = parse_lines(fx.v_transcript_lines(spark, d))
-    return sessions.session_project_vote(parsed, sessions.extract_file_ops(turns))
+    parsed, _, ops = _mined(spark, d)
+    return sessions.session_project_vote(parsed, ops)
 
 
 @query
 def q_session_overview(spark, d):
-    parsed, turns = parse_lines(fx.v_transcript_lines(spark, d))
-    rows = sessions.session_overview(parsed, turns, sessions.extract_file_ops(turns))
+    rows = sessions.session_overview(*_mined(spark, d))
     return rows.select(
         "session_id", "project_cwd", "git_branch", "started_at", "ended_at", "duration_min", "turns_user", "turns_assistant",
         "errors", "turns_meaningful", "file_ops_raw", "files_touched", "high_error",
@@ -492,8 +499,8 @@ def q_token_budget_select(spark, d):
 
 @query
 def q_debounce_edits(spark, d):
-    kept = sessions.debounce_edits(fx.v_edits(spark, d), ["operation", "file_path"], "occurred_at", "id")
-    return kept.select("operation", "file_path", "occurred_at", "id")
+    edits = fx.v_edits(spark, d).select("operation", "file_path", "occurred_at", "id")
+    return sessions.debounce_edits(edits, ["operation", "file_path"], "occurred_at", "id")
 
 
 @query
@@ -672,7 +679,9 @@ def q_consolidate_cold(spark, d):
 
 @query
 def q_supersede_sweep(spark, d):
-    store = fx.v_store(spark, d, memories=fx.v_doc_vectors(spark, d).select(fx.v_memories(spark, d).columns))
+    # Vectors are stored once, as they would be; every step of the sweep reads them.
+    stored = cut_lineage(fx.v_doc_vectors(spark, d).select(fx.v_memories(spark, d).columns))
+    store = fx.v_store(spark, d, memories=stored)
     after = supersede.supersede_sweep(store, AS_OF)
     return after.memories.select("id", "superseded_by_id", "archived_at", F.round("supersession_confidence", 4).alias("confidence"))
 
@@ -739,7 +748,7 @@ def q_redact_corpus(spark, d):
 @query
 def q_redact_by_source(spark, d):
     counts = redaction_counts(F.col("text"))
-    rows = fx.table(spark, d, "documents").select("source", *[c.alias(k) for k, c in counts.items()])
+    rows = fx.texts(spark, d, "documents", "doc_id", "source", "text").select("source", *[c.alias(k) for k, c in counts.items()])
     return rows.groupBy("source").agg(*[F.sum(k).alias(k) for k in counts])
 
 
@@ -753,8 +762,7 @@ def q_extract_file_ops(spark, d):
 
 @query
 def q_extract_memories(spark, d):
-    parsed, turns = parse_lines(fx.v_transcript_lines(spark, d))
-    found = sessions.extract_memories(parsed, turns, sessions.extract_file_ops(turns))
+    found = sessions.extract_memories(*_mined(spark, d))
     return found.groupBy("session_id").agg(
         *[F.sum(F.when(F.col("kind") == k, 1).otherwise(0)).alias(k) for k in
           ("first_intent", "clarification", "file_edit", "realize", "decision", "session_summary")],
