@@ -322,7 +322,8 @@ def encode_texts(rows: DataFrame, encoder_factory: Callable[[], Encoder], batch:
                     if vec is not None:
                         ids.append(row_id)
                         vecs.append(vec)
-            yield pd.DataFrame({"id": ids, "vec": vecs})
+            if ids:
+                yield pd.DataFrame({"id": ids, "vec": vecs})
 
     return rows.select("id", "body").mapInPandas(run, "id bigint, vec array<float>")
 
