@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from mnemoria.functions import scoring, text
-from mnemoria.model import ENTITY_KINDS, LAYERS, Store, make_store
+from mnemoria.model import ENTITY_KINDS, LAYERS, SCHEMAS, Store, make_store
 from mnemoria.operators.ingest import encode_texts, keyword_encoder
+from mnemoria.runtime import scratch_path
 from mnemoria.scale import spread
 
 AS_OF = 1_706_745_600
@@ -18,12 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 # The tables of long texts, with their unique key.
-TEXT_KEYS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
+TEXT_KEYS = {"documents": ["doc_id"], "pages": ["page_id"], "conversations": ["conv_id", "turn"]}
 
 
 def texts(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """The given columns of a text table, on all cores."""
-    return spread(table(spark, sf_dir, name).select(*columns), TEXT_KEYS[name])
+    return spread(table(spark, sf_dir, name).select(*columns), *TEXT_KEYS[name])
 
 
 def _pick(values: list[str], index: Column) -> Column:
@@ -92,6 +93,23 @@ def v_memories(spark: SparkSession, sf_dir: str, vectors: bool = False) -> DataF
     )
 
 
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def stored_memories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The memories with tokens and vectors as a written table, as a store keeps them.
+
+    Tokens are made when a memory is written, not when it is searched; the table is written once
+    per application and read, column by column, by every search.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        path = scratch_path(spark, "memories")
+        v_memories(spark, sf_dir, vectors=True).write.parquet(path)
+        _STORED[key] = path
+    return spark.read.schema(SCHEMAS["memories"]).parquet(_STORED[key])
+
+
 def v_doc_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Memories with the offline encoder's vector of their whole text; exact and near copies exist."""
     memories = v_memories(spark, sf_dir).drop("embedding")
@@ -241,7 +259,7 @@ def v_store(spark: SparkSession, sf_dir: str, memories: DataFrame | None = None,
     return make_store(
         spark,
         entities=v_entities(spark, sf_dir),
-        memories=v_memories(spark, sf_dir, vectors) if memories is None else memories,
+        memories=memories if memories is not None else stored_memories(spark, sf_dir) if vectors else v_memories(spark, sf_dir),
         access_log=v_access_log(spark, sf_dir),
         events=v_events(spark, sf_dir),
         file_edits=v_edits(spark, sf_dir),

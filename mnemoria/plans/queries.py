@@ -189,7 +189,7 @@ def q_visible_memories(spark, d):
 
 @query
 def q_substring_search(spark, d):
-    hits = search.substring_search(fx.v_queries(spark, d), fx.v_memories(spark, d), fx.v_entities(spark, d))
+    hits = search.substring_search(fx.v_queries(spark, d), fx.stored_memories(spark, d), fx.v_entities(spark, d))
     return hits.select("query_id", "id", "like_rank", "in_entity")
 
 
@@ -263,20 +263,20 @@ def q_resolve_entities(spark, d):
 
 @query
 def q_bm25_search(spark, d):
-    hits = search.bm25_search(fx.v_queries(spark, d), fx.v_memories(spark, d))
+    hits = search.bm25_search(fx.v_queries(spark, d), fx.stored_memories(spark, d))
     # Scores come rounded to nine places; cutting to six by plain arithmetic is the same in SQL.
     return hits.select("query_id", "id", (F.floor(F.col("bm25") * 1e6 + 0.5) / 1e6).alias("bm25"), "fts_rank")
 
 
 @query
 def q_vector_search(spark, d):
-    hits = search.vector_search(fx.v_queries(spark, d), fx.v_memories(spark, d, vectors=True), MODEL, DIM, MIN_COS)
+    hits = search.vector_search(fx.v_queries(spark, d), fx.stored_memories(spark, d), MODEL, DIM, MIN_COS)
     return hits.select("query_id", "id", r6("cos"), "vec_rank")
 
 
 @query
 def q_minmax_vector_scores(spark, d):
-    hits = search.vector_search(fx.v_queries(spark, d), fx.v_memories(spark, d, vectors=True), MODEL, DIM, MIN_COS)
+    hits = search.vector_search(fx.v_queries(spark, d), fx.stored_memories(spark, d), MODEL, DIM, MIN_COS)
     return search.minmax_vector_scores(hits).select("query_id", "id", F.round("vec_norm", 4).alias("vec_norm"))
 
 
@@ -292,7 +292,7 @@ def q_vector_self_search(spark, d):
 @query
 def q_hybrid_candidates(spark, d):
     found = search.hybrid_candidates(
-        fx.v_queries(spark, d), fx.v_memories(spark, d, vectors=True), fx.v_entities(spark, d), MODEL, DIM, MIN_COS, 60
+        fx.v_queries(spark, d), fx.stored_memories(spark, d), fx.v_entities(spark, d), MODEL, DIM, MIN_COS, 60
     )
     return found.select("query_id", "id", "via", "fts_rank", "like_rank", "vec_rank")
 
@@ -446,7 +446,7 @@ def q_forget_sweep_summary(spark, d):
 @query
 def q_recall_quality(spark, d):
     asked = fx.v_queries(spark, d)
-    memories = fx.v_memories(spark, d)
+    memories = fx.stored_memories(spark, d)
     # A case expects every memory that holds its passage.
     free = asked.withColumn("layer", F.lit(None).cast("string")).withColumn("entity_name", F.lit(None).cast("string"))
     holding = search.substring_search(free, memories, fx.v_entities(spark, d), limit=None, include_archived=True, include_superseded=True)
@@ -484,15 +484,15 @@ def q_prune_access_log_small(spark, d):
 @query
 def q_rrf_fuse(spark, d):
     found = search.hybrid_candidates(
-        fx.v_queries(spark, d), fx.v_memories(spark, d, vectors=True), fx.v_entities(spark, d), MODEL, DIM, MIN_COS, 60
+        fx.v_queries(spark, d), fx.stored_memories(spark, d), fx.v_entities(spark, d), MODEL, DIM, MIN_COS, 60
     )
     return recall.rrf_fuse(found).select("query_id", "id", F.round("rrf_raw", 8).alias("rrf_raw"), r6("relevance"))
 
 
 @query
 def q_token_budget_select(spark, d):
-    hits = search.bm25_search(fx.v_queries(spark, d), fx.v_memories(spark, d), limit=100)
-    sized = hits.join(fx.v_memories(spark, d).select("id", text.token_estimate(F.col("content")).alias("tokens")), "id")
+    hits = search.bm25_search(fx.v_queries(spark, d), fx.stored_memories(spark, d), limit=100)
+    sized = hits.join(fx.stored_memories(spark, d).select("id", text.token_estimate(F.col("content")).alias("tokens")), "id")
     chosen = recall.token_budget_select(sized.withColumnRenamed("fts_rank", "rank"), "tokens", limit=5, offset=1)
     return chosen.select("query_id", "id", "rank", "tokens", "used_tokens", "stopped_by")
 
@@ -566,8 +566,8 @@ def q_pending_backlog(spark, d):
 @query
 def q_rerank_top_n(spark, d):
     asked = fx.v_queries(spark, d)
-    hits = search.bm25_search(asked, fx.v_memories(spark, d), limit=50).withColumnRenamed("fts_rank", "rank")
-    rows = hits.join(fx.v_memories(spark, d).select("id", "content"), "id").join(asked.select("query_id", "text"), "query_id")
+    hits = search.bm25_search(asked, fx.stored_memories(spark, d), limit=50).withColumnRenamed("fts_rank", "rank")
+    rows = hits.join(fx.stored_memories(spark, d).select("id", "content"), "id").join(asked.select("query_id", "text"), "query_id")
     ranked = recall.rerank_top_n(rows, shortest_first)
     return ranked.select("query_id", "id", "rank", "new_rank")
 
@@ -619,7 +619,7 @@ def q_hybrid_recall_snippets(spark, d):
 
 @query
 def q_mark_accessed(spark, d):
-    store = fx.v_store(spark, d)
+    store = fx.v_store(spark, d, vectors=True)
     hits = search.bm25_search(fx.v_queries(spark, d), store.memories, limit=10)
     after = recall.mark_accessed(store, hits, AS_OF)
     counted = after.access_log.groupBy(F.col("memory_id").alias("id")).agg(F.count("*").alias("log_rows"))
@@ -833,7 +833,7 @@ def q_maintenance_check(spark, d):
 @query
 def q_linear_relevance(spark, d):
     found = search.hybrid_candidates(
-        fx.v_queries(spark, d), fx.v_memories(spark, d, vectors=True), fx.v_entities(spark, d), MODEL, DIM, MIN_COS, 60
+        fx.v_queries(spark, d), fx.stored_memories(spark, d), fx.v_entities(spark, d), MODEL, DIM, MIN_COS, 60
     )
     from pyspark.sql import Window as W
 

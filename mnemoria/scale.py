@@ -33,14 +33,15 @@ def salted_join(
     return salted.join(copies, [*on, "__salt"], how).drop("__salt")
 
 
-def spread(scan: DataFrame, key: str) -> DataFrame:
+def spread(scan: DataFrame, *key: str) -> DataFrame:
     """A plain file scan on at least as many tasks as there are cores.
 
     A few small files make a few tasks, which leaves cores idle under expensive text work. Only
-    then are rows moved; a scan with enough splits, as any large table has, is left in place.
+    then are rows moved, by a unique key; a scan with enough splits, as any large table has, is
+    left in place.
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, key)
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, *key)
 
 
 def global_positions(df: DataFrame, order: list[Column | str], name: str = "pos", start: int = 0) -> DataFrame:

@@ -55,6 +55,8 @@ def test_every_key_is_known():
 
 
 def plan(df):
+    for name in ("spark.sql.debug.maxToStringFields", "spark.sql.maxMetadataStringLength"):
+        df.sparkSession.conf.set(name, "10000")
     return df._jdf.queryExecution().executedPlan().toString()
 
 

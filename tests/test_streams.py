@@ -91,7 +91,7 @@ def test_stream_import_replaces_sessions(spark, tmp_path):
 def test_stream_maintenance(spark, memories, entities, tmp_path):
     root, arriving = str(tmp_path / "store"), str(tmp_path / "in")
     save_store(make_store(spark, entities=entities({})), jobs.version_path(root, 0))
-    rows = memories({"expires_at": 1}, {})
+    rows = memories({"expires_at": 1}, {"layer": "goal"})
     rows.write.parquet(arriving)
     stream = spark.readStream.schema(rows.schema).parquet(arriving)
     query = jobs.stream_maintenance(stream, root, str(tmp_path / "state"), lambda: NOW, ONCE, phases=("activation", "decay"))
