@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from mnemoria.functions import scoring, text
-from mnemoria.scale import salted_join
+from mnemoria.scale import salted_join, small_side
 
 
 def visible(include_archived: bool = False, include_superseded: bool = False) -> Column:
@@ -32,7 +32,7 @@ def fetch_by_ids(
     wanted = visible_memories(memories, **flags)
     if layer:
         wanted = wanted.filter(F.col("layer") == layer)
-    found = wanted.join(ids.select("id").distinct(), "id", "left_semi")
+    found = wanted.join(small_side(ids.select("id").distinct()), "id", "left_semi")
     return memory_entity_view(found, entities).withColumn("relevance", F.lit(scoring.NEUTRAL_RELEVANCE))
 
 

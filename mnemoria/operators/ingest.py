@@ -15,7 +15,7 @@ from mnemoria.functions.redact import redacted
 from mnemoria.functions.vectors import is_finite
 from mnemoria.model import Store, column_names
 from mnemoria.runtime import cut_lineage
-from mnemoria.scale import global_positions, salted_join
+from mnemoria.scale import global_positions, salted_join, small_side
 
 Encoder = Callable[[list[str]], "list[list[float] | None] | None"]
 
@@ -219,7 +219,7 @@ def update_memories(store: Store, patches: DataFrame, as_of: int) -> tuple[Store
     report = cut_lineage(report)
     good = report.filter(F.col("outcome") == "updated").withColumnRenamed("memory_id", "id")
     merged = store.memories.join(
-        good.select("id", "new_content", "new_layer", "new_importance", "content_changed"), "id", "left"
+        small_side(good.select("id", "new_content", "new_layer", "new_importance", "content_changed")), "id", "left"
     )
     reset = F.coalesce("content_changed", F.lit(False))
 
@@ -274,7 +274,7 @@ def ingest_vectors(vectors: DataFrame, memories: DataFrame, dim: int) -> tuple[D
 
 
 def apply_vectors(memories: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
-    joined = memories.join(vectors.select("id", "vec", "model"), "id", "left")
+    joined = memories.join(small_side(vectors.select("id", "vec", "model")), "id", "left")
     given = F.col("vec").isNotNull()
     return joined.withColumns(
         {

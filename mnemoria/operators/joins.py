@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from mnemoria.scale import carry_forward, salted_join
+from mnemoria.scale import carry_forward, salted_join, small_side
 
 
 def memory_entity_view(memories: DataFrame, entities: DataFrame) -> DataFrame:
@@ -48,7 +48,7 @@ def file_linked_memories(
     linked = edits.filter(path_matches(path_substring)).select(F.col("memory_id").alias("id")).distinct()
     top = (
         memories.select("id", "entity_id", "layer", "content", "importance")
-        .join(linked, "id", "left_semi")
+        .join(small_side(linked), "id", "left_semi")
         .orderBy(F.desc("importance"), "id")
         .limit(limit)
     )

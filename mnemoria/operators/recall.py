@@ -14,7 +14,7 @@ from mnemoria.operators.joins import memory_entity_view
 from mnemoria.operators.filters import project_scope, visible_memories
 from mnemoria.operators.search import MIN_COSINE, hybrid_candidates
 from mnemoria.runtime import cut_lineage
-from mnemoria.scale import salted_join
+from mnemoria.scale import salted_join, small_side
 
 # Budget defaults, hard limits and fusion constant.
 MAX_TOKENS, SAFETY_CAP, HARD_LIMIT, RRF_K = 2000, 6000, 200, 60
@@ -181,7 +181,7 @@ def token_budget_select(
 
 def hydrate(candidates: DataFrame, memories: DataFrame, entities: DataFrame) -> DataFrame:
     """Candidates with the columns of their memory and entity; vectors are never read here."""
-    ids = candidates.select("id").distinct()
+    ids = small_side(candidates.select("id").distinct())
     wanted = memories.select(
         "id", "entity_id", "layer", "content", "importance", "protected", "created_at", "last_accessed_at",
         "access_count", "archived_at", "superseded_by_id", "activation_score", "ttl_penalty",
@@ -247,7 +247,8 @@ def mark_accessed(store: Store, hits: DataFrame, as_of: int) -> Store:
     """Count every returned row as an access: one log row each, counters once per memory."""
     from mnemoria.operators.ingest import append_rows
 
-    per_memory = hits.groupBy("id").agg(F.count("*").cast("int").alias("__n"))
+    hits = cut_lineage(hits.select("query_id", "id"))
+    per_memory = small_side(hits.groupBy("id").agg(F.count("*").cast("int").alias("__n")))
     memories = (
         store.memories.join(per_memory, "id", "left")
         .withColumn("last_accessed_at", F.when(F.col("__n").isNotNull(), F.lit(as_of)).otherwise(F.col("last_accessed_at")))
@@ -364,7 +365,7 @@ def recall_quality(cases: DataFrame, expected: DataFrame, hits: DataFrame) -> Da
 
 def recall_by_ids(ids: DataFrame, store: Store, as_of: int, ignore_decay: bool = False, **flags: bool) -> DataFrame:
     """Direct fetch of whole rows, scored with a neutral relevance and no provenance."""
-    rows = visible_memories(store.memories, **flags).join(ids.select("id").distinct(), "id", "left_semi")
+    rows = visible_memories(store.memories, **flags).join(small_side(ids.select("id").distinct()), "id", "left_semi")
     joined = memory_entity_view(rows, store.entities).withColumn("relevance", F.lit(scoring.NEUTRAL_RELEVANCE))
     for name, kind in [("via", "string"), ("in_entity", "boolean"), ("cos", "double"), ("fts_rank", "int"), ("vec_rank", "int")]:
         joined = joined.withColumn(name, F.lit(None).cast(kind))

@@ -15,6 +15,30 @@ CHUNK_ROWS = 4096
 RIGHT_ROWS_BOUND = 4096
 RIGHT_BYTES_BOUND = 64 << 20
 LEFT_SLICE_ROWS = 50_000
+SMALL_ROWS = 500_000
+SMALL_BYTES = 64 << 20
+
+
+def measured(df: DataFrame, rows: int = SMALL_ROWS, size: int = SMALL_BYTES) -> tuple[DataFrame, bool]:
+    """``df`` written once, and whether it was found to be small enough to broadcast."""
+    df = cut_lineage(df)
+    n, held = _extent(df)
+    return df, n <= rows and held <= size
+
+
+def _extent(df: DataFrame) -> tuple[int, int]:
+    size = functools.reduce(lambda a, b: a + b, [_bytes(c) for c in df.dtypes])
+    found = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
+    return found["n"], int(found["bytes"])
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """``df`` for the small side of a join: broadcast if measured to be small, shuffled otherwise.
+
+    Marks, patches and hits touch few rows of a store; a broadcast then spares its shuffle.
+    """
+    df, fits = measured(df)
+    return F.broadcast(df) if fits else df
 
 
 def salted_join(
@@ -22,11 +46,15 @@ def salted_join(
 ) -> DataFrame:
     """Join ``big`` (possibly dominated by one key) to ``lookup`` on ``on``.
 
-    ``spread`` is a column of ``big`` that varies within a key. Its hash splits every key of
-    ``big`` into ``salts`` parts, and ``lookup`` is repeated once per part, so the shuffled join
-    stays balanced. Spark still turns it into a broadcast join when it measures the lookup side
-    below its own threshold. ``how`` may be inner, left, left_semi or left_anti.
+    A lookup side measured to be small is broadcast, and ``big`` stays where it is. Otherwise, or
+    when ``salts`` is given, both are shuffled: ``spread`` is a column of ``big`` that varies
+    within a key, its hash splits every key of ``big`` into ``salts`` parts, and ``lookup`` is
+    repeated once per part. ``how`` may be inner, left, left_semi or left_anti.
     """
+    if salts is None:
+        lookup, fits = measured(lookup)
+        if fits:
+            return big.join(F.broadcast(lookup), on, how)
     n = salts or int(big.sparkSession.conf.get("mnemoria.join.salts", str(JOIN_SALTS)))
     salted = big.withColumn("__salt", F.pmod(F.xxhash64(F.col(spread)), F.lit(n)).cast("int"))
     copies = lookup.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
@@ -114,14 +142,13 @@ def blocked_product(
     """
     spark = left.sparkSession
     right = cut_lineage(right)
-    size = functools.reduce(lambda a, b: a + b, [_bytes(c) for c in right.dtypes])
-    totals = right.agg(F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
-    if totals["n"] <= right_rows and totals["bytes"] <= right_bytes:
+    rows, held = _extent(right)
+    if rows <= right_rows and held <= right_bytes:
         shared = spark.sparkContext.broadcast(right.toPandas())
         return left.mapInPandas(lambda batches: kernel(batches, shared.value), schema)
 
     # Twice the blocks the averages ask for, since a hash does not fill them evenly.
-    blocks = 2 * max(-(-totals["n"] // right_rows), -(-int(totals["bytes"]) // right_bytes))
+    blocks = 2 * max(-(-rows // right_rows), -(-held // right_bytes))
     slices = 2 * -(-max(1, left.count()) // left_slice)
     left_parts = left.withColumn("__slice", F.pmod(F.xxhash64(left_key), F.lit(slices)).cast("int")).withColumn(
         "__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
@@ -150,6 +177,10 @@ def _bytes(column: tuple[str, str]) -> Column:
     name, kind = column
     if kind == "string":
         return F.coalesce(F.octet_length(name), F.lit(0))
+    if kind == "array<string>":
+        return F.coalesce(F.octet_length(F.array_join(name, " ")), F.lit(0)) + 8
     if kind.startswith("array"):
         return F.when(F.col(name).isNull(), F.lit(0)).otherwise(F.size(name) * F.lit(8))
+    if kind.startswith(("struct", "map")):
+        return F.coalesce(F.octet_length(F.to_json(name)), F.lit(0))
     return F.lit(8)

@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import Window as W, functions as F
 
-from mnemoria.scale import blocked_product, carry_forward, global_positions, salted_join, spread
+from mnemoria.scale import blocked_product, carry_forward, global_positions, measured, salted_join, spread
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
@@ -14,9 +14,15 @@ def test_salted_join_equals_join(spark, how):
     # One key holds most rows.
     big = spark.range(2000).select("id", F.when(F.col("id") % 3 < 2, 0).otherwise(F.col("id") % 50).alias("k"))
     lookup = spark.range(0, 40, 2).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
-    got = salted_join(big, lookup, ["k"], "id", how)
     want = big.join(lookup, "k", how)
-    assert sorted(map(tuple, got.select(want.columns).collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    for salts in (None, 4):
+        got = salted_join(big, lookup, ["k"], "id", how, salts)
+        assert sorted(map(tuple, got.select(want.columns).collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+
+
+def test_measured_sizes(spark):
+    df = spark.range(10).select("id", F.lit("x" * 100).alias("s"), F.array(F.lit("ab"), F.lit("c")).alias("a"))
+    assert measured(df)[1] and not measured(df, rows=9)[1] and not measured(df, size=1000)[1]
 
 
 def test_global_positions_are_a_total_order(spark):
