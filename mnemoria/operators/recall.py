@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from mnemoria.functions import scoring, text
 from mnemoria.model import Store
+from mnemoria.operators.ingest import Encoder
 from mnemoria.operators.joins import memory_entity_view
 from mnemoria.operators.filters import project_scope, visible_memories
 from mnemoria.operators.search import MIN_COSINE, hybrid_candidates
@@ -243,6 +244,24 @@ OUTPUT = [
 ]
 
 
+def embed_queries(queries: DataFrame, encoder_factory: Callable[[], Encoder], prefix: str = "query: ") -> DataFrame:
+    """Queries with ``vec`` from the encoder; a query it gives no vector for keeps a null one.
+
+    ``prefix`` marks queries for encoders that treat questions and passages differently.
+    """
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encode = encoder_factory()
+        for pdf in batches:
+            made = encode([prefix + t for t in pdf["text"]]) or []
+            found = [(q, v) for q, v in zip(pdf["query_id"], made) if v is not None]
+            if found:
+                yield pd.DataFrame(found, columns=["query_id", "vec"])
+
+    asked = queries.filter(F.coalesce("text", F.lit("")) != "").select("query_id", "text")
+    vectors = asked.mapInPandas(run, "query_id string, vec array<float>")
+    return queries.join(small_side(vectors), "query_id", "left")
+
+
 def mark_accessed(store: Store, hits: DataFrame, as_of: int) -> Store:
     """Count every returned row as an access: one log row each, counters once per memory."""
     from mnemoria.operators.ingest import append_rows

@@ -76,8 +76,19 @@ def _layer_allows(query_layers: pd.Series, row_layers: pd.Series) -> np.ndarray
     return allowed
 
 
-def _ranked(hits: DataFrame, limit: int, rank: str, *order) -> DataFrame:
-    # row_number <= n: Spark limits each group before the shuffle (WindowGroupLimit).
+def merge_ranked(hits: DataFrame, limit: int, rank: str, *order, ways: int | None = None) -> DataFrame:
+    """The best ``limit`` rows per query from the best rows of every task.
+
+    row_number <= n lets Spark limit each group before a shuffle (WindowGroupLimit). On a large
+    cluster a query still has ``limit`` rows from each of very many tasks; these are first merged
+    in several ways by the hash of the id, so that no single task sees them all.
+    """
+    if ways is None:
+        ways = min(64, hits.sparkSession.sparkContext.defaultParallelism // 16)
+    if ways > 1:
+        part = W.partitionBy("query_id", "__way").orderBy(*order, "id")
+        split = hits.withColumn("__way", F.pmod(F.xxhash64("id"), F.lit(ways)))
+        hits = split.withColumn("__rn", F.row_number().over(part)).filter(F.col("__rn") <= limit).drop("__rn", "__way")
     w = W.partitionBy("query_id").orderBy(*order, "id")
     return hits.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= limit)
 
@@ -116,12 +127,11 @@ def bm25_search(
     weighted = query_terms(queries, min_chars).join(frequency, "term").withColumn(
         "weight", F.col("times") * F.when(weight > 0, weight).otherwise(IDF_FLOOR)
     )
-    # One row per query; its array is as long as the query has distinct words.
-    by_query = weighted.groupBy("query_id", "layer").agg(
-        F.collect_list("term").alias("terms"), F.collect_list(F.struct("term", "weight")).alias("pairs")
-    ).select("query_id", "layer", "terms", F.map_from_entries("pairs").alias("weights"))
-    by_query = by_query.select(
-        "query_id", "layer", "terms", F.transform("terms", lambda t: F.element_at("weights", t)).alias("weights")
+    # One row per query; its arrays are as long as the query has distinct words.
+    by_query = (
+        weighted.groupBy("query_id", "layer")
+        .agg(F.collect_list(F.struct("term", "weight")).alias("pairs"))
+        .select("query_id", "layer", F.col("pairs.term").alias("terms"), F.col("pairs.weight").alias("weights"))
     )
 
     def kernel(batches: Iterator[pd.DataFrame], q: pd.DataFrame) -> Iterator[pd.DataFrame]:
@@ -165,7 +175,7 @@ def bm25_search(
     hits = blocked_product(
         shown, by_query, kernel, "query_id string, id bigint, bm25 double", "id", "query_id", right_rows=right_rows
     )
-    return _ranked(hits, limit, "fts_rank", F.desc("bm25"))
+    return merge_ranked(hits, limit, "fts_rank", F.desc("bm25"))
 
 
 def substring_search(
@@ -241,7 +251,7 @@ def substring_search(
     hits = blocked_product(haystack, needles, kernel, schema, "id", "query_id", right_rows=right_rows)
     if limit is None:
         return hits
-    return _ranked(hits, limit, "like_rank", F.desc("importance"), F.desc("last_accessed_at"))
+    return merge_ranked(hits, limit, "like_rank", F.desc("importance"), F.desc("last_accessed_at"))
 
 
 class _Finder:
@@ -314,7 +324,7 @@ def vector_search(
         rows.select("id", "layer", "embedding"), known, kernel, "query_id string, id bigint, cos double",
         "id", "query_id", right_rows=right_rows,
     )
-    return _ranked(hits, top_k, "vec_rank", F.desc("cos"))
+    return merge_ranked(hits, top_k, "vec_rank", F.desc("cos"))
 
 
 def minmax_vector_scores(hits: DataFrame) -> DataFrame:

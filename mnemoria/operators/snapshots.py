@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from mnemoria.functions import text
 from mnemoria.functions.scoring import DAY
@@ -43,8 +40,12 @@ def snapshot_inputs(store: Store) -> DataFrame:
 
 
 def snapshot_tiers(store: Store, budget: int = BUDGET_BYTES) -> DataFrame:
-    """(session_id, snapshot_text). One bounded row per session reaches the trimming loop."""
-    gathered = snapshot_inputs(store).groupBy("session_id").agg(
+    """(session_id, snapshot_text) within ``budget`` bytes, as expressions over one bounded row per session.
+
+    Over budget, the decisions go first, as a whole. Then rows go one by one: goals, errors down
+    to one, files down to one. The first number of removed rows that fits is taken.
+    """
+    lists = snapshot_inputs(store).groupBy("session_id").agg(
         *[
             F.transform(
                 F.array_sort(F.collect_list(F.when(F.col("tier") == key, F.struct("rn", "line")))), lambda r: r["line"]
@@ -52,37 +53,40 @@ def snapshot_tiers(store: Store, budget: int = BUDGET_BYTES) -> DataFrame:
             for key, _ in TIERS
         ]
     )
-
-    def render_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = zip(*[pdf[key] for key, _ in TIERS])
-            yield pd.DataFrame({"session_id": pdf["session_id"], "snapshot_text": [fit(list(map(list, r)), budget) for r in rows]})
-
-    return gathered.mapInPandas(render_all, "session_id string, snapshot_text string").filter("snapshot_text <> ''")
-
-
-def render(tiers: list[list[str]]) -> str:
-    out = [HEADING]
-    for (_, name), lines in zip(TIERS, tiers):
-        if lines:
-            out += [f"### {name}", *lines]
-    return "\n".join(out)
-
-
-def fit(tiers: list[list[str]], budget: int) -> str:
-    """Drop the decisions tier, then rows from Goals upward, keeping a file and an error row."""
-    if not any(tiers):
-        return ""
-
-    def over() -> bool:
-        return len(render(tiers).encode()) > budget
-
-    if over():
-        tiers[3] = []
-    for tier, least in ((2, 0), (1, 1), (0, 1)):
-        while over() and len(tiers[tier]) > least:
-            tiers[tier].pop()
-    return render(tiers)
+    files, errors, goals = (F.size(key) for key in ("files", "realize", "goal"))
+    spare_errors, spare_files = F.greatest(errors - 1, F.lit(0)), F.greatest(files - 1, F.lit(0))
+
+    def kept(removed: Column) -> dict[str, Column]:
+        beyond_goals = F.greatest(removed - goals, F.lit(0))
+        beyond_errors = F.greatest(beyond_goals - spare_errors, F.lit(0))
+        return {
+            "files": files - F.least(beyond_errors, spare_files),
+            "realize": errors - F.least(beyond_goals, spare_errors),
+            "goal": goals - F.least(removed, goals),
+        }
+
+    def size(rows: dict[str, Column]) -> Column:
+        total = F.lit(len(HEADING.encode()))
+        for key, name in TIERS:
+            if key in rows:
+                lines = F.aggregate(
+                    F.slice(key, F.lit(1), rows[key]), F.lit(0), lambda n, line: n + F.octet_length(line) + 1
+                )
+                total = total + F.when(rows[key] > 0, lines + len(f"### {name}".encode()) + 1).otherwise(0)
+        return total
+
+    whole = size({**kept(F.lit(0)), "learning": F.size("learning")})
+    most = goals + spare_errors + spare_files
+    fitting = F.filter(F.sequence(F.lit(0), most), lambda n: size(kept(n)) <= budget)
+    removed = F.coalesce(F.get(fitting, F.lit(0)), most)
+    counted = lists.withColumn("fits", whole <= budget).withColumn("removed", removed)
+    chosen = kept(F.when(F.col("fits"), 0).otherwise(F.col("removed")))
+    chosen["learning"] = F.when(F.col("fits"), F.size("learning")).otherwise(0)
+    parts = [F.lit(HEADING)]
+    for key, name in TIERS:
+        lines = F.array_join(F.slice(key, F.lit(1), chosen[key]), "\n")
+        parts.append(F.when(chosen[key] > 0, F.concat(F.lit(f"### {name}\n"), lines)))
+    return counted.select("session_id", F.concat_ws("\n", *parts).alias("snapshot_text"))
 
 
 def upsert_session_snapshots(prev: DataFrame, new: DataFrame, as_of: int) -> DataFrame:

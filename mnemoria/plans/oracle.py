@@ -615,19 +615,6 @@ ORACLES: dict[str, str] = {
         GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10"""
     ),
     "file_edit_paths": build("SELECT file_path, count(*) AS edits FROM v_ring GROUP BY 1"),
-    "entity_momentum": build(
-        f"""SELECT id, events_24h, events_7d, events_all, round(quality, 6) AS quality, round(velocity, 6) AS velocity, round(volume, 6) AS relative_volume,
-        round(score, 6) AS momentum, CASE WHEN round(score, 6) >= 7 THEN 'surging' WHEN round(score, 6) >= 4 THEN 'active' WHEN round(score, 6) >= 1.5e0 THEN 'quiet' ELSE 'dormant' END AS momentum_band
-        FROM (SELECT *, greatest(0e0, least(10e0, quality * 0.4e0 + velocity * 0.3e0 + volume * 0.3e0)) AS score FROM (
-          SELECT *, CASE WHEN weekly > 0 THEN CASE WHEN events_7d / weekly >= 3 THEN 10e0 WHEN events_7d / weekly >= 2 THEN 7e0 WHEN events_7d / weekly >= 1 THEN 4e0 ELSE events_7d / weekly * 4 END
-            WHEN events_7d > 0 THEN 5e0 ELSE 0e0 END AS volume FROM (
-          SELECT id, events_24h, events_7d, events_all, events_all / greatest(1e0, ({AS_OF} - created_at) / 86400e0) * 7 AS weekly,
-            least(10e0, coalesce(avg_imp, 0.5e0) * 10) AS quality,
-            CASE WHEN events_24h >= 3 THEN 10e0 WHEN events_24h >= 1 THEN 7e0 WHEN events_7d >= 3 THEN 4e0 WHEN events_7d >= 1 THEN 2e0 ELSE 0e0 END AS velocity
-          FROM (SELECT user_id AS id, {AS_OF} - user_id % 60 * {DAY} AS created_at, count(*) FILTER (epoch(ts) >= {AS_OF - DAY}) AS events_24h,
-              count(*) FILTER (floor(epoch(ts)) >= {AS_OF - 7 * DAY}) AS events_7d, count(*) AS events_all FROM events GROUP BY 1)
-          LEFT JOIN (SELECT entity_id AS id, avg(importance) AS avg_imp FROM v_memories WHERE created_at >= {AS_OF - 7 * DAY} GROUP BY 1) USING (id))))"""
-    ),
     "base_level_activation": build(
         """SELECT id, accesses, round(ln(strength), 6) AS base_level, round(1 / (1 + exp(-(ln(strength) + 6) / 1.5e0)), 6) AS activation FROM a_level""",
         ACTIVATION,
@@ -899,6 +886,36 @@ MARKDOWN = {
     "m_chunks": """
         SELECT path, id, kind, s, coalesce(lead(s) OVER (PARTITION BY path ORDER BY s) - 1, n) AS e, lines FROM m_starts JOIN m_files USING (path)""",
 }
+def momentum(entities: str) -> str:
+    return f"""SELECT id, events_24h, events_7d, events_all, round(quality, 6) AS quality, round(velocity, 6) AS velocity, round(volume, 6) AS relative_volume,
+        round(score, 6) AS momentum, CASE WHEN round(score, 6) >= 7 THEN 'surging' WHEN round(score, 6) >= 4 THEN 'active' WHEN round(score, 6) >= 1.5e0 THEN 'quiet' ELSE 'dormant' END AS momentum_band
+        FROM (SELECT *, greatest(0e0, least(10e0, quality * 0.4e0 + velocity * 0.3e0 + volume * 0.3e0)) AS score FROM (
+          SELECT *, CASE WHEN weekly > 0 THEN CASE WHEN events_7d / weekly >= 3 THEN 10e0 WHEN events_7d / weekly >= 2 THEN 7e0 WHEN events_7d / weekly >= 1 THEN 4e0 ELSE events_7d / weekly * 4 END
+            WHEN events_7d > 0 THEN 5e0 ELSE 0e0 END AS volume FROM (
+          SELECT id, events_24h, events_7d, events_all, events_all / greatest(1e0, ({AS_OF} - created_at) / 86400e0) * 7 AS weekly,
+            least(10e0, coalesce(avg_imp, 0.5e0) * 10) AS quality,
+            CASE WHEN events_24h >= 3 THEN 10e0 WHEN events_24h >= 1 THEN 7e0 WHEN events_7d >= 3 THEN 4e0 WHEN events_7d >= 1 THEN 2e0 ELSE 0e0 END AS velocity
+          FROM (SELECT o.id, any_value(o.created_at) AS created_at, count(*) FILTER (seen >= {AS_OF - DAY}) AS events_24h,
+              count(*) FILTER (seen >= {AS_OF - 7 * DAY}) AS events_7d, count(seen) AS events_all
+            FROM {entities} o LEFT JOIN (SELECT user_id, CAST(floor(epoch(ts)) AS BIGINT) AS seen FROM events) v ON v.user_id = o.id GROUP BY 1)
+          LEFT JOIN (SELECT entity_id AS id, avg(importance) AS avg_imp FROM v_memories WHERE created_at >= {AS_OF - 7 * DAY} GROUP BY 1) USING (id))))"""
+
+
+USERS = {"v_users": f"SELECT user_id AS id, {AS_OF} - user_id % 60 * {DAY} AS created_at FROM events GROUP BY 1"}
+ORACLES["entity_momentum"] = build(momentum("v_users"), USERS)
+ORACLES["refresh_momentum"] = build(
+    f"SELECT id, momentum AS momentum_score, {AS_OF} AS momentum_at FROM (" + momentum("v_entities") + ")"
+)
+ORACLES["embed_queries"] = build(
+    """SELECT query_id, round(sum((n / norm)::FLOAT::DOUBLE), 4) AS vector_sum, count(*) AS buckets FROM g_counts JOIN g_norms USING (query_id) GROUP BY 1""",
+    {
+        "g_counts": f"""
+            SELECT query_id, bucket, count(*)::DOUBLE AS n FROM (SELECT query_id, ('0x' || substr(md5(t), 1, 4))::INT % 64 AS bucket
+              FROM (SELECT query_id, unnest(string_split('query: ' || {tok('text')}, ' ')) AS t FROM v_queries)) GROUP BY 1, 2""",
+        "g_norms": "SELECT query_id, sqrt(sum(n * n)) AS norm FROM g_counts GROUP BY 1",
+    },
+)
+
 ORACLES["chunk_markdown"] = build(
     """SELECT path, md5(id) AS id_md5, kind, s AS start_line, e AS end_line, substring(sha256(array_to_string(lines[s:e], chr(10))), 1, 16) AS hash FROM m_chunks""",
     MARKDOWN,
@@ -959,15 +976,37 @@ ORACLES["embed_backlog"] = build(
         "k_sums": "SELECT id, sum((n / norm)::FLOAT::DOUBLE) AS total FROM k_counts JOIN k_norms USING (id) GROUP BY 1",
     },
 )
-ORACLES["snapshot_inputs"] = build(
-    f"""SELECT session_id, tier, rn, md5(line) AS line_md5 FROM (
-    SELECT session_id, 'files' AS tier, row_number() OVER (PARTITION BY session_id ORDER BY n DESC, last_at DESC, file_path) AS rn, '- ' || file_path || ' (' || n || ' edits)' AS line
-      FROM (SELECT session_id, file_path, count(*) AS n, max(occurred_at) AS last_at FROM v_edits GROUP BY 1, 2)
-    QUALIFY rn <= 10
-    UNION ALL SELECT session_id, layer, row_number() OVER (PARTITION BY session_id, layer ORDER BY importance DESC, id DESC) AS rn,
-      '- ' || CASE WHEN length({collapse('content')}) > 160 THEN substring({collapse('content')}, 1, 160) || '…' ELSE {collapse('content')} END
-      FROM v_memories WHERE layer IN ('realize', 'goal', 'learning') AND archived_at IS NULL QUALIFY rn <= 5)"""
-)
+SNAPSHOT = {
+    "x_lines": f"""
+        SELECT session_id, 'files' AS tier, row_number() OVER (PARTITION BY session_id ORDER BY n DESC, last_at DESC, file_path) AS rn, '- ' || file_path || ' (' || n || ' edits)' AS line
+          FROM (SELECT session_id, file_path, count(*) AS n, max(occurred_at) AS last_at FROM v_edits GROUP BY 1, 2)
+        QUALIFY rn <= 10
+        UNION ALL SELECT session_id, layer, row_number() OVER (PARTITION BY session_id, layer ORDER BY importance DESC, id DESC) AS rn,
+          '- ' || CASE WHEN length({collapse('content')}) > 160 THEN substring({collapse('content')}, 1, 160) || '…' ELSE {collapse('content')} END
+          FROM v_memories WHERE layer IN ('realize', 'goal', 'learning') AND archived_at IS NULL QUALIFY rn <= 5""",
+    "x_lists": """
+        SELECT session_id, coalesce(list(line ORDER BY rn) FILTER (tier = 'files'), []) AS f, coalesce(list(line ORDER BY rn) FILTER (tier = 'realize'), []) AS e,
+          coalesce(list(line ORDER BY rn) FILTER (tier = 'goal'), []) AS g, coalesce(list(line ORDER BY rn) FILTER (tier = 'learning'), []) AS l
+        FROM x_lines GROUP BY 1""",
+    # Every state the trimming passes through: all rows, no decisions, then one row less each time.
+    "x_states": """
+        SELECT session_id, 0 AS step, f, e, g, l FROM x_lists
+        UNION ALL SELECT session_id, 1 + k AS step, f[1:len(f) - least(greatest(k - len(g) - greatest(len(e) - 1, 0), 0), greatest(len(f) - 1, 0))] AS f,
+          e[1:len(e) - least(greatest(k - len(g), 0), greatest(len(e) - 1, 0))] AS e, g[1:len(g) - least(k, len(g))] AS g, [] AS l
+        FROM (SELECT *, unnest(range(0, len(g) + greatest(len(e) - 1, 0) + greatest(len(f) - 1, 0) + 1)) AS k FROM x_lists)""",
+    "x_texts": """
+        SELECT session_id, step, '## Working state (restored)' || CASE WHEN len(f) > 0 THEN chr(10) || '### Active files' || chr(10) || array_to_string(f, chr(10)) ELSE '' END
+          || CASE WHEN len(e) > 0 THEN chr(10) || '### Unresolved errors' || chr(10) || array_to_string(e, chr(10)) ELSE '' END
+          || CASE WHEN len(g) > 0 THEN chr(10) || '### Goals' || chr(10) || array_to_string(g, chr(10)) ELSE '' END
+          || CASE WHEN len(l) > 0 THEN chr(10) || '### Recent decisions' || chr(10) || array_to_string(l, chr(10)) ELSE '' END AS text
+        FROM x_states""",
+    "x_chosen": """
+        SELECT session_id, text FROM x_texts
+        QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY strlen(text) > 2048, CASE WHEN strlen(text) > 2048 THEN -step ELSE step END) = 1""",
+}
+ORACLES["snapshot_inputs"] = build("SELECT session_id, tier, rn, md5(line) AS line_md5 FROM x_lines", SNAPSHOT)
+ORACLES["snapshot_tiers"] = build("SELECT session_id, text AS snapshot_text, strlen(text) AS bytes FROM x_chosen", SNAPSHOT)
+ORACLES["session_snapshot_job"] = build(f"SELECT session_id, strlen(text) AS bytes, {AS_OF} AS created_at FROM x_chosen", SNAPSHOT)
 
 STATS = """SELECT (SELECT count(*) FROM v_entities) AS entities, count(*) AS memories, count(*) FILTER (importance >= 0.9e0) AS pinned,
     count(*) FILTER (protected) AS protected, min(created_at) AS oldest, max(created_at) AS newest, (SELECT count(*) FROM v_edits) AS file_edits,

@@ -390,6 +390,12 @@ def q_entity_momentum(spark, d):
     return reports.entity_momentum(fx.v_users(spark, d), fx.v_events(spark, d), fx.v_memories(spark, d), AS_OF)
 
 
+@query
+def q_refresh_momentum(spark, d):
+    s = fx.v_store(spark, d)
+    return reports.refresh_momentum(s.entities, s.events, s.memories, AS_OF).select("id", r6("momentum_score"), "momentum_at")
+
+
 @query
 def q_base_level_activation(spark, d):
     rows = lifecycle.base_level_activation(fx.v_memories(spark, d), fx.v_access_log(spark, d), AS_OF)
@@ -721,6 +727,17 @@ def q_embed_backlog(spark, d):
     )
 
 
+@query
+def q_embed_queries(spark, d):
+    asked = fx.v_queries(spark, d).withColumn("text", text.tokenized(F.col("text")))
+    made = recall.embed_queries(asked.drop("vec"), ingest.keyword_encoder)
+    doubles = F.transform("vec", lambda x: x.cast("double"))
+    return made.select(
+        "query_id", F.round(F.aggregate(doubles, F.lit(0.0), lambda a, x: a + x), 4).alias("vector_sum"),
+        F.size(F.filter("vec", lambda x: x > 0)).alias("buckets"),
+    )
+
+
 @query
 def q_reset_stale_vectors(spark, d):
     return ingest.reset_stale_vectors(fx.v_memories(spark, d), MODEL, DIM).groupBy("embedding_status", "embedding_model").agg(

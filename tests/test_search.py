@@ -93,6 +93,22 @@ def test_vectors_equal_cosine_expression(spark, memories, queries, bound):
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-6) for k in want)
 
 
+def test_merge_in_several_ways_is_the_same(spark):
+    hits = spark.range(500).select(F.lit("q").alias("query_id"), "id", (F.col("id") * 37 % 101).cast("double").alias("s"))
+    one, many = (search.merge_ranked(hits, 20, "r", F.desc("s"), ways=n).collect() for n in (1, 7))
+    assert sorted(one) == sorted(many) and len(one) == 20
+
+
+def test_embed_queries_keeps_queries_without_a_vector(spark, queries):
+    q = queries({"text": "red"}, {"text": ""}, {"text": "none"}).drop("vec")
+
+    def factory():
+        return lambda texts: [None if t.endswith("none") else [float(len(t))] for t in texts]
+
+    got = {r.query_id: r.vec for r in recall.embed_queries(q, factory).collect()}
+    assert got == {"0": [10.0], "1": None, "2": None}
+
+
 def test_vector_search_skips_other_models_and_pending(memories, queries):
     ok = {"embedding": [1.0, 0.0]}
     m = memories(ok, {**ok, "embedding_model": "old"}, {**ok, "embedding_status": "pending"}, {**ok, "embedding_dim": 3},

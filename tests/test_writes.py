@@ -198,7 +198,10 @@ def test_snapshot_budget_and_tiers(store, rows, memories):
     assert "realize 5" in text and "realize 0" not in text and text.index("Active files") < text.index("Unresolved errors")
     wide = snapshots.snapshot_tiers(s, budget=10_000).filter("session_id = 's'").first().snapshot_text
     assert wide.count("- learning") == 5 and "…" in wide
-    assert snapshots.fit([["- a" * 999], ["- b" * 999, "- c"], ["- d"], []], 100).count("###") == 2
+    tight = snapshots.snapshot_tiers(s, budget=60).filter("session_id = 's'").first().snapshot_text
+    assert tight.count("edits)") == 1 and tight.count("- realize") == 1 and "Goals" not in tight
+    middle = snapshots.snapshot_tiers(s, budget=1500).filter("session_id = 's'").first().snapshot_text
+    assert 1300 < len(middle.encode()) <= 1500 and middle.count("- realize") == 5 and middle.count("- goal") == 2
 
 
 def test_session_snapshot_upsert_and_load(spark):
