@@ -262,9 +262,13 @@ def shape_key(content: Column) -> Column:
     return F.when(F.size(keys) > 0, F.array_join(F.array_sort(keys), "|"))
 
 
-def iso_instant(epoch: Column) -> Column:
-    return F.date_format(F.timestamp_seconds(epoch), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+def utc_day(epoch: Column) -> Column:
+    """The UTC date of epoch seconds as text, whatever the time zone of the session."""
+    days = F.floor(epoch / F.lit(86_400)).cast("int")
+    return F.date_add(F.lit("1970-01-01").cast("date"), days).cast("string")
 
 
-def utc_day(epoch: Column) -> Column:
-    return F.date_format(F.timestamp_seconds(epoch), "yyyy-MM-dd")
+def iso_instant(epoch: Column) -> Column:
+    seconds = F.pmod(epoch.cast("bigint"), F.lit(86_400))
+    clock = [F.floor(seconds / 3600), F.floor(seconds % 3600 / 60), seconds % 60]
+    return F.when(epoch.isNotNull(), F.format_string("%sT%02d:%02d:%02dZ", utc_day(epoch), *clock))

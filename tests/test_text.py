@@ -102,3 +102,14 @@ def test_snippets(spark):
     got = [r[0] for r in df.select(text.snippet(F.col("c"), F.col("t"), 40)).collect()]
     assert got[0] == "short" and "needle" in got[1] and got[1][0] == got[1][-1] == "…" and len(got[1]) == 42
     assert got[2] == "a" * 40 + "…" and got[3] == ("needle " + "c" * 33) + "…" and "needle" in got[4]
+
+
+def test_dates_do_not_depend_on_the_session_zone(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        df = spark.createDataFrame([(1706745599,), (None,), (-1,)], "t BIGINT")
+        got = [tuple(r) for r in df.select(text.utc_day(F.col("t")), text.iso_instant(F.col("t"))).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert got == [("2024-01-31", "2024-01-31T23:59:59Z"), (None, None), ("1969-12-31", "1969-12-31T23:59:59Z")]

@@ -8,7 +8,6 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mnemoria.model import make_store
 from mnemoria.operators import filters, ingest, reports, snapshots, supersede
 from mnemoria.plans.maintenance import maintenance_check, maintenance_pass
 from mnemoria.sources.store import load_store, replace_sessions, save_store
