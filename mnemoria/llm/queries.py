@@ -5,11 +5,13 @@ from __future__ import annotations
 from mnemoria.llm.language_id import op10_language_id
 from mnemoria.llm.mixing import op6_source_mixing
 from mnemoria.llm.quality import OP7_SQL, op7_quality_rules
+from mnemoria.llm.secret_scan import op5_secret_scan
 from mnemoria.llm.token_counts import op2_token_counts
 from mnemoria.llm.toxicity import op9_toxicity
 
 QUERIES = {
     "op2_token_counts": op2_token_counts,
+    "op5_secret_scan": op5_secret_scan,
     "op6_source_mixing": op6_source_mixing,
     "op7_quality_rules": op7_quality_rules,
     "op9_toxicity": op9_toxicity,
