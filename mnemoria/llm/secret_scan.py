@@ -5,9 +5,9 @@ control of false discoveries then work on matches alone.
 
 A token counts as a secret if (a) no test of the battery on its inferred encoding (chi-squared uniformity over the
 alphabet, runs about the middle of the alphabet, lag-1 serial correlation) rejects randomness, and (b) it is a
-discovery against prose: the number of changes between letter case, digits and signs, and the index of coincidence of
-its folded symbols, each give a p-value under prose; combined by Fisher's method, they enter a Benjamini-Hochberg
-procedure within each length band of all tokens. Short tokens need stronger evidence, as they have less of it.
+discovery against prose: the number of changes between letter case, digits and signs, the index of coincidence of its
+folded symbols, and a hexadecimal token's letters each give a p-value under prose; combined by Fisher's method, they
+enter a Benjamini-Hochberg procedure within each length band of all tokens. Short tokens need stronger evidence, as they have less of it.
 """
 
 from __future__ import annotations
@@ -45,6 +45,8 @@ class Settings:
     #: Prose: index of coincidence of English letters, and changes of symbol class per step.
     prose_coincidence: float = 0.066
     prose_changes: float = 0.1
+    #: Share of prose letters that are also hexadecimal digits.
+    prose_hex_letters: float = 0.32
     false_discoveries: float = 0.01
 
 
@@ -159,8 +161,10 @@ def battery(tokens: DataFrame, settings: Settings) -> DataFrame:
     coincidence = (sum_of_squares("folded") - F.col("n")) / pairs
     q = settings.prose_coincidence
     p_coincidence = F.log(upper_tail((q - coincidence) / F.sqrt(2 * q / pairs)))
-    joint = F.least(p_changes + p_coincidence, F.lit(0.0))  # log of the product of both p-values
-    p = F.exp(F.greatest(joint + F.log(1 - joint), F.lit(-600.0)))
+    letters = F.length(F.regexp_replace("symbols", "[^A-Za-z]", ""))
+    p_letters = F.when(F.col("k") == 16, letters * math.log(settings.prose_hex_letters)).otherwise(0.0)
+    joint = F.least(p_changes + p_coincidence + p_letters, F.lit(0.0))  # log of the product of the p-values
+    p = F.exp(F.greatest(joint + F.log(1 - joint + joint * joint / 2), F.lit(-600.0)))
     return rows.withColumns({"random": F.coalesce(random, F.lit(False)), "p": F.coalesce(p, F.lit(1.0))})
 
 
