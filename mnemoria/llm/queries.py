@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from mnemoria.llm.exact_dedup import OP3_SQL, op3_exact_dedup
 from mnemoria.llm.language_id import op10_language_id
 from mnemoria.llm.mixing import op6_source_mixing
 from mnemoria.llm.quality import OP7_SQL, op7_quality_rules
@@ -11,6 +12,7 @@ from mnemoria.llm.toxicity import op9_toxicity
 
 QUERIES = {
     "op2_token_counts": op2_token_counts,
+    "op3_exact_dedup": op3_exact_dedup,
     "op5_secret_scan": op5_secret_scan,
     "op6_source_mixing": op6_source_mixing,
     "op7_quality_rules": op7_quality_rules,
@@ -18,4 +20,4 @@ QUERIES = {
     "op10_language_id": op10_language_id,
 }
 
-ORACLES: dict[str, str] = {"op7_quality_rules": OP7_SQL}
+ORACLES: dict[str, str] = {"op3_exact_dedup": OP3_SQL, "op7_quality_rules": OP7_SQL}
