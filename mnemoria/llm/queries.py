@@ -7,10 +7,12 @@ from mnemoria.llm.language_id import op10_language_id
 from mnemoria.llm.mixing import op6_source_mixing
 from mnemoria.llm.quality import OP7_SQL, op7_quality_rules
 from mnemoria.llm.secret_scan import op5_secret_scan
+from mnemoria.llm.simhash import op1_simhash
 from mnemoria.llm.token_counts import op2_token_counts
 from mnemoria.llm.toxicity import op9_toxicity
 
 QUERIES = {
+    "op1_simhash": op1_simhash,
     "op2_token_counts": op2_token_counts,
     "op3_exact_dedup": op3_exact_dedup,
     "op5_secret_scan": op5_secret_scan,
