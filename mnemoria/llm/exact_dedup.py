@@ -9,7 +9,6 @@ texts themselves are compared: rows that a filter of those digests lets through
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,6 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from mnemoria.llm import fuse
 from mnemoria.llm.common import documents, ship_package, stored, text_or_empty
+from mnemoria.llm.screen import BROADCAST_BYTES, filters, screened, shard_of, shards_for
 
 # White space that does not count.
 SPACES = [" ", "\t", "\n", "\x0b", "\x0c", "\r"]
@@ -29,7 +29,7 @@ class Settings:
     #: Keys in a shard of a snapshot, and of a batch that meets it.
     shard_keys: int = 100_000
     #: The filter of repeated digests is broadcast up to this size; beyond it, rows are shuffled to its shards.
-    broadcast_bytes: int = 32 << 20
+    broadcast_bytes: int = BROADCAST_BYTES
     #: Hexadecimal digits of the digest that make a bucket; fewer than all only to test the byte checks.
     bucket_digits: int = 64
 
@@ -51,27 +51,12 @@ def key(bucket: str = "bucket") -> Column:
     return F.xxhash64(bucket)
 
 
-def shard_of(bucket: str, shards: int) -> Column:
-    return F.pmod(F.xxhash64(bucket, F.lit("shard")), F.lit(shards)).cast("int")
-
-
-def filters(buckets: DataFrame, shards: int) -> DataFrame:
-    """(shard, filter) of the ``bucket`` column; a shard holds about ``Settings.shard_keys`` keys."""
-    ship_package(buckets.sparkSession)
-
-    def built(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "filter": [fuse.build(pdf["key"].to_numpy().view(np.uint64))]})
-
-    rows = buckets.select(shard_of("bucket", shards).alias("shard"), key().alias("key"))
-    return stored(rows.groupBy("shard").applyInPandas(built, "shard int, filter binary"), "fuse-filters")
-
-
 def snapshot(groups: DataFrame, settings: Settings) -> Snapshot:
-    shards = max(1, -(-groups.count() // settings.shard_keys))
-    return Snapshot(groups, filters(groups.select("bucket"), shards), shards)
+    shards = shards_for(groups.count(), settings.shard_keys)
+    return Snapshot(groups, filters(groups.select(key().alias("key")), shards), shards)
 
 
-def screened(rows: DataFrame, held: DataFrame, shards: int, count: int, settings: Settings) -> DataFrame:
+def screened_by_shard(rows: DataFrame, held: DataFrame, shards: int, count: int, settings: Settings) -> DataFrame:
     """``rows`` (distinct ``bucket``) of which a filter in ``held`` may hold the bucket.
 
     Rows meet their shard's filter in groups of bounded size: a large batch is cut further, each part with its own
@@ -79,7 +64,7 @@ def screened(rows: DataFrame, held: DataFrame, shards: int, count: int, settings
     """
     parts = max(1, -(-count // (shards * settings.shard_keys)))
     part = F.pmod(F.xxhash64("bucket", F.lit("part")), F.lit(parts)).cast("int")
-    left = rows.select("bucket", shard_of("bucket", shards).alias("shard"), key().alias("key"), part.alias("part"))
+    left = rows.select("bucket", shard_of(key(), shards).alias("shard"), key().alias("key"), part.alias("part"))
     right = held.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
 
     def kept(pdf: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
@@ -101,7 +86,7 @@ def absorbed(batch: DataFrame, snapshots: list[Snapshot], settings: Settings) ->
     count = groups.count()
     joined = []
     for old in snapshots:
-        maybe = screened(groups, old.filters, old.shards, count, settings)
+        maybe = screened_by_shard(groups, old.filters, old.shards, count, settings)
         exact = maybe.join(old.groups.select("bucket"), "bucket", "left_semi")
         joined.append(stored(groups.join(exact, "bucket", "left_semi"), "batch-known"))
     fresh = groups
@@ -115,26 +100,8 @@ def disputed(docs: DataFrame, repeated: DataFrame, text: str, settings: Settings
 
     Each task keeps at most two texts a bucket, so copies of one text do not travel.
     """
-    count = repeated.count()
-    shards = max(1, -(-count // settings.shard_keys))
-    held = filters(repeated, shards)
     rows = docs.select(normalised(text).alias("norm")).withColumn("bucket", bucket(F.col("norm"), settings))
-    size = held.agg(F.coalesce(F.sum(F.length("filter")), F.lit(0)).alias("b")).first()["b"]
-    if size <= settings.broadcast_bytes:
-        own = docs.sparkSession.sparkContext.broadcast({r["shard"]: bytes(r["filter"]) for r in held.collect()})
-
-        @F.pandas_udf("boolean")
-        def maybe(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-            for at, keys in batches:
-                found, shard, values = np.zeros(len(at), dtype=bool), at.to_numpy(), keys.to_numpy().view(np.uint64)
-                for s in np.unique(shard):
-                    if s in own.value:
-                        found[shard == s] = fuse.contains(own.value[s], values[shard == s])
-                yield pd.Series(found)
-
-        rows = rows.where(maybe(shard_of("bucket", shards), key()))
-    else:
-        rows = rows.join(repeated, "bucket", "left_semi")
+    rows = screened(rows, key(), stored(repeated.select(key().alias("key")), "repeated"), settings.broadcast_bytes)
     ends = rows.groupBy("bucket").agg(F.min("norm").alias("a"), F.max("norm").alias("b")).where("a <> b").select("bucket")
     return stored(ends.join(repeated, "bucket", "left_semi"), "disputed")
 
