@@ -241,9 +241,9 @@ def repeated_lines(docs: DataFrame, text: str = "text", settings: Settings = Set
 
 
 def without_repeated_lines(docs: DataFrame, text: str = "text", settings: Settings = Settings()) -> DataFrame:
-    """``docs`` with the dropped lines cut out of ``text``; a document left without a word by that is gone.
+    """``docs`` with the dropped lines cut out of ``text``; a document all of whose lines that take part were dropped is gone.
 
-    Lines too short to take part always stay, and texts that lose nothing stay as they are.
+    Lines too short to take part stay otherwise, and texts that lose nothing stay as they are.
     """
     _, dropped = repeated_lines(docs, text, settings)
     gone = dropped.select(
@@ -254,8 +254,9 @@ def without_repeated_lines(docs: DataFrame, text: str = "text", settings: Settin
     kept = F.array_join(
         F.filter(F.split(text, "\n", -1), lambda x, i: ~F.coalesce(F.array_contains("__gone", i), F.lit(False))), "\n"
     )
+    taking_part = F.size(F.filter(bare_lines(text), lambda x: F.length(x) >= settings.least_chars))
     cut = joined.withColumn("__kept", F.when(F.col("__gone").isNull(), F.col(text)).otherwise(kept))
-    left = cut.where(F.col("__gone").isNull() | F.col("__kept").rlike(r"[^\x20\x09-\x0D]"))
+    left = cut.where(F.col("__gone").isNull() | (F.size("__gone") < taking_part))
     return left.withColumn(text, F.col("__kept")).select(*docs.columns)
 
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from mnemoria.llm.exact_dedup import OP3_SQL, op3_exact_dedup
 from mnemoria.llm.language_id import op10_language_id
+from mnemoria.llm.line_dedup import op4_line_dedup
 from mnemoria.llm.mixing import op6_source_mixing
+from mnemoria.llm.packing import op8_packing
 from mnemoria.llm.quality import OP7_SQL, op7_quality_rules
 from mnemoria.llm.secret_scan import op5_secret_scan
 from mnemoria.llm.simhash import op1_simhash
@@ -15,9 +17,11 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_token_counts": op2_token_counts,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_line_dedup": op4_line_dedup,
     "op5_secret_scan": op5_secret_scan,
     "op6_source_mixing": op6_source_mixing,
     "op7_quality_rules": op7_quality_rules,
+    "op8_packing": op8_packing,
     "op9_toxicity": op9_toxicity,
     "op10_language_id": op10_language_id,
 }

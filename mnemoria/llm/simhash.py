@@ -4,7 +4,11 @@ A fingerprint of 64 bits is cut into 32 segments of two bits, and each segment m
 Manhattan distance of two such vectors is a lower bound of the number of differing bits. At 4 differing bits or fewer, it is at
 most 2 over the first 17 segments or at most 1 over the other 15. The grid has one cell per vector: two points at distance
 2 share a cell next to both, and of two points at distance 1 the upper is next to the lower one's cell. Fingerprints that share
-a cell are verified on their bits.
+a cell are verified on their bits. This finds every link of one 64-bit fingerprint.
+
+A similarity of 0.8 is about 15 % of the bits, too far for neighbouring cells. ``WIDE`` therefore takes 16 fingerprints
+and only the points' own cells over thirds of each, and verifies on all 1,024 bits: a pair is found if any of
+48 cells is shared, which is likely but not certain.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from mnemoria.llm.common import documents, ship_package, stored
 from mnemoria.llm.components import linked_classes
 
 MAX_BITS = 4
-BLOCK = 1 << 15
+BLOCK = 255  # rows that eight-bit counters can hold
 _U = np.uint64
 
 
@@ -28,13 +32,20 @@ _U = np.uint64
 class Settings:
     #: Words in a shingle.
     words: int = 4
-    #: Fingerprints of 64 bits per document; candidates are at most MAX_BITS apart in one of them.
+    #: Fingerprints of 64 bits per document.
     lanes: int = 1
-    #: Most differing bits over all lanes together.
+    #: Parts of the grid, as (first segment, segments, reach): the Manhattan distance within which all points share a cell.
+    parts: tuple[tuple[int, int, int], ...] = ((0, 17, 2), (17, 15, 1))
+    #: Most differing bits in the lane whose cell is shared, and over all lanes.
+    lane_bits: int = MAX_BITS
     total_bits: int = MAX_BITS
     seed: int = 42
 
 
+#: Five-word shingles at an estimated similarity of 0.8: an angle whose cosine is 2 * 0.8 / 1.8 flips 15.1 % of the bits.
+WIDE = Settings(words=5, lanes=16, parts=((0, 11, 0), (11, 11, 0), (22, 10, 0)), lane_bits=14, total_bits=155)
+
+
 def shingle_hashes(text: str | None, words: int, seed: int) -> np.ndarray:
     """XXH64 of each shingle, repeats included; of all words if they are fewer; none for a text without words."""
     import xxhash
@@ -53,19 +64,24 @@ def shingle_hashes(text: str | None, words: int, seed: int) -> np.ndarray:
     )
 
 
-def fingerprint(hashes: np.ndarray, lane: int = 0) -> int:
-    """The bits set in over half of the hashes, as a signed 64-bit number. Lanes after the first mix the hashes anew."""
-    if not len(hashes):
-        return 0
-    if lane:
-        hashes = (hashes ^ _U(lane * 0x9E3779B97F4A7C15 % 2**64)) * _U(0xBF58476D1CE4E5B9)
-        hashes = (hashes ^ (hashes >> _U(31))) * _U(0x94D049BB133111EB)
-        hashes ^= hashes >> _U(29)
-    counts = np.zeros(64, dtype=np.int64)
+def fingerprints(hashes: np.ndarray, lanes: int) -> list[int]:
+    """The bits set in over half of the hashes, as signed 64-bit numbers. Lanes after the first mix the hashes anew."""
+    counts = np.zeros(64 * lanes, dtype=np.int64)
     for at in range(0, len(hashes), BLOCK):
-        part = np.ascontiguousarray(hashes[at : at + BLOCK]).view(np.uint8).reshape(-1, 8)
-        counts += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.int64)[0])
+        block = mixed(hashes[at : at + BLOCK], lanes).view(np.uint8).reshape(-1, 8 * lanes)
+        counts += np.add.reduce(np.unpackbits(block, axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+    return np.packbits(2 * counts > len(hashes), bitorder="little").view(np.int64).tolist()
+
+
+def mixed(hashes: np.ndarray, lanes: int) -> np.ndarray:
+    """(hashes, lanes): the hashes as they are, then under other finalisers."""
+    out = hashes[:, None] ^ (np.arange(lanes, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
+    rest = out[:, 1:]
+    rest *= _U(0xBF58476D1CE4E5B9)
+    rest ^= rest >> _U(31)
+    rest *= _U(0x94D049BB133111EB)
+    rest ^= rest >> _U(29)
+    return np.ascontiguousarray(out)
 
 
 def with_fingerprints(docs: DataFrame, settings: Settings, text: str = "text", out: str = "lanes") -> DataFrame:
@@ -76,37 +92,41 @@ def with_fingerprints(docs: DataFrame, settings: Settings, text: str = "text", o
     def lanes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             rows = (shingle_hashes(t, settings.words, settings.seed) for t in texts)
-            yield pd.Series([[fingerprint(h, i) for i in range(settings.lanes)] for h in rows])
+            yield pd.Series([fingerprints(h, settings.lanes) for h in rows])
 
     return docs.withColumn(out, lanes(F.col(text)))
 
 
-#: Cells of a fingerprint: in ``packed``, two bits hold each segment's count, 0 to 2. A step up or down is an exclusive or.
+#: In ``packed``, two bits hold each segment's count of set bits, 0 to 2. A step up or down is an exclusive or.
 _PACKED = "((payload & {m}L) ^ (shiftrightunsigned(payload, 1) & {m}L)) | shiftleft(payload & {m}L & shiftrightunsigned(payload, 1), 1)".format(
     m=0x5555555555555555)
-_CELLS = """
-concat(
-  array(xxhash64(lane, 0, packed & {first}L), xxhash64(lane, 1, packed & {rest}L)),
-  filter(flatten(transform(sequence(0, 31), i -> transform(array(shiftrightunsigned(packed, 2 * i) & 3), c -> array(
-    if(i < 17 AND c < 2, xxhash64(lane, 0, (packed & {first}L) ^ shiftleft(if(c = 0, 1L, 3L), 2 * i)), null),
-    if(c > 0, xxhash64(lane, if(i < 17, 0, 1),
-                       (packed & if(i < 17, {first}L, {rest}L)) ^ shiftleft(if(c = 1, 1L, 3L), 2 * i)), null)
-  ))[0])), x -> x IS NOT NULL)
-)
-""".format(first=(1 << 34) - 1, rest=-(1 << 34))
 
 
-def cells(nodes: DataFrame) -> DataFrame:
-    """(bucket, node, payload) of ``nodes`` (node, lanes): the cells of each lane's fingerprint and those next to it."""
-    each = nodes.select("node", F.posexplode("lanes").alias("lane", "payload"))
-    return each.withColumn("packed", F.expr(_PACKED)).select(F.explode(F.expr(_CELLS)).alias("bucket"), "node", "payload")
+def part_cells(number: int, first: int, count: int, reach: int) -> str:
+    """SQL array of the cells of one part: the point's own and, by reach, those one step down, or down and up."""
+    mask = ((1 << 2 * count) - 1) << 2 * first
+    own = f"(packed & {mask - (1 << 64) if mask >= 1 << 63 else mask}L)"
+    cells = [f"array(xxhash64(lane, {number}, {own}))"]
+    for step, limit in ((1, "c > 0"), (0, "c < 2"))[:reach]:
+        cells.append(
+            f"filter(transform(sequence({first}, {first + count - 1}), i -> transform(array(shiftrightunsigned(packed, 2 * i) & 3), "
+            f"c -> if({limit}, xxhash64(lane, {number}, {own} ^ shiftleft(if(c = {step}, 1L, 3L), 2 * i)), null))[0]), x -> x IS NOT NULL)"
+        )
+    return f"concat({', '.join(cells)})"
+
+
+def cells(nodes: DataFrame, settings: Settings) -> DataFrame:
+    """(bucket, node, payload) of ``nodes`` (node, lanes): the cells of each lane's fingerprint, and that lane."""
+    each = nodes.select("node", F.posexplode("lanes").alias("lane", "payload")).withColumn("packed", F.expr(_PACKED))
+    parts = ", ".join(part_cells(i, *part) for i, part in enumerate(settings.parts))
+    return each.select(F.explode(F.expr(f"concat({parts})")).alias("bucket"), "node", "payload")
 
 
 def classes(nodes: DataFrame, settings: Settings) -> DataFrame:
     """(node, root) of the ``nodes`` (node, lanes; distinct lanes) that have a link."""
 
     def verify(pairs: DataFrame) -> DataFrame:
-        near = pairs.where(F.bit_count(F.col("pa").bitwiseXOR(F.col("pb"))) <= MAX_BITS)
+        near = pairs.where(F.bit_count(F.col("pa").bitwiseXOR(F.col("pb"))) <= settings.lane_bits)
         if settings.lanes == 1:
             return near
         near = near.drop("pa", "pb").distinct()
@@ -117,27 +137,50 @@ def classes(nodes: DataFrame, settings: Settings) -> DataFrame:
         )
         return near.join(a, "a").join(b, "b").where(apart <= settings.total_bits)
 
-    return linked_classes(lambda: cells(nodes), verify)
+    return linked_classes(lambda: cells(nodes, settings), verify)
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", settings: Settings = Settings()) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, lanes, component_id.
+    """One row per row of ``docs`` (doc_id, text): doc_id, mark (a hash of the text), lanes, root, component_id.
 
-    Documents with equal fingerprints, or with a chain of links between theirs, share a component, named by its
-    smallest doc_id (null if no member has one). Null, empty and wordless texts have fingerprint zero, linked as any other.
+    Documents with equal fingerprints, or with a chain of links between theirs, share a component: a number ``root``,
+    named by its smallest doc_id (null if no member has one). Null, empty and wordless texts have fingerprint zero,
+    linked as any other.
     """
-    rows = stored(with_fingerprints(docs.select("doc_id", text), settings, text).select("doc_id", "lanes"), "fingerprints")
+    narrow = docs.select("doc_id", F.col(text).alias("__text"), F.xxhash64(text).alias("mark"))
+    rows = stored(with_fingerprints(narrow, settings, "__text").drop("__text"), "fingerprints")
     nodes = stored(
         rows.groupBy("lanes").agg(F.min("doc_id").alias("least")).withColumn("node", F.monotonically_increasing_id()), "nodes"
     )
     roots = classes(nodes, settings)
     placed = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = stored(placed.join(names, "root").select("lanes", "component_id"), "components")
+    named = stored(placed.join(names, "root").select("lanes", "root", "component_id"), "components")
     # Copies share their fingerprint: a hot one is the skewed side of this join, which adaptive execution splits.
     return rows.join(named, "lanes")
 
 
+def one_of_each(docs: DataFrame, text: str = "text", settings: Settings = WIDE) -> DataFrame:
+    """``docs`` with one row per component: the smallest doc_id stays (null last), of repeated rows one."""
+    found = stored(near_duplicates(docs, text, settings).select("doc_id", "mark", "root"), "near-duplicates")
+    keys = found.groupBy("root", "doc_id", "mark").agg(F.count("*").alias("n"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
+    first = keys.groupBy("root").agg(F.min(order).alias("stays"))
+    marked = stored(keys.join(first, "root").select("doc_id", "mark", "n", (order == F.col("stays")).alias("stays")), "choice")
+
+    def among(rows: DataFrame, how: str) -> DataFrame:
+        chosen = rows.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"))
+        same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__mark"))
+        return docs.join(chosen, same, how)
+
+    # As few documents go, the join is against those: small enough, adaptive execution broadcasts them.
+    kept = among(marked.where(~F.col("stays") | (F.col("n") > 1)), "left_anti")
+    repeated = marked.where(F.col("stays") & (F.col("n") > 1))
+    if repeated.isEmpty():
+        return kept
+    return kept.unionByName(among(repeated, "left_semi").dropDuplicates(["doc_id", text]))
+
+
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
     got = near_duplicates(documents(spark, sf_dir))
     digits = F.lower(F.lpad(F.hex(F.element_at("lanes", 1)), 16, "0"))

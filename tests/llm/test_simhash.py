@@ -119,6 +119,41 @@ def test_lanes_verify_over_all_bits(spark):
     assert {tuple(r) for r in simhash.classes(nodes, settings).collect()} == {(0, 0), (2, 0)}
 
 
+def similarity(a, b, words=5):
+    a, b = ({tuple(t[i : i + words]) for i in range(len(t) - words + 1)} for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_wide_fingerprints_find_similar_texts(spark):
+    """Of pairs at a similarity of 0.85 or more nearly all are linked, of those under 0.7 none, and one of each stays."""
+    rng = random.Random(12)
+    rows, near, far = [], [], []
+    for i in range(0, 400, 2):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(150, 400))]
+        copy = list(words)
+        for _ in range(rng.choice([0, 1, 2, 4, 20, 40])):
+            copy[rng.randrange(len(copy))] = f"x{rng.randrange(5000)}"
+        near += [i] if similarity(words, copy) >= 0.85 else []
+        far += [i] if similarity(words, copy) < 0.7 else []
+        rows += [(i, " ".join(words)), (i + 1, " ".join(copy))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    class_of = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, settings=simhash.WIDE).collect()}
+    assert len(near) > 50 and sum(class_of[i] == class_of[i + 1] for i in near) >= 0.95 * len(near)
+    assert len(far) > 30 and not any(class_of[i] == class_of[i + 1] for i in far)
+    assert len({class_of[i] for i, _ in rows}) >= 200
+    stays = sorted(r.doc_id for r in simhash.one_of_each(docs).collect())
+    assert stays == sorted(set(class_of.values()))
+
+
+def test_one_of_each_odd_rows(spark, table):
+    rows = [(1, "a b c d e f"), (2, "a b c d e f"), (2, "a b c d e f"), (None, "a b c d e f"), (3, None), (4, ""),
+            (5, "other words here"), (5, "other words here"), (None, "nameless"), (None, "nameless")]
+    docs = spark.read.parquet(f"{table(rows)}/documents.parquet")
+    got = sorted([(r.doc_id, r.text) for r in simhash.one_of_each(docs).collect()], key=str)
+    assert got == [(1, "a b c d e f"), (3, None), (5, "other words here"), (None, "nameless")]
+    assert simhash.one_of_each(docs.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("shape", ["chain", "star", "random", "empty"])
 def test_connected(spark, shape):
     rng = random.Random(3)
@@ -134,7 +169,7 @@ def test_connected(spark, shape):
 
 def test_blocks_of_a_long_text(monkeypatch):
     text = " ".join(f"w{i % 97}" for i in range(3000))
-    want = simhash.fingerprint(simhash.shingle_hashes(text, 4, 42))
+    want = simhash.fingerprints(simhash.shingle_hashes(text, 4, 42), 3)
     monkeypatch.setattr(simhash, "BLOCK", 64)
-    assert simhash.fingerprint(simhash.shingle_hashes(text, 4, 42)) == want
-    assert want % 2**64 == fingerprint_by_hand(text)
+    assert simhash.fingerprints(simhash.shingle_hashes(text, 4, 42), 3) == want
+    assert want[0] % 2**64 == fingerprint_by_hand(text) and len(set(want)) == 3
