@@ -14,6 +14,8 @@ CREDENTIAL_KEYS = [
 ]
 HEADER_KEYS = ["authorization", "set[-_]?cookie", "cookie"]
 
+# A block of key text, a header line, and an assignment. The value group of the last ends at the quote it
+# began with, or at the first character that no bare credential holds; values already replaced are left alone.
 KEY_BLOCK = r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z0-9 ]*PRIVATE KEY-----"
 # The value starts after all blanks; where only blanks follow, the last one is the value.
 HEADER = (

@@ -192,9 +192,14 @@ def triage_reason(prompt: Column) -> Column:
     )
 
 
+# Where a name in camel case is cut.
+CAMEL_CUTS = [r"([a-z])([A-Z])", r"([A-Z]+)([A-Z][a-z])"]
+
+
 def normalize_name(name: Column) -> Column:
-    out = F.regexp_replace(name, r"([a-z])([A-Z])", "$1 $2")
-    out = F.regexp_replace(out, r"([A-Z]+)([A-Z][a-z])", "$1 $2")
+    out = name
+    for pattern in CAMEL_CUTS:
+        out = F.regexp_replace(out, pattern, "$1 $2")
     return collapse(F.lower(F.regexp_replace(out, r"[-_]", " ")))
 
 
@@ -224,14 +229,13 @@ HOME_PREFIXES = [
     r"^[A-Za-z]:/(?i:Users)/[^/]+/",
     r"^/Users/[^/]+/",
     r"^/home/[^/]+/",
-    r"(?i)^/mnt/[a-z]/Users/[^/]+/",
-    r"^[A-Za-z]:/(?i:Set up company)/",
+    r"^/(?i:mnt)/[A-Za-z]/(?i:Users)/[^/]+/",
 ]
 NOT_A_PROJECT = [
     ".claude", ".config", ".cache", ".local", ".vscode", ".git", ".ssh", ".npm",
     "Downloads", "Documents", "Desktop", "Pictures", "Music", "Videos",
     "node_modules", "tmp", "temp", "AppData", "Library",
-    "OneDrive", "Dropbox", "Google Drive", "Users", "home", "HP",
+    "OneDrive", "Dropbox", "Google Drive", "Users", "home",
     "projects", "commands", "skills", "worktrees", "hooks", "agents", "plugins",
     "settings", "memory", "todos", "shell-snapshots", "ide",
 ]

@@ -22,6 +22,7 @@ def is_finite(vec: Column) -> Column:
 
 def unit_rows(vectors) -> np.ndarray:
     """Stack equal-length vectors and scale each to length one; a zero vector stays zero."""
-    m = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
+    vectors = list(vectors)
+    m = np.concatenate(vectors).astype(np.float64).reshape(len(vectors), -1)
     norms = np.linalg.norm(m, axis=1, keepdims=True)
     return np.divide(m, norms, out=np.zeros_like(m), where=norms > 0)

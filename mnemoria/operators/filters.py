@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from mnemoria.functions import scoring, text
-from mnemoria.scale import salted_join, small_side
 
 
 def visible(include_archived: bool = False, include_superseded: bool = False) -> Column:
@@ -26,13 +25,17 @@ def visible_memories(memories: DataFrame, include_archived: bool = False, includ
 def fetch_by_ids(
     ids: DataFrame, memories: DataFrame, entities: DataFrame, layer: str | None = None, **flags: bool
 ) -> DataFrame:
-    """Rows named in ``ids(id)``, with the usual visibility and a neutral relevance."""
+    """Rows named in ``ids(id)``, with the usual visibility and a neutral relevance.
+
+    ``layer`` may be an alias; a word that names no layer filters nothing.
+    """
     from mnemoria.operators.joins import memory_entity_view
 
     wanted = visible_memories(memories, **flags)
     if layer:
-        wanted = wanted.filter(F.col("layer") == layer)
-    found = wanted.join(small_side(ids.select("id").distinct()), "id", "left_semi")
+        named = text.resolve_layer(F.lit(layer))
+        wanted = wanted.filter(named.isNull() | (F.col("layer") == named))
+    found = wanted.join(ids.select("id").distinct(), "id", "left_semi")
     return memory_entity_view(found, entities).withColumn("relevance", F.lit(scoring.NEUTRAL_RELEVANCE))
 
 
@@ -64,31 +67,17 @@ def project_scope(hits: DataFrame, project: str | None) -> DataFrame:
 def path_roots_scope(paths: DataFrame, roots: DataFrame, path: str = "file_path") -> DataFrame:
     """Rows whose path starts with any of ``roots(root)``; no roots means no filter.
 
-    A prefix test against many roots becomes an equality join: only the lengths of the roots
-    come to the driver (at most the longest path), and each path offers its prefix of every
-    such length. Roots below another root are dropped first, so a path matches at most once.
+    Each distinct path offers all its prefixes, as many as it has characters, and those are matched by equality. The
+    empty prefix is a root only where there is no other.
     """
-    lengths = [r[0] for r in roots.select(F.char_length("root")).distinct().limit(4097).collect()]
-    if not lengths:
-        return paths
-    if len(lengths) > 4096:
-        raise ValueError("roots longer than any file path")
-
-    def prefixes(column: Column, proper: bool) -> Column:
-        size = F.char_length(column)
-        cuts = [F.when((size > n) if proper else (size >= n), F.substring(column, 1, n)) for n in lengths]
-        return F.array_compact(F.array(*cuts))
-
-    distinct_roots = roots.select("root").distinct()
-    covered = (
-        distinct_roots.select("root", F.explode(prefixes(F.col("root"), True)).alias("shorter"))
-        .join(distinct_roots.select(F.col("root").alias("shorter")), "shorter", "left_semi")
-        .select("root")
-        .distinct()
+    none = roots.agg(F.count("root").alias("n")).where("n = 0").select(F.lit("").alias("root"))
+    wanted = roots.select("root").unionByName(none).distinct()
+    size = F.char_length(path)
+    offered = paths.select(path).distinct().select(
+        path, F.explode(F.transform(F.sequence(F.lit(0), size), lambda n: F.substring(F.col(path), F.lit(1), n))).alias("root")
     )
-    minimal = distinct_roots.join(covered, "root", "left_anti")
-    offered = paths.withColumn("root", F.explode(prefixes(F.col(path), False)))
-    return salted_join(offered, minimal, ["root"], path, "left_semi").drop("root")
+    inside = offered.join(wanted, "root", "left_semi").select(path).distinct()
+    return paths.join(inside, path, "left_semi").select(paths.columns)
 
 
 def path_scope_counts(paths: DataFrame, roots: DataFrame, path: str = "file_path") -> DataFrame:

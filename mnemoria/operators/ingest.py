@@ -15,21 +15,23 @@ from mnemoria.functions.redact import redacted
 from mnemoria.functions.vectors import is_finite
 from mnemoria.model import Store, column_names
 from mnemoria.runtime import cut_lineage
-from mnemoria.scale import global_positions, salted_join, small_side
+from mnemoria.scale import connected, global_positions
 
 Encoder = Callable[[list[str]], "list[list[float] | None] | None"]
 
-EMBED_LIMIT = 500
-PAGE_LIMIT = 200
+PAGE_ROWS = 200
 
 
 def next_id(table: DataFrame) -> int:
     return (table.agg(F.max("id")).first()[0] or 0) + 1
 
 
-def append_rows(table: DataFrame, rows: DataFrame, order: list[str]) -> DataFrame:
-    """``table`` plus ``rows``, whose ids continue after the largest one in the order given."""
-    numbered = global_positions(rows, order, "id", next_id(table))
+def append_rows(table: DataFrame, rows: DataFrame) -> DataFrame:
+    """``table`` plus ``rows``, with ids after the largest one: unique and growing within a task, but not dense.
+
+    The rows are written first, so that every later read of the result sees the same ids.
+    """
+    numbered = cut_lineage(rows).withColumn("id", F.lit(next_id(table)) + F.monotonically_increasing_id())
     return table.unionByName(numbered.select([c for c in table.columns if c in numbered.columns]), allowMissingColumns=True)
 
 
@@ -95,13 +97,15 @@ def resolve_entities(
     )
     same_name = groups.groupBy("entity_kind", F.lower("name").alias("lowered")).agg(F.min("first_seq").alias("by_name"))
     same_key = groups.filter("key IS NOT NULL").groupBy("key").agg(F.min("first_seq").alias("by_key"))
-    rooted = (
+    linked = cut_lineage(
         groups.withColumn("lowered", F.lower("name"))
         .join(same_name, ["entity_kind", "lowered"], "left")
         .join(same_key, "key", "left")
-        .withColumn("root", F.least("first_seq", "by_name", "by_key"))
     )
-    rooted = cut_lineage(rooted)
+    # Names may hang together over several steps (by name, then by key, and so on): all of a component are one entity.
+    links = linked.select(F.col("first_seq").alias("a"), F.explode(F.array("by_name", "by_key")).alias("b"))
+    roots = connected(links.filter("b IS NOT NULL")).withColumnRenamed("node", "first_seq")
+    rooted = cut_lineage(linked.join(roots, "first_seq", "left").withColumn("root", F.coalesce("root", "first_seq")))
     heads = rooted.filter(F.col("root") == F.col("first_seq"))
     keys = rooted.groupBy("root").agg(
         F.min_by("key", F.when(F.col("key").isNotNull(), F.col("first_seq"))).alias("group_key")
@@ -120,19 +124,22 @@ def resolve_entities(
     lookup = table.select(
         F.col("entity_kind"), F.col("entity_name"), key_of_name.alias("__key"), "entity_id"
     )
-    resolved = salted_join(
-        incoming.withColumn("__key", key_of_name), lookup, ["entity_kind", "entity_name", "__key"], "seq"
-    ).drop("__key")
+    resolved = incoming.withColumn("__key", key_of_name).join(lookup, ["entity_kind", "entity_name", "__key"]).drop("__key")
 
     fills = matched.filter(F.col("entity_id").isNotNull()).groupBy(F.col("entity_id").alias("id")).agg(
         F.min_by("entity_key", F.when(F.col("entity_key").isNotNull(), F.col("seq"))).alias("fill_key"),
         F.min_by("norm", F.when(F.col("norm_id").isNull() & F.col("key_id").isNull(), F.col("seq"))).alias("fill_norm"),
     )
     key_column = F.coalesce("canonical_key", "fill_key") if backfill_key else F.col("canonical_key")
+    stamp = F.lit(as_of).cast("bigint")
+    named = F.coalesce("normalized_name", "fill_norm")
+    changed = ~key_column.eqNullSafe(F.col("canonical_key")) | ~named.eqNullSafe(F.col("normalized_name"))
     filled = entities.join(fills, "id", "left").withColumns(
-        {"canonical_key": key_column, "normalized_name": F.coalesce("normalized_name", "fill_norm")}
+        {
+            "updated_at": F.when(changed, stamp).otherwise(F.col("updated_at")),
+            "canonical_key": key_column, "normalized_name": named,
+        }
     )
-    stamp = F.lit(as_of).cast("bigint")
     fresh = created.select(
         F.col("entity_id").alias("id"), F.col("entity_kind").alias("kind"), "name", F.col("norm").alias("normalized_name"),
         F.col("group_key").alias("canonical_key"), F.lit(0.0).alias("momentum_score"),
@@ -178,7 +185,7 @@ def ingest_memories(incoming: DataFrame, store: Store, as_of: int) -> tuple[Stor
     updated = store.with_(
         entities=entities,
         memories=store.memories.unionByName(accepted, allowMissingColumns=True),
-        events=append_rows(store.events, events, ["payload"]),
+        events=append_rows(store.events, events),
     )
     return updated, accepted, rejected
 
@@ -219,7 +226,7 @@ def update_memories(store: Store, patches: DataFrame, as_of: int) -> tuple[Store
     report = cut_lineage(report)
     good = report.filter(F.col("outcome") == "updated").withColumnRenamed("memory_id", "id")
     merged = store.memories.join(
-        small_side(good.select("id", "new_content", "new_layer", "new_importance", "content_changed")), "id", "left"
+        good.select("id", "new_content", "new_layer", "new_importance", "content_changed"), "id", "left"
     )
     reset = F.coalesce("content_changed", F.lit(False))
 
@@ -242,7 +249,7 @@ def update_memories(store: Store, patches: DataFrame, as_of: int) -> tuple[Store
     ).select(column_names("memories"))
     payload = F.to_json(F.struct(F.col("id").alias("memory_id"), "changed"))
     events = event_rows(good, F.col("entity_id"), F.lit("memory_updated"), payload, as_of)
-    updated = store.with_(memories=memories, events=append_rows(store.events, events, ["payload"]))
+    updated = store.with_(memories=memories, events=append_rows(store.events, events))
     return updated, report.select("memory_id", "outcome", "changed")
 
 
@@ -274,7 +281,7 @@ def ingest_vectors(vectors: DataFrame, memories: DataFrame, dim: int) -> tuple[D
 
 
 def apply_vectors(memories: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
-    joined = memories.join(small_side(vectors.select("id", "vec", "model")), "id", "left")
+    joined = memories.join(vectors.select("id", "vec", "model"), "id", "left")
     given = F.col("vec").isNotNull()
     return joined.withColumns(
         {
@@ -335,16 +342,14 @@ def embedding_body(with_prefix: str = "") -> Column:
 
 
 def embed_backlog(
-    store: Store, encoder_factory: Callable[[], Encoder], model: str, dim: int, limit: int = EMBED_LIMIT, prefix: str = ""
+    store: Store, encoder_factory: Callable[[], Encoder], model: str, dim: int, limit: int | None = None, prefix: str = ""
 ) -> Store:
-    """Embed the oldest pending active rows; rows without a vector stay pending."""
-    targets = (
-        store.memories.filter((F.col("embedding_status") == "pending") & F.col("archived_at").isNull())
-        .select("id", "created_at", embedding_body(prefix).alias("body"))
-        .orderBy("created_at", "id")
-        .limit(limit)
-        .repartition(int(store.memories.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
-    )
+    """Embed the pending active rows, all or the oldest ``limit``; rows without a vector stay pending."""
+    waiting = store.memories.filter((F.col("embedding_status") == "pending") & F.col("archived_at").isNull())
+    targets = waiting.select("id", "created_at", embedding_body(prefix).alias("body"))
+    if limit is not None:
+        targets = targets.orderBy("created_at", "id").limit(limit)
+    targets = targets.repartition(int(store.memories.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
     vectors = encode_texts(targets, encoder_factory).withColumn("model", F.lit(model))
     return store.with_(memories=apply_vectors(store.memories, vectors, dim))
 
@@ -371,12 +376,12 @@ def tokenize_backlog_count(memories: DataFrame) -> DataFrame:
     return due.agg(F.count("*").alias("to_tokenize"))
 
 
-def pending_backlog(memories: DataFrame, cursor: int = 0, limit: int = PAGE_LIMIT) -> DataFrame:
+def pending_backlog(memories: DataFrame, cursor: int = 0, limit: int = PAGE_ROWS) -> DataFrame:
     """A keyset page of rows waiting for a vector, each with the text to embed."""
     waiting = (F.col("embedding_status") == "pending") & F.col("archived_at").isNull() & (F.col("id") > cursor)
     has_text = F.char_length(F.coalesce("content_tokenized", "content")) > 0
     page = memories.filter(waiting & has_text).select("id", "content", embedding_body().alias("text_for_embedding"))
-    return page.orderBy("id").limit(min(limit, PAGE_LIMIT))
+    return page.orderBy("id").limit(limit)
 
 
 def pending_remaining(memories: DataFrame) -> DataFrame:

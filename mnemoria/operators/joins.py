@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from mnemoria.scale import carry_forward, salted_join, small_side
+from mnemoria.scale import carry_forward
 
 
 def memory_entity_view(memories: DataFrame, entities: DataFrame) -> DataFrame:
@@ -15,7 +15,7 @@ def memory_entity_view(memories: DataFrame, entities: DataFrame) -> DataFrame:
         F.col("kind").alias("entity_kind"),
         "momentum_score",
     )
-    return salted_join(memories, names, ["entity_id"], "id")
+    return memories.join(names, ["entity_id"])
 
 
 def attribute_intent(turns: DataFrame) -> DataFrame:
@@ -37,7 +37,7 @@ def link_edits_to_memories(edits: DataFrame, file_memories: DataFrame) -> DataFr
     ``file_memories(session_id, file_path, memory_id)`` holds one row per path and session.
     """
     one = file_memories.groupBy("session_id", "file_path").agg(F.max("memory_id").alias("memory_id"))
-    return salted_join(edits.drop("memory_id"), one, ["session_id", "file_path"], "occurred_at", "left")
+    return edits.drop("memory_id").join(one, ["session_id", "file_path"], "left")
 
 
 def file_linked_memories(
@@ -48,7 +48,7 @@ def file_linked_memories(
     linked = edits.filter(path_matches(path_substring)).select(F.col("memory_id").alias("id")).distinct()
     top = (
         memories.select("id", "entity_id", "layer", "content", "importance")
-        .join(small_side(linked), "id", "left_semi")
+        .join(linked, "id", "left_semi")
         .orderBy(F.desc("importance"), "id")
         .limit(limit)
     )

@@ -13,9 +13,9 @@ from mnemoria.model import Store
 from mnemoria.operators.ingest import Encoder
 from mnemoria.operators.joins import memory_entity_view
 from mnemoria.operators.filters import project_scope, visible_memories
-from mnemoria.operators.search import MIN_COSINE, hybrid_candidates
+from mnemoria.operators.search import MIN_COSINE, VECTOR_TOP_K, hybrid_candidates, minmax_vector_scores
 from mnemoria.runtime import cut_lineage
-from mnemoria.scale import salted_join, small_side
+
 
 # Budget defaults, hard limits and fusion constant.
 MAX_TOKENS, SAFETY_CAP, HARD_LIMIT, RRF_K = 2000, 6000, 200, 60
@@ -43,14 +43,19 @@ class RecallConfig:
     rerank_top: int = RERANK_TOP
     # Text whose length counts against the budget; the serialised row when not given.
     measure: Column | None = None
+    # Ceilings, all of them: rows of a page, tokens of a page, candidates per path and row, vectors per query.
+    hard_limit: int = HARD_LIMIT
+    safety_cap: int = SAFETY_CAP
+    fetch_factor: int = 3
+    vector_top: int = VECTOR_TOP_K
 
     @property
     def rows(self) -> int:
-        return HARD_LIMIT if self.limit is None else max(1, min(HARD_LIMIT, self.limit))
+        return self.hard_limit if self.limit is None else max(1, min(self.hard_limit, self.limit))
 
     @property
     def fetch(self) -> int:
-        return self.rows * 3 + max(0, self.offset)
+        return self.rows * self.fetch_factor + max(0, self.offset)
 
     @property
     def flags(self) -> dict[str, bool]:
@@ -123,6 +128,7 @@ def score_breakdown(ignore_decay: bool = False) -> Column:
         factor("supersession_penalty"),
         F.col("activation_computed_at"),
         F.round("cos", 3).alias("vector_cos"),
+        F.round("vec_norm", 3).alias("vector_norm"),
         F.col("fts_rank").alias("rrf_fts_rank"),
         F.col("vec_rank").alias("rrf_vec_rank"),
     )
@@ -182,7 +188,7 @@ def token_budget_select(
 
 def hydrate(candidates: DataFrame, memories: DataFrame, entities: DataFrame) -> DataFrame:
     """Candidates with the columns of their memory and entity; vectors are never read here."""
-    ids = small_side(candidates.select("id").distinct())
+    ids = candidates.select("id").distinct()
     wanted = memories.select(
         "id", "entity_id", "layer", "content", "importance", "protected", "created_at", "last_accessed_at",
         "access_count", "archived_at", "superseded_by_id", "activation_score", "ttl_penalty",
@@ -190,7 +196,7 @@ def hydrate(candidates: DataFrame, memories: DataFrame, entities: DataFrame) ->
     ).join(ids, "id", "left_semi")
     rows = memory_entity_view(wanted, entities)
     # A memory may be a hit of very many queries; each memory is one row on the other side.
-    return salted_join(candidates, rows, ["id"], "query_id")
+    return candidates.join(rows, ["id"])
 
 
 def hybrid_recall(queries: DataFrame, store: Store, as_of: int, cfg: RecallConfig = RecallConfig()) -> DataFrame:
@@ -201,7 +207,7 @@ def hybrid_recall(queries: DataFrame, store: Store, as_of: int, cfg: RecallConfi
     found = cut_lineage(
         hybrid_candidates(
             queries, store.memories, store.entities, cfg.model, cfg.dim, cfg.min_cos, cfg.fetch, cfg.min_chars,
-            **cfg.flags,
+            cfg.vector_top, **cfg.flags,
         )
     )
     return rank_candidates(found, queries, store, as_of, cfg)
@@ -210,7 +216,8 @@ def hybrid_recall(queries: DataFrame, store: Store, as_of: int, cfg: RecallConfi
 def rank_candidates(
     found: DataFrame, queries: DataFrame, store: Store, as_of: int, cfg: RecallConfig = RecallConfig()
 ) -> DataFrame:
-    rows = with_scores(hydrate(rrf_fuse(found, cfg.rrf_k), store.memories, store.entities), as_of, cfg.ignore_decay)
+    fused = minmax_vector_scores(rrf_fuse(found, cfg.rrf_k))
+    rows = with_scores(hydrate(fused, store.memories, store.entities), as_of, cfg.ignore_decay)
     if cfg.band:
         rows = rows.filter(F.col("band") == cfg.band)
     per_query = W.partitionBy("query_id")
@@ -219,7 +226,7 @@ def rank_candidates(
         "total_candidates", F.count("*").over(per_query)
     )
     if cfg.snippet_window or cfg.scorer:
-        ranked = salted_join(ranked, queries.select("query_id", "text"), ["query_id"], "id")
+        ranked = ranked.join(queries.select("query_id", "text"), ["query_id"])
     if cfg.scorer:
         ranked = rerank_top_n(ranked, cfg.scorer, cfg.rerank_top).drop("rank", "pair_score")
         ranked = ranked.withColumnRenamed("new_rank", "rank")
@@ -231,19 +238,29 @@ def rank_candidates(
     page = page.withColumn("shown", shown).withColumn("content_truncated", F.col("shown") != F.col("content"))
     page = page.drop("content").withColumnRenamed("shown", "content")
     page = page.withColumn("score_breakdown", score_breakdown(cfg.ignore_decay))
-    measure = cfg.measure if cfg.measure is not None else F.to_json(F.struct(*OUTPUT))
+    page = page.withColumn("pinned", F.col("importance") >= scoring.PIN_IMPORTANCE)
+    measure = cfg.measure if cfg.measure is not None else serialised()
     page = page.withColumn("tokens", text.token_estimate(measure))
-    chosen = token_budget_select(page, "tokens", cfg.rows, cfg.offset, max(100, cfg.max_tokens))
+    chosen = token_budget_select(page, "tokens", cfg.rows, cfg.offset, max(100, cfg.max_tokens), cfg.safety_cap)
     returned = F.count("*").over(W.partitionBy("query_id"))
     return chosen.withColumn("has_more", F.col("total_candidates") > cfg.offset + returned)
 
 
 OUTPUT = [
     "id", "entity_id", "entity_name", "entity_kind", "momentum_score", "layer", "content", "content_truncated",
-    "importance", "created_at", "heat", "band", "composite", "match_reasons", "score_breakdown",
+    "importance", "created_at", "pinned", "heat", "band", "composite", "match_reasons", "score_breakdown",
 ]
 
 
+def serialised() -> Column:
+    """The row as JSON. Content that is JSON itself stands in it as such, not as an escaped string."""
+    rest = F.to_json(F.struct(*[c for c in OUTPUT if c != "content"]))
+    parsed = F.when(~F.col("content_truncated"), F.to_json(F.try_parse_json("content")))
+    as_text = F.to_json(F.struct("content"))
+    content = F.coalesce(F.concat(F.lit('{"content":'), parsed, F.lit("}")), as_text)
+    return F.concat(rest.substr(F.lit(1), F.char_length(rest) - 1), F.lit(","), content.substr(F.lit(2), F.char_length(content)))
+
+
 def embed_queries(queries: DataFrame, encoder_factory: Callable[[], Encoder], prefix: str = "query: ") -> DataFrame:
     """Queries with ``vec`` from the encoder; a query it gives no vector for keeps a null one.
 
@@ -259,7 +276,7 @@ def embed_queries(queries: DataFrame, encoder_factory: Callable[[], Encoder], pr
 
     asked = queries.filter(F.coalesce("text", F.lit("")) != "").select("query_id", "text")
     vectors = asked.mapInPandas(run, "query_id string, vec array<float>")
-    return queries.join(small_side(vectors), "query_id", "left")
+    return queries.join(vectors, "query_id", "left")
 
 
 def mark_accessed(store: Store, hits: DataFrame, as_of: int) -> Store:
@@ -267,7 +284,7 @@ def mark_accessed(store: Store, hits: DataFrame, as_of: int) -> Store:
     from mnemoria.operators.ingest import append_rows
 
     hits = cut_lineage(hits.select("query_id", "id"))
-    per_memory = small_side(hits.groupBy("id").agg(F.count("*").cast("int").alias("__n")))
+    per_memory = hits.groupBy("id").agg(F.count("*").cast("int").alias("__n"))
     memories = (
         store.memories.join(per_memory, "id", "left")
         .withColumn("last_accessed_at", F.when(F.col("__n").isNotNull(), F.lit(as_of)).otherwise(F.col("last_accessed_at")))
@@ -275,22 +292,23 @@ def mark_accessed(store: Store, hits: DataFrame, as_of: int) -> Store:
         .drop("__n")
     )
     log = hits.select(F.col("id").alias("memory_id"), F.lit(as_of).cast("bigint").alias("accessed_at"), "query_id")
-    access_log = append_rows(store.access_log, log, ["memory_id", "query_id"])
+    access_log = append_rows(store.access_log, log)
     return store.with_(memories=memories, access_log=access_log)
 
 
 def multi_layer_recall(
     queries: DataFrame, store: Store, as_of: int, layers: tuple[str, ...] = ("realize", "learning"),
     project: str | None = None, limit: int = 8, max_tokens: int = 1500, cfg: RecallConfig = RecallConfig(),
+    most_hits: int = 20, most_tokens: int = 3000,
 ) -> DataFrame:
     """Recall per layer in one pass: each query is repeated once per layer, then merged and cut."""
-    n = min(limit, 20)
+    n = min(limit, most_hits)
     per_layer = queries.drop("layer").withColumn("layer", F.explode(F.array(*[F.lit(x) for x in layers])))
     asked = per_layer.withColumn("query_id", F.concat_ws("\u0001", "query_id", "layer"))
     from dataclasses import replace
 
     hits = hybrid_recall(
-        asked, store, as_of, replace(cfg, limit=n, offset=0, max_tokens=min(max_tokens, 3000), snippet_window=240)
+        asked, store, as_of, replace(cfg, limit=n, offset=0, max_tokens=min(max_tokens, most_tokens), snippet_window=240)
     )
     hits = project_scope(hits, project).withColumn("query_id", F.split("query_id", "\u0001")[0])
     order = (F.round("composite", 9).desc(), F.col("id"))
@@ -384,8 +402,8 @@ def recall_quality(cases: DataFrame, expected: DataFrame, hits: DataFrame) -> Da
 
 def recall_by_ids(ids: DataFrame, store: Store, as_of: int, ignore_decay: bool = False, **flags: bool) -> DataFrame:
     """Direct fetch of whole rows, scored with a neutral relevance and no provenance."""
-    rows = visible_memories(store.memories, **flags).join(small_side(ids.select("id").distinct()), "id", "left_semi")
+    rows = visible_memories(store.memories, **flags).join(ids.select("id").distinct(), "id", "left_semi")
     joined = memory_entity_view(rows, store.entities).withColumn("relevance", F.lit(scoring.NEUTRAL_RELEVANCE))
-    for name, kind in [("via", "string"), ("in_entity", "boolean"), ("cos", "double"), ("fts_rank", "int"), ("vec_rank", "int")]:
+    for name, kind in [("via", "string"), ("in_entity", "boolean"), ("cos", "double"), ("vec_norm", "double"), ("fts_rank", "int"), ("vec_rank", "int")]:
         joined = joined.withColumn(name, F.lit(None).cast(kind))
     return with_scores(joined, as_of, ignore_decay)

@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from mnemoria.functions import scoring
+from mnemoria.functions import scoring, text
 from mnemoria.operators.ingest import stale_vectors
 from mnemoria.operators.joins import memory_entity_view
 
@@ -237,9 +237,8 @@ def view_entity(memories: DataFrame, entities: DataFrame, name: str) -> DataFram
 
 
 def view_layer(memories: DataFrame, entities: DataFrame, layer: str) -> DataFrame:
-    from mnemoria.model import LAYERS
-
-    if layer.lower() not in LAYERS:
+    named = text.LAYER_ALIASES.get(layer.strip().lower())
+    if named is None:
         raise ValueError(f"unknown layer {layer!r}")
-    rows = memories.filter(F.col("layer") == layer.lower())
+    rows = memories.filter(F.col("layer") == named)
     return _view(rows.orderBy(F.desc("importance"), F.desc("created_at"), "id").limit(200), entities)

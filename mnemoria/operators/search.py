@@ -6,11 +6,12 @@ own best rows per query, and only those meet in the final per-query ranking.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from mnemoria.functions import text
@@ -22,10 +23,17 @@ from mnemoria.scale import blocked_product
 
 # BM25 saturation, length weight and the floor of a term's weight.
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
+# Rows scored at once: rows x queries numbers are held.
+CHUNK = 1024
 MIN_COSINE = 0.55
 VECTOR_TOP_K = 200
 
 
+def by_layer(queries: DataFrame) -> DataFrame:
+    """Queries with their ``layer`` resolved: an alias names its layer, any other word filters nothing."""
+    return queries.withColumn("layer", text.resolve_layer(F.col("layer")))
+
+
 class BestPerQuery:
     """Running best ``k`` rows per query: keys descending in turn, then id ascending."""
 
@@ -95,7 +103,7 @@ def merge_ranked(hits: DataFrame, limit: int, rank: str, *order, ways: int | Non
 
 def query_terms(queries: DataFrame, min_chars: int = 1) -> DataFrame:
     """(query_id, layer, term, times): the tokens of each query that names no entity."""
-    free = queries.filter(F.col("entity_name").isNull())
+    free = by_layer(queries).filter(F.col("entity_name").isNull())
     exploded = free.select("query_id", "layer", F.explode(text.tokens(F.col("text"))).alias("term"))
     return exploded.filter(F.char_length("term") >= min_chars).groupBy("query_id", "layer", "term").agg(
         F.count("*").alias("times")
@@ -137,43 +145,43 @@ def bm25_search(
     def kernel(batches: Iterator[pd.DataFrame], q: pd.DataFrame) -> Iterator[pd.DataFrame]:
         if q.empty:
             return
-        vocabulary: dict[str, int] = {}
-        entries: list[tuple[int, int, float]] = []
-        for column, (terms, weights) in enumerate(zip(q["terms"], q["weights"])):
-            for term, value in zip(terms, weights):
-                entries.append((vocabulary.setdefault(term, len(vocabulary)), column, value))
-        entries.sort()
-        term_of, query_of, weight_of = (np.array(c) for c in zip(*entries))
-        start = np.searchsorted(term_of, np.arange(len(vocabulary) + 1))
+        entries = pd.DataFrame({"term": q["terms"].explode(), "weight": q["weights"].explode()})
+        entries["query"] = np.repeat(np.arange(len(q)), q["terms"].map(len))
+        vocabulary = pa.array(sorted(set(entries["term"])))
+        entries["place"] = pc.index_in(pa.array(entries["term"]), value_set=vocabulary).to_numpy()
+        entries = entries.sort_values(["place", "query"])
+        query_of, weight_of = entries["query"].to_numpy(), entries["weight"].to_numpy(dtype=np.float64)
+        start = np.searchsorted(entries["place"].to_numpy(), np.arange(len(vocabulary) + 1))
         names = q["query_id"].to_numpy(dtype=object)
-        lookup = vocabulary.get
         best = BestPerQuery(limit, len(q), 1)
         for batch in batches:
             allowed = _layer_allows(q["layer"], batch["layer"])
-            for i, (row_id, words_text) in enumerate(zip(batch["id"], batch["content_tokenized"])):
-                words_list = words_text.split(" ") if words_text else []
-                counts = Counter(map(lookup, words_list))
-                counts.pop(None, None)
-                if not counts:
-                    continue
-                found = np.fromiter(counts.keys(), dtype=np.int64, count=len(counts))
-                tf = np.fromiter(counts.values(), dtype=np.float64, count=len(counts))
-                part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(words_list) / mean))
-                spans = start[found + 1] - start[found]
-                ends = np.cumsum(spans)
-                at = np.arange(ends[-1]) - np.repeat(ends - spans, spans) + np.repeat(start[found], spans)
-                score = np.bincount(query_of[at], weights=weight_of[at] * np.repeat(part, spans), minlength=len(q))
-                hit = score > 0 if allowed is None else (score > 0) & allowed[i]
-                columns = np.flatnonzero(hit)
-                if len(columns):
-                    best.add(columns, np.full(len(columns), row_id, dtype=np.int64), np.round(score[columns], 9))
+            ids = batch["id"].to_numpy(dtype=np.int64)
+            for at in range(0, len(batch), CHUNK):
+                words = pc.split_pattern(pa.array(batch["content_tokenized"].iloc[at : at + CHUNK], pa.string()), " ")
+                offsets = np.asarray(words.offsets)
+                place = pc.index_in(words.flatten(), value_set=vocabulary).fill_null(-1).to_numpy()
+                row = np.repeat(np.arange(len(words)), np.diff(offsets))
+                # (row, term) with its count; then one entry for each query that has the term.
+                code, tf = np.unique(row[place >= 0] * len(vocabulary) + place[place >= 0], return_counts=True)
+                row, place = np.divmod(code, len(vocabulary))
+                size = np.diff(offsets)[row]
+                part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean))
+                spans = start[place + 1] - start[place]
+                entry = np.arange(spans.sum()) - np.repeat(np.cumsum(spans) - spans, spans) + np.repeat(start[place], spans)
+                cell = np.repeat(row, spans) * len(q) + query_of[entry]
+                score = np.bincount(cell, weights=weight_of[entry] * np.repeat(part, spans), minlength=len(words) * len(q))
+                score = np.round(score.reshape(len(words), len(q)), 9)
+                hit = score > 0 if allowed is None else (score > 0) & allowed[at : at + CHUNK]
+                r, c = np.nonzero(hit)
+                best.add(c, ids[at + r], score[r, c])
         out = best.result()
         if out is not None:
             yield pd.DataFrame({"query_id": names[out[0]], "id": out[1], "bm25": out[2]})
 
     shown = visible_memories(corpus, **flags).select("id", "layer", "content_tokenized")
     hits = blocked_product(
-        shown, by_query, kernel, "query_id string, id bigint, bm25 double", "id", "query_id", right_rows=right_rows
+        shown, by_query, kernel, "query_id string, id bigint, bm25 double", "query_id", right_rows=right_rows
     )
     return merge_ranked(hits, limit, "fts_rank", F.desc("bm25"))
 
@@ -187,7 +195,7 @@ def substring_search(
     A query that names an entity looks for that name in entity names only and ignores its text;
     any other query looks for its text, literally and case-insensitively, in names and contents.
     """
-    needles = queries.select(
+    needles = by_layer(queries).select(
         "query_id",
         "layer",
         F.lower(F.coalesce("entity_name", "text")).alias("needle"),
@@ -248,14 +256,14 @@ def substring_search(
             )
 
     schema = "query_id string, id bigint, importance double, last_accessed_at bigint, in_entity boolean"
-    hits = blocked_product(haystack, needles, kernel, schema, "id", "query_id", right_rows=right_rows)
+    hits = blocked_product(haystack, needles, kernel, schema, "query_id", right_rows=right_rows)
     if limit is None:
         return hits
     return merge_ranked(hits, limit, "like_rank", F.desc("importance"), F.desc("last_accessed_at"))
 
 
 class _Finder:
-    """Which of many needles occur in a text: one pass of an automaton, or plain tests without it."""
+    """Which of many needles occur in a text, by one pass of an automaton."""
 
     def __init__(self, needles: list[str]):
         self.n = len(needles)
@@ -266,10 +274,8 @@ class _Finder:
                 self.where.setdefault(needle, []).append(i)
         self.automaton = None
         if self.where:
-            try:
-                import ahocorasick
-            except ImportError:
-                return
+            import ahocorasick
+
             self.automaton = ahocorasick.Automaton()
             for needle, places in self.where.items():
                 self.automaton.add_word(needle, places)
@@ -280,10 +286,6 @@ class _Finder:
         if self.automaton is not None:
             for _, places in self.automaton.iter(haystack):
                 out[places] = True
-        else:
-            for needle, places in self.where.items():
-                if needle in haystack:
-                    out[places] = True
         return out
 
 
@@ -292,7 +294,7 @@ def vector_search(
     top_k: int = VECTOR_TOP_K, right_rows: int = 4096, **flags: bool,
 ) -> DataFrame:
     """(query_id, id, cos, vec_rank) over rows embedded by ``model`` in ``dim`` dimensions."""
-    known = queries.filter(F.size("vec") == dim).select("query_id", "layer", "vec")
+    known = by_layer(queries).filter(F.size("vec") == dim).select("query_id", "layer", "vec")
     # A filter on plain columns, so it reaches the scan; the size test drops broken vectors.
     done = (F.col("embedding_status") == "done") & (F.col("embedding_model") == model) & (F.col("embedding_dim") == dim)
     rows = visible_memories(memories, **flags).filter(done & (F.size("embedding") == dim))
@@ -322,7 +324,7 @@ def vector_search(
 
     hits = blocked_product(
         rows.select("id", "layer", "embedding"), known, kernel, "query_id string, id bigint, cos double",
-        "id", "query_id", right_rows=right_rows,
+        "query_id", right_rows=right_rows,
     )
     return merge_ranked(hits, top_k, "vec_rank", F.desc("cos"))
 
@@ -362,12 +364,12 @@ def merge_candidates(fts: DataFrame | None, like: DataFrame, vectors: DataFrame
 
 def hybrid_candidates(
     queries: DataFrame, memories: DataFrame, entities: DataFrame, model: str | None = None, dim: int = 0,
-    min_cos: float = MIN_COSINE, fetch: int = 600, min_chars: int = 1, **flags: bool,
+    min_cos: float = MIN_COSINE, fetch: int = 600, min_chars: int = 1, vector_top: int = VECTOR_TOP_K, **flags: bool,
 ) -> DataFrame:
     fts = bm25_search(queries, memories, fetch, min_chars, **flags)
     like = substring_search(queries, memories, entities, fetch, **flags)
     vectors = None
     if model:
         asking = queries.filter(F.coalesce("text", F.lit("")) != "")
-        vectors = vector_search(asking, memories, model, dim, min_cos, min(VECTOR_TOP_K, fetch), **flags)
+        vectors = vector_search(asking, memories, model, dim, min_cos, min(vector_top, fetch), **flags)
     return merge_candidates(fts, like, vectors)

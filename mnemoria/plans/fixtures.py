@@ -93,21 +93,11 @@ def v_memories(spark: SparkSession, sf_dir: str, vectors: bool = False) -> DataF
     )
 
 
-_STORED: dict[tuple[str, str], str] = {}
-
-
 def stored_memories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The memories with tokens and vectors as a written table, as a store keeps them.
-
-    Tokens are made when a memory is written, not when it is searched; the table is written once
-    per application and read, column by column, by every search.
-    """
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _STORED:
-        path = scratch_path(spark, "memories")
-        v_memories(spark, sf_dir, vectors=True).write.parquet(path)
-        _STORED[key] = path
-    return spark.read.schema(SCHEMAS["memories"]).parquet(_STORED[key])
+    """The memories with tokens and vectors as a written table, as a store keeps them: written by each query that asks."""
+    path = scratch_path(spark, "memories")
+    v_memories(spark, sf_dir, vectors=True).write.parquet(path)
+    return spark.read.schema(SCHEMAS["memories"]).parquet(path)
 
 
 def v_doc_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,9 +157,34 @@ def v_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# What some turns say or begin with, so that each rule about turns has rows: by (31 * conversation + turn) % 23.
+TURN_CASES = {
+    0: "/compact {}", 1: "<system-reminder>{}", 2: "ok", 3: "", 4: "no", 5: "{} PostToolUse:Write hook", 6: " Yes ",
+    7: "Please never commit secrets to the repository. {}", 8: "We decided to use the second design. {}",
+}
+SCHEDULED = '<scheduled-task name="nightly">'
+
+
+def _turn_text() -> Column:
+    """The text of a turn with its case; in every 17th conversation a schedule speaks for the user."""
+    number = (F.col("conv_id") * 31 + F.col("turn")) % 23
+    said = F.col("text")
+    for case, form in TURN_CASES.items():
+        before, _, after = form.partition("{}")
+        value = F.concat(F.lit(before), F.col("text"), F.lit(after)) if "{}" in form else F.lit(form)
+        said = F.when(number == case, value).otherwise(said)
+    scheduled = (F.col("conv_id") % 17 == 0) & (F.col("role") == "user")
+    return F.when(scheduled, F.concat(F.lit(SCHEDULED), F.col("text"))).otherwise(said)
+
+
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = texts(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    return rows.withColumn("text", _turn_text())
+
+
 def v_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls = "array<struct<name:string,input:string,id:string>>"
-    return texts(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text").select(
+    return _turns(spark, sf_dir).select(
         F.concat(F.lit("c"), F.col("conv_id")).alias("session_id"), F.col("turn").alias("seq"),
         F.concat_ws("-", "conv_id", "turn").alias("uuid"), "role",
         (F.lit(AS_OF) + F.col("turn") * 60).alias("ts"), "text",
@@ -179,7 +194,7 @@ def v_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def v_transcript_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as transcript lines: assistant turns edit a file, user turns are plain text."""
-    turns = texts(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    turns = _turns(spark, sf_dir)
     path = F.format_string("/home/dev/proj%d/src/f%d.py", F.col("conv_id") % 5, F.col("turn") % 3)
     call = F.struct(
         F.lit("tool_use").alias("type"), F.lit("Edit").alias("name"),
@@ -202,6 +217,19 @@ def v_transcript_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def write_transcripts(lines: DataFrame, folder: str) -> None:
+    """Transcript lines as text files, one per session, in folders of sixteen buckets of sessions."""
+    bucket = F.pmod(F.xxhash64("file"), F.lit(16)).alias("bucket")
+    session = F.regexp_replace("file", r"\.jsonl$", "").alias("session")
+    rows = lines.select(bucket, session, "row", "line").repartition("bucket").sortWithinPartitions("bucket", "session", "row")
+    # The text sink writes a file per folder; a folder per session keeps sessions apart, as in transcript folders.
+    rows.select("bucket", "session", "line").write.partitionBy("bucket", "session").option("compression", "none").text(folder)
+
+
+# Spellings of the layers in queries, in the order of LAYERS.
+SPELLINGS = ["targets", "Situation", "mood", " how ", "Warnings", "decisions"]
+
+
 def v_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark passage as a query; some name a layer, some an entity."""
     items = table(spark, sf_dir, "benchmark")
@@ -209,7 +237,7 @@ def v_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("item_id")
     return items.join(vectors, "item_id", "left").select(
         i.cast("string").alias("query_id"), "text", "vec",
-        F.when(i % 4 == 2, _pick(LAYERS, i % 6)).alias("layer"),
+        F.when(i % 8 == 2, _pick(LAYERS, i % 6)).when(i % 8 == 6, _pick(SPELLINGS, i % 6)).when(i % 8 == 1, "nowhere").alias("layer"),
         F.when(i % 4 == 3, F.concat(F.lit("src"), (i % 20).cast("string"))).alias("entity_name"),
         F.when(i % 2 == 0, "en").otherwise("code").alias("lang"),
     )

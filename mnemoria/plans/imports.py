@@ -11,15 +11,21 @@ from mnemoria.operators import sessions as mining
 from mnemoria.operators.ingest import event_rows, next_id, resolve_entities
 from mnemoria.operators.joins import link_edits_to_memories
 from mnemoria.runtime import cut_lineage
-from mnemoria.scale import global_positions, salted_join
+from mnemoria.scale import global_positions
 from mnemoria.sources.notes import scan_curated_notes
 from mnemoria.sources.store import replace_sessions
 from mnemoria.sources.transcripts import scan_transcripts
 
 
-def import_sessions(spark: SparkSession, path: str, store: Store, as_of: int) -> Store:
-    """Transcripts below ``path`` into memories, edits and one event per session; a re-import replaces."""
-    return import_parsed(*scan_transcripts(spark, path), store, as_of)
+def import_sessions(
+    spark: SparkSession, path: str, store: Store, as_of: int, modified_after: str | None = None, glob: str = "*.jsonl"
+) -> Store:
+    """Transcripts below ``path`` into memories, edits and one event per session; a re-import replaces.
+
+    With ``modified_after``, only files changed since then are read: run at intervals, that takes in transcripts that
+    grow in place, which a file stream would never show again.
+    """
+    return import_parsed(*scan_transcripts(spark, path, modified_after, glob), store, as_of)
 
 
 def project_entities(projects: DataFrame, store: Store, as_of: int) -> tuple[DataFrame, DataFrame]:
@@ -41,7 +47,7 @@ def import_parsed(sessions: DataFrame, turns: DataFrame, store: Store, as_of: in
     resolved, entities = project_entities(votes, store, as_of)
     owners = cut_lineage(resolved.select("session_id", "entity_id"))
 
-    found = salted_join(mining.extract_memories(sessions, turns, file_ops), owners, ["session_id"], "at")
+    found = mining.extract_memories(sessions, turns, file_ops).join(owners, ["session_id"])
     placed = cut_lineage(
         global_positions(found, ["session_id", "rule_no", "at", "content"], "id", next_id(store.memories))
     )

@@ -22,7 +22,7 @@ from mnemoria.plans.maintenance import maintenance_check, maintenance_pass
 from mnemoria.runtime import cut_lineage, scratch_path
 from mnemoria.sources.notes import parse_notes
 from mnemoria.sources.store import load_store, replace_sessions, save_store
-from mnemoria.sources.transcripts import parse_lines
+from mnemoria.sources.transcripts import parse_lines, scan_transcripts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -51,12 +51,8 @@ def _config(**changes_) -> recall.RecallConfig:
 @query
 def q_scan_transcripts(spark, d):
     path = scratch_path(spark, "transcripts")
-    lines = fx.v_transcript_lines(spark, d)
-    # One folder per session, lines in order, as transcript folders are laid out.
-    named = lines.select(F.regexp_replace("file", r"\.jsonl$", "").alias("session"), "row", "line")
-    ordered = named.repartition("session").sortWithinPartitions("session", "row")
-    ordered.select("session", "line").write.partitionBy("session").option("compression", "none").text(path)
-    _, turns = parse_lines(_read_scratch(spark, path))
+    fx.write_transcripts(fx.v_transcript_lines(spark, d), path)
+    _, turns = scan_transcripts(spark, path, glob="*.txt")  # the text sink names its files so
     return turns.groupBy("session_id").agg(
         F.count("*").alias("turns"), F.sum(F.char_length("text")).alias("chars"),
         F.sum(F.when(F.col("role") == "user", 1).otherwise(0)).alias("user_turns"),
@@ -64,15 +60,6 @@ def q_scan_transcripts(spark, d):
     )
 
 
-def _read_scratch(spark, path):
-    # The text sink names its files *.txt; everything else is as in scan_transcripts.
-    raw = spark.read.text(path, recursiveFileLookup=True)
-    return raw.select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("row"), F.col("value").alias("line"),
-    )
-
-
 @query
 def q_scan_curated_notes(spark, d):
     notes = parse_notes(fx.v_notes(spark, d))
@@ -90,20 +77,35 @@ def q_load_store(spark, d):
 @query
 def q_replace_sessions(spark, d):
     store = fx.v_store(spark, d)
-    # Every conversation is re-imported: its notes, edits and events give way to one row per turn.
-    turns = fx.v_turns(spark, d)
-    incoming = turns.select("session_id").distinct()
+    # Every conversation n is imported as session c<2n>, so that sessions of odd number keep what they have, and its
+    # edits as session s<n>, in place of those of order n.
+    number = F.split("uuid", "-")[0].cast("bigint")
+    turns = fx.v_turns(spark, d).withColumn("session_id", F.concat(F.lit("c"), number * 2))
+    edited = fx.v_turns(spark, d).withColumn("session_id", F.concat(F.lit("s"), number))
+    incoming = turns.select("session_id").unionByName(edited.select("session_id")).distinct()
+    row = number * 100_000 + F.col("seq")
     fresh = turns.select(
-        (F.lit(10_000_000) + F.xxhash64("uuid") % 1_000_000).alias("id"), F.lit(1).cast("bigint").alias("entity_id"),
-        F.lit("context").alias("layer"), F.col("text").alias("content"),
-        F.to_json(F.struct("session_id")).alias("source"),
+        row.alias("id"), F.lit(1).cast("bigint").alias("entity_id"), F.lit("context").alias("layer"),
+        F.col("text").alias("content"), F.to_json(F.struct("session_id")).alias("source"),
+    )
+    edits = edited.select(row.alias("id"), "session_id", F.lit("/new.py").alias("file_path"), F.col("ts").alias("occurred_at"))
+    told = turns.select(row.alias("id"), F.lit("turn").alias("kind"), F.to_json(F.struct("session_id")).alias("payload"))
+    out = replace_sessions(
+        store, incoming, _as_table(fresh, store.memories), _as_table(edits, store.file_edits), _as_table(told, store.events)
     )
-    memories = store.memories.limit(0).unionByName(fresh, allowMissingColumns=True)
-    out = replace_sessions(store, incoming, memories, store.file_edits.limit(0), store.events.limit(0))
     session = F.get_json_object("source", "$.session_id")
-    return out.memories.groupBy(session.alias("session_id")).agg(
-        F.count("*").alias("memories"), F.sum(F.char_length("content")).alias("chars")
+    kept = out.memories.groupBy(session.alias("session_id")).agg(
+        F.count("*").alias("n"), F.sum(F.char_length("content")).alias("chars")
     )
+    rest = [
+        table.agg(F.lit(name).alias("session_id"), F.count("*").alias("n"), F.sum("id").alias("chars"))
+        for name, table in (("edits", out.file_edits), ("events", out.events))
+    ]
+    return kept.unionByName(rest[0]).unionByName(rest[1])
+
+
+def _as_table(rows, table):
+    return table.limit(0).unionByName(rows, allowMissingColumns=True)
 
 
 @query
@@ -163,13 +165,12 @@ def _no_snapshots(spark):
 @query
 def q_upsert_session_snapshots(spark, d):
     turns = fx.v_turns(spark, d)
-    old = turns.filter("role = 'assistant'").select(
-        "session_id", F.col("text").alias("snapshot_text"), (F.lit(AS_OF) - F.col("seq") * 3 * scoring.DAY).alias("created_at")
+    old = turns.select(
+        "session_id", F.col("text").alias("snapshot_text"), (F.lit(AS_OF) - (F.col("seq") + 1) * 3 * scoring.DAY).alias("created_at")
     )
     prev = snapshots.upsert_session_snapshots(old.limit(0), old, AS_OF - 10 * scoring.DAY)
-    new = turns.filter("role = 'system'").select(
-        "session_id", F.col("text").alias("snapshot_text"), F.lit(AS_OF).cast("bigint").alias("created_at")
-    )
+    last = turns.groupBy("session_id").agg(F.max_by("text", "seq").alias("snapshot_text"), F.count("*").alias("n"))
+    new = last.filter("n > 5").select("session_id", "snapshot_text", F.lit(AS_OF).cast("bigint").alias("created_at"))
     return snapshots.upsert_session_snapshots(prev, new, AS_OF).withColumn("snapshot_text", F.md5("snapshot_text"))
 
 
@@ -207,10 +208,23 @@ def q_filter_noise_turns(spark, d):
 
 @query
 def q_flag_pasted_text(spark, d):
-    rows = filters.flag_pasted_text(fx.v_memories(spark, d).select("id", "content"), "content")
+    content = F.concat(_case(PASTED, F.col("id") % 29), "content")
+    rows = filters.flag_pasted_text(fx.v_memories(spark, d).select("id", content.alias("content")), "content")
     return rows.select("id", "is_pasted", F.coalesce("rule", F.lit("none")).alias("rule"))
 
 
+# What every 29th content begins with, one for each paste rule; the others begin as they are.
+PASTED = [
+    "● item ", "Attempt #3 failed ", "┌──┐ ", "You are an Expert ", "Welcome to ", "Enable 2FA ", "Deployment ",
+    "12:01:02.345 ", "at 1:02:03.456 and 1:02:03.457 and 1:02:03.458 ", "成功しました deploy ",
+    "Rule 3: read your post ", "at once\n  at load (main.js:10:20)\n",
+]
+
+
+def _case(cases, number):
+    return F.coalesce(F.try_element_at(F.array(*map(F.lit, cases)), (number + 1).cast("int")), F.lit(""))
+
+
 @query
 def q_triage_prompts(spark, d):
     rows = filters.triage_prompts(fx.v_turns(spark, d))
@@ -219,7 +233,7 @@ def q_triage_prompts(spark, d):
 
 @query
 def q_heat_band_filter(spark, d):
-    hits = recall.hybrid_recall(fx.v_queries(spark, d), fx.v_store(spark, d, vectors=True), AS_OF, _config(band="warm", limit=20))
+    hits = recall.hybrid_recall(fx.v_queries(spark, d), fx.v_store(spark, d, vectors=True), AS_OF, _config(band="warm"))
     return hits.select("query_id", "rank", "id", "band")
 
 
@@ -232,8 +246,9 @@ def q_project_scope(spark, d):
 @query
 def q_path_roots_scope(spark, d):
     paths = reports.file_edit_paths(fx.v_edits(spark, d), "/work")
-    brands = fx.table(spark, d, "part").filter("p_size > 48").select(F.concat(F.lit("/work/"), "p_brand").alias("root"))
-    roots = brands.distinct()
+    # Every part names a root: its brand's folder and the first letters of its type.
+    start = F.lower(F.substring("p_type", 1, 2))
+    roots = fx.table(spark, d, "part").select(F.concat(F.lit("/work/"), "p_brand", F.lit("/"), start).alias("root"))
     return filters.path_roots_scope(paths, roots)
 
 
@@ -292,7 +307,7 @@ def q_vector_self_search(spark, d):
 @query
 def q_hybrid_candidates(spark, d):
     found = search.hybrid_candidates(
-        fx.v_queries(spark, d), fx.stored_memories(spark, d), fx.v_entities(spark, d), MODEL, DIM, MIN_COS, 60
+        fx.v_queries(spark, d), fx.stored_memories(spark, d), fx.v_entities(spark, d), MODEL, DIM, MIN_COS
     )
     return found.select("query_id", "id", "via", "fts_rank", "like_rank", "vec_rank")
 
@@ -446,7 +461,7 @@ def q_embedding_status_report(spark, d):
 
 @query
 def q_forget_sweep_summary(spark, d):
-    return lifecycle.forget_sweep_summary(fx.v_memories(spark, d), AS_OF, 20)
+    return lifecycle.forget_sweep_summary(fx.v_memories(spark, d), AS_OF)
 
 
 @query
@@ -463,7 +478,7 @@ def q_recall_quality(spark, d):
 @query
 def q_recall_staleness(spark, d):
     store = fx.v_store(spark, d, vectors=True)
-    hits = recall.hybrid_recall(fx.v_queries(spark, d), store, AS_OF + 7200, _config(limit=10))
+    hits = recall.hybrid_recall(fx.v_queries(spark, d), store, AS_OF + 7200, _config())
     return recall.recall_staleness(hits, store.memories, AS_OF + 7200)
 
 
@@ -490,23 +505,28 @@ def q_prune_access_log_small(spark, d):
 @query
 def q_rrf_fuse(spark, d):
     found = search.hybrid_candidates(
-        fx.v_queries(spark, d), fx.stored_memories(spark, d), fx.v_entities(spark, d), MODEL, DIM, MIN_COS, 60
+        fx.v_queries(spark, d), fx.stored_memories(spark, d), fx.v_entities(spark, d), MODEL, DIM, MIN_COS
     )
     return recall.rrf_fuse(found).select("query_id", "id", F.round("rrf_raw", 8).alias("rrf_raw"), r6("relevance"))
 
 
 @query
 def q_token_budget_select(spark, d):
-    hits = search.bm25_search(fx.v_queries(spark, d), fx.stored_memories(spark, d), limit=100)
-    sized = hits.join(fx.stored_memories(spark, d).select("id", text.token_estimate(F.col("content")).alias("tokens")), "id")
+    memories = fx.stored_memories(spark, d)
+    hits = search.bm25_search(fx.v_queries(spark, d), memories)
+    sized = hits.join(memories.select("id", text.token_estimate(F.col("content")).alias("tokens")), "id")
     chosen = recall.token_budget_select(sized.withColumnRenamed("fts_rank", "rank"), "tokens", limit=5, offset=1)
     return chosen.select("query_id", "id", "rank", "tokens", "used_tokens", "stopped_by")
 
 
 @query
 def q_debounce_edits(spark, d):
-    edits = fx.v_edits(spark, d).select("operation", "file_path", "occurred_at", "id")
-    return sessions.debounce_edits(edits, ["operation", "file_path"], "occurred_at", "id")
+    # Orders in twenty sessions, paths by their folder: keys of some length, with times that run back and forth.
+    edits = fx.v_edits(spark, d).select(
+        (F.floor(F.col("id") / 8) % 20).alias("session_id"), "operation", F.substring_index("file_path", "/", 3).alias("file_path"),
+        "occurred_at", "id",
+    )
+    return sessions.debounce_edits(edits, ["session_id", "operation", "file_path"], "occurred_at", "id")
 
 
 @query
@@ -571,9 +591,9 @@ def q_pending_backlog(spark, d):
 
 @query
 def q_rerank_top_n(spark, d):
-    asked = fx.v_queries(spark, d)
-    hits = search.bm25_search(asked, fx.stored_memories(spark, d), limit=50).withColumnRenamed("fts_rank", "rank")
-    rows = hits.join(fx.stored_memories(spark, d).select("id", "content"), "id").join(asked.select("query_id", "text"), "query_id")
+    asked, memories = fx.v_queries(spark, d), fx.stored_memories(spark, d)
+    hits = search.bm25_search(asked, memories).withColumnRenamed("fts_rank", "rank")
+    rows = hits.join(memories.select("id", "content"), "id").join(asked.select("query_id", "text"), "query_id")
     ranked = recall.rerank_top_n(rows, shortest_first)
     return ranked.select("query_id", "id", "rank", "new_rank")
 
@@ -586,7 +606,7 @@ def shortest_first(question: pd.Series, content: pd.Series) -> pd.Series:
 @query
 def q_sweep_cap(spark, d):
     drops = lifecycle.forget_candidates(fx.v_memories(spark, d), AS_OF).filter(F.col("action") == "drop")
-    return lifecycle.sweep_cap(drops, 20)
+    return lifecycle.sweep_cap(drops)
 
 
 @query
@@ -619,14 +639,14 @@ def q_hybrid_recall(spark, d):
 
 @query
 def q_hybrid_recall_snippets(spark, d):
-    hits = recall.hybrid_recall(fx.v_queries(spark, d), fx.v_store(spark, d, vectors=True), AS_OF, _config(snippet_window=240, limit=10))
+    hits = recall.hybrid_recall(fx.v_queries(spark, d), fx.v_store(spark, d, vectors=True), AS_OF, _config(snippet_window=240))
     return hits.select("query_id", "rank", "id", "content_truncated", F.char_length("content").alias("chars"), "stopped_by")
 
 
 @query
 def q_mark_accessed(spark, d):
     store = fx.v_store(spark, d, vectors=True)
-    hits = search.bm25_search(fx.v_queries(spark, d), store.memories, limit=10)
+    hits = search.bm25_search(fx.v_queries(spark, d), store.memories)
     after = recall.mark_accessed(store, hits, AS_OF)
     counted = after.access_log.groupBy(F.col("memory_id").alias("id")).agg(F.count("*").alias("log_rows"))
     return _memory_columns(after, "access_count", "last_accessed_at").join(counted, "id", "left").fillna(0, ["log_rows"])
@@ -647,7 +667,7 @@ def q_expire_ttl(spark, d):
 
 @query
 def q_forgetting_sweep(spark, d):
-    return _memory_columns(lifecycle.forgetting_sweep(fx.v_store(spark, d), AS_OF, 20), "archived_at")
+    return _memory_columns(lifecycle.forgetting_sweep(fx.v_store(spark, d), AS_OF), "archived_at")
 
 
 @query
@@ -720,7 +740,7 @@ def q_update_memories(spark, d):
 
 @query
 def q_embed_backlog(spark, d):
-    after = ingest.embed_backlog(fx.v_store(spark, d), ingest.keyword_encoder, "keyword-64", 64, 1_000_000)
+    after = ingest.embed_backlog(fx.v_store(spark, d), ingest.keyword_encoder, "keyword-64", 64)
     return after.memories.select(
         "id", "embedding_status", "embedding_model",
         F.round(F.aggregate(F.transform("embedding", lambda x: x.cast("double")), F.lit(0.0), lambda a, x: a + x), 4).alias("vector_sum"),
@@ -751,9 +771,21 @@ def q_tokenize_backfill(spark, d):
     return rows.select("id", F.md5("content_tokenized").alias("token_md5"))
 
 
+LEAK_NAMES = [
+    "authorization", "auth_token", "access-token", "refreshtoken", "Client_Secret", "private-key", "x-api-key", "API_KEY", "apikey",
+    "set-cookie", "cookie", "signature", "password", "passwd", "pwd", "secret", "bearer", "token",
+]
+# What half of the contents begin with: each form of a secret that is taken out.
+LEAKS = [
+    "-----BEGIN RSA PRIVATE KEY-----\nMIIabc\n-----END RSA PRIVATE KEY-----\n", "Authorization: Bearer abc.def\n",
+    *[f"{key}=v{n}alue " for n, key in enumerate(LEAK_NAMES)], 'password: "two words" ', "secret = 'quoted one', ",
+]
+
+
 @query
 def q_redact_corpus(spark, d):
-    rows = fx.v_memories(spark, d).select("id", "content")
+    start = _case(LEAKS, F.col("id") % (2 * len(LEAKS)))
+    rows = fx.v_memories(spark, d).select("id", F.concat(start, "content").alias("content"))
     counts = redaction_counts(F.col("content"))
     counted = rows.select("id", redacted(F.col("content")).alias("text"), *[c.alias(k) for k, c in counts.items()])
     return counted.select(
@@ -782,7 +814,7 @@ def q_extract_memories(spark, d):
     found = sessions.extract_memories(*_mined(spark, d))
     return found.groupBy("session_id").agg(
         *[F.sum(F.when(F.col("kind") == k, 1).otherwise(0)).alias(k) for k in
-          ("first_intent", "clarification", "file_edit", "realize", "decision", "session_summary")],
+          ("first_intent", "automated_task", "clarification", "file_edit", "realize", "decision", "session_summary")],
     )
 
 
@@ -836,7 +868,7 @@ def q_session_snapshot_job(spark, d):
 
 @query
 def q_maintenance_pass(spark, d):
-    after = maintenance_pass(fx.v_store(spark, d, vectors=True), AS_OF, embed_limit=1_000_000)
+    after = maintenance_pass(fx.v_store(spark, d, vectors=True), AS_OF)
     return after.memories.groupBy("layer", "embedding_status").agg(
         F.count("*").alias("n"), F.count("archived_at").alias("archived"), F.round(F.sum("activation_score"), 4).alias("activation"),
     )
@@ -850,7 +882,7 @@ def q_maintenance_check(spark, d):
 @query
 def q_linear_relevance(spark, d):
     found = search.hybrid_candidates(
-        fx.v_queries(spark, d), fx.stored_memories(spark, d), fx.v_entities(spark, d), MODEL, DIM, MIN_COS, 60
+        fx.v_queries(spark, d), fx.stored_memories(spark, d), fx.v_entities(spark, d), MODEL, DIM, MIN_COS
     )
     from pyspark.sql import Window as W
 

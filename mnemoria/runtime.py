@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 
 def build_session(app: str = "mnemoria", master: str | None = None, **conf: str) -> SparkSession:
@@ -51,7 +51,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and continue from the files, which outlive any executor."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint()
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
+    """``df`` written once as Parquet in the shared folder and read back.
+
+    The files outlive any executor and end the lineage; later reads take only the columns they need.
+    """
+    untyped = [f.name for f in df.schema if isinstance(f.dataType, T.NullType)]
+    df = df.withColumns({c: F.col(c).cast("string") for c in untyped}) if untyped else df
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+cut_lineage = stored

@@ -8,57 +8,42 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from mnemoria.runtime import cut_lineage
+from mnemoria.runtime import stored
 
-JOIN_SALTS = 8
 CHUNK_ROWS = 4096
 RIGHT_ROWS_BOUND = 4096
 RIGHT_BYTES_BOUND = 64 << 20
-LEFT_SLICE_ROWS = 50_000
-SMALL_ROWS = 500_000
-SMALL_BYTES = 64 << 20
 
 
-def measured(df: DataFrame, rows: int = SMALL_ROWS, size: int = SMALL_BYTES) -> tuple[DataFrame, bool]:
-    """``df`` written once, and whether it was found to be small enough to broadcast."""
-    df = cut_lineage(df)
-    n, held = _extent(df)
-    return df, n <= rows and held <= size
+def connected(links: DataFrame) -> DataFrame:
+    """(node, root) of every node in ``links`` (a, b: longs); root is the smallest node of its component.
 
-
-def _extent(df: DataFrame) -> tuple[int, int]:
-    size = functools.reduce(lambda a, b: a + b, [_bytes(c) for c in df.dtypes])
-    found = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
-    return found["n"], int(found["bytes"])
-
-
-def small_side(df: DataFrame) -> DataFrame:
-    """``df`` for the small side of a join: broadcast if measured to be small, shuffled otherwise.
-
-    Marks, patches and hits touch few rows of a store; a broadcast then spares its shuffle.
-    """
-    df, fits = measured(df)
-    return F.broadcast(df) if fits else df
-
-
-def salted_join(
-    big: DataFrame, lookup: DataFrame, on: list[str], spread: str, how: str = "inner", salts: int | None = None
-) -> DataFrame:
-    """Join ``big`` (possibly dominated by one key) to ``lookup`` on ``on``.
-
-    A lookup side measured to be small is broadcast, and ``big`` stays where it is. Otherwise, or
-    when ``salts`` is given, both are shuffled: ``spread`` is a column of ``big`` that varies
-    within a key, its hash splits every key of ``big`` into ``salts`` parts, and ``lookup`` is
-    repeated once per part. ``how`` may be inner, left, left_semi or left_anti.
+    Each round points every node to its smallest neighbour, follows the pointers twice, and renames the links by them;
+    links within one name go. The links at least halve per round, and no node's links ever meet in one place.
     """
-    if salts is None:
-        lookup, fits = measured(lookup)
-        if fits:
-            return big.join(F.broadcast(lookup), on, how)
-    n = salts or int(big.sparkSession.conf.get("mnemoria.join.salts", str(JOIN_SALTS)))
-    salted = big.withColumn("__salt", F.pmod(F.xxhash64(F.col(spread)), F.lit(n)).cast("int"))
-    copies = lookup.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    return salted.join(copies, [*on, "__salt"], how).drop("__salt")
+    edges = stored(
+        links.where("a <> b").select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e"))
+        .select("e.a", "e.b").distinct(),
+        "links",
+    )
+    labels = None
+    while labels is None or not edges.isEmpty():
+        first = stored(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("up")), "parents")
+        above = first.select(F.col("node").alias("up"), F.col("up").alias("next"))
+        # Every pointer leads to a node that has links itself, so the join keeps all rows.
+        parents = stored(first.join(above, "up").select("node", F.col("next").alias("up")), "parents-next")
+        if labels is None:
+            labels = parents.select("node", F.col("up").alias("root"))
+        else:
+            renamed = parents.select(F.col("node").alias("root"), "up")
+            labels = labels.join(renamed, "root", "left").select("node", F.coalesce("up", "root").alias("root"))
+        labels = stored(labels, "labels")
+        a, b = parents.select(F.col("node").alias("a"), F.col("up").alias("x")), parents.select(F.col("node").alias("b"), F.col("up").alias("y"))
+        edges = stored(
+            edges.join(a, "a").join(b, "b").where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(),
+            "links",
+        )
+    return labels
 
 
 def spread(scan: DataFrame, *key: str) -> DataFrame:
@@ -75,16 +60,15 @@ def spread(scan: DataFrame, *key: str) -> DataFrame:
 def global_positions(df: DataFrame, order: list[Column | str], name: str = "pos", start: int = 0) -> DataFrame:
     """Add the 0-based position (plus ``start``) of every row in the total order ``order``.
 
-    The order must be unique. Rows are range-partitioned and sorted, the result is checkpointed
-    (so that positions cannot change on a retry), and one count per partition gives the offsets.
-    No window over the whole table and no unbounded group is involved.
+    The order must be unique. Rows are range-partitioned, sorted and written, one file per partition; a row's position
+    is its place in its file plus the rows of the files before. No window over the whole table and no unbounded
+    group is involved.
     """
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = cut_lineage(df.repartitionByRange(parts, *order).sortWithinPartitions(*order))
-    placed = ordered.withColumn("__part", F.spark_partition_id()).withColumn(
-        "__row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    )
+    ordered = stored(df.repartitionByRange(parts, *order).sortWithinPartitions(*order), "ordered")
+    number = F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).cast("int")
+    placed = ordered.select("*", number.alias("__part"), F.col("_metadata.row_index").alias("__row"))
     # One row per partition: thousands at most, whatever the data size.
     counts = placed.groupBy("__part").agg(F.count("*").alias("__n"))
     before = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
@@ -124,53 +108,29 @@ def blocked_product(
     right: DataFrame,
     kernel: Callable[[Iterator[pd.DataFrame], pd.DataFrame], Iterator[pd.DataFrame]],
     schema: str,
-    left_key: str,
     right_key: str,
     right_rows: int = RIGHT_ROWS_BOUND,
     right_bytes: int = RIGHT_BYTES_BOUND,
-    left_slice: int = LEFT_SLICE_ROWS,
 ) -> DataFrame:
     """Score every ``left`` row against every ``right`` row without forming the pairs as rows.
 
-    ``kernel`` gets the left rows of a task as batches and a block of right rows, and yields only
-    the hits worth keeping (a local top-k or the rows over a threshold).
-
-    When the right side is measured to be at most ``right_rows`` rows and ``right_bytes`` bytes
-    it is broadcast once and the left side is streamed in place, without any shuffle. Beyond
-    that bound both sides are cut into blocks of bounded size by the hash of their unique key,
-    and every pair of blocks is one cogrouped task.
+    ``kernel`` gets the left rows of a task as batches and a block of right rows, and yields only the hits worth keeping (a
+    local top-k or the rows over a threshold). The right side is cut by the hash of its unique key into blocks of at
+    most about ``right_rows`` rows and ``right_bytes`` bytes. One block after another is broadcast, and the left side
+    streams past it where it lies; it is never shuffled, and read once per block.
     """
     spark = left.sparkSession
-    right = cut_lineage(right)
-    rows, held = _extent(right)
-    if rows <= right_rows and held <= right_bytes:
-        shared = spark.sparkContext.broadcast(right.toPandas())
+    right = stored(right, "queries")
+    size = functools.reduce(lambda a, b: a + b, [_bytes(c) for c in right.dtypes])
+    found = right.agg(F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
+    blocks = max(1, -(-found["n"] // right_rows), -(-int(found["bytes"]) // right_bytes))
+    part = F.pmod(F.xxhash64(right_key), F.lit(blocks))
+
+    def against(block: int) -> DataFrame:
+        shared = spark.sparkContext.broadcast(right.where(part == block).toPandas())
         return left.mapInPandas(lambda batches: kernel(batches, shared.value), schema)
 
-    # Twice the blocks the averages ask for, since a hash does not fill them evenly.
-    blocks = 2 * max(-(-rows // right_rows), -(-held // right_bytes))
-    slices = 2 * -(-max(1, left.count()) // left_slice)
-    left_parts = left.withColumn("__slice", F.pmod(F.xxhash64(left_key), F.lit(slices)).cast("int")).withColumn(
-        "__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    )
-    right_parts = right.withColumn("__block", F.pmod(F.xxhash64(right_key), F.lit(blocks)).cast("int")).withColumn(
-        "__slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))
-    )
-    columns = [part.strip().split(" ")[0] for part in schema.split(",")]
-
-    def pair(left_pdf: pd.DataFrame, right_pdf: pd.DataFrame) -> pd.DataFrame:
-        if left_pdf.empty or right_pdf.empty:
-            return pd.DataFrame(columns=columns)
-        right_block = right_pdf.drop(columns=["__block", "__slice"]).reset_index(drop=True)
-        left_block = left_pdf.drop(columns=["__block", "__slice"]).reset_index(drop=True)
-        found = list(kernel(iter([left_block]), right_block))
-        return pd.concat(found, ignore_index=True) if found else pd.DataFrame(columns=columns)
-
-    return (
-        left_parts.groupBy("__block", "__slice")
-        .cogroup(right_parts.groupBy("__block", "__slice"))
-        .applyInPandas(pair, schema)
-    )
+    return functools.reduce(DataFrame.unionByName, [against(i) for i in range(blocks)])
 
 
 def _bytes(column: tuple[str, str]) -> Column:

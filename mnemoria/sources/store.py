@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from mnemoria.model import SCHEMAS, Store
-from mnemoria.scale import salted_join
 
 
 def load_store(spark: SparkSession, path: str) -> Store:
@@ -27,13 +26,12 @@ def replace_sessions(store: Store, sessions: DataFrame, memories: DataFrame, edi
     """Remove all rows of the given session ids (one column ``session_id``) and add the new ones."""
     incoming = sessions.select("session_id").distinct()
 
-    def without(table: DataFrame, session, spread: str) -> DataFrame:
-        keyed = table.withColumn("session_id", session)
-        kept = salted_join(keyed, incoming, ["session_id"], spread, "left_anti")
+    def without(table: DataFrame, session) -> DataFrame:
+        kept = table.withColumn("session_id", session).join(incoming, ["session_id"], "left_anti")
         return kept if "session_id" in table.columns else kept.drop("session_id")
 
     return store.with_(
-        memories=without(store.memories, session_of("source"), "id").unionByName(memories),
-        file_edits=without(store.file_edits, F.col("session_id"), "id").unionByName(edits),
-        events=without(store.events, session_of("payload"), "id").unionByName(events),
+        memories=without(store.memories, session_of("source")).unionByName(memories),
+        file_edits=without(store.file_edits, F.col("session_id")).unionByName(edits),
+        events=without(store.events, session_of("payload")).unionByName(events),
     )

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from mnemoria.scale import global_positions, salted_join
 
 LINE = (
     "type STRING, uuid STRING, timestamp STRING, cwd STRING, sessionId STRING, gitBranch STRING, "
@@ -12,9 +11,12 @@ LINE = (
 )
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, block, row, line). Files stay splittable; block start and row order the lines of a file."""
-    raw = spark.read.text(path, pathGlobFilter="*.jsonl", recursiveFileLookup=True)
+def read_lines(spark: SparkSession, path: str, modified_after: str | None = None, glob: str = "*.jsonl") -> DataFrame:
+    """(file, block, row, line). Files stay splittable; block start and row order the lines of a file.
+
+    ``block`` is where the line's split of the file begins, in bytes; splits are at least 1 MiB apart.
+    """
+    raw = spark.read.text(path, pathGlobFilter=glob, recursiveFileLookup=True, modifiedAfter=modified_after)
     return raw.select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
@@ -23,16 +25,21 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def scan_transcripts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(sessions, turns) of all ``*.jsonl`` files below ``path``."""
-    return parse_lines(read_lines(spark, path))
+def scan_transcripts(
+    spark: SparkSession, path: str, modified_after: str | None = None, glob: str = "*.jsonl"
+) -> tuple[DataFrame, DataFrame]:
+    """(sessions, turns) of the files below ``path`` that match ``glob``, all or those changed after a time.
+
+    ``modified_after`` (``YYYY-MM-DDTHH:mm:ss``) finds files that have grown in place, read whole.
+    """
+    return parse_lines(read_lines(spark, path, modified_after, glob))
 
 
 def parse_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Sessions and turns from (file, block, row, line).
 
-    Lines that are not JSON are dropped. Every line gets its position in the whole corpus, which
-    is written once and orders all later work, however long a file is.
+    Lines that are not JSON are dropped. ``seq`` orders the lines of a file: its high bits number the file's split
+    (by MiB), its low 33 bits the row in the split, so nothing is sorted or moved for it.
     """
     parsed = (
         lines.withColumn("doc", F.try_parse_json("line"))
@@ -50,7 +57,9 @@ def parse_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.try_variant_get("doc", "$.message.content", "string").alias("raw"),
         F.coalesce(F.schema_of_variant(content) == "STRING", F.lit(False)).alias("plain"),
     )
-    placed = global_positions(flat, ["file", "block", "row"], "seq")
+    low = F.lit((1 << 33) - 1)
+    seq = F.shiftleft(F.shiftright("block", 20), 33) + F.col("row").bitwiseAND(low)
+    placed = flat.withColumn("seq", seq).drop("block", "row")
     is_turn = F.col("type").isin("user", "assistant") & ~F.col("hidden") & F.col("role").isin("user", "assistant")
     turns = _turn_columns(placed.filter(F.coalesce(is_turn, F.lit(False))))
 
@@ -75,7 +84,7 @@ def parse_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     # A session imported from two files keeps the later one, as a re-import would.
     latest = sessions.groupBy("session_id").agg(F.max("file").alias("file"))
     sessions = sessions.join(latest, ["session_id", "file"], "left_semi")
-    owned = salted_join(turns, sessions.select("file", "session_id"), ["file"], "seq")
+    owned = turns.join(sessions.select("file", "session_id"), ["file"])
     return sessions, owned.drop("file")
 
 

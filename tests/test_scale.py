@@ -6,23 +6,19 @@ import pandas as pd
 import pytest
 from pyspark.sql import Window as W, functions as F
 
-from mnemoria.scale import blocked_product, carry_forward, global_positions, measured, salted_join, spread
+from mnemoria.scale import blocked_product, carry_forward, connected, global_positions, spread
 
 
-@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_salted_join_equals_join(spark, how):
-    # One key holds most rows.
-    big = spark.range(2000).select("id", F.when(F.col("id") % 3 < 2, 0).otherwise(F.col("id") % 50).alias("k"))
-    lookup = spark.range(0, 40, 2).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
-    want = big.join(lookup, "k", how)
-    for salts in (None, 4):
-        got = salted_join(big, lookup, ["k"], "id", how, salts)
-        assert sorted(map(tuple, got.select(want.columns).collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
-
-
-def test_measured_sizes(spark):
-    df = spark.range(10).select("id", F.lit("x" * 100).alias("s"), F.array(F.lit("ab"), F.lit("c")).alias("a"))
-    assert measured(df)[1] and not measured(df, rows=9)[1] and not measured(df, size=1000)[1]
+@pytest.mark.parametrize("links", [
+    [(i, i + 1) for i in range(40)], [(0, i) for i in range(1, 40)], [(5, 3), (3, 5), (9, 9), (8, 2), (2, 7)], []])
+def test_connected(spark, links):
+    got = {r.node: r.root for r in connected(spark.createDataFrame(links, "a long, b long")).collect()}
+    root = {x: x for link in links for x in link if link[0] != link[1]}
+    for _ in root:
+        for a, b in links:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    assert got == root
 
 
 def test_global_positions_are_a_total_order(spark):
@@ -52,7 +48,7 @@ def test_blocked_product_same_hits_either_way(spark, bound):
             pairs = pdf.merge(block, how="cross")
             yield pairs[pairs["id"] % (pairs["q"] + 2) == 0][["id", "q"]]
 
-    hits = blocked_product(left, right, kernel, "id bigint, q bigint", "id", "q", right_rows=bound, left_slice=50)
+    hits = blocked_product(left, right, kernel, "id bigint, q bigint", "q", right_rows=bound)
     assert {tuple(r) for r in hits.collect()} == {(i, q) for i in range(300) for q in range(30) if i % (q + 2) == 0}
     assert hits.count() == len({tuple(r) for r in hits.collect()})
 

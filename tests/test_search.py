@@ -188,3 +188,27 @@ def test_recall_quality(spark):
     got = {r.subset: (r.recall_at_5, r.recall_at_10, r.mrr) for r in recall.recall_quality(cases, expected, hits).collect()}
     assert got["en"] == (0.5, 1.0, pytest.approx((0.5 + 1 / 7) / 2, abs=1e-6)) and got["ja"] == (0.0, 0.0, 0.0)
     assert got["overall"][1] == pytest.approx(2 / 3, abs=1e-6)
+
+
+@pytest.mark.parametrize("layer, found", [("realize", 1), (" Warnings", 1), ("learning", 1), ("nowhere", 2), (None, 2)])
+def test_a_layer_may_be_an_alias_or_unknown(memories, entities, queries, layer, found):
+    vec = [1.0, 0.0]
+    rows = [{"content": "needle one", "content_tokenized": "needle one", "layer": x, "embedding": vec} for x in ("realize", "learning")]
+    m, e = memories(*rows), entities({})
+    q = queries({"text": "needle", "layer": layer, "vec": vec})
+    assert search.bm25_search(q, m).count() == found
+    assert search.substring_search(q, m, e).count() == found
+    assert search.vector_search(q, m, "m", 2, 0.5).count() == found
+
+
+def test_json_content_is_measured_unescaped(spark, store, queries):
+    body = '{"title": "a \\"quoted\\" needle",  "n": 1}'
+    s = store({"content": body, "content_tokenized": "needle"}, {"content": 'plain "needle"', "content_tokenized": "needle"})
+    hits = recall.hybrid_recall(queries({"text": "needle"}), s, NOW, recall.RecallConfig(max_tokens=6000))
+    lengths = {r.id: (r.n, r.rest) for r in hits.select(
+        "id", F.char_length(recall.serialised()).alias("n"),
+        F.char_length(F.to_json(F.struct(*[c for c in recall.OUTPUT if c != "content"]))).alias("rest")).collect()}
+    compact = len('{"n":1,"title":"a \\"quoted\\" needle"}')
+    assert lengths[1][0] - lengths[1][1] == len(',"content":') + compact
+    assert lengths[2][0] - lengths[2][1] == len(',"content":') + len('"plain \\"needle\\""')
+    assert all(r.pinned is False for r in hits.collect())

@@ -100,11 +100,11 @@ def test_extract_memories(spark, folder):
     assert edit["title"] == "edit+write a.py (2 ops)" and edit["op_count"] == 2 and edit["affects"] == ["/home/me/app/src/a.py"]
     assert edit["sample_change"] == "OLD(1ch): x... NEW(2ch): yy... | WRITE(5ch): hello..."
     assert json.loads(by_kind["S1", "realize"].content)["affects"][:2] == ["/home/me/app/src/a.py", "/r.txt"]
-    assert json.loads(by_kind["S1", "error_recovery"].content)["title"] == "High error session (4 errors / 10 turns)"
+    assert json.loads(by_kind["S1", "error_recovery"].content)["title"] == "Many errors (4 in 10 turns)"
     summary = json.loads(by_kind["S1", "session_summary"].content)
     assert summary["title"] == f"Session: {GOAL} (10min, 1 files)" and summary["ended_at"] == "2024-01-01T00:10:00Z"
     assert {k for s, k in by_kind if s == "S2"} == {"automated_task", "session_summary"}
-    assert json.loads(by_kind["S2", "automated_task"].content)["title"] == "Automated: nightly"
+    assert json.loads(by_kind["S2", "automated_task"].content)["title"] == "Scheduled: nightly"
 
 
 def test_import_is_idempotent(spark, folder, entities):
@@ -151,24 +151,27 @@ def test_notes(spark, tmp_path):
 
 
 def brute_debounce(times):
-    kept = []
-    for t in sorted(set(times)):
-        if not kept or t - kept[-1] >= 10:
+    kept, last = [], None
+    for t in times:
+        if not last or abs(t - last) >= 10:
             kept.append(t)
+            last = t
     return kept
 
 
 def test_debounce_compares_with_last_kept(spark):
     rng = np.random.default_rng(1)
     rows = [("k%d" % (i % 2), int(t), i) for i, t in enumerate(rng.integers(1000, 1600, 400))]
-    rows += [("six", 1000 + 6 * i, 1000 + i) for i in range(7)] + [("zero", 0, 2000), ("zero", 0, 2001)]
+    rows += [("six", 1000 + 6 * i, 1000 + i) for i in range(7)] + [("zero", 0, 2000), ("zero", 0, 2001), ("zero", 5, 2002)]
+    # File order, not time order: the last kept is what counts, and times may run back.
+    rows += [("back", t, 3000 + i) for i, t in enumerate([100, 95, 106, 80, 0, 3])]
     df = spark.createDataFrame(rows, "k STRING, occurred_at BIGINT, seq BIGINT")
     got = {}
-    for r in sessions.debounce_edits(df, ["k"]).collect():
+    for r in sorted(sessions.debounce_edits(df, ["k"]).collect(), key=lambda r: r.seq):
         got.setdefault(r.k, []).append(r.occurred_at)
-    for k in ("k0", "k1", "six"):
-        assert sorted(got[k]) == brute_debounce([t for kk, t, _ in rows if kk == k])
-    assert got["zero"] == [0, 0] and sorted(got["six"]) == [1000, 1012, 1024, 1036]
+    for k in ("k0", "k1", "six", "zero", "back"):
+        assert got[k] == brute_debounce([t for kk, t, _ in rows if kk == k])
+    assert got["zero"] == [0, 0, 5] and got["six"] == [1000, 1012, 1024, 1036] and got["back"] == [100, 80, 0, 3]
 
 
 def files(spark, *items):

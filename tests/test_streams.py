@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
 from mnemoria.model import make_store
 from mnemoria.operators import lifecycle, sessions
-from mnemoria.sources.store import load_store, save_store
+from mnemoria.plans.imports import import_sessions
 from mnemoria.streaming import jobs
 from tests.conftest import DAY, NOW
 from tests.test_sessions import SESSION
@@ -73,12 +75,12 @@ def test_momentum_counts(spark, edits, tmp_path):
 def test_stream_import_replaces_sessions(spark, tmp_path):
     folder, root = tmp_path / "in", str(tmp_path / "store")
     folder.mkdir()
-    save_store(make_store(spark), jobs.version_path(root, 0))
+    jobs.commit_store(spark, root, make_store(spark))
 
     def run():
         query = jobs.stream_import_sessions(spark, str(folder), root, str(tmp_path / "state"), NOW, ONCE)
         query.awaitTermination()
-        return load_store(spark, jobs.version_path(root, query.lastProgress["batchId"] + 1))
+        return jobs.load_head(spark, root)
 
     (folder / "a.jsonl").write_text("\n".join(SESSION[:6]) + "\n")
     first = run().memories.count()
@@ -90,12 +92,42 @@ def test_stream_import_replaces_sessions(spark, tmp_path):
 
 def test_stream_maintenance(spark, memories, entities, tmp_path):
     root, arriving = str(tmp_path / "store"), str(tmp_path / "in")
-    save_store(make_store(spark, entities=entities({})), jobs.version_path(root, 0))
+    jobs.commit_store(spark, root, make_store(spark, entities=entities({})))
     rows = memories({"expires_at": 1}, {"layer": "goal"})
     rows.write.parquet(arriving)
     stream = spark.readStream.schema(rows.schema).parquet(arriving)
     query = jobs.stream_maintenance(stream, root, str(tmp_path / "state"), lambda: NOW, ONCE, phases=("activation", "decay"))
     query.awaitTermination()
-    after = load_store(spark, jobs.version_path(root, 1)).memories.orderBy("id").collect()
+    after = jobs.load_head(spark, root).memories.orderBy("id").collect()
     assert [r.archived_at for r in after] == [NOW, None] and all(r.activation_computed_at == NOW for r in after)
     assert jobs.MAINTENANCE_TRIGGER == {"processingTime": "600 seconds"}
+
+
+def test_two_streams_on_one_store(spark, memories, entities, tmp_path):
+    """Each commit builds on the last one of either stream, a committed batch is not applied again, and a lost race fails."""
+    root = str(tmp_path / "store")
+    jobs.commit_store(spark, root, make_store(spark, entities=entities({})))
+
+    def add(number):
+        return lambda store: store.with_(memories=store.memories.unionByName(memories({"id": number})))
+
+    for stream, batch in (("a", 0), ("b", 0), ("b", 0), ("a", 1), ("b", 1)):
+        jobs.evolve_store(spark, root, stream, batch, add(batch + 10 * (stream == "b")))
+    assert sorted(r.id for r in jobs.load_head(spark, root).memories.collect()) == [0, 1, 10, 11]
+    assert jobs.head(spark, root)[0] == 4
+    kept = {p.name for p in (tmp_path / "store").iterdir() if not p.name.startswith(".")}
+    assert sum(n.startswith("committed-") for n in kept) == 3 and len(kept) == 6
+    with pytest.raises(Exception, match="(?i)exist"):
+        jobs.commit_store(spark, root, make_store(spark), 4)
+
+
+def test_a_file_grown_in_place_is_imported_again(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "old.jsonl").write_text("\n".join(SESSION).replace('"S1"', '"S0"') + "\n")
+    os.utime(folder / "old.jsonl", (1_000_000_000, 1_000_000_000))
+    (folder / "a.jsonl").write_text("\n".join(SESSION[:6]) + "\n")
+    first = import_sessions(spark, str(folder), make_store(spark), NOW, "2020-01-01T00:00:00")
+    (folder / "a.jsonl").write_text("\n".join(SESSION) + "\n")
+    after = import_sessions(spark, str(folder), first, NOW, "2020-01-01T00:00:00")
+    assert first.memories.count() == 3 and after.memories.count() == 7 and after.events.count() == 1

@@ -113,3 +113,25 @@ def test_dates_do_not_depend_on_the_session_zone(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
     assert got == [("2024-01-31", "2024-01-31T23:59:59Z"), (None, None), ("1969-12-31", "1969-12-31T23:59:59Z")]
+
+
+@pytest.mark.parametrize("name", [
+    "authorization", "auth_token", "auth-token", "authtoken", "access_token", "refresh-token", "client_secret", "private_key",
+    "x-api-key", "api_key", "apikey", "set-cookie", "cookie", "signature", "password", "passwd", "pwd", "secret", "bearer", "token"])
+def test_every_credential_name(apply, name):
+    for said in (f"{name}=abc123", f"{name.upper()} = 'a b'", f'"{name}": "abc"'):
+        (got,) = apply(redact.redacted, said)
+        assert R in got and "abc" not in got and "a b" not in got, (said, got)
+
+
+PASTES = [
+    ("● item", "bullet"), ("attempt #12 failed at", "attempt"), ("┌" + "─" * 120 + "┐", "box_drawing"), ("┌─┐", None),
+    ("You are a Helper", "system_prompt"), ("hey there, all", "greeting"), ("configure users now", "admin"), ("Logs", "status"),
+    ("1:02:03.45 start", "clock_line"), ("x 1:02:03.45 y 1:02:03.46 z 1:02:03.47", "clock_stamps"), ("x 1:02:03.45", None),
+    ("成功しました Deploy done", "deployed"), ("成功しました", None), ("Review errors before repeating this workflow.", "boilerplate"),
+    ("see Rule 4: your submission", "forum_rule"), ("see Rule 4: mine", None), ("oops\n   at f (a.js:1:2)", "stack_trace"), ("plain words", None)]
+
+
+@pytest.mark.parametrize("said, rule", PASTES)
+def test_every_paste_rule(apply, said, rule):
+    assert apply(text.paste_rule, said) == [rule]

@@ -62,6 +62,27 @@ def test_resolve_entities_priority(spark, entities):
     assert {r.seq: r.entity_id for r in again.collect()} == got and same.count() == 5
 
 
+@pytest.mark.parametrize("names", [
+    [("FooBar", None), ("foobar", "K"), ("qux", "K")],
+    [("FooBar", None), ("foobar", "K"), ("qux", "K"), ("QUX", None), ("Qux", None), ("quX", "L"), ("last", "L"), ("LAST", None)],
+])
+def test_names_linked_over_several_steps_are_one_entity(spark, entities, store, names):
+    rows = incoming(spark, *[{"entity_name": n, "entity_key": k} for n, k in names], {"entity_name": "alone"})
+    resolved, after = ingest.resolve_entities(rows, entities({"name": "Old"}), NOW)
+    got = {r.seq: r.entity_id for r in resolved.collect()}
+    assert None not in got.values() and len({got[i] for i in range(len(names))}) == 1 and got[len(names)] != got[0]
+    assert {r.id: r.name for r in after.collect()}[got[0]] == "FooBar"
+
+
+def test_back_fill_stamps_the_entity(spark, entities):
+    known = entities(
+        {"name": "Beta Two", "normalized_name": "beta two", "updated_at": 1}, {"name": "GAMMA", "normalized_name": None, "updated_at": 1},
+        {"name": "Same", "normalized_name": "same", "canonical_key": "k:s", "updated_at": 1})
+    rows = incoming(spark, {"entity_name": "beta-two", "entity_key": "k:b"}, {"entity_name": "gamma"}, {"entity_name": "same", "entity_key": "k:s"})
+    _, after = ingest.resolve_entities(rows, known, NOW)
+    assert {r.name: r.updated_at for r in after.collect()} == {"Beta Two": NOW, "GAMMA": NOW, "Same": 1}
+
+
 def test_update_memories(spark, store):
     s = store({"embedding": [1.0, 0.0]}, {"layer": "realize", "protected": True}, {"importance": 0.3}, {})
     ddl = "memory_id BIGINT, content STRING, layer STRING, importance DOUBLE"
