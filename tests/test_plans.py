@@ -8,7 +8,10 @@ import pytest
 
 import __spark_entry__ as entry_points
 from mnemoria.plans import fixtures as fx
-from mnemoria.operators import filters, lifecycle, search
+from mnemoria.plans.oracle import ORACLES
+from mnemoria.plans.queries import QUERIES
+from mnemoria.sources import transcripts
+from mnemoria.operators import filters, joins, lifecycle, search, sessions
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
@@ -16,7 +19,7 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 QUICK = ["visible_memories", "entity_overview", "store_stats", "file_edit_summary", "top_files", "prune_access_log",
          "redact_corpus", "triage_prompts", "chunk_documents", "chunk_diff", "forget_sweep_summary", "bm25_search",
          "near_duplicate_pairs", "attribute_intent", "debounce_edits"]
-CHECKED = list(entry_points.oracle_sql()) if os.environ.get("TEST_ALL_QUERIES") else QUICK
+CHECKED = QUICK if os.environ.get("TEST_QUICK") else list(ORACLES)
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test tables not here")
 
@@ -44,8 +47,8 @@ def sorted_rows(columns, rows):
 
 @pytest.mark.parametrize("name", CHECKED)
 def test_query_equals_sql(spark, duck, name):
-    df = entry_points.queries()[name](spark, SF_DIR)
-    cursor = duck.execute(entry_points.oracle_sql()[name])
+    df = QUERIES[name](spark, SF_DIR)
+    cursor = duck.execute(ORACLES[name])
     want = sorted_rows([c[0] for c in cursor.description], cursor.fetchall())
     assert sorted_rows(df.columns, df.collect()) == want
 
@@ -81,3 +84,20 @@ def test_top_k_is_cut_before_the_shuffle(spark):
     assert plan(lifecycle.prune_access_log(fx.v_access_log(spark, SF_DIR))).count("WindowGroupLimit") == 2
     hits = search.vector_search(fx.v_queries(spark, SF_DIR), fx.v_memories(spark, SF_DIR, True), fx.MODEL, fx.DIM, 0.25)
     assert plan(hits).count("WindowGroupLimit") == 2
+
+
+def test_transcripts_are_not_sorted(spark):
+    parsed, turns = transcripts.parse_lines(fx.v_transcript_lines(spark, SF_DIR))
+    for df in (parsed, turns, sessions.extract_file_ops(turns)):
+        assert "rangepartitioning" not in plan(df).lower()
+
+
+def test_views_start_no_job(spark):
+    memories, entities = fx.v_memories(spark, SF_DIR), fx.v_entities(spark, SF_DIR)
+    spark.sparkContext.setJobGroup("lazy", "views")
+    try:
+        joins.memory_entity_view(memories, entities)
+        filters.fetch_by_ids(spark.range(5), memories, entities, "warnings")
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("lazy")
