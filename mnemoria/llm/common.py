@@ -8,7 +8,7 @@ import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from mnemoria.runtime import scratch_path
+from mnemoria.runtime import stored  # noqa: F401  (for the operators)
 
 #: White space is ASCII white space everywhere in this subpackage.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -19,13 +19,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as Parquet in the shared folder and read back: cuts lineage, survives executors."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the Python workers, once per application, so they need not have it installed."""
     context = spark.sparkContext

@@ -1,75 +1,66 @@
-"""Connected components of a link table by contraction, and links within buckets without all pairs."""
+"""Classes of linked nodes, found in buckets without forming all their pairs."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from mnemoria.llm.common import stored
-
-
-def connected(links: DataFrame) -> DataFrame:
-    """(node, root) of every node in ``links`` (a, b: longs); root is the smallest node of its component.
-
-    Each round points every node to its smallest neighbour, follows the pointers twice, and renames the links by them;
-    links within one name go. The links at least halve per round, and no node's links ever meet in one place.
-    """
-    edges = stored(
-        links.where("a <> b").select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e"))
-        .select("e.a", "e.b").distinct(),
-        "links",
-    )
-    labels = None
-    while labels is None or not edges.isEmpty():
-        first = stored(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("up")), "parents")
-        above = first.select(F.col("node").alias("up"), F.col("up").alias("next"))
-        # Every pointer leads to a node that has links itself, so the join keeps all rows.
-        parents = stored(first.join(above, "up").select("node", F.col("next").alias("up")), "parents-next")
-        if labels is None:
-            labels = parents.select("node", F.col("up").alias("root"))
-        else:
-            renamed = parents.select(F.col("node").alias("root"), "up")
-            labels = labels.join(renamed, "root", "left").select("node", F.coalesce("up", "root").alias("root"))
-        labels = stored(labels, "labels")
-        a, b = parents.select(F.col("node").alias("a"), F.col("up").alias("x")), parents.select(F.col("node").alias("b"), F.col("up").alias("y"))
-        edges = stored(
-            edges.join(a, "a").join(b, "b").where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(),
-            "links",
-        )
-    return labels
+from mnemoria.scale import connected
 
 
 def linked_classes(
-    buckets: Callable[[], DataFrame], verify: Callable[[DataFrame], DataFrame], payload: str = "payload"
+    buckets: Callable[[], DataFrame],
+    near: Callable[[Column, Column], Column],
+    details: DataFrame | None = None,
+    exact: Callable[[Column, Column], Column] | None = None,
+    verify: Callable[[DataFrame], DataFrame] = lambda pairs: pairs,
 ) -> DataFrame:
-    """(node, root) of all nodes that verified links join, looking for links in buckets but not at all their pairs.
+    """(node, root) of all nodes that links join, looking for links in buckets but not at all their pairs.
 
-    ``buckets()`` gives rows (bucket, node, payload); two nodes may be linked only if they share a bucket. ``verify``
-    takes candidate pairs (a, b, pa, pb) and gives the (a, b) of those that are links.
+    ``buckets()`` gives rows (bucket, node, payload); two nodes may be linked only if they share a bucket and ``near`` holds of
+    their payloads. If payloads are only a part, ``details`` (node, detail) has the rest and ``exact`` tests it. Of the
+    pairs (a, b) left, ``verify`` gives those that are links.
 
     First, each member of a bucket is tried against the bucket's smallest node, which joins dense groups. Then only members
-    outside a bucket's largest class so far are tried against the members of other classes. Every link that
-    could join two classes is tried, so the classes are exact, while a bucket of n nodes in one class costs n trials.
+    outside a bucket's largest class so far are tried against the members of other classes. Every link that could join
+    two classes is tried, so the classes are exact, while a bucket of n nodes in one class costs n trials. Where there
+    are details, they are fetched for rows with a near partner only, so that only what ``exact`` holds of becomes a row.
     """
     whole = W.partitionBy("bucket")
-    hub = buckets().withColumn("hub", F.min(F.struct("node", payload)).over(whole)).where("hub.node <> node")
-    stars = hub.select(F.col("hub.node").alias("a"), F.col("node").alias("b"), F.col(f"hub.{payload}").alias("pa"), F.col(payload).alias("pb"))
-    star_links = stored(verify(stars).select("a", "b").distinct(), "star-links")
-    roots = connected(star_links)
+    hub = buckets().withColumn("hub", F.min(F.struct("node", "payload")).over(whole)).where("hub.node <> node")
+    stars = hub.where(near(F.col("hub.payload"), F.col("payload"))).select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct()
+    if details is not None:
+        a, b = (details.select(F.col("node").alias(n), F.col("detail").alias(f"detail_{n}")) for n in "ab")
+        stars = stars.join(a, "a").join(b, "b").where(exact(F.col("detail_a"), F.col("detail_b")))
+    roots = connected(stored(verify(stars.select("a", "b")).select("a", "b"), "star-links"))
 
     joined = buckets().join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     marked = joined.withColumn("size", F.count("*").over(W.partitionBy("bucket", "root")))
     marked = marked.withColumn("main", F.max(F.struct("size", "root")).over(whole)["root"])
     mixed = marked.withColumn("others", F.min("root").over(whole) != F.max("root").over(whole)).where("others")
-    left = mixed.where("root <> main").select("bucket", F.col("node").alias("a"), F.col(payload).alias("pa"), F.col("root").alias("ra"))
-    right = mixed.select("bucket", F.col("node").alias("b"), F.col(payload).alias("pb"), F.col("root").alias("rb"))
-    pairs = left.join(right, "bucket").where("ra <> rb")
-    cross = verify(pairs.select("a", "b", "pa", "pb", "ra", "rb"), ).select("ra", "rb").distinct()
-    cross_links = stored(cross.select(F.col("ra").alias("a"), F.col("rb").alias("b")), "cross-links")
-    if cross_links.isEmpty():
+    left = mixed.where("root <> main").select("bucket", F.col("node").alias("a"), F.col("payload").alias("pa"), F.col("root").alias("ra"))
+    right = mixed.select("bucket", F.col("node").alias("b"), F.col("payload").alias("pb"), F.col("root").alias("rb"))
+    same = F.col("bucket") == F.col("bucket_b")
+    apart = F.col("ra") != F.col("rb")
+    other = right.withColumnRenamed("bucket", "bucket_b")
+    if details is None:
+        pairs = left.join(other, same & apart & near(F.col("pa"), F.col("pb")))
+    else:
+        some = near(F.col("pa"), F.col("pb"))
+        l2 = stored(left.join(other, same & apart & some, "left_semi").drop("pa"), "near-left").join(a, "a")
+        r2 = stored(other.join(left, same & apart & some, "left_semi").drop("pb"), "near-right").join(b, "b")
+        pairs = l2.join(r2, same & apart & exact(F.col("detail_a"), F.col("detail_b")))
+    links = verify(pairs.select("a", "b").distinct()).select("a", "b")
+    of = roots.select("node", "root")
+    named = links.join(of.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(
+        of.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left"
+    )
+    cross = stored(named.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).distinct(), "cross-links")
+    if cross.isEmpty():
         return roots
-    tops = connected(cross_links)
+    tops = connected(cross)
     # A root without star links is a node of its own.
     all_roots = roots.unionByName(
         tops.select("node", F.col("node").alias("root")).join(roots.select("node"), "node", "left_anti")

@@ -2,8 +2,8 @@
 
 A line of length l is cut into one segment more than the edits allowed, so a line within the threshold holds one of
 them unchanged, at a place that the lengths bound. Lines are indexed under (length, segment, substring) and probe the
-indexes of their own and the next shorter lengths. Lines that meet are first compared by the parity of their character
-pairs (an edit changes four at most), then by a banded bit-parallel edit distance. Chains of links form a class, of
+indexes of their own and the next shorter lengths. Lines that meet are first compared by the parities of their short
+character runs, of which an edit changes few, then by a banded bit-parallel edit distance. Chains of links form a class, of
 which the first line stays.
 """
 
@@ -106,14 +106,37 @@ def shared_prefix(a: str, b: str) -> int:
     return low
 
 
-def parity(line: str) -> int:
-    """Sixty-four parities of the line's character pairs by hash; an edit flips at most four."""
+#: Parities of character runs: (length of the runs, 64-bit words). An edit changes as many runs on either side.
+PARITIES = ((1, 1), (2, 2), (3, 4))
+
+
+def parities(line: str) -> list[int]:
+    """For each length of ``PARITIES``, whether the runs of that many characters that hash to a bit are odd in number.
+
+    An edit takes at most ``length`` runs out and puts as many in, so it flips at most twice that many bits.
+    """
     codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-    if len(codes) < 2:
-        return 0
-    pairs = (codes[:-1] * np.uint64(0x9E3779B97F4A7C15) + codes[1:]) * np.uint64(0xBF58476D1CE4E5B9)
-    odd = np.bincount((pairs >> np.uint64(58)).astype(np.int64), minlength=64) & 1
-    return int(np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)[0])
+    out = []
+    for length, words in PARITIES:
+        h = np.zeros(max(0, len(codes) - length + 1), dtype=np.uint64)
+        for i in range(length):
+            h = h * np.uint64(0x9E3779B97F4A7C15) + codes[i : len(codes) - length + 1 + i]
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0x94D049BB133111EB)
+        odd = np.bincount((h >> np.uint64(40)).astype(np.int64) % (64 * words), minlength=64 * words) & 1
+        out += np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64).tolist()
+    return out
+
+
+def may_be_near(a: Column, b: Column, edits: int) -> Column:
+    """Whether the parities of two lines differ by no more than ``edits`` edits can make them."""
+    at, tests = 0, []
+    for length, words in PARITIES:
+        bits = [F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(at, at + words)]
+        tests.append(functools.reduce(lambda x, y: x + y, bits) <= 2 * length * edits)
+        at += words
+    return functools.reduce(lambda x, y: x & y, tests)
 
 
 def bare_lines(text: Column | str) -> Column:
@@ -173,13 +196,13 @@ def near_classes(docs: DataFrame, text: str, settings: Settings) -> DataFrame:
     wanted = stored(shared.select(F.col("node").alias("key")).distinct(), "line-nodes")
     lines = docs.select(F.explode(bare_lines(text)).alias("line")).where(F.length("line") >= settings.near_chars)
 
-    @F.pandas_udf("long")
-    def parities(column: pd.Series) -> pd.Series:
-        return column.map(parity).astype("int64")
+    @F.pandas_udf("array<bigint>")
+    def parities_of(column: pd.Series) -> pd.Series:
+        return column.map(parities)
 
     texts = stored(
         screened(lines, F.xxhash64("line"), wanted).groupBy(F.xxhash64("line").alias("node")).agg(F.min("line").alias("line"))
-        .withColumn("payload", parities("line")),
+        .withColumn("payload", parities_of("line")),
         "line-texts",
     )
     placed = stored(shared.join(texts.select("node", "payload"), "node"), "line-payloads")
@@ -189,12 +212,10 @@ def near_classes(docs: DataFrame, text: str, settings: Settings) -> DataFrame:
         return pd.Series([within(x, y, settings.edits) for x, y in zip(a, b)], dtype=bool)
 
     def verify(pairs: DataFrame) -> DataFrame:
-        apart = F.bit_count(F.col("pa").bitwiseXOR(F.col("pb")))
-        near = pairs.where(apart <= 4 * settings.edits).drop("pa", "pb").distinct()
         a, b = (texts.select(F.col("node").alias(n), F.col("line").alias(f"line_{n}")) for n in "ab")
-        return near.join(a, "a").join(b, "b").where(close("line_a", "line_b"))
+        return pairs.join(a, "a").join(b, "b").where(close("line_a", "line_b"))
 
-    return linked_classes(lambda: placed, verify)
+    return linked_classes(lambda: placed, lambda a, b: may_be_near(a, b, settings.edits), verify=verify)
 
 
 def repeated_lines(docs: DataFrame, text: str = "text", settings: Settings = Settings()) -> tuple[DataFrame, DataFrame]:

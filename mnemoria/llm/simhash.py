@@ -13,12 +13,13 @@ and only the points' own cells over thirds of each, and verifies on all 1,024 bi
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from mnemoria.llm.common import documents, ship_package, stored
 from mnemoria.llm.components import linked_classes
@@ -125,19 +126,18 @@ def cells(nodes: DataFrame, settings: Settings) -> DataFrame:
 def classes(nodes: DataFrame, settings: Settings) -> DataFrame:
     """(node, root) of the ``nodes`` (node, lanes; distinct lanes) that have a link."""
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        near = pairs.where(F.bit_count(F.col("pa").bitwiseXOR(F.col("pb"))) <= settings.lane_bits)
-        if settings.lanes == 1:
-            return near
-        near = near.drop("pa", "pb").distinct()
-        a = nodes.select(F.col("node").alias("a"), F.col("lanes").alias("la"))
-        b = nodes.select(F.col("node").alias("b"), F.col("lanes").alias("lb"))
-        apart = F.aggregate(
-            F.zip_with("la", "lb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x
-        )
-        return near.join(a, "a").join(b, "b").where(apart <= settings.total_bits)
+    def near(a: Column, b: Column) -> Column:
+        return F.bit_count(a.bitwiseXOR(b)) <= settings.lane_bits
+
+    def exact(a: Column, b: Column) -> Column:
+        bits = [F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(settings.lanes)]
+        return functools.reduce(lambda x, y: x + y, bits) <= settings.total_bits
 
-    return linked_classes(lambda: cells(nodes, settings), verify)
+    if settings.lanes == 1:
+        return linked_classes(lambda: cells(nodes, settings), near)
+    return linked_classes(
+        lambda: cells(nodes, settings), near, nodes.select("node", F.col("lanes").alias("detail")), exact
+    )
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", settings: Settings = Settings()) -> DataFrame:
@@ -149,9 +149,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", settings: Settings = Se
     """
     narrow = docs.select("doc_id", F.col(text).alias("__text"), F.xxhash64(text).alias("mark"))
     rows = stored(with_fingerprints(narrow, settings, "__text").drop("__text"), "fingerprints")
-    nodes = stored(
-        rows.groupBy("lanes").agg(F.min("doc_id").alias("least")).withColumn("node", F.monotonically_increasing_id()), "nodes"
-    )
+    distinct = rows.groupBy("lanes").agg(F.min("doc_id").alias("least"))
+    # Nodes are numbered by their smallest doc_id: the first text of a group is mostly the one that the others copy.
+    numbered = distinct.repartitionByRange("least").sortWithinPartitions("least", "lanes")
+    nodes = stored(numbered.withColumn("node", F.monotonically_increasing_id()), "nodes")
     roots = classes(nodes, settings)
     placed = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = placed.groupBy("root").agg(F.min("least").alias("component_id"))

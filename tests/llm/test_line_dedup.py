@@ -38,7 +38,8 @@ def test_edit_distance_substrings_and_parity(edits):
         near = distance(a, b) <= edits
         assert ld.within(a, b, edits) == ld.within(b, a, edits) == near, (a, b)
         if near:
-            assert bin((ld.parity(a) ^ ld.parity(b)) % 2**64).count("1") <= 4 * edits
+            words = iter([bin((x ^ y) % 2**64).count("1") for x, y in zip(ld.parities(a), ld.parities(b))])
+            assert all(sum(next(words) for _ in range(n)) <= 2 * length * edits for length, n in ld.PARITIES)
             if len(b) > edits:
                 keys = [{(n, i, x[s : s + k]) for n, i, s, k in ld.substrings(len(x), edits, edits + 1)} for x in (a, b)]
                 assert keys[0] & keys[1], (a, b)

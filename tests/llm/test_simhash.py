@@ -11,7 +11,7 @@ import pytest
 import xxhash
 
 from mnemoria.llm import simhash
-from mnemoria.llm.components import connected
+from mnemoria.scale import connected
 
 SF = "/root/testdata/sf0.01"
 
