@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 
 import numpy as np
 import pytest
@@ -190,8 +191,22 @@ def test_supersede_sweep_takes_earliest_match_and_is_idempotent(store):
     once = supersede.supersede_sweep(s, NOW)
     got = {r.id: (r.superseded_by_id, r.archived_at) for r in once.memories.collect()}
     assert got == {1: (2, NOW), 2: (3, NOW), 3: (None, None)}
-    assert once.events.filter("kind = 'memory_superseded'").count() == 2
-    assert supersede.supersede_sweep(once, NOW + 1).events.count() == 2
+    twice = supersede.supersede_sweep(once, NOW + 1)
+    for after, batches in ((once, 1), (twice, 2)):
+        assert after.events.filter("kind = 'memory_superseded'").count() == 2
+        told = after.events.filter("kind = 'supersess_batch_completed'").orderBy("id").collect()
+        assert [json.loads(r.payload)["superseded"] for r in told] == [2, 0][:batches]
+
+
+def test_maintenance_compares_newly_embedded_rows(store):
+    vec = [1.0] + [0.0] * 63
+    old = [{"content": f"old {i}", "embedding": vec, "embedding_dim": 64, "created_at": NOW - 50 + i} for i in range(2)]
+    new = [{"content": "the same words", "content_tokenized": "the same words", "embedding_status": "pending", "created_at": NOW - 20 + i}
+           for i in range(3)]
+    after = maintenance_pass(store(*old, *new), NOW, phases=("supersede",))
+    got = {r.id: (r.superseded_by_id, r.embedding_status) for r in after.memories.collect()}
+    assert got == {1: (None, "done"), 2: (None, "done"), 3: (4, "done"), 4: (5, "done"), 5: (None, "done")}
+    assert after.memories.columns == store().memories.columns
 
 
 def test_supersede_manual(spark, store):
