@@ -177,17 +177,18 @@ def mixed(docs: DataFrame, text: str = "text", seed: int = 17) -> DataFrame:
     keyed = docs.withColumns({"__mark": mark, "__size": word_count(text)})
     sizes = keyed.select(F.col("doc_id"), F.col("__mark").alias("mark"), "source", F.col("__size").alias("size"))
     taken = copies(sizes, ["doc_id", "mark"], seed).where("total > 0").select(
-        F.col("mark").alias("__m"), F.col("doc_id").alias("__id"), F.col("source").alias("__s"), "n", "total"
+        F.col("mark").alias("__m"), F.col("doc_id").alias("__id"), F.col("source").alias("__s"), F.col("n").alias("__n"),
+        F.col("total").alias("__total"),
     )
     joined = keyed.join(
         taken,
         (F.col("__mark") == F.col("__m")) & F.col("doc_id").eqNullSafe(F.col("__id"))
         & F.col("source").eqNullSafe(F.col("__s")),
     )
-    single = joined.where("n = 1").withColumn("__copies", F.col("total"))
+    single = joined.where("__n = 1").withColumn("__copies", F.col("__total"))
     place = F.row_number().over(W.partitionBy("__mark", "__id", "__s").orderBy("__size"))
-    several = joined.where("n > 1").withColumn(
-        "__copies", F.expr("total div n") + F.when(place <= F.col("total") % F.col("n"), 1).otherwise(0)
+    several = joined.where("__n > 1").withColumn(
+        "__copies", F.expr("__total div __n") + F.when(place <= F.col("__total") % F.col("__n"), 1).otherwise(0)
     )
     rows = single.unionByName(several).where("__copies > 0")
     return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)

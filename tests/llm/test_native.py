@@ -142,6 +142,8 @@ def test_mixing_odd_rows(spark, table):
 def test_mixing_repeats_whole_rows(spark, table):
     rows = [(i, f"text {i} " + "w " * (i % 40), "en", "abc"[i % 3], 5) for i in range(300)] + [(7, "same", "en", "a", 1)] * 3
     docs = spark.read.parquet(f"{table(rows)}/documents.parquet")
+    clash = docs.selectExpr("*", "7 AS n", "8 AS total", "9 AS size", "text AS key", "1 AS target", "2 AS mark")
+    assert mixing.mixed(clash).columns == clash.columns and mixing.mixed(clash).count() > 0
     out = mixing.mixed(docs)
     assert out.columns == docs.columns
     kept = collections.Counter(tuple(r) for r in out.collect())

@@ -101,3 +101,17 @@ def test_pipeline_on_odd_and_empty_tables(spark, table):
     got = corpus_pipeline.run(spark, table(rows)).collect()
     assert got and {r.doc_id for r in got}.isdisjoint({100, 101, 102, 200})
     assert corpus_pipeline.run(spark, table([])).count() == 0
+
+
+def test_stages_keep_extra_columns_with_clashing_names(spark, table):
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choices("alpha beta gamma delta epsilon zeta eta theta iota kappa".split(), k=25)) + f" number {i}",
+             "en", "ab"[i % 2], 1) for i in range(30)]
+    docs = spark.read.parquet(f"{table(rows)}/documents.parquet").selectExpr(
+        "*", "1 AS mark", "2 AS lines", "3 AS root", "4 AS lanes", "5 AS node", "'x' AS lang_pred", "0.5 AS SCORE", "6 AS rejected",
+        "7 AS bucket", "8 AS class", "9 AS no", "10 AS length")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert sorted(c.lower() for c in out.columns) == sorted(c.lower() for c in docs.columns), name
+        assert 0 < out.count() and set(out.select("node", "class").distinct().collect()) == {(5, 8)}
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() == 30
