@@ -14,7 +14,7 @@ from mnemoria.functions import scoring, text
 from mnemoria.functions.redact import redacted
 from mnemoria.functions.vectors import is_finite
 from mnemoria.model import Store, column_names
-from mnemoria.runtime import cut_lineage
+from mnemoria.runtime import cut_lineage, ship_package
 from mnemoria.scale import connected, global_positions
 
 Encoder = Callable[[list[str]], "list[list[float] | None] | None"]
@@ -332,6 +332,7 @@ def encode_texts(rows: DataFrame, encoder_factory: Callable[[], Encoder], batch:
             if ids:
                 yield pd.DataFrame({"id": ids, "vec": vecs})
 
+    ship_package(rows.sparkSession)
     return rows.select("id", "body").mapInPandas(run, "id bigint, vec array<float>")
 
 

@@ -14,7 +14,7 @@ from mnemoria.operators.ingest import Encoder
 from mnemoria.operators.joins import memory_entity_view
 from mnemoria.operators.filters import project_scope, visible_memories
 from mnemoria.operators.search import MIN_COSINE, VECTOR_TOP_K, hybrid_candidates, minmax_vector_scores
-from mnemoria.runtime import cut_lineage
+from mnemoria.runtime import cut_lineage, ship_package
 
 
 # Budget defaults, hard limits and fusion constant.
@@ -141,6 +141,8 @@ def rerank_top_n(ranked: DataFrame, scorer: Scorer, top: int = RERANK_TOP) -> Da
     any row the scorer fails on keeps its whole order.
     """
 
+    ship_package(ranked.sparkSession)
+
     @F.pandas_udf("double")
     def scores(question: pd.Series, content: pd.Series) -> pd.Series:
         try:
@@ -275,6 +277,7 @@ def embed_queries(queries: DataFrame, encoder_factory: Callable[[], Encoder], pr
                 yield pd.DataFrame(found, columns=["query_id", "vec"])
 
     asked = queries.filter(F.coalesce("text", F.lit("")) != "").select("query_id", "text")
+    ship_package(queries.sparkSession)
     vectors = asked.mapInPandas(run, "query_id string, vec array<float>")
     return queries.join(vectors, "query_id", "left")
 

@@ -23,8 +23,9 @@ from mnemoria.scale import blocked_product
 
 # BM25 saturation, length weight and the floor of a term's weight.
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
-# Rows scored at once: rows x queries numbers are held.
+# Rows and queries scored at once.
 CHUNK = 1024
+QUERY_BLOCK = 256
 MIN_COSINE = 0.55
 VECTOR_TOP_K = 200
 
@@ -145,13 +146,18 @@ def bm25_search(
     def kernel(batches: Iterator[pd.DataFrame], q: pd.DataFrame) -> Iterator[pd.DataFrame]:
         if q.empty:
             return
-        entries = pd.DataFrame({"term": q["terms"].explode(), "weight": q["weights"].explode()})
-        entries["query"] = np.repeat(np.arange(len(q)), q["terms"].map(len))
-        vocabulary = pa.array(sorted(set(entries["term"])))
-        entries["place"] = pc.index_in(pa.array(entries["term"]), value_set=vocabulary).to_numpy()
-        entries = entries.sort_values(["place", "query"])
-        query_of, weight_of = entries["query"].to_numpy(), entries["weight"].to_numpy(dtype=np.float64)
-        start = np.searchsorted(entries["place"].to_numpy(), np.arange(len(vocabulary) + 1))
+        vocabulary = pa.array(sorted({term for terms in q["terms"] for term in terms}))
+        # A weight per term and query, in blocks of queries that share few enough terms to be held as a matrix.
+        blocks = []
+        for first in range(0, len(q), QUERY_BLOCK):
+            part = q.iloc[first : first + QUERY_BLOCK]
+            place = pc.index_in(pa.array(np.concatenate(part["terms"].tolist())), value_set=vocabulary).to_numpy()
+            used, own = np.unique(place, return_inverse=True)
+            weights = np.zeros((len(used), len(part)))
+            weights[own, np.repeat(np.arange(len(part)), part["terms"].map(len))] = np.concatenate(part["weights"].tolist())
+            local = np.full(len(vocabulary), -1)
+            local[used] = np.arange(len(used))
+            blocks.append((first, local, weights))
         names = q["query_id"].to_numpy(dtype=object)
         best = BestPerQuery(limit, len(q), 1)
         for batch in batches:
@@ -162,19 +168,21 @@ def bm25_search(
                 offsets = np.asarray(words.offsets)
                 place = pc.index_in(words.flatten(), value_set=vocabulary).fill_null(-1).to_numpy()
                 row = np.repeat(np.arange(len(words)), np.diff(offsets))
-                # (row, term) with its count; then one entry for each query that has the term.
+                # (row, term) with its count.
                 code, tf = np.unique(row[place >= 0] * len(vocabulary) + place[place >= 0], return_counts=True)
                 row, place = np.divmod(code, len(vocabulary))
                 size = np.diff(offsets)[row]
-                part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean))
-                spans = start[place + 1] - start[place]
-                entry = np.arange(spans.sum()) - np.repeat(np.cumsum(spans) - spans, spans) + np.repeat(start[place], spans)
-                cell = np.repeat(row, spans) * len(q) + query_of[entry]
-                score = np.bincount(cell, weights=weight_of[entry] * np.repeat(part, spans), minlength=len(words) * len(q))
-                score = np.round(score.reshape(len(words), len(q)), 9)
-                hit = score > 0 if allowed is None else (score > 0) & allowed[at : at + CHUNK]
-                r, c = np.nonzero(hit)
-                best.add(c, ids[at + r], score[r, c])
+                share = tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean))
+                for first, local, weights in blocks:
+                    own = local[place]
+                    held = np.zeros((len(words), len(weights)))
+                    held[row[own >= 0], own[own >= 0]] = share[own >= 0]
+                    score = np.round(held @ weights, 9)
+                    hit = score > 0
+                    if allowed is not None:
+                        hit &= allowed[at : at + CHUNK, first : first + weights.shape[1]]
+                    r, c = np.nonzero(hit)
+                    best.add(first + c, ids[at + r], score[r, c])
         out = best.result()
         if out is not None:
             yield pd.DataFrame({"query_id": names[out[0]], "id": out[1], "bm25": out[2]})

@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from mnemoria.runtime import stored
+from mnemoria.runtime import ship_package, stored
 
 CHUNK_ROWS = 4096
 RIGHT_ROWS_BOUND = 4096
@@ -120,6 +120,7 @@ def blocked_product(
     streams past it where it lies; it is never shuffled, and read once per block.
     """
     spark = left.sparkSession
+    ship_package(spark)
     right = stored(right, "queries")
     size = functools.reduce(lambda a, b: a + b, [_bytes(c) for c in right.dtypes])
     found = right.agg(F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()

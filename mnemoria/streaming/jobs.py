@@ -17,6 +17,7 @@ from mnemoria.model import Store
 from mnemoria.operators.sessions import DEBOUNCE_SECONDS
 from mnemoria.plans.imports import import_parsed
 from mnemoria.plans.maintenance import maintenance_pass
+from mnemoria.runtime import ship_package
 from mnemoria.sources.store import load_store, save_store
 from mnemoria.sources.transcripts import parse_lines
 
@@ -128,6 +129,7 @@ class NewestAccesses(StatefulProcessor):
 
 def stream_access_window(accesses: DataFrame, window: int = ACCESS_WINDOW) -> DataFrame:
     """(memory_id, accesses, times) of every memory touched by a batch; call use_rocksdb first."""
+    ship_package(accesses.sparkSession)
     return accesses.select("memory_id", "accessed_at").groupBy("memory_id").transformWithStateInPandas(
         NewestAccesses(window),
         outputStructType="memory_id BIGINT, accesses BIGINT, times ARRAY<BIGINT>",
@@ -166,6 +168,7 @@ def stream_debounce_edits(edits: DataFrame, keys: list[str], delay: str = "1 hou
             state.setTimeoutTimestamp(max(int(last) * 1000 + DEBOUNCE_SECONDS * 1000, floor + 1))
         yield pd.DataFrame(kept, columns=[*keys, "occurred_at", "id"])
 
+    ship_package(edits.sparkSession)
     return timed.withWatermark("at", delay).groupBy(*keys).applyInPandasWithState(
         walk, schema, "last BIGINT", "append", "EventTimeTimeout"
     )
