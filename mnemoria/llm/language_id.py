@@ -8,6 +8,7 @@ layer are folded into one table (subword -> summed logits), which is all that sc
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -20,7 +21,8 @@ from mnemoria.llm.common import documents, hash_share, held_out, in_training, sh
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 UNDECIDED = "und"
-KEPT_WORDS = 300_000
+KEPT_WORDS = 400_000
+PART = 10_000
 
 
 @dataclass(frozen=True)
@@ -50,32 +52,65 @@ class Model:
     bias: np.ndarray
     temperature: float = 1.0
     threshold: float = 0.0
-    _words: dict = field(default_factory=dict, repr=False)
+    name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
-    def __getstate__(self):
-        return {**self.__dict__, "_words": {}}
+    def probabilities(self, total: np.ndarray) -> np.ndarray:
+        """``total``: summed logits of all subwords, then their number."""
+        return softmax((total[:-1] / total[-1] + self.bias) / self.temperature)
 
-    def scores(self, text: str | None) -> tuple[str, float]:
+
+#: What a Python worker keeps from task to task, for the model it met last.
+_KEPT: dict[str, "Known"] = {}
+
+
+def known_words(model: Model) -> "Known":
+    if model.name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[model.name] = Known(model)
+    return _KEPT[model.name]
+
+
+class Known(dict):
+    """Words seen, each the row of ``table`` with its summed logits and number of subwords."""
+
+    def __init__(self, model: Model) -> None:
+        super().__init__()
+        self.model, self.used = model, 0
+        self.table = np.zeros((4096, len(model.languages) + 1))
+
+    def add(self, words: list[str]) -> None:
+        ids, sizes = subwords(words, self.model.settings)
+        while self.used + len(words) > len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        rows = slice(self.used, self.used + len(words))
+        self.table[rows, :-1] = np.add.reduceat(self.model.logits[ids], np.cumsum(sizes) - sizes, axis=0)
+        self.table[rows, -1] = sizes
+        self.update(zip(words, range(self.used, self.used + len(words))))
+        self.used += len(words)
+
+    def told(self, text: str | None) -> tuple[str, float]:
         """The language and its calibrated probability; ``und`` and 0 if the text is null or has no letter."""
-        words = _LETTERS.findall(text.lower()) if text else []
-        if not words or not self.languages:
+        words = letter_words(text)
+        if not words or not self.model.languages:
             return UNDECIDED, 0.0
-        known = self._words
-        rows = []
-        for word in words:
-            row = known.get(word)
-            if row is None:
-                ids = subwords(word, self.settings)
-                row = (*self.logits[ids].sum(axis=0).tolist(), len(ids))
-                if len(known) >= KEPT_WORDS:
-                    known.clear()
-                if len(word) <= 40:
-                    known[word] = row
-            rows.append(row)
-        total = np.sum(np.array(rows), axis=0)
-        probs = softmax((total[:-1] / total[-1] + self.bias) / self.temperature)
+        if self.used >= KEPT_WORDS:
+            self.clear()
+            self.used = 0
+        rows = list(map(self.get, words))
+        if None in rows:
+            new = list(dict.fromkeys(w for w, row in zip(words, rows) if row is None))
+            for at in range(0, len(new), PART):
+                self.add(new[at : at + PART])
+            rows = list(map(self.get, words))
+        probs = self.model.probabilities(self.table[rows].sum(axis=0))
         best = int(np.argmax(probs))
-        return self.languages[best], float(probs[best])
+        return self.model.languages[best], float(probs[best])
+
+
+def letter_words(text: str | None) -> list[str]:
+    """The words of a text in lower case; none if it has no letter (signs such as raised digits are not letters)."""
+    words = _LETTERS.findall(text.lower()) if text else []
+    return words if any(any(map(str.isalpha, word)) for word in words) else []
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -83,27 +118,43 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def subwords(word: str, settings: Settings) -> list[int]:
-    """Hash buckets of a word's character n-grams and of the word, with marks at both ends."""
-    marked = f"<{word}>"
-    data = [marked]
+def subwords(words: list[str], settings: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, sizes): hash buckets of each word's character n-grams and of the word, with marks at both ends, word by word."""
+    codes = np.frombuffer("".join([f"<{w}>" for w in words]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    owner = np.repeat(np.arange(len(words)), lengths)
+    place = np.arange(len(codes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    left = lengths[owner] - place
+    factor = np.uint64(0x9E3779B97F4A7C15)
+    powers = np.cumprod(np.full(int(lengths.max()), factor, dtype=np.uint64))
+    hashes = [np.add.reduceat(codes * powers[place], np.cumsum(lengths) - lengths)]
+    owners = [np.arange(len(words))]
     for n in range(settings.shortest, settings.longest + 1):
-        data += [marked[i : i + n] for i in range(len(marked) - n + 1)]
-    return [zlib.crc32(x.encode("utf-8", "surrogatepass")) % settings.buckets for x in data]
+        at = np.flatnonzero(left >= n)
+        h = np.full(len(at), n, dtype=np.uint64)
+        for k in range(n):
+            h = h * factor + codes[at + k]
+        hashes.append(h)
+        owners.append(owner[at])
+    h, owner = np.concatenate(hashes), np.concatenate(owners)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    ids = ((h >> np.uint64(32)) % np.uint64(settings.buckets)).astype(np.int64)
+    return ids[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(words))
 
 
 def examples(text: str | None, settings: Settings) -> Iterator[np.ndarray]:
     """Subword counts of the whole text, and of three short pieces of it so that short texts are learnt as well."""
-    words = _LETTERS.findall(text.lower()) if text else []
+    words = letter_words(text)
     if not words:
         return
     step = settings.piece_words
     starts = {0, len(words) // 2, max(0, len(words) - step)} if len(words) > step else set()
     for part in [words, *(words[s : s + step] for s in sorted(starts))]:
-        counts = np.zeros(settings.buckets, dtype=np.float32)
-        for word in part:
-            np.add.at(counts, subwords(word, settings), 1)
-        yield counts
+        counts = np.zeros(settings.buckets, dtype=np.float64)
+        for at in range(0, len(part), PART):
+            counts += np.bincount(subwords(part[at : at + PART], settings)[0], minlength=settings.buckets)
+        yield counts.astype(np.float32)
 
 
 def sampled(docs: DataFrame, settings: Settings) -> tuple[DataFrame, list[str]]:
@@ -198,9 +249,9 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     @F.pandas_udf("lang_pred string, score double")
     def told(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        own = shared.value
+        known = known_words(shared.value)
         for texts in batches:
-            yield pd.DataFrame([own.scores(x) for x in texts], columns=["lang_pred", "score"])
+            yield pd.DataFrame([known.told(x) for x in texts], columns=["lang_pred", "score"])
 
     found = docs.withColumn("__told", told(F.col(text)))
     rejected = (F.col("__told.lang_pred") == UNDECIDED) | (F.col("__told.score") < model.threshold)

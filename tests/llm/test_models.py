@@ -66,7 +66,7 @@ def test_language_held_out_accuracy(spark):
 def test_language_odd_rows(spark, table):
     rows = [(i, "the cat and the dog were here" if i % 2 else "der hund und die katze", "en" if i % 2 else "de")
             for i in range(60)]
-    odd = [(100, None, "en"), (101, "", None), (102, "123 !!", "de"), (None, "the cat", "en"), (1, rows[1][1], "en")]
+    odd = [(100, None, "en"), (101, "", None), (102, "123 !! ² Ⅷ", "de"), (None, "the cat", "en"), (1, rows[1][1], "en")]
     out = {r.doc_id: r for r in language_id.op10_language_id(spark, table(rows + odd)).collect()}
     assert len(out) == 64
     for i in (100, 101, 102):
@@ -78,6 +78,18 @@ def test_language_odd_rows(spark, table):
     assert (unlabelled.lang_pred, unlabelled.rejected) == ("und", True)
 
 
+def test_subwords_of_many_words_are_those_of_each():
+    settings, words = language_id.Settings(), ["a", "the", "straße", "x" * 70000, "日本語", "the"]
+    ids, sizes = language_id.subwords(words, settings)
+    at = 0
+    for word, size in zip(words, sizes):
+        own, (alone,) = language_id.subwords([word], settings)
+        assert size == alone == 1 + sum(max(0, len(word) + 2 - n + 1) for n in (2, 3, 4))
+        assert sorted(ids[at : at + size]) == sorted(own)
+        at += size
+    assert at == len(ids)
+
+
 def test_folding_and_exceptions():
     matcher = toxicity.Matcher(toxicity.seeded(toxicity.Settings()))
     assert matcher.density("an 1d10t, a Sтυpіd one")[1] == 2
