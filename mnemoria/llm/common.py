@@ -2,40 +2,18 @@
 
 from __future__ import annotations
 
-import os
-import zipfile
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from mnemoria.runtime import stored  # noqa: F401  (for the operators)
+from mnemoria.runtime import ship_package, stored  # noqa: F401  (for the operators)
 
 #: White space is ASCII white space everywhere in this subpackage.
 WORD = r"[^\x20\x09-\x0D]+"
-_SHIPPED: set[str] = set()
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once per application, so they need not have it installed."""
-    context = spark.sparkContext
-    if context.applicationId in _SHIPPED:
-        return
-    _SHIPPED.add(context.applicationId)
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    target = os.path.join(tempfile.mkdtemp(), "mnemoria_package.zip")
-    with zipfile.ZipFile(target, "w") as archive:
-        for folder, _, names in os.walk(root):
-            for name in names:
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    archive.write(full, os.path.relpath(full, os.path.dirname(root)))
-    context.addPyFile(target)
-
-
 def text_or_empty(text: Column | str) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
