@@ -933,6 +933,21 @@ MARKDOWN = {
     "m_chunks": """
         SELECT path, id, kind, s, coalesce(lead(s) OVER (PARTITION BY path ORDER BY s) - 1, n) AS e, lines FROM m_starts JOIN m_files USING (path)""",
 }
+PYTHON = {
+    "p_files": """
+        SELECT doc_id, path, lines, len(lines) AS n FROM (SELECT doc_id, 'doc/' || doc_id || '.py' AS path, string_split(
+          replace(text, chr(10), chr(10) || CASE WHEN doc_id % 2 = 0 THEN 'class Part: # ' ELSE 'async def run(): # ' END), chr(10)) AS lines
+          FROM documents)""",
+    "p_starts": f"""
+        SELECT path, s, CASE WHEN doc_id % 2 = 0 THEN 'python_class:Part' ELSE 'python_def:run' END AS id,
+          CASE WHEN doc_id % 2 = 0 THEN 'python_class' ELSE 'python_def' END AS kind FROM (SELECT *, unnest(range(2, n + 1)) AS s FROM p_files)
+        UNION ALL SELECT path, 1, 'python_preamble', 'python_preamble' FROM p_files WHERE n > 1 AND {strip('lines[1]')} <> ''
+        UNION ALL SELECT path, 1, 'lines:1_1', 'fixed' FROM p_files WHERE n = 1""",
+    "p_chunks": """
+        SELECT path, id, kind, s, coalesce(lead(s) OVER (PARTITION BY path ORDER BY s) - 1, n) AS e, lines FROM p_starts JOIN p_files USING (path)""",
+}
+
+
 def momentum(entities: str) -> str:
     return f"""SELECT id, events_24h, events_7d, events_all, round(quality, 6) AS quality, round(velocity, 6) AS velocity, round(volume, 6) AS relative_volume,
         round(score, 6) AS momentum, CASE WHEN round(score, 6) >= 7 THEN 'surging' WHEN round(score, 6) >= 4 THEN 'active' WHEN round(score, 6) >= 1.5e0 THEN 'quiet' ELSE 'dormant' END AS momentum_band
@@ -969,6 +984,12 @@ ORACLES["chunk_markdown"] = build(
 )
 
 
+ORACLES["chunk_python"] = build(
+    "SELECT path, id, kind, s AS start_line, e AS end_line, substring(sha256(array_to_string(lines[s:e], chr(10))), 1, 16) AS hash FROM p_chunks",
+    PYTHON,
+)
+
+
 def snippet(window: int) -> dict[str, str]:
     """The text around the earliest query term, for ranked rows joined with their query."""
     return {

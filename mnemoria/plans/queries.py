@@ -853,6 +853,12 @@ def q_chunk_markdown(spark, d):
     return rows.select("path", F.md5("id").alias("id_md5"), "kind", "start_line", "end_line", "hash")
 
 
+@query
+def q_chunk_python(spark, d):
+    rows = changes.chunk_documents(fx.v_python(spark, d))
+    return rows.select("path", "id", "kind", "start_line", "end_line", "hash")
+
+
 @query
 def q_detect_changes(spark, d):
     prev = changes.upsert_file_snapshots(_no_snapshots(spark), changes.snapshot_rows(fx.v_files(spark, d), AS_OF))
