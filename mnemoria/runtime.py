@@ -70,9 +70,19 @@ cut_lineage = stored
 _SHIPPED: set[str] = set()
 
 
+#: Bytes of an Arrow batch sent to a Python worker. A worker holds a batch several times over, and long texts fill it.
+BATCH_BYTES, BATCH_DEFAULT = "16m", "67108864b"
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once per application, so that they need not have it installed."""
+    """Send this package to the Python workers, once per application, so that they need not have it installed.
+
+    Arrow batches of this session are kept small as well, unless their size has been set.
+    """
     context = spark.sparkContext
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, BATCH_DEFAULT) in (None, BATCH_DEFAULT):
+        spark.conf.set(key, BATCH_BYTES)
     if context.applicationId in _SHIPPED:
         return
     _SHIPPED.add(context.applicationId)
