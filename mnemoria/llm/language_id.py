@@ -21,7 +21,7 @@ from mnemoria.llm.common import documents, hash_share, held_out, in_training, sh
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 UNDECIDED = "und"
-KEPT_WORDS = 400_000
+KEPT_WORDS = 200_000
 PART = 10_000
 
 
