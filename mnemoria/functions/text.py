@@ -55,18 +55,20 @@ def snippet(content: Column, terms: Column, window: int = SNIPPET_WINDOW) -> Col
     """``window`` code points around the earliest term; the content itself where it fits."""
     size = max(1, int(window))
     total = F.char_length(content)
-    lowered = F.lower(content)
-    found = F.filter(
-        F.transform(
+
+    def places(lowered: Column) -> Column:
+        return F.transform(
             terms,
             lambda t, i: F.struct(
                 F.call_function("instr", lowered, F.lower(t)).alias("at"),
                 i.alias("i"),
                 F.char_length(t).alias("n"),
             ),
-        ),
-        lambda hit: (hit["at"] > 0) & (hit["n"] > 0),
-    )
+        )
+
+    # The content is put in lower case once, not once per term.
+    once = F.element_at(F.transform(F.array(F.lower(content)), places), 1)
+    found = F.filter(once, lambda hit: (hit["at"] > 0) & (hit["n"] > 0))
     best = F.array_min(found)
     centre = best["at"] - 1 + F.floor(best["n"] / 2) - F.lit(size // 2)
     start = F.greatest(F.lit(0), F.least(F.coalesce(centre, F.lit(0)), total - size)).cast("int")

@@ -189,10 +189,10 @@ def token_budget_select(
 
 
 def hydrate(candidates: DataFrame, memories: DataFrame, entities: DataFrame) -> DataFrame:
-    """Candidates with the columns of their memory and entity; vectors are never read here."""
+    """Candidates with the columns of their memory and entity that ranking needs; no vectors and no contents."""
     ids = candidates.select("id").distinct()
     wanted = memories.select(
-        "id", "entity_id", "layer", "content", "importance", "protected", "created_at", "last_accessed_at",
+        "id", "entity_id", "layer", "importance", "protected", "created_at", "last_accessed_at",
         "access_count", "archived_at", "superseded_by_id", "activation_score", "ttl_penalty",
         "supersession_penalty", "activation_computed_at",
     ).join(ids, "id", "left_semi")
@@ -227,6 +227,9 @@ def rank_candidates(
     ranked = rows.withColumn("rank", F.row_number().over(best_first)).withColumn(
         "total_candidates", F.count("*").over(per_query)
     )
+    # Contents join the rows that can still be shown or reranked, not every candidate.
+    last = max(cfg.offset + cfg.rows + 1, cfg.rerank_top if cfg.scorer else 0)
+    ranked = ranked.filter(F.col("rank") <= last).join(store.memories.select("id", "content"), "id")
     if cfg.snippet_window or cfg.scorer:
         ranked = ranked.join(queries.select("query_id", "text"), ["query_id"])
     if cfg.scorer:
