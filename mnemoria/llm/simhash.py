@@ -6,9 +6,10 @@ most 2 over the first 17 segments or at most 1 over the other 15. The grid has o
 2 share a cell next to both, and of two points at distance 1 the upper is next to the lower one's cell. Fingerprints that share
 a cell are verified on their bits. This finds every link of one 64-bit fingerprint.
 
-A similarity of 0.8 is about 15 % of the bits, too far for neighbouring cells. ``WIDE`` therefore takes 16 fingerprints
-and only the points' own cells over thirds of each, and verifies on all 1,024 bits: a pair is found if any of
-48 cells is shared, which is likely but not certain.
+A similarity of 0.8 is about 15 % of the bits, too far for neighbouring cells. ``WIDE`` therefore links by the sets of
+shingles themselves: bands of minima only propose pairs, the parities of a set bound how far two sets differ at least, and
+what is left is compared on the whole sets of shingle hashes. A link is exact; a pair at the very threshold is proposed but
+for about 5 in 100 million, a more similar one more surely.
 """
 
 from __future__ import annotations
@@ -43,8 +44,22 @@ class Settings:
     seed: int = 42
 
 
-#: Five-word shingles at an estimated similarity of 0.8: an angle whose cosine is 2 * 0.8 / 1.8 flips 15.1 % of the bits.
-WIDE = Settings(words=5, lanes=16, parts=((0, 11, 0), (11, 11, 0), (22, 10, 0)), lane_bits=14, total_bits=155)
+@dataclass(frozen=True)
+class Sets:
+    """Links between documents whose sets of shingles have a Jaccard similarity of ``least`` or more."""
+
+    words: int = 5
+    #: The similarity as a fraction, so that the comparison is one of whole numbers.
+    least: tuple[int, int] = (4, 5)
+    #: A pair is compared if it agrees in all the minima of a band: at 0.8, all bands miss it with (1 - 0.8 ** 4) ** 32.
+    bands: int = 32
+    minima: int = 4
+    #: 64-bit words that hold the parities of a set, of which an element in only one of two sets flips one bit.
+    parity_words: int = 16
+    seed: int = 42
+
+
+WIDE = Sets()
 
 
 def shingle_hashes(text: str | None, words: int, seed: int) -> np.ndarray:
@@ -98,6 +113,80 @@ def with_fingerprints(docs: DataFrame, settings: Settings, text: str = "text", o
     return docs.withColumn(out, lanes(F.col(text)))
 
 
+def signature(hashes: np.ndarray, settings: Sets) -> list[int]:
+    """Two digests of the set of hashes, its size and parities, then its bands (none if it is empty), as signed numbers."""
+    import xxhash
+
+    found = np.unique(hashes)
+    raw = found.tobytes()
+    wide = 64 * settings.parity_words
+    odd = np.bincount(((found >> _U(32)) % _U(wide)).astype(np.int64), minlength=wide) & 1
+    head = [xxhash.xxh64_intdigest(raw, settings.seed), xxhash.xxh64_intdigest(raw, settings.seed + 1), len(found)]
+    parts = [np.array(head, dtype=np.uint64), np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)]
+    if len(found):
+        factors = np.random.default_rng(settings.seed).integers(0, 2**64, settings.bands * settings.minima, np.uint64) | _U(1)
+        blocks = (found[at : at + 512, None] * factors for at in range(0, len(found), 512))
+        least = functools.reduce(np.minimum, (b.min(axis=0) for b in blocks)).reshape(settings.bands, settings.minima)
+        parts.append(np.array([xxhash.xxh64_intdigest(row.tobytes(), i) for i, row in enumerate(least)], dtype=np.uint64))
+    return np.concatenate(parts).view(np.int64).tolist()
+
+
+def with_signatures(docs: DataFrame, settings: Sets, text: str) -> DataFrame:
+    """``docs`` with ``lanes`` (two digests, equal for equal sets), ``size``, ``parities`` and ``bands`` of the whole text."""
+    ship_package(docs.sparkSession)
+
+    @F.pandas_udf("array<bigint>")
+    def signatures(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([signature(shingle_hashes(t, settings.words, settings.seed), settings) for t in texts])
+
+    first = 4 + settings.parity_words
+    return docs.withColumn("__signature", signatures(F.col(text))).select(
+        *docs.columns, F.slice("__signature", 1, 2).alias("lanes"), F.get("__signature", F.lit(2)).alias("size"),
+        F.slice("__signature", 4, settings.parity_words).alias("parities"),
+        F.slice("__signature", first, settings.bands).alias("bands"),
+    )
+
+
+def set_classes(nodes: DataFrame, docs: DataFrame, text: str, settings: Sets) -> DataFrame:
+    """(node, root) of the ``nodes`` (node, size, parities, bands, of: a document's id and mark) that have a link."""
+    ship_package(docs.sparkSession)
+    over, under = settings.least
+
+    def sizes_allow(a: Column, b: Column) -> Column:
+        return under * F.least(a, b) >= over * F.greatest(a, b)
+
+    def parities_allow(a: Column, b: Column) -> Column:
+        bits = [
+            F.bit_count(F.get(a["parities"], F.lit(i)).bitwiseXOR(F.get(b["parities"], F.lit(i))))
+            for i in range(settings.parity_words)
+        ]
+        return (under + over) * functools.reduce(lambda x, y: x + y, bits) <= (under - over) * (a["size"] + b["size"])
+
+    @F.pandas_udf("array<bigint>")
+    def shingle_sets(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            rows = (np.unique(shingle_hashes(t, settings.words, settings.seed)) for t in texts)
+            yield pd.Series([r.view(np.int64).tolist() for r in rows])
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        met = stored(pairs.select("a", "b"), "set-pairs")
+        wanted = met.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        one = nodes.join(wanted, "node").select("node", F.col("of.doc_id").alias("__id"), F.col("of.mark").alias("__mark"))
+        same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__mark"))
+        texts = docs.select("doc_id", text).join(one, same).select("node", F.col(text).alias("__text")).dropDuplicates(["node"])
+        sets = stored(texts.select("node", shingle_sets("__text").alias("shingles")), "shingle-sets")
+        a, b = (sets.select(F.col("node").alias(n), F.col("shingles").alias(f"set_{n}")) for n in "ab")
+        both = F.size(F.array_intersect("set_a", "set_b"))
+        counted = met.join(a, "a").join(b, "b").select("a", "b", both.alias("both"), (F.size("set_a") + F.size("set_b")).alias("all"))
+        return counted.where((under + over) * F.col("both") >= over * F.col("all")).select("a", "b")
+
+    return linked_classes(
+        lambda: nodes.select(F.explode("bands").alias("bucket"), "node", F.col("size").alias("payload")), sizes_allow,
+        nodes.select("node", F.struct("size", "parities").alias("detail")), parities_allow, verify,
+    )
+
+
 #: In ``packed``, two bits hold each segment's count of set bits, 0 to 2. A step up or down is an exclusive or.
 _PACKED = "((payload & {m}L) ^ (shiftrightunsigned(payload, 1) & {m}L)) | shiftleft(payload & {m}L & shiftrightunsigned(payload, 1), 1)".format(
     m=0x5555555555555555)
@@ -140,28 +229,33 @@ def classes(nodes: DataFrame, settings: Settings) -> DataFrame:
     )
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", settings: Settings = Settings()) -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", settings: Settings | Sets = Settings()) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, mark (a hash of the text), lanes, root, component_id.
 
     Documents with equal fingerprints, or with a chain of links between theirs, share a component: a number ``root``,
     named by its smallest doc_id (null if no member has one). Null, empty and wordless texts have fingerprint zero,
-    linked as any other.
+    linked as any other. Under ``Sets``, lanes are digests of the set of shingles, and all texts without a word are equal.
     """
     narrow = docs.select("doc_id", F.col(text).alias("__text"), F.xxhash64(text).alias("mark"))
-    rows = stored(with_fingerprints(narrow, settings, "__text").drop("__text"), "fingerprints")
-    distinct = rows.groupBy("lanes").agg(F.min("doc_id").alias("least"))
+    by_sets = isinstance(settings, Sets)
+    signed = with_signatures(narrow, settings, "__text") if by_sets else with_fingerprints(narrow, settings, "__text")
+    rows = stored(signed.drop("__text"), "fingerprints")
+    # Equal lanes have equal sets, so any row of them will do.
+    more = [F.first(c).alias(c) for c in ("size", "parities", "bands")] + [F.min(F.struct("doc_id", "mark")).alias("of")]
+    distinct = rows.groupBy("lanes").agg(F.min("doc_id").alias("least"), *(more if by_sets else []))
+    rows = rows.select("doc_id", "mark", "lanes")
     # Nodes are numbered by their smallest doc_id: the first text of a group is mostly the one that the others copy.
     numbered = distinct.repartitionByRange("least").sortWithinPartitions("least", "lanes")
     nodes = stored(numbered.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    roots = classes(nodes, settings)
-    placed = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    roots = set_classes(nodes, docs, text, settings) if by_sets else classes(nodes, settings)
+    placed = nodes.select("node", "lanes", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     named = stored(placed.join(names, "root").select("lanes", "root", "component_id"), "components")
     # Copies share their fingerprint: a hot one is the skewed side of this join, which adaptive execution splits.
     return rows.join(named, "lanes")
 
 
-def one_of_each(docs: DataFrame, text: str = "text", settings: Settings = WIDE) -> DataFrame:
+def one_of_each(docs: DataFrame, text: str = "text", settings: Settings | Sets = WIDE) -> DataFrame:
     """``docs`` with one row per component: the smallest doc_id stays (null last), of repeated rows one."""
     found = stored(near_duplicates(docs, text, settings).select("doc_id", "mark", "root"), "near-duplicates")
     keys = found.groupBy("root", "doc_id", "mark").agg(F.count("*").alias("n"))

@@ -145,6 +145,32 @@ def test_wide_fingerprints_find_similar_texts(spark):
     assert stays == sorted(set(class_of.values()))
 
 
+def shingles_by_hand(text, words=5):
+    found = text.lower().split()
+    return {tuple(found[i : i + words]) for i in range(max(1, len(found) - words + 1))}
+
+
+def test_wide_links_are_those_of_the_shingle_sets(spark):
+    """Pairs about 0.8 similar are linked if, and only if, their sets say so, also where one shingle fills a text."""
+    rng = random.Random(21)
+    texts = []
+    for _ in range(250):
+        words = [f"w{rng.randrange(9000)}" for _ in range(rng.randint(60, 250))]
+        copy = list(words)
+        for at in rng.sample(range(len(copy)), rng.randint(1, max(2, len(copy) // 35))):
+            copy[at] = "other"
+        texts += [" ".join(words), " ".join(copy)]
+    # One shingle is most of the text; nothing else is shared.
+    texts += ["na " * 300 + " ".join(f"{kind}{j}" for j in range(60)) for kind in ("x", "y")]
+    sets = [shingles_by_hand(t) for t in texts]
+    similar = [len(a & b) / len(a | b) for a, b in zip(sets[::2], sets[1::2])]
+    assert sum(0.75 <= x < 0.8 for x in similar) > 20 and sum(0.8 <= x < 0.85 for x in similar) > 20
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, settings=simhash.WIDE).collect()}
+    linked = {(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+    assert got == components_by_hand(range(len(sets)), lambda a, b: (b, a) in linked)
+
+
 def test_one_of_each_odd_rows(spark, table):
     rows = [(1, "a b c d e f"), (2, "a b c d e f"), (2, "a b c d e f"), (None, "a b c d e f"), (3, None), (4, ""),
             (5, "other words here"), (5, "other words here"), (None, "nameless"), (None, "nameless")]
