@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from mnemoria.llm.common import documents, ship_package, stored, text_or_empty
+from mnemoria.llm.common import WORD, documents, ship_package, stored, text_or_empty
 from mnemoria.llm.components import linked_classes
 from mnemoria.llm.screen import screened
 
@@ -261,15 +261,28 @@ def repeated_lines(docs: DataFrame, text: str = "text", settings: Settings = Set
     return rows.select("doc_id", "mark", F.size("lines").alias("n_lines")), dropped
 
 
-def without_repeated_lines(docs: DataFrame, text: str = "text", settings: Settings = Settings()) -> DataFrame:
+def whole_copies(docs: DataFrame, text: str) -> DataFrame:
+    """(doc_id, mark, copy) of the documents whose whole text is that of an earlier one, by doc_id (null last)."""
+    keys = docs.select("doc_id", F.xxhash64(text).alias("mark"), F.xxhash64(text, F.lit(1)).alias("check")).distinct()
+    at = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")
+    firsts = keys.groupBy("mark", "check").agg(F.min(at).alias("first"), F.count("*").alias("n")).where("n > 1")
+    return keys.join(firsts.drop("n"), ["mark", "check"]).where(at != F.col("first")).select("doc_id", "mark", F.lit(True).alias("copy"))
+
+
+def without_repeated_lines(
+    docs: DataFrame, text: str = "text", settings: Settings = Settings(), keep_short: bool = False
+) -> DataFrame:
     """``docs`` with the dropped lines cut out of ``text``; a document all of whose lines that take part were dropped is gone.
 
-    Lines too short to take part stay otherwise, and texts that lose nothing stay as they are.
+    With ``keep_short``, such a document is gone only if no word is left, or if its whole text is that of an earlier document, with
+    which its short lines stay. Lines too short to take part stay otherwise, and texts that lose nothing stay as they are.
     """
     _, dropped = repeated_lines(docs, text, settings)
-    gone = dropped.select(
-        F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), F.transform("lines", lambda x: x["no"]).alias("__gone")
-    )
+    gone = dropped.select("doc_id", "mark", F.transform("lines", lambda x: x["no"]).alias("__gone"))
+    if keep_short:
+        copies = whole_copies(docs, text).select(F.col("doc_id").alias("i"), F.col("mark").alias("m"), F.col("copy").alias("__copy"))
+        gone = gone.join(copies, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("mark") == F.col("m")), "left")
+    gone = gone.withColumnsRenamed({"doc_id": "__id", "mark": "__mark"})
     joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__mark")), "left")
     # Few lines go from a document as a rule; a map look-up would not be faster.
     kept = F.array_join(
@@ -277,8 +290,10 @@ def without_repeated_lines(docs: DataFrame, text: str = "text", settings: Settin
     )
     taking_part = F.size(F.filter(bare_lines(text), lambda x: F.length(x) >= settings.least_chars))
     cut = joined.withColumn("__kept", F.when(F.col("__gone").isNull(), F.col(text)).otherwise(kept))
-    left = cut.where(F.col("__gone").isNull() | (F.size("__gone") < taking_part))
-    return left.withColumn(text, F.col("__kept")).select(*docs.columns)
+    stays = F.size("__gone") < taking_part
+    if keep_short:
+        stays = F.col("__kept").rlike(WORD) & F.col("__copy").isNull()
+    return cut.where(F.col("__gone").isNull() | stays).withColumn(text, F.col("__kept")).select(*docs.columns)
 
 
 def op4_line_dedup(spark, sf_dir: str) -> DataFrame:

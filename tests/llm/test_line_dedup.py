@@ -7,6 +7,7 @@ import random
 
 import pytest
 
+import corpus_pipeline
 from mnemoria.llm import line_dedup as ld
 
 SF = "/root/testdata/sf0.001"
@@ -123,6 +124,23 @@ def test_texts_are_cut_and_depleted_documents_go(spark, table):
     assert ld.op4_line_dedup(spark, table([])).count() == 0
 
 
+def test_the_pipeline_keeps_unique_short_lines(spark, table):
+    """A document goes only if no word is left of it, or all of it stays in an earlier one."""
+    rows = fixture(5) + [(300, None), (301, ""), (400, "the common heading\nred rose\nblue sky"), (401, "the common heading\none\ntwo"),
+                         (402, "the common heading\n \n"), (403, "the common heading\none\ntwo"), (404, "one\ntwo"), (405, "one\ntwo")]
+    docs = spark.read.parquet(f"{table([(*r, 'en', 's', 1) for r in rows])}/documents.parquet")
+    got = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, docs, "").collect()}
+    want, expected, texts = by_hand(rows), {}, set()
+    for i, text in rows:
+        gone = want.get((i, text))
+        kept = text if gone is None else "\n".join(x for n, x in enumerate(text.split("\n")) if n not in gone)
+        if gone is None or kept.split() and text not in texts:
+            expected[i] = kept
+        texts.add(text)
+    assert got == expected
+    assert got[401] == "one\ntwo" and {402, 403}.isdisjoint(got) and got[404] == got[405]
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not here")
 def test_over_a_table(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
