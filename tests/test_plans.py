@@ -12,6 +12,7 @@ from mnemoria.plans.oracle import ORACLES
 from mnemoria.plans.queries import QUERIES
 from mnemoria.sources import transcripts
 from mnemoria.operators import filters, joins, lifecycle, search, sessions
+from mnemoria.streaming import jobs
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
@@ -53,6 +54,21 @@ def test_query_equals_sql(spark, duck, name):
     assert sorted_rows(df.columns, df.collect()) == want
 
 
+def test_stream_maintenance_runs_all_phases_on_a_store_with_memories(spark, monkeypatch):
+    first, after, commit, load = [], [], jobs.commit_store, jobs.load_head
+    monkeypatch.setattr(jobs, "commit_store", lambda s, root, store, *a: (first.append(store.memories), commit(s, root, store, *a))[1])
+    monkeypatch.setattr(jobs, "load_head", lambda s, root: (after.append(load(s, root)), after[-1])[1])
+    QUERIES["stream_maintenance"](spark, SF_DIR)
+    whole = fx.v_memories(spark, SF_DIR)
+    assert 0 < first[0].count() < whole.count()
+    waiting = "embedding_status = 'pending' AND archived_at IS NULL"
+    got = after[-1]
+    arrived = got.memories.join(first[0].select("id"), "id", "left_anti")
+    assert whole.where(waiting).count() and not got.memories.where(waiting).count()
+    assert arrived.where("id % 10 = 0 AND embedding_dim = 64 AND embedding IS NOT NULL").count()
+    assert got.events.where("kind = 'supersess_batch_completed'").count() == 1
+
+
 def test_every_key_is_known():
     assert set(entry_points.oracle_sql()) <= set(entry_points.queries())
 
