@@ -31,10 +31,11 @@ PATTERNS = {
 KINDS = list(PATTERNS)
 BASE = KINDS[:3]
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+BASE58 = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
 #: Encodings, the narrowest first.
 ALPHABETS = [
-    DIGITS, DIGITS + LOWER[:6], DIGITS + UPPER[:6], UPPER + DIGITS[2:8], LOWER + DIGITS[2:8], UPPER + LOWER + DIGITS,
-    UPPER + LOWER + DIGITS + "+/", UPPER + LOWER + DIGITS + "-_", UPPER + LOWER + DIGITS + "+/-_",
+    DIGITS, DIGITS + LOWER[:6], DIGITS + UPPER[:6], UPPER + DIGITS[2:8], LOWER + DIGITS[2:8], LOWER + DIGITS, UPPER + DIGITS,
+    BASE58, UPPER + LOWER + DIGITS, UPPER + LOWER + DIGITS + "+/", UPPER + LOWER + DIGITS + "-_", UPPER + LOWER + DIGITS + "+/-_",
 ]
 
 

@@ -80,6 +80,29 @@ def test_random_tokens_are_told_from_prose(spark, table):
     assert len(flagged & secrets) >= 0.9 * len(secrets) and len(flagged - secrets) <= 2
 
 
+def test_random_tokens_of_each_alphabet_and_length(spark, table):
+    """Nearly all of 31 characters and more are found in every alphabet, however long they are."""
+    rng, rows, kind = random.Random(14), [], {}
+    for number, alphabet in enumerate(secret_scan.ALPHABETS[1:]):  # plain numbers are no keys
+        for size in (20, 24, 31, 40, 48, 64, 80, 96, 128, 200):
+            for _ in range(8):
+                kind[len(rows)] = (number, size)
+                rows.append((len(rows), f"some words and {''.join(rng.choice(alphabet) for _ in range(size))} after them"))
+    prose = ["internationalization_of_the_message", "getUserAccountInformationFromService", "usr/local/lib/python/site-packages"]
+    rows += [(len(rows) + i, f"more words {rng.choice(prose)} here") for i in range(300)]
+    got = secret_scan.op5_secret_scan(spark, table(rows)).collect()
+    found, missed = collections.Counter(), collections.Counter()
+    for r in got:
+        if r.doc_id in kind:
+            (found if r.n_random or r.n_hex else missed)[kind[r.doc_id]] += 1
+    for number in range(len(secret_scan.ALPHABETS) - 1):
+        sizes = (31, 40, 48, 64, 80, 96, 128, 200)
+        assert sum(found[number, x] for x in sizes) >= 0.95 * 8 * len(sizes), (number, missed)
+        assert all(found[number, x] >= 6 for x in sizes), (number, missed)
+        assert found[number, 20] + found[number, 24] >= 5, (number, missed)  # less evidence that they are not prose
+    assert sum(r.n_random for r in got if r.doc_id not in kind) <= 3
+
+
 def word_sizes(rows):
     return [(r[0], len(WORD.findall(r[1] or "")), r[3]) for r in rows]
 
