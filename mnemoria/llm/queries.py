@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from mnemoria.llm.exact_dedup import OP3_SQL, op3_exact_dedup
+from mnemoria.llm.filter_audit import OP11_SQL, op11_filter_audit
 from mnemoria.llm.language_id import op10_language_id
 from mnemoria.llm.line_dedup import op4_line_dedup
 from mnemoria.llm.mixing import op6_source_mixing
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_toxicity": op9_toxicity,
     "op10_language_id": op10_language_id,
+    "op11_filter_audit": op11_filter_audit,
 }
 
-ORACLES: dict[str, str] = {"op3_exact_dedup": OP3_SQL, "op7_quality_rules": OP7_SQL}
+ORACLES: dict[str, str] = {"op3_exact_dedup": OP3_SQL, "op7_quality_rules": OP7_SQL, "op11_filter_audit": OP11_SQL}
