@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from mnemoria.llm.collocations import OP12_SQL, op12_collocations
 from mnemoria.llm.exact_dedup import OP3_SQL, op3_exact_dedup
 from mnemoria.llm.filter_audit import OP11_SQL, op11_filter_audit
 from mnemoria.llm.language_id import op10_language_id
@@ -26,6 +27,12 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_language_id": op10_language_id,
     "op11_filter_audit": op11_filter_audit,
+    "op12_collocations": op12_collocations,
 }
 
-ORACLES: dict[str, str] = {"op3_exact_dedup": OP3_SQL, "op7_quality_rules": OP7_SQL, "op11_filter_audit": OP11_SQL}
+ORACLES: dict[str, str] = {
+    "op3_exact_dedup": OP3_SQL,
+    "op7_quality_rules": OP7_SQL,
+    "op11_filter_audit": OP11_SQL,
+    "op12_collocations": OP12_SQL,
+}
