@@ -69,3 +69,34 @@ def linked_classes(
     return stored(
         all_roots.join(renamed, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "classes"
     )
+
+
+def classes_in_buckets(
+    buckets: DataFrame, near: Callable[[Column, Column], Column], verify: Callable[[DataFrame], DataFrame]
+) -> DataFrame:
+    """(node, root) of all nodes that links join; ``buckets`` has rows (bucket, node, payload), each pair of them once.
+
+    As ``linked_classes``, but a bucket is never brought together to be looked over: its ends, its classes and their sizes come
+    from partial sums, and only buckets of two nodes or more are written and read again. ``near`` is a cheap test of payloads;
+    of the pairs (a, b) that pass it, ``verify`` gives those that are links. In pairs with a bucket's smallest node, that is ``a``.
+    """
+    ends = buckets.groupBy("bucket").agg(F.min(F.struct("node", "payload")).alias("hub"), F.max("node").alias("top"))
+    shared = stored(buckets.join(ends.where("hub.node < top").drop("top"), "bucket"), "shared-buckets")
+    met = shared.where(F.col("node") != F.col("hub.node")).where(near(F.col("hub.payload"), F.col("payload")))
+    stars = met.select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct()
+    roots = connected(stored(verify(stars).select("a", "b"), "star-links"))
+
+    placed = shared.drop("hub").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    sizes = placed.groupBy("bucket", "root").agg(F.count("*").alias("size"))
+    mains = sizes.groupBy("bucket").agg(F.max(F.struct("size", "root"))["root"].alias("main"), F.count("*").alias("classes"))
+    mixed = stored(placed.join(mains.where("classes > 1").drop("classes"), "bucket"), "mixed-buckets")
+    left = mixed.where("root <> main").select("bucket", F.col("node").alias("a"), F.col("payload").alias("pa"), F.col("root").alias("ra"))
+    right = mixed.select("bucket", F.col("node").alias("b"), F.col("payload").alias("pb"), F.col("root").alias("rb"), "main")
+    # Between two classes of which neither is the main one, each pair is tried once.
+    once = (F.col("rb") == F.col("main")) | (F.col("ra") < F.col("rb"))
+    pairs = left.join(right, "bucket").where((F.col("ra") != F.col("rb")) & once & near(F.col("pa"), F.col("pb")))
+    links = stored(verify(pairs.select("a", "b").distinct()).select("a", "b"), "cross-pairs")
+    if links.isEmpty():
+        return roots
+    tops = connected(links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    return tops

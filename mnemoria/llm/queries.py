@@ -11,6 +11,7 @@ from mnemoria.llm.mixing import op6_source_mixing
 from mnemoria.llm.packing import op8_packing
 from mnemoria.llm.quality import OP7_SQL, op7_quality_rules
 from mnemoria.llm.secret_scan import op5_secret_scan
+from mnemoria.llm.setsketch import OP13_SQL, op13_setsketch
 from mnemoria.llm.simhash import op1_simhash
 from mnemoria.llm.token_counts import op2_token_counts
 from mnemoria.llm.toxicity import op9_toxicity
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_language_id": op10_language_id,
     "op11_filter_audit": op11_filter_audit,
     "op12_collocations": op12_collocations,
+    "op13_setsketch": op13_setsketch,
 }
 
 ORACLES: dict[str, str] = {
@@ -35,4 +37,5 @@ ORACLES: dict[str, str] = {
     "op7_quality_rules": OP7_SQL,
     "op11_filter_audit": OP11_SQL,
     "op12_collocations": OP12_SQL,
+    "op13_setsketch": OP13_SQL,
 }
