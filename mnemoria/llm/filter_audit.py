@@ -1,7 +1,7 @@
 """How filters act on each other: what every filter removes after every order of the others.
 
-Words are coded by one dictionary of the whole table, and documents become rows of a sparse document-term matrix in CSR shards:
-``offsets`` bound each row's entries, ``columns`` are the words' numbers, ``times`` their counts. A row's sum is the document's
+Tasks code their own words, a dictionary of the whole table renumbers them, and documents become rows of a sparse document-term
+matrix in CSR shards: ``offsets`` bound each row's entries, ``columns`` are the words' numbers, ``times`` their counts. A row's sum is the document's
 number of words and its number of entries that of different words. These decide two filters; the other three are flags of the
 text. Documents then count by the set of filters that they fail, of which there are 32 per part, and only those counts meet
 the 120 orders.
@@ -18,12 +18,13 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from mnemoria.llm.common import documents, ship_package, stored, text_or_empty
-from mnemoria.llm.terms import SHARD_WORDS, Vocabulary, global_codes, one_list, renumbered, shard_number
-from mnemoria.scale import global_positions
+from mnemoria.llm.terms import SHARD_WORDS, Vocabulary, one_list, shard_number
 
+#: Different words after which a task begins a new unit, and words of all units in a part of the dictionary.
+UNIT_WORDS, PART_WORDS = 500_000, 500_000
 LETTERS = "ABCDE"
 ORDERS = ["".join(order) for order in itertools.permutations(LETTERS)]
 
@@ -40,85 +41,175 @@ class Rules:
 
 @dataclass(frozen=True)
 class Matrix:
-    """``dictionary`` (word, code, dense from 0) and ``shards`` (shard, offsets, columns, times, one list per kept column)."""
+    """``dictionary`` (part, first, words): the word at place i of a row has the number first + i, from 0 without gaps.
+    ``shards`` (offsets, columns, times, and a list per column of ``kept``): rows of the matrix."""
 
     dictionary: DataFrame
     shards: DataFrame
     kept: tuple[str, ...]
 
 
-def local_shards(docs: DataFrame, text: str, keep: list[str], shard_words: int) -> DataFrame:
-    """CSR shards under the codes of their own ``words``. Null texts are rows without entries."""
+def local_shards(docs: DataFrame, text: str, keep: list[str], shard_words: int, unit_words: int) -> DataFrame:
+    """CSR shards under the codes of a unit's own words, and one row with these ``words`` per unit.
+
+    A unit is a run of shards of one task, which ends when it has ``unit_words`` different words. Null texts are rows without entries.
+    """
     ship_package(docs.sparkSession)
     narrow = docs.select(F.col(text).cast("binary").alias("__text"), *keep)
     kinds = {f.name: f.dataType.simpleString() for f in narrow.schema}
-    schema = "shard bigint, words array<string>, offsets array<int>, columns array<int>, times array<int>" + "".join(
+    schema = "unit bigint, words array<string>, offsets array<int>, columns array<int>, times array<int>" + "".join(
         f", `{c}` array<{kinds[c]}>" for c in keep
     )
-
-    def csr(number: int, held: list[list[bytes]], columns: list[list[pa.Array]]) -> pa.RecordBatch:
-        words = Vocabulary()
-        sizes = np.fromiter(map(len, held), np.int64, len(held))
-        codes = np.fromiter(map(words.__getitem__, itertools.chain.from_iterable(held)), np.int64, int(sizes.sum()))
-        width = max(len(words), 1)
-        entry, times = np.unique(np.repeat(np.arange(len(held)), sizes) * width + codes, return_counts=True)
-        offsets = np.searchsorted(entry, np.arange(len(held) + 1) * width)
-        lists = [words.strings(), pa.array(offsets, pa.int32()), pa.array(entry % width, pa.int32()), pa.array(times, pa.int32())]
-        lists += [pa.concat_arrays(parts) for parts in columns]
-        names = ["shard", "words", "offsets", "columns", "times", *keep]
-        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *map(one_list, lists)], names)
+    names = ["unit", "words", "offsets", "columns", "times", *keep]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, made, held, n = TaskContext.get().partitionId(), 0, [], 0
+        task, made, held, n, words = TaskContext.get().partitionId(), 0, [], 0, Vocabulary()
         columns: list[list[pa.Array]] = [[] for _ in keep]
+        kinds_of: list[pa.DataType] = []
+
+        def unit() -> pa.Array:
+            return pa.array([shard_number(task, made)], pa.int64())
+
+        def csr() -> pa.RecordBatch:
+            sizes = np.fromiter(map(len, held), np.int64, len(held))
+            codes = np.fromiter(map(words.__getitem__, itertools.chain.from_iterable(held)), np.int64, int(sizes.sum()))
+            width = max(len(words), 1)
+            entry, times = np.unique(np.repeat(np.arange(len(held)), sizes) * width + codes, return_counts=True)
+            offsets = np.searchsorted(entry, np.arange(len(held) + 1) * width)
+            lists = [pa.array(offsets, pa.int32()), pa.array(entry % width, pa.int32()), pa.array(times, pa.int32())]
+            lists = [one_list(x) for x in lists + [pa.concat_arrays(parts) for parts in columns]]
+            return pa.RecordBatch.from_arrays([unit(), pa.nulls(1, pa.list_(pa.string())), *lists], names)
+
+        def vocabulary() -> pa.RecordBatch:
+            none = [pa.nulls(1, pa.list_(kind)) for kind in [pa.int32()] * 3 + kinds_of]
+            return pa.RecordBatch.from_arrays([unit(), one_list(words.strings()), *none], names)
+
         for batch in batches:
-            begin = 0
-            texts = batch.column(0)
+            begin, texts = 0, batch.column(0)
+            kinds_of = [batch.schema.field(name).type for name in keep]
             for i in range(len(texts)):
                 held.append((texts[i].as_py() or b"").split())
                 n += len(held[-1])
                 if n >= shard_words:
                     for parts, name in zip(columns, keep):
                         parts.append(batch.column(name).slice(begin, i + 1 - begin))
-                    yield csr(shard_number(task, made), held, columns)
-                    made, held, n, begin, columns = made + 1, [], 0, i + 1, [[] for _ in keep]
+                    yield csr()
+                    held, n, begin, columns = [], 0, i + 1, [[] for _ in keep]
+                    if len(words) >= unit_words:
+                        yield vocabulary()
+                        made, words = made + 1, Vocabulary()
             if begin < len(texts):
                 for parts, name in zip(columns, keep):
                     parts.append(batch.column(name).slice(begin))
         if held:
-            yield csr(shard_number(task, made), held, columns)
+            yield csr()
+        if kinds_of:
+            yield vocabulary()
 
     return narrow.mapInArrow(encode, schema)
 
 
-def document_term_matrix(docs: DataFrame, text: str = "text", keep: list[str] | None = None, shard_words: int = SHARD_WORDS) -> Matrix:
+def dictionary_parts(vocabularies: DataFrame, part_words: int) -> tuple[DataFrame, DataFrame]:
+    """(dictionary, codes) of rows (unit, words): ``codes`` has (unit, locals, codes), one row per unit and part.
+
+    Words are dealt out to parts by their hash, a list per unit and part; in a part, a word that several units have gets one
+    number. A part holds ``part_words`` of the units' words on average, and a word is there once per unit.
+    """
+    total = vocabularies.agg(F.coalesce(F.sum(F.size("words").cast("long")), F.lit(0))).first()[0]
+    parts = max(int(vocabularies.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // part_words))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            for unit, words in zip(batch.column(0), batch.column(1)):
+                words = words.values
+                part = np.fromiter((xxhash.xxh32_intdigest(w) % parts for w in words.to_pylist()), np.int64, len(words))
+                order = np.argsort(part, kind="stable")
+                for places in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+                    if len(places):
+                        own = pa.array([part[places[0]]], pa.int64())
+                        lists = [one_list(pa.array(places, pa.int32())), one_list(words.take(pa.array(places)))]
+                        yield pa.RecordBatch.from_arrays([own, pa.array([unit.as_py()], pa.int64()), *lists], ["part", "unit", "locals", "words"])
+
+    def number(table: pa.Table) -> pa.Table:
+        lists = [x.values for x in table.column("words")]
+        coded = pa.concat_arrays(lists).dictionary_encode()
+        ends = np.cumsum([len(x) for x in lists])
+        codes = [x.tolist() for x in np.split(coded.indices.to_numpy(), ends[:-1])]
+        n = table.num_rows
+        out = {
+            "part": pa.array([table.column("part")[0].as_py()] * (n + 1), pa.int64()),
+            "unit": pa.array([*table.column("unit").to_pylist(), None], pa.int64()),
+            "locals": pa.array([*[x.values for x in table.column("locals")], None], pa.list_(pa.int32())),
+            "codes": pa.array([*codes, None], pa.list_(pa.int64())),
+            "words": pa.array([*[None] * n, coded.dictionary], pa.list_(pa.string())),
+        }
+        return pa.table(out)
+
+    dealt = vocabularies.select("unit", "words").mapInArrow(deal, "part bigint, unit bigint, locals array<int>, words array<string>")
+    schema = "part bigint, unit bigint, locals array<int>, codes array<bigint>, words array<string>"
+    numbered = stored(dealt.groupBy("part").applyInArrow(number, schema), "term-dictionary")
+    words = numbered.where("words IS NOT NULL").select("part", "words")
+    # One row per part: a few thousand words of bookkeeping for a billion of words.
+    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    firsts = words.select("part", F.size("words").cast("long").alias("n")).select(
+        "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first")
+    )
+    codes = numbered.where("words IS NULL").join(firsts, "part").select(
+        "unit", "locals", F.transform("codes", lambda x: x + F.col("first")).alias("codes")
+    )
+    return words.join(firsts, "part").select("part", "first", "words"), codes
+
+
+def document_term_matrix(
+    docs: DataFrame, text: str = "text", keep: list[str] | None = None, shard_words: int = SHARD_WORDS, unit_words: int = UNIT_WORDS
+) -> Matrix:
     """The matrix of the white-space words of ``text``, case kept; a row per row of ``docs``, repeated ones too.
 
     ``keep`` names columns that go with the rows. Null and empty texts are rows without entries; an empty table has no shard.
     """
     keep = ["doc_id"] if keep is None else keep
-    local = stored(local_shards(docs, text, keep, shard_words), "term-shards")
-    words = local.select(F.explode("words").alias("word")).distinct()
-    dictionary = stored(global_positions(words, ["word"], "code"), "term-dictionary")
-    # A shard of empty texts has no word and thus no codes.
-    coded = local.drop("words").join(global_codes(local, dictionary, ["word"]).drop("locals"), "shard", "left")
-    none = F.array().cast("array<bigint>")
-    shards = coded.withColumn("columns", F.when(F.col("codes").isNull(), none).otherwise(renumbered("columns", F.col("codes"))))
-    return Matrix(dictionary, stored(shards.drop("codes"), "term-matrix"), tuple(keep))
+    local = stored(local_shards(docs, text, keep, shard_words, unit_words), "term-shards")
+    dictionary, codes = dictionary_parts(local.where("words IS NOT NULL"), PART_WORDS)
+    by_unit = codes.groupBy("unit").agg(F.collect_list("locals").alias("__locals"), F.collect_list("codes").alias("__codes"))
+    names = ["offsets", "columns", "times", *keep]
+    shards = local.where("words IS NULL").select("unit", *names)
+    # A unit of empty texts has no word and thus no codes.
+    joined = shards.join(by_unit, "unit", "left").select(*names, "__locals", "__codes")
+
+    def renumber(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                row = batch.slice(i, 1)
+                columns = row.column("columns")[0].values.to_numpy()
+                if len(columns):
+                    places = row.column("__locals")[0].values.flatten().to_numpy()
+                    of = np.zeros(len(places), dtype=np.int64)
+                    of[places] = row.column("__codes")[0].values.flatten().to_numpy()
+                    columns = of[columns]
+                values = [one_list(pa.array(columns, pa.int64())) if name == "columns" else row.column(name) for name in names]
+                yield pa.RecordBatch.from_arrays(values, names)
+
+    kinds = {f.name: f.dataType.simpleString() for f in shards.schema} | {"columns": "array<bigint>"}
+    return Matrix(dictionary, joined.mapInArrow(renumber, ", ".join(f"`{c}` {kinds[c]}" for c in names)), tuple(keep))
 
 
 def row_counts(matrix: Matrix) -> DataFrame:
-    """The kept columns of each row with ``n_words``, the sum of its entries, and ``n_distinct``, their number."""
+    """The kept columns of each row with ``n_words``, the sum of its entries, and ``n_distinct``, the number of its columns."""
 
     @F.pandas_udf("array<struct<n_words: bigint, n_distinct: bigint>>")
-    def counts(offsets: pd.Series, times: pd.Series) -> pd.Series:
+    def counts(offsets: pd.Series, columns: pd.Series, times: pd.Series) -> pd.Series:
         out = []
-        for bounds, values in zip(offsets, times):
-            total = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])[bounds]
-            out.append([{"n_words": w, "n_distinct": d} for w, d in zip(np.diff(total).tolist(), np.diff(bounds).tolist())])
+        for bounds, words, values in zip(offsets, columns, times):
+            row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+            held = np.asarray(values, dtype=np.int64) * (np.asarray(words) >= 0)
+            total = np.bincount(row, held, len(bounds) - 1).astype(np.int64)
+            distinct = np.bincount(row, held > 0, len(bounds) - 1).astype(np.int64)
+            out.append([{"n_words": w, "n_distinct": d} for w, d in zip(total.tolist(), distinct.tolist())])
         return pd.Series(out)
 
-    zipped = F.arrays_zip(counts("offsets", "times").alias("n"), *matrix.kept)
+    zipped = F.arrays_zip(counts("offsets", "columns", "times").alias("n"), *matrix.kept)
     row = matrix.shards.select(F.explode(zipped).alias("row"))
     return row.select("row.n.n_words", "row.n.n_distinct", *[F.col(f"row.`{c}`") for c in matrix.kept])
 
