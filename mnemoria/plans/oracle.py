@@ -459,6 +459,27 @@ EMB = {
     "e_pairs": EMB_PAIRS,
 }
 
+# All vectors as one group, row by row: ``alive`` are the rows that no newer one has taken so far.
+ACTIVE_PEERS = f"""WITH RECURSIVE r AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v, created_at, row_number() OVER (ORDER BY created_at, vec_id) AS pos
+  FROM (SELECT *, {AS_OF} - vec_id % 100 * {DAY} AS created_at FROM embeddings)
+), near AS (
+  SELECT a.pos, min(p.pos) AS low, list(p.pos) FILTER (round(list_cosine_similarity(a.v, p.v), 9) >= 0.4) AS matches
+  FROM r a JOIN r p ON p.pos < a.pos AND a.created_at - p.created_at <= {90 * DAY} GROUP BY a.pos
+), walk AS (
+  SELECT CAST(1 AS BIGINT) AS pos, [CAST(1 AS BIGINT)] AS alive, CAST([] AS BIGINT[]) AS gone
+  UNION ALL
+  SELECT pos + 1, list_append(list_filter(alive, lambda x: NOT list_contains(hits, x)), pos + 1), hits FROM (
+    SELECT w.pos, w.alive, list_filter(list_filter(w.alive, lambda x: x >= coalesce(n.low, w.pos + 1))[-200:],
+      lambda x: list_contains(coalesce(n.matches, []), x)) AS hits
+    FROM walk w JOIN r ON r.pos = w.pos + 1 LEFT JOIN near n ON n.pos = w.pos + 1
+  )
+), taken AS (
+  SELECT pos, unnest(gone) AS old_pos FROM walk
+)
+SELECT o.vec_id AS old_id, m.vec_id AS new_id, round(list_cosine_similarity(m.v, o.v), 6) AS cos
+FROM taken t JOIN r m ON m.pos = t.pos JOIN r o ON o.pos = t.old_pos"""
+
 RESOLVE = {
     "r_in": """
         SELECT doc_id AS seq, source, CASE doc_id % 3 WHEN 0 THEN source WHEN 1 THEN 'New_' || source ELSE 'new ' || source END AS name,
@@ -613,6 +634,7 @@ ORACLES: dict[str, str] = {
     "latest_peers": build(
         "SELECT new_id, count(*) AS peers, min(old_id) AS lowest, CAST(sum(old_id) AS BIGINT) AS id_sum FROM e_pairs WHERE gap <= 5 GROUP BY 1", EMB
     ),
+    "active_peer_sweep": ACTIVE_PEERS,
     "chunk_diff": build("SELECT path, id, status, start_line, end_line FROM f_diff", DIFF),
     "file_linked_memories": build(
         """SELECT id, entity_name, layer, round(importance, 6) AS importance, CASE WHEN length(content) > 300 THEN 303 ELSE length(content) END AS preview_chars

@@ -324,6 +324,14 @@ def q_latest_peers(spark, d):
     return pairs.groupBy("new_id").agg(F.count("*").alias("peers"), F.min("old_id").alias("lowest"), F.sum("old_id").alias("id_sum"))
 
 
+@query
+def q_active_peer_sweep(spark, d):
+    """A sweep with the default limit over all vectors as one group, in which the limit binds."""
+    rows = fx.v_vectors(spark, d).withColumn("entity_id", F.lit(1).cast("bigint"))
+    chosen, _ = supersede.swept(rows, threshold=0.4)
+    return chosen.select("old_id", "new_id", r6("cos"))
+
+
 @query
 def q_chunk_diff(spark, d):
     old = changes.chunk_documents(fx.v_files(spark, d))

@@ -198,6 +198,63 @@ def test_supersede_sweep_takes_earliest_match_and_is_idempotent(store):
         assert [json.loads(r.payload)["superseded"] for r in told] == [2, 0][:batches]
 
 
+def walked(items, limit, threshold=0.97, new=lambda i: True):
+    """Row by row: {old: new}, comparisons and pairs skipped by shape, of a sweep in which superseded rows are peers no more."""
+    order = sorted(range(len(items)), key=lambda i: (items[i]["created_at"], i))
+    units = [np.float32(x["embedding"]).astype(float) for x in items]
+    units = [u / np.linalg.norm(u) for u in units]
+    group = [(x.get("entity_id", 1), x.get("layer", "context")) for x in items]
+    taken, compared, skipped = {}, 0, 0
+    for at, i in enumerate(order):
+        if not new(i):
+            continue
+        peers = [j for j in order[:at] if group[j] == group[i] and j not in taken and items[i]["created_at"] - items[j]["created_at"] <= 90 * DAY]
+        for j in peers[-limit:] if limit else peers:
+            a, b = items[i].get("content", ""), items[j].get("content", "")
+            if a.startswith("{") and a == b:
+                skipped += 1
+                continue
+            compared += 1
+            if units[i] @ units[j] >= threshold:
+                taken[j] = i
+    return {j + 1: i + 1 for j, i in taken.items()}, compared, skipped
+
+
+def check_sweep(memories, items, limit, slice_rows=4096, threshold=0.97, new=lambda i: True):
+    marked = None if new(0) and new(1) else F.col("id").isin([i + 1 for i in range(len(items)) if new(i)])
+    chosen, counts = supersede.swept(memories(*items), marked, threshold, peer_limit=limit, slice_rows=slice_rows)
+    want, compared, skipped = walked(items, limit, threshold, new)
+    assert {r.old_id: r.new_id for r in chosen.collect()} == want
+    assert counts.first().asDict() == {
+        "embedded": sum(map(new, range(len(items)))), "compared": compared, "skipped_by_shape": skipped}
+    return want
+
+
+def test_superseded_rows_leave_the_peer_limit(memories):
+    """One row, 250 equal ones, the first again: all but one of the 250 are gone by then, so the first is within 200 peers."""
+    vectors = [[1.0, 0.0], *[[0.0, 1.0]] * 250, [1.0, 0.0]]
+    items = [{"embedding": v, "created_at": NOW - 1000 + i} for i, v in enumerate(vectors)]
+    want = check_sweep(memories, items, 200, slice_rows=64)
+    assert want[1] == 252
+
+
+@pytest.mark.parametrize("limit, slice_rows", [(3, 8), (7, 16), (None, 16), (200, 40)])
+def test_sweep_equals_row_by_row(memories, limit, slice_rows):
+    rng = np.random.default_rng(8)
+    shapes = ["plain", "plain", '{"a":1}']
+    items = [{"entity_id": int(rng.integers(1, 3)) if i > 110 else 1, "created_at": NOW - int(rng.integers(0, 120)) * DAY,
+              "content": shapes[int(rng.integers(0, 3))], "embedding": [float(x) for x in rng.normal(size=2)]} for i in range(160)]
+    check_sweep(memories, items, limit, slice_rows, threshold=0.9)
+    check_sweep(memories, items, limit, slice_rows, threshold=0.9, new=lambda i: i % 3 == 2)
+
+
+def test_sweep_hands_on_more_where_many_rows_go(memories):
+    """A row that takes all of its peers at once brings older ones back within the limit."""
+    vectors = [[0.0, 1.0]] + [[1.0, 0.0]] * 40 + [[0.0, 1.0]]
+    items = [{"embedding": v, "created_at": NOW - 1000 + i} for i, v in enumerate(vectors)]
+    check_sweep(memories, items, 2, slice_rows=5, new=lambda i: i > 38)
+
+
 def test_maintenance_compares_newly_embedded_rows(store):
     vec = [1.0] + [0.0] * 63
     old = [{"content": f"old {i}", "embedding": vec, "embedding_dim": 64, "created_at": NOW - 50 + i} for i in range(2)]
