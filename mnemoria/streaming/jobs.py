@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -18,8 +16,8 @@ from mnemoria.operators.sessions import DEBOUNCE_SECONDS
 from mnemoria.plans.imports import import_parsed
 from mnemoria.plans.maintenance import maintenance_pass
 from mnemoria.runtime import ship_package
-from mnemoria.sources.store import load_store, save_store
 from mnemoria.sources.transcripts import parse_lines
+from mnemoria.sources.versions import evolve
 
 MAINTENANCE_TRIGGER = {"processingTime": "600 seconds"}
 STATE_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -31,63 +29,6 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set(STATE_PROVIDER, ROCKSDB)
 
 
-def _heads(spark: SparkSession, root: str):
-    """(file system, {version: path of its marker}) of a versioned store."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    found = {}
-    for status in files.listStatus(path) if files.exists(path) else []:
-        name = status.getPath().getName()
-        if name.startswith("committed-"):
-            found[int(name.removeprefix("committed-"))] = status.getPath().toString()
-    return files, found
-
-
-def head(spark: SparkSession, root: str) -> tuple[int, dict]:
-    """The committed version and its marker: the folder, and the last batch of each stream that it holds."""
-    _, found = _heads(spark, root)
-    if not found:
-        raise FileNotFoundError(f"no committed store below {root}")
-    version = max(found)
-    return version, json.loads(spark.read.text(found[version]).first()[0])
-
-
-def load_head(spark: SparkSession, root: str) -> Store:
-    return load_store(spark, head(spark, root)[1]["folder"])
-
-
-def commit_store(spark: SparkSession, root: str, store: Store, version: int = 0, batches: dict | None = None) -> None:
-    """Write ``store`` to a folder of its own, then claim ``version`` by its marker; refused if another writer has it."""
-    folder = f"{root.rstrip('/')}/v{version}-{uuid.uuid4().hex}"
-    save_store(store, folder)
-    files, _ = _heads(spark, root)
-    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/committed-{version}")
-    out = files.create(marker, False)  # fails if the marker exists
-    out.write(bytearray(json.dumps({"folder": folder, "batches": batches or {}}).encode()))
-    out.close()
-
-
-def evolve_store(
-    spark: SparkSession, root: str, stream: str, batch_id: int, step: Callable[[Store], Store], keep: int = 3
-) -> None:
-    """Apply ``step`` to the committed version of the store and commit the next one.
-
-    Several streams may share a root: each reads whatever is committed, and a commit that another one has
-    overtaken fails, so that the batch is run again. A batch that is committed already is left out. Of
-    the versions, the newest ``keep`` stay, for readers still on them.
-    """
-    version, marker = head(spark, root)
-    batches = marker["batches"]
-    if batches.get(stream, -1) >= batch_id:
-        return
-    commit_store(spark, root, step(load_store(spark, marker["folder"])), version + 1, {**batches, stream: batch_id})
-    files, found = _heads(spark, root)
-    for old in sorted(found)[:-keep]:
-        folder = json.loads(spark.read.text(found[old]).first()[0])["folder"]
-        files.delete(spark._jvm.org.apache.hadoop.fs.Path(folder), True)
-        files.delete(spark._jvm.org.apache.hadoop.fs.Path(found[old]), False)
-
-
 def stream_import_sessions(
     spark: SparkSession, folder: str, store_root: str, checkpoint: str, as_of: int, trigger: dict, glob: str = "*.jsonl"
 ) -> StreamingQuery:
@@ -99,9 +40,7 @@ def stream_import_sessions(
 
     def absorb(batch: DataFrame, batch_id: int) -> None:
         ordered = batch.withColumn("row", F.monotonically_increasing_id())
-        evolve_store(
-            batch.sparkSession, store_root, checkpoint, batch_id, lambda s: import_parsed(*parse_lines(ordered), s, as_of)
-        )
+        evolve(batch.sparkSession, store_root, checkpoint, batch_id, lambda s: import_parsed(*parse_lines(ordered), s, as_of))
 
     return located.writeStream.foreachBatch(absorb).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
@@ -197,7 +136,7 @@ def stream_maintenance(
             grown = store.with_(memories=store.memories.unionByName(batch.select(store.memories.columns)))
             return maintenance_pass(grown, as_of(), **options)
 
-        evolve_store(batch.sparkSession, store_root, checkpoint, batch_id, step)
+        evolve(batch.sparkSession, store_root, checkpoint, batch_id, step)
 
     writer = writes.writeStream.foreachBatch(tend).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or MAINTENANCE_TRIGGER)).start()

@@ -12,7 +12,7 @@ from mnemoria.plans.oracle import ORACLES
 from mnemoria.plans.queries import QUERIES
 from mnemoria.sources import transcripts
 from mnemoria.operators import filters, joins, lifecycle, search, sessions
-from mnemoria.streaming import jobs
+from mnemoria.sources import versions
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
@@ -55,9 +55,9 @@ def test_query_equals_sql(spark, duck, name):
 
 
 def test_stream_maintenance_runs_all_phases_on_a_store_with_memories(spark, monkeypatch):
-    first, after, commit, load = [], [], jobs.commit_store, jobs.load_head
-    monkeypatch.setattr(jobs, "commit_store", lambda s, root, store, *a: (first.append(store.memories), commit(s, root, store, *a))[1])
-    monkeypatch.setattr(jobs, "load_head", lambda s, root: (after.append(load(s, root)), after[-1])[1])
+    first, after, commit, load = [], [], versions.commit_base, versions.load_version
+    monkeypatch.setattr(versions, "commit_base", lambda s, root, store, *a: (first.append(store.memories), commit(s, root, store, *a))[1])
+    monkeypatch.setattr(versions, "load_version", lambda s, root, *a: (after.append(load(s, root, *a)), after[-1])[1])
     QUERIES["stream_maintenance"](spark, SF_DIR)
     whole = fx.v_memories(spark, SF_DIR)
     assert 0 < first[0].count() < whole.count()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from mnemoria.model import make_store
 from mnemoria.operators import lifecycle, sessions
 from mnemoria.plans.imports import import_sessions
+from mnemoria.sources import versions
 from mnemoria.streaming import jobs
 from tests.conftest import DAY, NOW
 from tests.test_sessions import SESSION
@@ -75,12 +76,12 @@ def test_momentum_counts(spark, edits, tmp_path):
 def test_stream_import_replaces_sessions(spark, tmp_path):
     folder, root = tmp_path / "in", str(tmp_path / "store")
     folder.mkdir()
-    jobs.commit_store(spark, root, make_store(spark))
+    versions.commit_base(spark, root, make_store(spark))
 
     def run():
         query = jobs.stream_import_sessions(spark, str(folder), root, str(tmp_path / "state"), NOW, ONCE)
         query.awaitTermination()
-        return jobs.load_head(spark, root)
+        return versions.load_version(spark, root)
 
     (folder / "a.jsonl").write_text("\n".join(SESSION[:6]) + "\n")
     first = run().memories.count()
@@ -92,13 +93,13 @@ def test_stream_import_replaces_sessions(spark, tmp_path):
 
 def test_stream_maintenance(spark, memories, entities, tmp_path):
     root, arriving = str(tmp_path / "store"), str(tmp_path / "in")
-    jobs.commit_store(spark, root, make_store(spark, entities=entities({})))
+    versions.commit_base(spark, root, make_store(spark, entities=entities({})))
     rows = memories({"expires_at": 1}, {"layer": "goal"})
     rows.write.parquet(arriving)
     stream = spark.readStream.schema(rows.schema).parquet(arriving)
     query = jobs.stream_maintenance(stream, root, str(tmp_path / "state"), lambda: NOW, ONCE, phases=("activation", "decay"))
     query.awaitTermination()
-    after = jobs.load_head(spark, root).memories.orderBy("id").collect()
+    after = versions.load_version(spark, root).memories.orderBy("id").collect()
     assert [r.archived_at for r in after] == [NOW, None] and all(r.activation_computed_at == NOW for r in after)
     assert jobs.MAINTENANCE_TRIGGER == {"processingTime": "600 seconds"}
 
@@ -106,19 +107,20 @@ def test_stream_maintenance(spark, memories, entities, tmp_path):
 def test_two_streams_on_one_store(spark, memories, entities, tmp_path):
     """Each commit builds on the last one of either stream, a committed batch is not applied again, and a lost race fails."""
     root = str(tmp_path / "store")
-    jobs.commit_store(spark, root, make_store(spark, entities=entities({})))
+    versions.commit_base(spark, root, make_store(spark, entities=entities({})))
 
     def add(number):
         return lambda store: store.with_(memories=store.memories.unionByName(memories({"id": number})))
 
     for stream, batch in (("a", 0), ("b", 0), ("b", 0), ("a", 1), ("b", 1)):
-        jobs.evolve_store(spark, root, stream, batch, add(batch + 10 * (stream == "b")))
-    assert sorted(r.id for r in jobs.load_head(spark, root).memories.collect()) == [0, 1, 10, 11]
-    assert jobs.head(spark, root)[0] == 4
+        versions.evolve(spark, root, stream, batch, add(batch + 10 * (stream == "b")))
+    assert sorted(r.id for r in versions.load_version(spark, root).memories.collect()) == [0, 1, 10, 11]
+    assert versions.manifest(spark, root)["version"] == 4
     kept = {p.name for p in (tmp_path / "store").iterdir() if not p.name.startswith(".")}
-    assert sum(n.startswith("committed-") for n in kept) == 3 and len(kept) == 6
+    assert sum(n.startswith("committed-") for n in kept) == 3
+    assert sum(n.startswith("v") for n in kept) == 5  # the base and four changes, which the versions left still name
     with pytest.raises(Exception, match="(?i)exist"):
-        jobs.commit_store(spark, root, make_store(spark), 4)
+        versions.commit_base(spark, root, make_store(spark), 4)
 
 
 def test_a_file_grown_in_place_is_imported_again(spark, tmp_path):
