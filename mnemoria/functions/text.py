@@ -228,10 +228,10 @@ def resolve_layer(raw: Column) -> Column:
 
 # Home folders that precede a project folder, and folders that are never a project.
 HOME_PREFIXES = [
-    r"^[A-Za-z]:/(?i:Users)/[^/]+/",
+    r"(?i)^[a-z]:/Users/[^/]+/",
     r"^/Users/[^/]+/",
     r"^/home/[^/]+/",
-    r"^/(?i:mnt)/[A-Za-z]/(?i:Users)/[^/]+/",
+    r"(?i)^/mnt/[a-z]/Users/[^/]+/",
 ]
 NOT_A_PROJECT = [
     ".claude", ".config", ".cache", ".local", ".vscode", ".git", ".ssh", ".npm",
