@@ -92,23 +92,22 @@ def chunk_documents(files: DataFrame) -> DataFrame:
 
 
 def chunk_diff(stored: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(path, id, status, ...) between stored chunk rows and new ones: added, modified, unchanged, removed."""
-    old = stored.groupBy("path", "id").agg(
-        F.max_by(F.struct("hash", "start_line", "end_line"), "start_line").alias("old")
-    )
-    joined = chunks.withColumn("new_hash", F.col("hash")).join(old, ["path", "id"], "full_outer")
+    """(path, id, status, ...) between stored chunk rows and new ones: added, modified, unchanged, removed.
+
+    A new chunk is held against the last stored one of its id; every stored chunk whose id is gone is told.
+    """
+    old = stored.groupBy("path", "id").agg(F.max_by(F.col("hash"), "start_line").alias("old_hash"))
     status = (
-        F.when(F.col("old").isNull(), "added")
-        .when(F.col("new_hash").isNull(), "removed")
-        .when(F.col("new_hash") != F.col("old.hash"), "modified")
-        .otherwise("unchanged")
+        F.when(F.col("old_hash").isNull(), "added").when(F.col("hash") != F.col("old_hash"), "modified").otherwise("unchanged")
     )
-    return joined.select(
-        "path", "id", status.alias("status"),
-        F.coalesce("start_line", "old.start_line").alias("start_line"),
-        F.coalesce("end_line", "old.end_line").alias("end_line"),
+    met = chunks.join(old, ["path", "id"], "left").select(
+        "path", "id", status.alias("status"), "start_line", "end_line",
         F.when(status.isin("added", "modified"), F.col("content")).alias("content"),
     )
+    gone = stored.join(chunks.select("path", "id"), ["path", "id"], "left_anti")
+    return met.unionByName(
+        gone.select("path", "id", F.lit("removed").alias("status"), "start_line", "end_line", F.lit(None).cast("string").alias("content"))
+    )
 
 
 def stored_chunks(snapshots: DataFrame) -> DataFrame:

@@ -213,3 +213,12 @@ def test_change_detection(spark):
                         F.lit(None).cast("bigint").alias("size_bytes"), F.col("chunks"), F.lit(NOW + 1).cast("bigint").alias("read_at"))
     touched = changes.upsert_file_snapshots(snap, touch.filter("path = 'b.txt'")).filter("path = 'b.txt'").first()
     assert (touched.mtime, touched.read_count, touched.size_bytes) == (9, 2, 4)
+
+
+def test_every_removed_chunk_is_told(spark):
+    ddl = "path STRING, id STRING, kind STRING, start_line INT, end_line INT, hash STRING"
+    stored = spark.createDataFrame(
+        [("a", "h", "s", 1, 2, "x"), ("a", "h", "s", 3, 4, "y"), ("a", "k", "s", 5, 6, "z"), ("a", "k", "s", 7, 8, "w")], ddl)
+    new = spark.createDataFrame([("a", "k", "s", 1, 2, "w", "text"), ("a", "n", "s", 3, 4, "v", "more")], ddl + ", content STRING")
+    got = sorted((r.id, r.status, r.start_line) for r in changes.chunk_diff(stored, new).collect())
+    assert got == [("h", "removed", 1), ("h", "removed", 3), ("k", "unchanged", 1), ("n", "added", 3)]
