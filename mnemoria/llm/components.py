@@ -72,13 +72,19 @@ def linked_classes(
 
 
 def classes_in_buckets(
-    buckets: DataFrame, near: Callable[[Column, Column], Column], verify: Callable[[DataFrame], DataFrame]
+    buckets: DataFrame,
+    near: Callable[[Column, Column], Column],
+    verify: Callable[[DataFrame], DataFrame],
+    elements: Callable[[DataFrame], DataFrame],
+    enough: Callable[[Column, Column, Column], Column],
+    often: int = 10,
 ) -> DataFrame:
     """(node, root) of all nodes that links join; ``buckets`` has rows (bucket, node, payload), each pair of them once.
 
     As ``linked_classes``, but a bucket is never brought together to be looked over: its ends, its classes and their sizes come
-    from partial sums, and only buckets of two nodes or more are written and read again. ``near`` is a cheap test of payloads;
-    of the pairs (a, b) that pass it, ``verify`` gives those that are links. In pairs with a bucket's smallest node, that is ``a``.
+    from partial sums, and only buckets of two nodes or more are written and read again. ``near`` is a cheap test of payloads, the
+    sizes of sets; of the pairs (a, b) that pass it, ``verify`` gives those that are links. In pairs with a bucket's smallest
+    node, that is ``a``. Other pairs are those of ``pairs_across``.
     """
     ends = buckets.groupBy("bucket").agg(F.min(F.struct("node", "payload")).alias("hub"), F.max("node").alias("top"))
     shared = stored(buckets.join(ends.where("hub.node < top").drop("top"), "bucket"), "shared-buckets")
@@ -90,13 +96,57 @@ def classes_in_buckets(
     sizes = placed.groupBy("bucket", "root").agg(F.count("*").alias("size"))
     mains = sizes.groupBy("bucket").agg(F.max(F.struct("size", "root"))["root"].alias("main"), F.count("*").alias("classes"))
     mixed = stored(placed.join(mains.where("classes > 1").drop("classes"), "bucket"), "mixed-buckets")
-    left = mixed.where("root <> main").select("bucket", F.col("node").alias("a"), F.col("payload").alias("pa"), F.col("root").alias("ra"))
-    right = mixed.select("bucket", F.col("node").alias("b"), F.col("payload").alias("pb"), F.col("root").alias("rb"), "main")
-    # Between two classes of which neither is the main one, each pair is tried once.
-    once = (F.col("rb") == F.col("main")) | (F.col("ra") < F.col("rb"))
-    pairs = left.join(right, "bucket").where((F.col("ra") != F.col("rb")) & once & near(F.col("pa"), F.col("pb")))
-    links = stored(verify(pairs.select("a", "b").distinct()).select("a", "b"), "cross-pairs")
+    links = stored(verify(pairs_across(mixed, near, elements, enough, often)).select("a", "b"), "cross-pairs")
     if links.isEmpty():
         return roots
     tops = connected(links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     return tops
+
+
+def pairs_across(
+    mixed: DataFrame,
+    near: Callable[[Column, Column], Column],
+    elements: Callable[[DataFrame], DataFrame],
+    enough: Callable[[Column, Column, Column], Column],
+    often: int,
+) -> DataFrame:
+    """Pairs (a, b) of unlike classes in ``mixed`` (bucket, node, payload, root, main) that may be links.
+
+    ``elements`` gives rows (node, element) of the sets of nodes, and ``enough(n, a, b)`` tells whether sets of sizes a and b
+    that share n elements may be linked. Two sets share no more than the lesser number of their frequent elements, those in over
+    ``often`` sets, and their common rare ones. Pairs that share a rare element are found by it, which makes at most ``often``
+    rows an element. Others are linked only if frequent elements alone are enough, which leaves out, before any pair is formed,
+    sets whose own changes are too many: a group of n such sets does not cost n * n trials.
+    """
+    members = mixed.select("node", "root", "payload").distinct()
+    held = elements(members.select("node"))
+    rare = held.groupBy("element").agg(F.count("*").alias("n")).where(F.col("n") <= often)
+    rarely = stored(held.join(rare, "element"), "rare-elements")
+    own = rarely.groupBy("node").agg(F.count("*").alias("rare"))
+    known = stored(
+        members.join(own, "node", "left").withColumn("often", F.col("payload") - F.coalesce("rare", F.lit(0))).drop("rare"), "members"
+    )
+
+    met = rarely.where("n > 1").join(known, "node").select("element", "node", "root", "payload", "often")
+    x, y = (met.select("element", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "root", "payload", "often")]) for s in "ab")
+    both = x.join(y, "element").where((F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")))
+    both = both.where(near(F.col("payload_a"), F.col("payload_b")))
+    by_rare = both.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b")).agg(
+        F.count("*").alias("rare"), *[F.first(f"{c}_{s}").alias(f"{c}_{s}") for c in ("payload", "often") for s in "ab"]
+    ).where(enough(F.col("rare") + F.least("often_a", "often_b"), F.col("payload_a"), F.col("payload_b")))
+
+    # A set can be linked by frequent elements alone only if they are enough for a set that has nothing else.
+    able = known.where(enough(F.col("often"), F.col("payload"), F.col("often"))).select("node", "often")
+    tried = mixed.join(able, "node")
+    left = tried.where("root <> main").select(
+        "bucket", F.col("node").alias("a"), F.col("payload").alias("pa"), F.col("root").alias("ra"), F.col("often").alias("oa")
+    )
+    right = tried.select(
+        "bucket", F.col("node").alias("b"), F.col("payload").alias("pb"), F.col("root").alias("rb"), F.col("often").alias("ob"), "main"
+    )
+    # Between two classes of which neither is the main one, each pair is tried once.
+    once = (F.col("rb") == F.col("main")) | (F.col("ra") < F.col("rb"))
+    by_often = left.join(right, "bucket").where(
+        (F.col("ra") != F.col("rb")) & once & near(F.col("pa"), F.col("pb")) & enough(F.least("oa", "ob"), F.col("pa"), F.col("pb"))
+    )
+    return by_often.select("a", "b").unionByName(by_rare.select("a", "b")).distinct()

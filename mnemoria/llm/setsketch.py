@@ -160,23 +160,31 @@ def linked_nodes(nodes: DataFrame, docs: DataFrame, text: str, settings: Setting
     def sizes_allow(a: Column, b: Column) -> Column:
         return under * F.least(a, b) >= over * F.greatest(a, b)
 
+    def enough(n: Column, a: Column, b: Column) -> Column:
+        return (under + over) * n >= over * (a + b)
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        one = nodes.join(wanted, "node").select("node", F.col("of.doc_id").alias("__id"), F.col("of.mark").alias("__mark"))
+        same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__mark"))
+        texts = docs.select("doc_id", text).join(one, same).select("node", F.col(text).alias("__text")).dropDuplicates(["node"])
+        return stored(texts.select("node", shingle_sets("__text").alias("shingles")), "shingle-sets")
+
+    def elements(wanted: DataFrame) -> DataFrame:
+        return sets_of(wanted).select("node", F.explode("shingles").alias("element"))
+
     def verify(pairs: DataFrame) -> DataFrame:
         # The side with few different nodes, a bucket's smallest, is joined last: its sketch and set are not carried per pair.
         a, b = (nodes.select(F.col("node").alias(n), F.col("sketch").alias(f"sketch_{n}"), F.col("n_shingles").alias(f"size_{n}")) for n in "ab")
         told = pairs.join(b, "b").join(a, "a").where(likely("sketch_a", "sketch_b", "size_a", "size_b"))
         met = stored(told.select("a", "b"), "likely-pairs")
-        wanted = met.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        one = nodes.join(wanted, "node").select("node", F.col("of.doc_id").alias("__id"), F.col("of.mark").alias("__mark"))
-        same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__mark"))
-        texts = docs.select("doc_id", text).join(one, same).select("node", F.col(text).alias("__text")).dropDuplicates(["node"])
-        sets = stored(texts.select("node", shingle_sets("__text").alias("shingles")), "shingle-sets")
+        sets = sets_of(met.select(F.explode(F.array("a", "b")).alias("node")).distinct())
         a, b = (sets.select(F.col("node").alias(n), F.col("shingles").alias(f"set_{n}")) for n in "ab")
         both = F.size(F.array_intersect("set_a", "set_b"))
-        counted = met.join(b, "b").join(a, "a").select("a", "b", both.alias("both"), (F.size("set_a") + F.size("set_b")).alias("all"))
-        return counted.where((under + over) * F.col("both") >= over * F.col("all")).select("a", "b")
+        counted = met.join(b, "b").join(a, "a").select("a", "b", both.alias("both"), F.size("set_a").alias("all_a"), F.size("set_b").alias("all_b"))
+        return counted.where(enough(F.col("both"), F.col("all_a"), F.col("all_b"))).select("a", "b")
 
     buckets = nodes.select(F.posexplode(keys("sketch")).alias("__band", "bucket"), "node", F.col("n_shingles").alias("payload"))
-    return classes_in_buckets(buckets.drop("__band"), sizes_allow, verify)
+    return classes_in_buckets(buckets.drop("__band"), sizes_allow, verify, elements, enough)
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", settings: Settings = Settings()) -> DataFrame:

@@ -9,8 +9,9 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from mnemoria.llm import collocations, filter_audit, setsketch
+from mnemoria.llm import collocations, components, filter_audit, setsketch
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 LABELS = "doc_id LONG, quality INT, toxic INT"
@@ -226,6 +227,55 @@ def test_setsketch_components_equal_all_pairs(spark):
     assert sorted(map(tuple, got.select("doc_id", "n_shingles", "component_id", "kept").collect()), key=str) == brute_near(rows)
 
 
+def drifting_rows():
+    """Groups whose links are not those with the first text: chains of small changes, own changes to a common text of all shares
+    from a few to many, and changes that some of the texts have in common."""
+    rng = random.Random(11)
+    rows = []
+    for length in (60, 150):
+        words = [f"c{length}x{i}" for i in range(length)]
+        for _ in range(30):
+            words[rng.randrange(length)] = f"d{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(words)))
+    base = [f"b{i}" for i in range(150)]
+    shared = {i: f"s{i}" for i in rng.sample(range(150), 12)}
+    for copy in range(120):
+        words = list(base)
+        for i in rng.sample(range(150), rng.choice([1, 3, 6, 8, 12])):
+            words[i] = f"o{rng.randrange(10**6)}"
+        if copy % 4 == 0:
+            for i in rng.sample(sorted(shared), 6):
+                words[i] = shared[i]
+        rows.append((len(rows), " ".join(words)))
+    rng.shuffle(rows)
+    return rows
+
+
+def test_setsketch_links_beside_the_hub(spark):
+    rows = drifting_rows()
+    got = setsketch.near_duplicates(spark.createDataFrame(rows, "doc_id LONG, text STRING").repartition(3))
+    want = brute_near(rows)
+    assert sorted(map(tuple, got.select("doc_id", "n_shingles", "component_id", "kept").collect()), key=str) == want
+    assert 3 < len({r[2] for r in want}) < len(rows)
+
+
+def test_pairs_across_classes_lose_no_link_and_are_few(spark):
+    """Sets with too many changes of their own are never tried against each other, whatever the size of their group."""
+    rng = random.Random(5)
+    sets = [set(range(100)) - set(rng.sample(range(100), 15)) | {1000 + 100 * i + j for j in range(15)} for i in range(80)]
+    for i in range(0, 20, 2):
+        sets[i + 1] = sets[i] - set(rng.sample(sorted(sets[i]), 5))
+    linked = {(i, j) for i, j in itertools.combinations(range(80), 2) if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])}
+    mixed = spark.createDataFrame([(7, i, len(x), i, 0) for i, x in enumerate(sets)], "bucket LONG, node LONG, payload LONG, root LONG, main LONG")
+    held = spark.createDataFrame([(i, e) for i, x in enumerate(sets) for e in x], "node LONG, element LONG")
+    got = components.pairs_across(
+        mixed, lambda a, b: 5 * F.least(a, b) >= 4 * F.greatest(a, b), lambda wanted: held.join(wanted, "node"),
+        lambda n, a, b: 9 * n >= 4 * (a + b), 10,
+    )
+    pairs = {tuple(sorted(r)) for r in got.collect()}
+    assert len(linked) == 10 and linked <= pairs and len(pairs) < 40
+
+
 def test_setsketch_of_nothing(spark):
     assert setsketch.near_duplicates(spark.createDataFrame([], "doc_id LONG, text STRING")).count() == 0
 
