@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -16,8 +17,8 @@ from mnemoria.operators.sessions import DEBOUNCE_SECONDS
 from mnemoria.plans.imports import import_parsed
 from mnemoria.plans.maintenance import maintenance_pass
 from mnemoria.runtime import ship_package
-from mnemoria.sources.transcripts import parse_lines
-from mnemoria.sources.versions import evolve
+from mnemoria.sources.transcripts import changed_lines, parse_lines
+from mnemoria.sources.versions import evolve, manifest
 
 MAINTENANCE_TRIGGER = {"processingTime": "600 seconds"}
 STATE_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -45,6 +46,42 @@ def stream_import_sessions(
     return located.writeStream.foreachBatch(absorb).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
+def import_changed(
+    spark: SparkSession, folder: str, store_root: str, name: str, as_of: int, until: int, glob: str = "*.jsonl"
+) -> bool:
+    """Import the transcripts changed before ``until`` (epoch seconds) and not before the time up to which ``name`` has read.
+
+    That time is committed with the rows, as one version of the store: a failed call is repeated from where the last one ended,
+    and one that is repeated after its commit does nothing. Tells whether there was anything to import.
+    """
+    since = manifest(spark, store_root)["batches"].get(name, 0)
+    if since >= until:
+        return False
+    lines = changed_lines(spark, folder, since, until, glob)
+    if lines.isEmpty():
+        return False
+    evolve(spark, store_root, name, until, lambda s: import_parsed(*parse_lines(lines), s, as_of))
+    return True
+
+
+def stream_growing_sessions(
+    spark: SparkSession, folder: str, store_root: str, checkpoint: str, as_of: Callable[[], int], trigger: dict, glob: str = "*.jsonl",
+    rest: int = 2,
+) -> StreamingQuery:
+    """As ``stream_import_sessions``, for transcripts that grow in place: a file that changes is read again and replaces its session.
+
+    A file stream shows a path once. Here a clock drives the batches, and each takes the files by the time of their last
+    change: a file that changes again gets a later time and comes again. Only changes at least ``rest`` seconds old are
+    taken, so that no change can still fall into a span that is done; clocks may differ by less than that.
+    """
+
+    def absorb(batch: DataFrame, batch_id: int) -> None:
+        import_changed(batch.sparkSession, folder, store_root, checkpoint, as_of(), int(time.time()) - rest, glob)
+
+    beats = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return beats.writeStream.foreachBatch(absorb).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
 class NewestAccesses(StatefulProcessor):
     """Keeps the newest access times of a memory and reports them after each batch."""
 

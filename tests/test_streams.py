@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -91,6 +92,56 @@ def test_stream_import_replaces_sessions(spark, tmp_path):
     assert first == 3 and after.memories.count() == 7 and after.file_edits.count() == 3 and after.events.count() == 1
 
 
+def test_changed_transcripts_are_imported_again(spark, tmp_path):
+    """Windows of change times leave out nothing and take nothing twice; the time read up to is committed with the rows."""
+    folder, root = tmp_path / "in", str(tmp_path / "store")
+    folder.mkdir()
+    versions.commit_base(spark, root, make_store(spark))
+    at = 1_700_000_000
+
+    def put(name, lines, when):
+        (folder / name).write_text("\n".join(lines) + "\n")
+        os.utime(folder / name, (when, when))
+
+    def run(until):
+        done = jobs.import_changed(spark, str(folder), root, "grow", NOW, until)
+        return done, versions.load_version(spark, root).memories.count()
+
+    put("a.jsonl", SESSION[:6], at)
+    assert run(at) == (False, 0)
+    assert run(at + 1) == (True, 3)
+    assert run(at + 1) == (False, 3) and run(at + 5) == (False, 3)
+    put("a.jsonl", SESSION, at + 1)
+    assert run(at + 6) == (True, 7)
+    assert versions.manifest(spark, root)["batches"] == {"grow": at + 6}
+    after = versions.load_version(spark, root)
+    assert after.file_edits.count() == 3 and after.events.count() == 1
+
+
+def test_running_stream_sees_a_file_grow(spark, tmp_path):
+    folder, root = tmp_path / "in", str(tmp_path / "store")
+    folder.mkdir()
+    versions.commit_base(spark, root, make_store(spark))
+    (folder / "a.jsonl").write_text("\n".join(SESSION[:6]) + "\n")
+    query = jobs.stream_growing_sessions(
+        spark, str(folder), root, str(tmp_path / "state"), lambda: NOW, {"processingTime": "1 second"}, rest=1
+    )
+
+    def wait_for(version):
+        end = time.time() + 120
+        while versions.manifest(spark, root)["version"] < version and time.time() < end and query.isActive:
+            time.sleep(0.5)
+        return versions.load_version(spark, root).memories.count()
+
+    try:
+        first = wait_for(1)
+        with open(folder / "a.jsonl", "a") as out:
+            out.write("\n".join(SESSION[6:]) + "\n")
+        assert (first, wait_for(2)) == (3, 7)
+    finally:
+        query.stop()
+
+
 def test_stream_maintenance(spark, memories, entities, tmp_path):
     root, arriving = str(tmp_path / "store"), str(tmp_path / "in")
     versions.commit_base(spark, root, make_store(spark, entities=entities({})))
