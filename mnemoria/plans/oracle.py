@@ -959,6 +959,10 @@ ORACLES: dict[str, str] = {
         """SELECT session_id, memories FROM s_memories UNION ALL SELECT session_id, count(*) FROM v_memories
         WHERE session_id NOT IN (SELECT session_id FROM s_all) GROUP BY 1""", mined()
     ),
+    "import_changed": build(
+        """SELECT session_id, memories FROM s_memories UNION ALL SELECT session_id, count(*) FROM v_memories
+        WHERE session_id NOT IN (SELECT session_id FROM s_all) GROUP BY 1""", mined()
+    ),
     "stream_access_window": build(
         "SELECT memory_id, count(*) AS accesses, max(accessed_at) AS newest, min(accessed_at) AS oldest FROM a_recent GROUP BY 1", ACTIVATION
     ),

@@ -919,6 +919,11 @@ def q_stream_import_sessions(spark, d):
     return streams.demo_import(spark, d)
 
 
+@query
+def q_import_changed(spark, d):
+    return streams.demo_import_changed(spark, d)
+
+
 @query
 def q_stream_access_window(spark, d):
     return streams.demo_access_window(spark, d)
