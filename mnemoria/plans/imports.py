@@ -108,9 +108,9 @@ def _full(store: Store, memories: DataFrame, edits: DataFrame, events: DataFrame
     return tuple(out)
 
 
-def import_notes(spark: SparkSession, path: str, store: Store, as_of: int) -> Store:
-    """Curated notes below ``path``; each folder is one replaceable pseudo session."""
-    return import_parsed_notes(scan_curated_notes(spark, path), store, as_of)
+def import_notes(spark: SparkSession, path: str, store: Store, as_of: int, most: int | None = None) -> Store:
+    """Curated notes below ``path``, whole or their first ``most`` characters; each folder is one replaceable pseudo session."""
+    return import_parsed_notes(scan_curated_notes(spark, path, most), store, as_of)
 
 
 def import_parsed_notes(notes: DataFrame, store: Store, as_of: int) -> Store:

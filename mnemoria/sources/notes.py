@@ -5,20 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from mnemoria.functions.redact import redacted
-from mnemoria.functions.text import CONTENT_CAP, strip
+from mnemoria.functions.text import strip
 
 INDEX_FILE = "MEMORY.md"
 KEY_LINE = r"^\s*([A-Za-z_][\w-]*)\s*:\s*(.*)$"
 
 
-def scan_curated_notes(spark: SparkSession, path: str) -> DataFrame:
-    """Notes below ``path`` (any ``memory/*.md``). A note is one small file, hence one row."""
+def scan_curated_notes(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
+    """Notes below ``path`` (any ``memory/*.md``). A note is one small file, hence one row. ``most`` as for ``parse_notes``."""
     files = spark.read.text(path, wholetext=True, pathGlobFilter="*.[mM][dD]", recursiveFileLookup=True)
-    return parse_notes(files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw")))
+    return parse_notes(files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw")), most)
 
 
-def parse_notes(files: DataFrame) -> DataFrame:
-    """(path, raw) -> one row per usable note: name, description, type, body, layer, importance, content."""
+def parse_notes(files: DataFrame, most: int | None = None) -> DataFrame:
+    """(path, raw) -> one row per usable note: name, description, type, body, layer, importance, content.
+
+    ``content`` is the whole note, or its first ``most`` characters.
+    """
     lines = F.transform(F.split("raw", "\n"), lambda x: F.regexp_replace(x, "\r$", ""))
     parsed = files.withColumn("lines", lines).withColumn("file", F.element_at(F.split("path", "/"), -1))
     parsed = parsed.withColumn("dir", F.regexp_replace("path", r"/?[^/]*$", ""))
@@ -98,7 +101,7 @@ def parse_notes(files: DataFrame) -> DataFrame:
         # Layer and importance by note type.
         F.when(lowered == "feedback", "learning").otherwise("context").alias("layer"),
         F.when(lowered == "feedback", 0.7).when(lowered.isin("user", "project", "reference"), 0.6).otherwise(0.5).alias("importance"),
-        redacted(F.substring(strip(content), 1, CONTENT_CAP)).alias("content"),
+        redacted(strip(content) if most is None else F.substring(strip(content), 1, most)).alias("content"),
     )
 
 

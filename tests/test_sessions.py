@@ -144,6 +144,9 @@ def test_notes(spark, tmp_path):
     assert (a.layer, a.importance, a.content) == ("learning", 0.7, "# A note\nshort\n\nbody\ntoken=[REDACTED]")
     assert (b.layer, b.importance, b.type, b.origin_session_id) == ("context", 0.6, "project", "xyz")
     assert got["MEMORY"].importance == 0.5 and got["MEMORY"].content == "# MEMORY\n\ninline only"
+    long = spark.createDataFrame([("/x/memory/long.md", "word " * 5000 + "end")], "path STRING, raw STRING")
+    assert parse_notes(long).first().content.endswith("word end")
+    assert len(parse_notes(long, 8000).first().content) == 8000
     once = import_notes(spark, str(tmp_path), make_store(spark), NOW)
     assert sorted(e.name for e in once.entities.collect()) == ["one", "two"] and once.memories.count() == 3
     twice = import_notes(spark, str(tmp_path), once, NOW)
