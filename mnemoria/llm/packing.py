@@ -13,7 +13,10 @@ import numpy as np
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from mnemoria.llm.common import documents, hash_share, stored
-from mnemoria.llm.mixing import word_count
+from mnemoria.llm.token_counts import count_tokens
+
+#: Above any padding; sums with one stay within 64 bits.
+NEVER = 1 << 61
 
 
 @dataclass(frozen=True)
@@ -30,21 +33,34 @@ def bounds(counts: dict[int, int], buckets: int) -> list[int]:
     """Upper bounds of at most ``buckets`` buckets over lengths with ``counts``, with the least padding in total.
 
     best[j], for one bucket more each round, is the least padding of the lengths up to the j-th, the last bucket ending there.
+    A later end never wants an earlier start, so the starts of one round are found by halves: n log n steps and n memory.
     """
     lengths = np.array(sorted(counts), dtype=np.int64)
     if not len(lengths):
         return []
-    n = np.concatenate([[0], np.cumsum([counts[x] for x in lengths.tolist()])]).astype(np.float64)
-    total = np.concatenate([[0], np.cumsum([counts[x] * x for x in lengths.tolist()])]).astype(np.float64)
-    # cost[i, j]: lengths i+1 .. j (1-based) in one bucket.
-    cost = lengths[None, :] * (n[None, 1:] - n[:-1, None]) - (total[None, 1:] - total[:-1, None])
-    cost[np.tril_indices(len(lengths), -1)] = np.inf
-    best, chosen = cost[0], []
+    held = np.array([counts[x] for x in lengths.tolist()], dtype=np.int64)
+    n, total = np.concatenate([[0], np.cumsum(held)]), np.concatenate([[0], np.cumsum(held * lengths)])
+
+    def cost(first: np.ndarray | int, last: int) -> np.ndarray | int:
+        return lengths[last] * (n[last + 1] - n[first]) - (total[last + 1] - total[first])
+
+    best = np.array([cost(0, j) for j in range(len(lengths))], dtype=np.int64)
+    chosen = []
     for _ in range(min(buckets, len(lengths)) - 1):
-        whole = np.concatenate([[np.inf], best[:-1]])[:, None] + cost
-        start = whole.argmin(axis=0)
+        start, after = np.zeros(len(lengths), dtype=np.int64), np.full(len(lengths), NEVER)
+        open_ranges = [(1, len(lengths) - 1, 1, len(lengths) - 1)]
+        while open_ranges:
+            low, high, least, most = open_ranges.pop()
+            if low > high:
+                continue
+            end = (low + high) // 2
+            first = np.arange(least, min(end, most) + 1)
+            whole = best[first - 1] + cost(first, end)
+            at = int(whole.argmin())
+            start[end], after[end] = first[at], whole[at]
+            open_ranges += [(low, end - 1, least, int(first[at])), (end + 1, high, int(first[at]), most)]
         chosen.append(start)
-        best = whole[start, np.arange(len(lengths))]
+        best = after
     out, at = [int(lengths[-1])], len(lengths) - 1
     for start in reversed(chosen):
         at = int(start[at]) - 1
@@ -105,6 +121,10 @@ def packed(lengths: DataFrame, settings: Settings = Settings()) -> DataFrame:
     return out.unionByName(told.where("bucket = 0").withColumns({"batch": none, "slot": none}))
 
 
+def packed_documents(docs: DataFrame, settings: Settings = Settings(), model: str | None = None) -> DataFrame:
+    """``packed`` by the tokens of whole texts (null: none) under a vocabulary file; ``start`` counts tokens."""
+    return packed(count_tokens(docs.select("doc_id", "text"), model=model, out="length").select("doc_id", "length"), settings)
+
+
 def op8_packing(spark, sf_dir: str) -> DataFrame:
-    """Documents by their number of words (no token file is needed for it; any length column will do)."""
-    return packed(documents(spark, sf_dir).select("doc_id", word_count("text").alias("length")))
+    return packed_documents(documents(spark, sf_dir))

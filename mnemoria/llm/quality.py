@@ -22,9 +22,8 @@ class Rules:
     most_repeat_share: float = 0.2
     #: Lines of fewer words are no evidence of copying, and are never removed.
     least_line_words: int = 4
-    #: A line is removed if more documents of a host hold it than this many, and than this share of the host.
+    #: A line is removed if more documents of a host hold it than this many, however large the host is.
     most_docs: int = 10
-    most_doc_share: float = 0.001
     #: A document is depleted if fewer words stay than this, or than this share of its own.
     least_words_left: int = 5
     least_share_left: float = 0.2
@@ -52,6 +51,11 @@ transform(array(transform(words, w -> xxhash64(w))), wh -> if(size(wh) < 6, 0,
 """
 
 
+def hashed(line: Column) -> Column:
+    """A line, given as its words, as (line, words): the hash in lower case, and their number."""
+    return F.struct(F.xxhash64(F.lower(F.array_join(line, " "))).alias("line"), F.size(line).alias("words"))
+
+
 def counted(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the base counts of ``text`` (null: no words) and ``lines``, its lines as (hash, words)."""
     whole = text_or_empty(text)
@@ -60,9 +64,6 @@ def counted(docs: DataFrame, text: str = "text") -> DataFrame:
     ).withColumn("__words", F.transform("__raw_lines", lambda x: F.regexp_extract_all(x, F.lit(WORD), 0)))
     flat = cut.withColumn("words", F.flatten("__words"))
 
-    def hashed(line: Column) -> Column:
-        return F.struct(F.xxhash64(F.lower(F.array_join(line, " "))).alias("line"), F.size(line).alias("words"))
-
     out = with_columns(
         flat,
         n_words=F.size("words").cast("long"),
@@ -75,37 +76,36 @@ def counted(docs: DataFrame, text: str = "text") -> DataFrame:
     return out.drop("__text", "__raw_lines", "__words", "words")
 
 
+def frequent_lines(lines: DataFrame, rules: Rules) -> DataFrame:
+    """(__host, __line): lines above the limit, from rows of (host, doc, line); a null host counts as one host."""
+    # (host, line, document) first: a line that fills a third of all documents is then counted in parts.
+    return stored(
+        lines.groupBy("host", "line", "doc").agg(F.lit(1).alias("one"))
+        .groupBy(F.col("host").alias("__host"), F.col("line").alias("__line")).agg(F.count("*").alias("docs"))
+        .where(F.col("docs") > rules.most_docs).select("__host", "__line"),
+        "quality-frequent",
+    )
+
+
+def is_frequent() -> Column:
+    return (F.col("line") == F.col("__line")) & F.col("host").eqNullSafe(F.col("__host"))
+
+
 def quality(docs: DataFrame, host: str = "source", text: str = "text", rules: Rules = Rules()) -> DataFrame:
     """One row per row of ``docs`` (doc_id, host): its counts, ``base_failed``, ``lost_words`` and ``kept``.
 
     Lines are compared in lower case with white space collapsed. A host's documents are counted by distinct doc_id
     (rows without an id count singly, repeated rows once); rows without a host share one. ``lost_words`` counts words in lines
-    above the limits. A document is kept unless its base rules fail or the lines left are too few.
+    above the limit. A document is kept unless its base rules fail or the lines left are too few. Other columns of ``docs``
+    do not matter; an empty table gives none. ``without_frequent_lines`` gives the texts that are left.
     """
-    narrow = docs.select("doc_id", F.col(host).alias("host"), text)
-    rows = stored(
-        counted(narrow, text).drop(text).withColumn("row", F.monotonically_increasing_id()), "quality-counts"
-    )
+    narrow = docs.select("doc_id", F.col(host).alias("host"), F.col(text).alias("text"))
+    rows = stored(counted(narrow).drop("text").withColumn("row", F.monotonically_increasing_id()), "quality-counts")
     doc = F.coalesce(F.col("doc_id"), -1 - F.col("row"))
     lines = rows.select("row", "host", doc.alias("doc"), F.explode("lines").alias("l")).select(
         "row", "host", "doc", "l.line", "l.words"
     ).where(F.col("words") >= rules.least_line_words)
-    # (host, line, document) first: a line that fills a third of all documents is then counted in parts.
-    spread = lines.groupBy("host", "line", "doc").agg(F.lit(1).alias("one")).groupBy("host", "line").agg(
-        F.count("*").alias("docs")
-    ).where(F.col("docs") > rules.most_docs)
-    hosts = rows.select("host", doc.alias("doc")).groupBy("host", "doc").agg(F.lit(1).alias("one")).groupBy("host").agg(
-        F.count("*").alias("host_docs")
-    ).select(F.col("host").alias("__host"), "host_docs")
-    frequent = stored(
-        spread.join(hosts, F.col("host").eqNullSafe(F.col("__host")))
-        .where(F.col("docs") > F.col("host_docs") * rules.most_doc_share)
-        .select(F.col("host").alias("__host"), F.col("line").alias("__line")),
-        "quality-frequent",
-    )
-    lost = lines.join(
-        frequent, (F.col("line") == F.col("__line")) & F.col("host").eqNullSafe(F.col("__host"))
-    ).groupBy("row").agg(F.sum("words").alias("lost_words"))
+    lost = lines.join(frequent_lines(lines, rules), is_frequent()).groupBy("row").agg(F.sum("words").alias("lost_words"))
     left = F.col("n_words") - F.col("lost_words")
     base_failed = (F.col("n_words") < rules.least_words) | (
         100 * F.col("n_repeat_words") > round(100 * rules.most_repeat_share) * F.col("n_words")
@@ -119,6 +119,37 @@ def quality(docs: DataFrame, host: str = "source", text: str = "text", rules: Ru
     )
 
 
+def without_frequent_lines(
+    docs: DataFrame, host: str = "source", text: str = "text", rules: Rules = Rules(), id: str = "doc_id"
+) -> DataFrame:
+    """``docs`` with the lines above the limit cut out of ``text``; all other lines, their order and columns stay.
+
+    The same lines go that ``quality`` counts as lost. A text that loses none is left as it is (null too); one that loses
+    all becomes empty. Only texts that lose a line are taken apart; at most one text is put together in one place.
+    """
+    table = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "quality-texts")
+    plain = table.select(F.col("__row").alias("row"), F.col(f"`{host}`").alias("host"), F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text"))
+    cut = plain.select(
+        "row", "host", F.coalesce("id", -1 - F.col("row")).alias("doc"), F.posexplode(F.split("text", "\n", -1)).alias("place", "raw")
+    )
+    lines = cut.withColumn("l", hashed(F.regexp_extract_all("raw", F.lit(WORD), 0))).select("row", "host", "doc", "place", "raw", "l.*")
+    counted_lines = lines.where(F.col("words") >= rules.least_line_words).select("row", "host", "doc", "line")
+    frequent = frequent_lines(counted_lines, rules)
+    losing = stored(counted_lines.join(frequent, is_frequent(), "left_semi").select(F.col("row").alias("__row")).distinct(), "quality-losing")
+    shown = F.when(F.col("words") >= rules.least_line_words, F.col("line"))
+    left = (
+        lines.join(losing, F.col("row") == F.col("__row"), "left_semi").withColumn("line", shown)
+        .join(frequent, is_frequent(), "left_anti")
+        .groupBy(F.col("row").alias("__kept_row")).agg(F.array_sort(F.collect_list(F.struct("place", "raw"))).alias("__left"))
+    )
+    rebuilt = F.when(F.col("__loses"), F.coalesce(F.array_join("__left.raw", "\n"), F.lit(""))).otherwise(F.col(f"`{text}`"))
+    return (
+        table.join(losing.withColumn("__loses", F.lit(True)), "__row", "left")
+        .join(left, F.col("__row") == F.col("__kept_row"), "left")
+        .select(*[rebuilt.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
+    )
+
+
 def op7_quality_rules(spark, sf_dir: str) -> DataFrame:
     got = quality(documents(spark, sf_dir))
     return got.select(
@@ -145,9 +176,7 @@ WITH d AS (
 ), norm AS (
   SELECT doc_id, source, lower(array_to_string(w, ' ')) AS l, len(w) AS n FROM line WHERE len(w) >= 4
 ), freq AS (
-  SELECT f.source, f.l FROM (SELECT source, l, count(DISTINCT doc_id) AS c FROM norm GROUP BY source, l) f
-  JOIN (SELECT source, count(DISTINCT doc_id) AS c FROM documents GROUP BY source) h ON f.source IS NOT DISTINCT FROM h.source
-  WHERE f.c > 10 AND f.c > h.c * 0.001
+  SELECT source, l FROM norm GROUP BY source, l HAVING count(DISTINCT doc_id) > 10
 ), lost AS (
   SELECT n.doc_id, sum(n.n) AS n FROM norm n JOIN freq f ON n.source IS NOT DISTINCT FROM f.source AND n.l = f.l GROUP BY n.doc_id
 ), base AS (

@@ -227,3 +227,51 @@ def test_frequent_lines_deplete(spark, table):
     assert all(got[i][0].kept and got[i][0].lost_words == 6 for i in range(30)) and len(got[5]) == 2
     assert all(not got[100 + i][0].kept for i in range(3))
     assert all(got[200 + i][0].lost_words == 0 for i in range(3)) and got[300][0].kept
+
+
+def test_a_line_goes_at_any_size_of_its_host(spark, table):
+    """The same copies, in a small host and in one of thirty thousand documents."""
+    shared = "eleven documents of this host hold this line"
+    body = "\n".join([shared] * 6 + ["some words"])
+    rows = [(i, body, "en", "large") for i in range(11)] + [(100 + i, body, "en", "small") for i in range(11)]
+    rows += [(1000 + i, f"own words of document {i} that no other has in it at all", "en", "large") for i in range(30_000)]
+    got = {r.doc_id: r for r in quality.op7_quality_rules(spark, table(rows)).collect()}
+    assert all(got[i].lost_words == 48 and not got[i].kept for i in [*range(11), *range(100, 111)])
+    assert sum(r.kept for r in got.values()) == 30_000
+
+
+def without_lines(rows, most=10, least=4):
+    norm = lambda line: " ".join(WORD.findall(line)).lower()
+    holders = collections.defaultdict(set)
+    for no, (i, text, _, host) in enumerate(rows):
+        for line in (text or "").split("\n"):
+            if len(WORD.findall(line)) >= least:
+                holders[host, norm(line)].add(("none", no) if i is None else i)
+    out = []
+    for i, text, lang, host in rows:
+        if text is not None:
+            text = "\n".join(x for x in text.split("\n") if len(WORD.findall(x)) < least or len(holders[host, norm(x)]) <= most)
+        out.append((i, text, lang, host))
+    return out
+
+
+def test_frequent_lines_are_removed(spark, table):
+    rng = random.Random(12)
+    pool = ["This line is on every page", "  THIS line is\ton every page ", "short line", "", "   ", "and a line of its own kind",
+            "privacy terms contact and imprint", "a b c d", "\r"]
+    rows = [(i, "\n".join(rng.choice(pool) + (f" {i}" if rng.random() < 0.3 else "") for _ in range(rng.randint(0, 9))), "en",
+             rng.choice(["a", "b", None])) for i in range(120)]
+    rows += [(900, None, None, None), (901, "", "en", "a"), (902, "\n".join([pool[0]] * 3000), "en", "a"), rows[3], rows[3]]
+    rows += [(None, pool[4] + "\n" + pool[0], "en", "a") for _ in range(3)] + [(None, f"the only one of these {i}", "en", "z") for i in range(3)]
+    docs = spark.read.parquet(f"{table(rows)}/documents.parquet")
+    extra = docs.selectExpr("*", "1 AS line", "2 AS words", "3 AS row", "'x' AS host", "4 AS place")
+    got = quality.without_frequent_lines(extra)
+    assert got.columns == extra.columns
+    key = lambda r: tuple(map(str, r))
+    found = [(r.doc_id, r.text, r.lang, r.source) for r in got.collect()]
+    assert sorted(found, key=key) == sorted(without_lines(rows), key=key)
+    assert any(r[1] == "" for r in found if r[0] == 902)
+    lost = {r.doc_id: r.lost_words for r in quality.quality(extra).collect() if r.doc_id is not None}
+    before = {i: len(WORD.findall(t or "")) for i, t, _, _ in rows}
+    assert all(before[i] - len(WORD.findall(t or "")) == lost[i] for i, t, _, _ in found if i is not None)
+    assert quality.without_frequent_lines(docs.limit(0)).count() == 0

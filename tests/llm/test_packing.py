@@ -6,9 +6,10 @@ import collections
 import itertools
 import os
 import random
-import re
 
+import public_tokenizers
 import pytest
+import sentencepiece
 
 import corpus_pipeline
 from mnemoria.llm import packing
@@ -32,6 +33,30 @@ def test_bounds_are_optimal(seed):
     assert packing.bounds({}, 3) == []
 
 
+def test_bounds_of_a_long_histogram_equal_the_whole_matrix():
+    rng = random.Random(9)
+    counts = {x: rng.choice([1, 3, 10**9, 10**10]) for x in range(1, 700) if rng.random() < 0.8}
+    lengths = sorted(counts)
+    cost = {}
+    for i in range(len(lengths)):
+        held = inside = 0
+        for j in range(i, len(lengths)):
+            held, inside = held + counts[lengths[j]], inside + counts[lengths[j]] * lengths[j]
+            cost[i, j] = held * lengths[j] - inside
+    best = [cost[0, j] for j in range(len(lengths))]
+    for _ in range(5):
+        best = [min([best[j]] + [best[i - 1] + cost[i, j] for i in range(1, j + 1)]) for j in range(len(lengths))]
+    assert padding(counts, packing.bounds(counts, 6)) == best[-1]
+
+
+def test_texts_without_spaces_are_cut(spark, table):
+    texts = [(1, "東京都の天気は晴れです。" * 900), (2, "aGVsbG8gd29ybGQ" * 700), (3, "two words"), (4, ""), (5, None), (3, "two words")]
+    got = packing.op8_packing(spark, table(texts)).collect()
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    check(got, [(i, len(library.encode(t or ""))) for i, t in texts], packing.Settings())
+    assert all(sum(r.doc_id == i for r in got) > 1 for i in (1, 2)) and max(r.n_tokens for r in got) == 2048
+
+
 def check(rows, lengths, settings):
     by_doc = collections.defaultdict(list)
     places = set()
@@ -76,8 +101,8 @@ def test_places(spark):
 @pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not here")
 def test_op8_and_the_pipeline_over_a_table(spark, tmp_path):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
-    word = re.compile(r"[^\x20\x09-\x0D]+")
-    lengths = [(i, len(word.findall(t or ""))) for i, t in texts.items()]
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    lengths = [(i, len(library.encode(t or ""))) for i, t in texts.items()]
     check(packing.op8_packing(spark, SF).collect(), lengths, packing.Settings())
 
     docs, columns, kept = spark.read.parquet(f"{SF}/documents.parquet"), None, None
@@ -88,7 +113,7 @@ def test_op8_and_the_pipeline_over_a_table(spark, tmp_path):
         assert after.columns == columns and {r.doc_id for r in after.collect()} <= kept and after.count()
         docs = after
     last = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
-    total = sum(len(word.findall(r.text or "")) for r in docs.collect())
+    total = sum(len(library.encode(r.text or "")) for r in docs.collect())
     assert sum(r.n_tokens for r in last) == total
 
 
