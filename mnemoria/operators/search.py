@@ -111,6 +111,22 @@ def query_terms(queries: DataFrame, min_chars: int = 1) -> DataFrame:
     )
 
 
+def weighted_queries(queries: DataFrame, frequency: DataFrame, rows: int, min_chars: int) -> DataFrame:
+    """(query_id, layer, terms, weights) of queries with a term in ``frequency`` (term, df), the terms of ``rows`` rows.
+
+    One row per query; its arrays are as long as the query has distinct words.
+    """
+    weight = F.log((F.lit(rows) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weighted = query_terms(queries, min_chars).join(frequency, "term").withColumn(
+        "weight", F.col("times") * F.when(weight > 0, weight).otherwise(IDF_FLOOR)
+    )
+    return (
+        weighted.groupBy("query_id", "layer")
+        .agg(F.collect_list(F.struct("term", "weight")).alias("pairs"))
+        .select("query_id", "layer", F.col("pairs.term").alias("terms"), F.col("pairs.weight").alias("weights"))
+    )
+
+
 def bm25_search(
     queries: DataFrame, memories: DataFrame, limit: int = 600, min_chars: int = 1, right_rows: int = 4096, **flags: bool
 ) -> DataFrame:
@@ -132,16 +148,7 @@ def bm25_search(
     ).first()
     rows, mean = (totals["rows"], max(totals["tokens"], 1) / totals["rows"]) if totals["rows"] else (0, 1.0)
     frequency = counted.filter(~is_length)
-    weight = F.log((F.lit(rows) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = query_terms(queries, min_chars).join(frequency, "term").withColumn(
-        "weight", F.col("times") * F.when(weight > 0, weight).otherwise(IDF_FLOOR)
-    )
-    # One row per query; its arrays are as long as the query has distinct words.
-    by_query = (
-        weighted.groupBy("query_id", "layer")
-        .agg(F.collect_list(F.struct("term", "weight")).alias("pairs"))
-        .select("query_id", "layer", F.col("pairs.term").alias("terms"), F.col("pairs.weight").alias("weights"))
-    )
+    by_query = weighted_queries(queries, frequency, rows, min_chars)
 
     def kernel(batches: Iterator[pd.DataFrame], q: pd.DataFrame) -> Iterator[pd.DataFrame]:
         if q.empty:
@@ -372,9 +379,12 @@ def merge_candidates(fts: DataFrame | None, like: DataFrame, vectors: DataFrame
 
 def hybrid_candidates(
     queries: DataFrame, memories: DataFrame, entities: DataFrame, model: str | None = None, dim: int = 0,
-    min_cos: float = MIN_COSINE, fetch: int = 600, min_chars: int = 1, vector_top: int = VECTOR_TOP_K, **flags: bool,
+    min_cos: float = MIN_COSINE, fetch: int = 600, min_chars: int = 1, vector_top: int = VECTOR_TOP_K,
+    fts: DataFrame | None = None, **flags: bool,
 ) -> DataFrame:
-    fts = bm25_search(queries, memories, fetch, min_chars, **flags)
+    """The three searches merged; ``fts`` are hits of the full-text search if they are there, as from an index."""
+    if fts is None:
+        fts = bm25_search(queries, memories, fetch, min_chars, **flags)
     like = substring_search(queries, memories, entities, fetch, **flags)
     vectors = None
     if model:

@@ -661,6 +661,7 @@ ORACLES: dict[str, str] = {
         LEFT JOIN v_entities e ON e.id = m.entity_id LEFT JOIN r_new n ON m.entity_id IS NULL AND n.norm = m.norm""", RESOLVE
     ),
     "bm25_search": build("SELECT query_id, id, floor(bm25 * 1e6 + 0.5e0) / 1e6 AS bm25, fts_rank FROM v_bm25 WHERE fts_rank <= 600", HYBRID),
+    "bm25_index_search": build("SELECT query_id, id, floor(bm25 * 1e6 + 0.5e0) / 1e6 AS bm25, fts_rank FROM v_bm25 WHERE fts_rank <= 600", HYBRID),
     "vector_search": build("SELECT query_id, id, cos, vec_rank FROM v_vec WHERE vec_rank <= 200", HYBRID),
     "minmax_vector_scores": build(
         """SELECT query_id, id, round(CASE WHEN max(cos) OVER w - min(cos) OVER w < 1e-6 THEN 1e0

@@ -12,7 +12,7 @@ from mnemoria.functions import scoring, text
 from mnemoria.functions.redact import redacted, redaction_counts
 from mnemoria.model import Store
 from mnemoria.operators import (
-    changes, filters, ingest, joins, lifecycle, recall, reports, search, sessions, snapshots, supersede,
+    changes, filters, ingest, joins, lifecycle, recall, reports, search, sessions, snapshots, supersede, text_index,
 )
 from mnemoria.plans import fixtures as fx
 from mnemoria.plans.fixtures import AS_OF, DIM, MODEL
@@ -283,6 +283,18 @@ def q_bm25_search(spark, d):
     return hits.select("query_id", "id", (F.floor(F.col("bm25") * 1e6 + 0.5) / 1e6).alias("bm25"), "fts_rank")
 
 
+@query
+def q_bm25_index_search(spark, d):
+    """From stored postings of half of the memories, the other half added later, with states that changed after that."""
+    memories = fx.stored_memories(spark, d)
+    path = scratch_path(spark, "text-index")
+    asleep = memories.withColumns({"archived_at": F.lit(1).cast("bigint"), "layer": F.lit("context")})
+    text_index.write_index(asleep.where("id % 2 = 0"), path)
+    index = text_index.write_index(asleep.where("id % 2 <> 0"), path)
+    hits = text_index.indexed_search(fx.v_queries(spark, d), text_index.with_states(index, memories))
+    return hits.select("query_id", "id", (F.floor(F.col("bm25") * 1e6 + 0.5) / 1e6).alias("bm25"), "fts_rank")
+
+
 @query
 def q_vector_search(spark, d):
     hits = search.vector_search(fx.v_queries(spark, d), fx.stored_memories(spark, d), MODEL, DIM, MIN_COS)

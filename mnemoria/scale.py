@@ -6,6 +6,7 @@ import functools
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from mnemoria.runtime import ship_package, stored
@@ -119,19 +120,27 @@ def blocked_product(
     most about ``right_rows`` rows and ``right_bytes`` bytes. One block after another is broadcast, and the left side
     streams past it where it lies; it is never shuffled, and read once per block.
     """
-    spark = left.sparkSession
-    ship_package(spark)
+    ship_package(left.sparkSession)
+
+    def against(shared: Broadcast) -> DataFrame:
+        return left.mapInPandas(lambda batches: kernel(batches, shared.value), schema)
+
+    return in_blocks(right, right_key, against, right_rows, right_bytes)
+
+
+def in_blocks(
+    right: DataFrame, right_key: str, against: Callable[[Broadcast], DataFrame],
+    right_rows: int = RIGHT_ROWS_BOUND, right_bytes: int = RIGHT_BYTES_BOUND,
+) -> DataFrame:
+    """The union of ``against(block)`` over blocks of ``right``, each broadcast as a pandas frame of bounded size."""
+    spark = right.sparkSession
     right = stored(right, "queries")
     size = functools.reduce(lambda a, b: a + b, [_bytes(c) for c in right.dtypes])
     found = right.agg(F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
     blocks = max(1, -(-found["n"] // right_rows), -(-int(found["bytes"]) // right_bytes))
     part = F.pmod(F.xxhash64(right_key), F.lit(blocks))
-
-    def against(block: int) -> DataFrame:
-        shared = spark.sparkContext.broadcast(right.where(part == block).toPandas())
-        return left.mapInPandas(lambda batches: kernel(batches, shared.value), schema)
-
-    return functools.reduce(DataFrame.unionByName, [against(i) for i in range(blocks)])
+    shared = [spark.sparkContext.broadcast(right.where(part == i).toPandas()) for i in range(blocks)]
+    return functools.reduce(DataFrame.unionByName, [against(block) for block in shared])
 
 
 def _bytes(column: tuple[str, str]) -> Column:

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from mnemoria.functions.vectors import cosine
 from mnemoria.model import make_store
-from mnemoria.operators import recall, search
+from mnemoria.operators import recall, search, text_index
+from mnemoria.runtime import stored
 from tests.conftest import DAY, NOW
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta".split()
@@ -57,6 +58,71 @@ def test_bm25_equals_brute_force(memories, queries, bound):
     assert all(got[k][1] == want[k][1] and got[k][0] == pytest.approx(want[k][0], abs=1e-8) for k in want)
 
 
+ASKED = [("alpha zeta", None), ("theta theta beta", None), ("gamma", "learning"), ("missing", None), ("eta", None), ("", None)]
+
+
+@pytest.mark.parametrize("flags", [{}, {"include_archived": True}, {"include_superseded": True},
+                                   {"include_archived": True, "include_superseded": True}])
+@pytest.mark.parametrize("bound", [4096, 2])
+def test_an_index_gives_the_rows_of_the_scan(memories, queries, tmp_path, bound, flags):
+    m, _ = corpus(memories)
+    m = m.withColumn("superseded_by_id", F.when(F.col("id") % 15 == 0, 1)).withColumn("archived_at", F.when(F.col("id") % 6 == 0, 5))
+    # Nulls and empty texts take part as in the scan.
+    m = m.withColumn("content_tokenized", F.when(F.col("id") % 11 == 0, F.lit("")).when(F.col("id") % 13 != 0, F.col("content_tokenized")))
+    q = queries(*[{"text": t, "layer": layer} for t, layer in ASKED], {"text": None}, {"text": "alpha", "entity_name": "x"})
+    index = text_index.write_index(m, str(tmp_path / "index"), shard_rows=17)
+    got = text_index.indexed_search(q, index, 9, right_rows=bound, **flags)
+    want = search.bm25_search(q, m, 9, **flags)
+    key = lambda df: sorted((r.query_id, r.fts_rank, r.id, round(r.bm25, 8)) for r in df.collect())
+    assert key(got) == key(want) and want.count() > 20
+
+
+def test_an_index_grows_and_follows_states(spark, memories, queries, tmp_path):
+    m, _ = corpus(memories)
+    q, path = queries(*[{"text": t, "layer": layer} for t, layer in ASKED]), str(tmp_path / "index")
+    text_index.write_index(m.where("id <= 40"), path, shard_rows=16)
+    first = {f.name for f in (tmp_path / "index" / "postings").rglob("*.parquet")}
+    text_index.write_index(m.where("id > 40"), path, shard_rows=16)
+    assert first < {f.name for f in (tmp_path / "index" / "postings").rglob("*.parquet")}
+    index = text_index.read_index(spark, path)
+    key = lambda df: sorted((r.query_id, r.fts_rank, r.id, round(r.bm25, 8)) for r in df.collect())
+    assert key(text_index.indexed_search(q, index)) == key(search.bm25_search(q, m))
+    assert index.rows.count() == 3 + 5
+    # Postings that a failed run left behind, without rows, are not read.
+    left = index.postings.limit(50).withColumn("part", F.lit("left")).select(*index.postings.columns)
+    stored(left).write.mode("append").partitionBy("part", "folder").parquet(f"{path}/postings")
+    assert key(text_index.indexed_search(q, text_index.read_index(spark, path))) == key(search.bm25_search(q, m))
+    # Other states now; the postings are the same files.
+    now = m.withColumn("archived_at", F.when(F.col("id") % 3 == 0, 7)).withColumn("layer", F.when(F.col("id") % 4 == 0, "learning").otherwise("context"))
+    later = text_index.with_states(index, now)
+    assert key(text_index.indexed_search(q, later)) == key(search.bm25_search(q, now))
+    gone = text_index.with_states(index, now.where("id <> 2"))
+    found = text_index.indexed_search(q, gone, include_archived=True, include_superseded=True)
+    assert found.where("id = 2").isEmpty() and found.where("id = 3").count() > 0
+
+
+def test_an_index_of_nothing(memories, queries, tmp_path):
+    m, _ = corpus(memories)
+    q = queries({"text": "alpha"})
+    empty = text_index.write_index(m.limit(0), str(tmp_path / "empty"))
+    assert text_index.indexed_search(q, empty).count() == 0
+    full = text_index.write_index(m, str(tmp_path / "full"))
+    assert text_index.indexed_search(q.limit(0), full).count() == 0
+    assert text_index.indexed_search(queries({"text": "missing"}, {"text": None}), full).count() == 0
+
+
+def test_a_search_reads_only_folders_of_its_terms(memories, queries, tmp_path):
+    words = [f"word{i}" for i in range(300)]
+    m = memories(*[{"content": w, "content_tokenized": f"{w} {words[i - 1]}"} for i, w in enumerate(words)])
+    index = text_index.write_index(m, str(tmp_path / "index"))
+    assert len(list((tmp_path / "index" / "postings").glob("part=*/folder=*"))) == text_index.FOLDERS
+    hits = text_index.indexed_search(queries({"text": "word7"}), index)
+    assert hits.count() == 2
+    plan = hits._jdf.queryExecution().toString()
+    scans = [x for x in plan.split("PartitionFilters: ")[1:] if "folder" in x.split("]")[0]]
+    assert scans and all("IN" in x.split("PushedFilters")[0] or "=" in x.split("PushedFilters")[0] for x in scans)
+
+
 @pytest.mark.parametrize("bound", [4096, 2])
 def test_substring_equals_brute_force(memories, entities, queries, bound):
     m, rows = corpus(memories)
