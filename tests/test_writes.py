@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mnemoria.operators import filters, ingest, reports, snapshots, supersede
+from mnemoria.operators.ingest import keyword_encoder
 from mnemoria.plans.maintenance import maintenance_check, maintenance_pass
 from mnemoria.sources.store import load_store, replace_sessions, save_store
 from tests.conftest import DAY, NOW
@@ -198,6 +199,23 @@ def test_supersede_sweep_takes_earliest_match_and_is_idempotent(store):
         assert [json.loads(r.payload)["superseded"] for r in told] == [2, 0][:batches]
 
 
+@pytest.mark.parametrize("limit", [200, None])
+def test_confidence_is_rounded_once(memories, limit):
+    """0.9768498 is 0.9768 in four places, but 0.9769 by way of six."""
+    cos = 0.9768498
+    rows = memories({"embedding": [1.0, 0.0], "created_at": NOW - 2}, {"embedding": [cos, (1 - cos * cos) ** 0.5], "created_at": NOW - 1})
+    chosen, _ = supersede.swept(rows, peer_limit=limit)
+    pairs = supersede.near_duplicate_pairs(rows)
+    for found in (chosen, pairs):
+        assert [r.c for r in found.select(F.round("cos", 4).alias("c")).collect()] == [0.9768]
+
+
+def test_counts_of_tokens_are_exact_without_scaling():
+    text = "one two two three three three"
+    counts, scaled = (keyword_encoder(64, unit)([text])[0] for unit in (False, True))
+    assert sum(counts) == 6 and all(x == int(x) for x in counts) and abs(sum(x * x for x in scaled) - 1) < 1e-12
+
+
 def walked(items, limit, threshold=0.97, new=lambda i: True):
     """Row by row: {old: new}, comparisons and pairs skipped by shape, of a sweep in which superseded rows are peers no more."""
     order = sorted(range(len(items)), key=lambda i: (items[i]["created_at"], i))
