@@ -9,7 +9,7 @@ from mnemoria.llm.language_id import identify, train
 from mnemoria.llm.line_dedup import without_repeated_lines
 from mnemoria.llm.mixing import mixed
 from mnemoria.llm.packing import packed_documents
-from mnemoria.llm.simhash import one_of_each
+from mnemoria.llm.simhash import WIDE, Settings, one_of_each
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,8 +23,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents similar to 0.8 or more over five-word shingles, one of each group stays."""
-    return one_of_each(docs)
+    """Of documents linked by their fingerprints (four bits), or similar to 0.8 or more over five-word shingles, one of each group stays."""
+    return one_of_each(docs, settings=(Settings(), WIDE))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ for about 5 in 100 million, a more similar one more surely.
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from mnemoria.llm.common import documents, ship_package, stored
 from mnemoria.llm.components import linked_classes
+from mnemoria.scale import connected
 
 MAX_BITS = 4
 BLOCK = 255  # rows that eight-bit counters can hold
@@ -255,10 +256,32 @@ def near_duplicates(docs: DataFrame, text: str = "text", settings: Settings | Se
     return rows.join(named, "lanes")
 
 
-def one_of_each(docs: DataFrame, text: str = "text", settings: Settings | Sets = WIDE) -> DataFrame:
-    """``docs`` with one row per component: the smallest doc_id stays (null last), of repeated rows one."""
-    found = stored(near_duplicates(docs, text, settings).select("doc_id", "mark", "root"), "near-duplicates")
-    keys = found.groupBy("root", "doc_id", "mark").agg(F.count("*").alias("n"))
+def joint_classes(docs: DataFrame, text: str, kinds: Sequence[Settings | Sets]) -> DataFrame:
+    """(doc_id, mark, root, n) of each id and text, ``n`` rows of it: classes of the links of all ``kinds`` together."""
+    by_kind = [near_duplicates(docs, text, kind).select("doc_id", "mark", F.lit(i).alias("kind"), "root") for i, kind in enumerate(kinds)]
+    roots = [F.max(F.when(F.col("kind") == i, F.col("root"))).alias(f"root_{i}") for i in range(len(kinds))]
+    rows = functools.reduce(DataFrame.unionByName, by_kind).groupBy("doc_id", "mark").agg(F.count_if(F.col("kind") == 0).alias("n"), *roots)
+    if len(kinds) == 1:
+        return rows.withColumnRenamed("root_0", "root")
+    rows = stored(rows, "roots")
+    # A class of a later kind joins the classes of the first that have a row in it.
+    links = [
+        rows.select("root_0", F.col(f"root_{i}").alias("other")).distinct()
+        .join(rows.groupBy(F.col(f"root_{i}").alias("other")).agg(F.min("root_0").alias("a")), "other")
+        .where("a <> root_0").select("a", F.col("root_0").alias("b"))
+        for i in range(1, len(kinds))
+    ]
+    tops = connected(functools.reduce(DataFrame.unionByName, links)).select(F.col("node").alias("root_0"), F.col("root").alias("top"))
+    return rows.join(tops, "root_0", "left").select("doc_id", "mark", F.coalesce("top", "root_0").alias("root"), "n")
+
+
+def one_of_each(docs: DataFrame, text: str = "text", settings: Settings | Sets | Sequence[Settings | Sets] = WIDE) -> DataFrame:
+    """``docs`` with one row per component: the smallest doc_id stays (null last), of repeated rows one.
+
+    Several ``settings`` link together: by fingerprints and by sets of shingles, say.
+    """
+    kinds = [settings] if isinstance(settings, (Settings, Sets)) else list(settings)
+    keys = stored(joint_classes(docs, text, kinds), "near-duplicates")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
     first = keys.groupBy("root").agg(F.min(order).alias("stays"))
     marked = stored(keys.join(first, "root").select("doc_id", "mark", "n", (order == F.col("stays")).alias("stays")), "choice")

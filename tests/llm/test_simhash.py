@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 
+import corpus_pipeline
 from mnemoria.llm import simhash
 from mnemoria.scale import connected
 
@@ -171,6 +172,22 @@ def test_wide_links_are_those_of_the_shingle_sets(spark):
     assert got == components_by_hand(range(len(sets)), lambda a, b: (b, a) in linked)
 
 
+def test_pipeline_links_by_fingerprints_and_by_sets(spark):
+    """The stage takes links of operator 1, of the shingle sets, and chains of both."""
+    rng = random.Random(5)
+    # One shingle fills the fingerprint of the first two, whose sets share hardly more than that.
+    texts = ["na " * 300 + " ".join(f"{kind}{j}" for j in range(60)) for kind in ("x", "y")]
+    words = texts[1].split()
+    words[-3] = "other"
+    texts.append(" ".join(words))
+    base = [f"w{rng.randrange(9000)}" for _ in range(300)]
+    texts += [" ".join(base), " ".join(base[:280] + ["new"] * 8 + base[288:]), "a text of its own with other words in it"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    stays = {kind: sorted(r.doc_id for r in simhash.one_of_each(docs, settings=kind).collect()) for kind in (simhash.Settings(), simhash.WIDE)}
+    assert 1 not in stays[simhash.Settings()] and 1 in stays[simhash.WIDE] and 4 not in stays[simhash.WIDE]
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == [0, 3, 5]
+
+
 def test_one_of_each_odd_rows(spark, table):
     rows = [(1, "a b c d e f"), (2, "a b c d e f"), (2, "a b c d e f"), (None, "a b c d e f"), (3, None), (4, ""),
             (5, "other words here"), (5, "other words here"), (None, "nameless"), (None, "nameless")]
