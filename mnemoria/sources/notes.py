@@ -22,12 +22,18 @@ def parse_notes(files: DataFrame, most: int | None = None) -> DataFrame:
 
     ``content`` is the whole note, or its first ``most`` characters.
     """
-    lines = F.transform(F.split("raw", "\n"), lambda x: F.regexp_replace(x, "\r$", ""))
-    parsed = files.withColumn("lines", lines).withColumn("file", F.element_at(F.split("path", "/"), -1))
-    parsed = parsed.withColumn("dir", F.regexp_replace("path", r"/?[^/]*$", ""))
+    placed = files.withColumn("file", F.element_at(F.split("path", "/"), -1)).withColumn("dir", F.regexp_replace("path", r"/?[^/]*$", ""))
+    # The index file counts only where it is the sole note of its folder: told by the paths, before any text is parsed.
+    is_index = F.col("file") == INDEX_FILE
+    others = placed.filter(~is_index).select("dir").distinct()
+    wanted = placed.filter(~is_index).unionByName(placed.filter(is_index).join(others, "dir", "left_anti"))
+    cut = F.split("raw", "\n")
+    lines = F.when(F.contains("raw", F.lit("\r")), F.transform(cut, lambda x: F.regexp_replace(x, "\r$", ""))).otherwise(cut)
+    parsed = wanted.withColumn("lines", lines)
     # Position (1-based) of the closing marker, 0 when there is no frontmatter.
     opens = strip(F.col("lines")[0]) == "---"
-    closing = F.array_position(F.transform(F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(1))), strip), F.lit("---"))
+    rest = F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(1)))
+    closing = F.array_position(F.transform(rest, lambda x: F.when(F.contains(x, F.lit("---")), strip(x)).otherwise("")), F.lit("---"))
     parsed = parsed.withColumn("end", F.when(opens & (F.size("lines") > 1), closing).otherwise(0).cast("int"))
     head = F.when(F.col("end") > 1, F.slice("lines", F.lit(2), F.col("end") - 1)).otherwise(F.array().cast("array<string>"))
     parsed = parsed.withColumn("head", head)
@@ -73,21 +79,19 @@ def parse_notes(files: DataFrame, most: int | None = None) -> DataFrame:
             lambda e: (e["key"] == "type") & (~e["inner"] | (e["under"] == "metadata")),
         )
     )
-    named = parsed.select(
-        "path",
-        "dir",
-        "file",
-        F.coalesce(F.nullif(flat("name"), F.lit("")), F.regexp_replace("file", r"(?i)\.md$", "")).alias("name"),
-        F.coalesce(flat("description"), F.lit("")).alias("description"),
-        F.nullif(kind, F.lit("")).alias("type"),
-        F.nullif(flat("originSessionId"), F.lit("")).alias("origin_session_id"),
-        "body",
-    )
-    # The index file counts only where it is the sole note of its folder: a count per folder.
-    others = named.filter(F.col("file") != INDEX_FILE).select("dir").distinct()
-    usable = named.filter((F.col("body") != "") | (F.col("description") != ""))
-    index_only = usable.filter(F.col("file") == INDEX_FILE).join(others, "dir", "left_anti")
-    kept = usable.filter(F.col("file") != INDEX_FILE).unionByName(index_only)
+    columns = {
+        "path": F.col("path"),
+        "dir": F.col("dir"),
+        "file": F.col("file"),
+        "name": F.coalesce(F.nullif(flat("name"), F.lit("")), F.regexp_replace("file", r"(?i)\.md$", "")),
+        "description": F.coalesce(flat("description"), F.lit("")),
+        "type": F.nullif(kind, F.lit("")),
+        "origin_session_id": F.nullif(flat("originSessionId"), F.lit("")),
+        "body": F.col("body"),
+    }
+    # One row by ``inline``: a filter on a parsed column does not go below it, where the parsing would be done again for it.
+    named = parsed.select(F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
+    kept = named.filter((F.col("body") != "") | (F.col("description") != ""))
 
     lowered = F.lower("type")
     content = F.concat(
