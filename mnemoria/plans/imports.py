@@ -115,6 +115,8 @@ def import_notes(spark: SparkSession, path: str, store: Store, as_of: int, most:
 
 def import_parsed_notes(notes: DataFrame, store: Store, as_of: int) -> Store:
     """The project of a folder of notes is the last part of its parent folder's name."""
+    # Texts are parsed and redacted once; what follows reads the columns it needs.
+    notes = cut_lineage(notes.drop("body"), "notes")
     folder = F.element_at(F.split(F.regexp_replace("dir", r"/memory$", ""), "/"), -1)
     project = F.element_at(F.filter(F.split(folder, "--"), lambda s: s != ""), -1)
     keyed = notes.withColumns(
