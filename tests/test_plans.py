@@ -11,8 +11,10 @@ from mnemoria.plans import fixtures as fx
 from mnemoria.plans.oracle import ORACLES
 from mnemoria.plans.queries import QUERIES
 from mnemoria.sources import transcripts
-from mnemoria.operators import filters, joins, lifecycle, search, sessions
+from mnemoria.operators import filters, ingest, joins, lifecycle, search, sessions
+from mnemoria.plans import queries
 from mnemoria.sources import versions
+from mnemoria.sources.notes import parse_notes
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
@@ -108,6 +110,19 @@ def test_transcripts_are_not_sorted(spark):
         assert "rangepartitioning" not in plan(df).lower()
 
 
+def test_notes_are_parsed_once(spark):
+    """No filter below the parsed columns builds the text again."""
+    filters_ = [line for line in plan(parse_notes(fx.v_notes(spark, SF_DIR))).splitlines() if "Filter" in line]
+    assert not any("array_join" in line or "split(raw" in line for line in filters_)
+
+
+def test_incoming_texts_are_checked_once(spark):
+    """What is accepted and what is rejected is read, not told from the texts again."""
+    _, accepted, rejected = ingest.ingest_memories(queries._incoming(spark, SF_DIR), fx.v_store(spark, SF_DIR), fx.AS_OF)
+    for rows in (accepted.select("layer"), rejected.select("reason")):
+        assert "RLIKE" not in plan(rows)
+
+
 def test_views_start_no_job(spark):
     memories, entities = fx.v_memories(spark, SF_DIR), fx.v_entities(spark, SF_DIR)
     spark.sparkContext.setJobGroup("lazy", "views")
