@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from mnemoria.functions import scoring, text
 from mnemoria.model import ENTITY_KINDS, LAYERS, SCHEMAS, Store, make_store
 from mnemoria.operators.ingest import encode_texts, keyword_encoder
-from mnemoria.runtime import scratch_path
+from mnemoria.runtime import scratch_path, ship_package
 from mnemoria.scale import spread
 
 AS_OF = 1_706_745_600
@@ -218,12 +224,45 @@ def v_transcript_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def write_transcripts(lines: DataFrame, folder: str) -> None:
-    """Transcript lines as text files, one per session, in folders of sixteen buckets of sessions."""
-    bucket = F.pmod(F.xxhash64("file"), F.lit(16)).alias("bucket")
+    """Transcript lines as text files, one per session, in folders of 64 buckets of sessions."""
+    bucket = F.pmod(F.xxhash64("file"), F.lit(64)).alias("bucket")
     session = F.regexp_replace("file", r"\.jsonl$", "").alias("session")
-    rows = lines.select(bucket, session, "row", "line").repartition("bucket").sortWithinPartitions("bucket", "session", "row")
-    # The text sink writes a file per folder; a folder per session keeps sessions apart, as in transcript folders.
-    rows.select("bucket", "session", "line").write.partitionBy("bucket", "session").option("compression", "none").text(folder)
+    rows = lines.select(bucket, session, "row", F.coalesce("line", F.lit("")).alias("line"))
+    rows = rows.repartition("session").sortWithinPartitions("session", "row")
+    try:
+        files, root = fs.FileSystem.from_uri(folder)
+    except (pa.ArrowInvalid, OSError):
+        # Only Hadoop knows this file system. The text sink writes a file per folder, so each session gets one of its own.
+        sink = rows.select("bucket", "session", "line").write.partitionBy("bucket", "session")
+        sink.option("compression", "none").text(folder)
+        return
+
+    def written(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        files, root = fs.FileSystem.from_uri(folder)
+        part = f"_{uuid.uuid4().hex}"
+        name = out = None
+        done = 0
+
+        def finish() -> None:
+            # A file has its name once it is whole, so that a repeated task leaves no half of one.
+            if out is not None:
+                out.close()
+                files.move(f"{root}/{part}", f"{root}/{name}.txt")
+
+        for batch in batches:
+            for (place, own), said in batch.groupby(["bucket", "session"], sort=False)["line"]:
+                if name != f"bucket={place}/{own}":
+                    finish()
+                    name, done = f"bucket={place}/{own}", done + 1
+                    files.create_dir(f"{root}/bucket={place}")
+                    out = files.open_output_stream(f"{root}/{part}")
+                out.write("".join(f"{line}\n" for line in said).encode())
+        finish()
+        yield pd.DataFrame({"files": [done]})
+
+    ship_package(lines.sparkSession)
+    files.create_dir(root)
+    rows.mapInPandas(written, "files bigint").agg(F.sum("files")).collect()
 
 
 # Spellings of the layers in queries, in the order of LAYERS.

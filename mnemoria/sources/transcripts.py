@@ -6,12 +6,15 @@ from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from mnemoria.runtime import cut_lineage
 
 LINE = (
     "type STRING, uuid STRING, timestamp STRING, cwd STRING, sessionId STRING, gitBranch STRING, "
     "isMeta BOOLEAN, isSidechain BOOLEAN, message STRUCT<role: STRING>"
 )
 
+TURN = ["seq", "uuid", "role", "ts", "text", "tool_calls", "tool_results", "has_tool_result", "errors"]
+
 
 def read_lines(spark: SparkSession, path: str, modified_after: str | None = None, glob: str = "*.jsonl") -> DataFrame:
     """(file, block, row, line). Files stay splittable; block start and row order the lines of a file.
@@ -58,16 +61,16 @@ def parse_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Sessions and turns from (file, block, row, line).
 
     Lines that are not JSON are dropped. ``seq`` orders the lines of a file: its high bits number the file's split
-    (by MiB), its low 33 bits the row in the split, so nothing is sorted or moved for it.
+    (by MiB), its low 33 bits the row in the split, so nothing is sorted for it.
     """
-    parsed = (
+    docs = (
         lines.withColumn("doc", F.try_parse_json("line"))
         .filter(F.col("doc").isNotNull())
         .withColumn("e", F.from_json("line", LINE))
     )
     content = F.try_variant_get("doc", "$.message.content", "variant")
     seconds = F.coalesce(F.try_to_timestamp("e.timestamp").cast("bigint"), F.lit(0))
-    flat = parsed.select(
+    flat = docs.select(
         "file", "block", "row",
         F.col("e.type").alias("type"), F.coalesce("e.uuid", F.lit("")).alias("uuid"), seconds.alias("ts"),
         F.col("e.cwd").alias("cwd"), F.col("e.sessionId").alias("sid"), F.col("e.gitBranch").alias("branch"),
@@ -78,9 +81,13 @@ def parse_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     low = F.lit((1 << 33) - 1)
     seq = F.shiftleft(F.shiftright("block", 20), 33) + F.col("row").bitwiseAND(low)
-    placed = flat.withColumn("seq", seq).drop("block", "row")
     is_turn = F.col("type").isin("user", "assistant") & ~F.col("hidden") & F.col("role").isin("user", "assistant")
-    turns = _turn_columns(placed.filter(F.coalesce(is_turn, F.lit(False))))
+    told = flat.withColumn("seq", seq).withColumn("is_turn", F.coalesce(is_turn, F.lit(False)))
+    # Files are opened and lines parsed once; what follows reads the columns it needs. Thousands of short files make many
+    # tasks of a few lines each, so the parsed lines are dealt anew to files of even size.
+    parsed = _turn_columns(told.withColumn("raw", F.when(F.col("is_turn"), F.col("raw"))))
+    placed = cut_lineage(parsed.hint("rebalance", "file"), "transcript-lines")
+    turns = placed.filter("is_turn").select("file", *TURN)
 
     def first(name: str) -> Column:
         return F.min_by(name, F.when(F.col(name) != "", F.col("seq")))
@@ -160,5 +167,5 @@ def _turn_columns(turns: DataFrame) -> DataFrame:
         .withColumn("tool_results", F.when(is_user, results))
         .withColumn("has_tool_result", F.coalesce(F.size("tool_results") > 0, F.lit(False)))
         .withColumn("errors", F.coalesce(F.size(F.filter("tool_results", lambda r: r["is_error"])), F.lit(0)))
-        .select("file", "seq", "uuid", "role", "ts", "text", "tool_calls", "tool_results", "has_tool_result", "errors")
+        .select("file", "sid", "cwd", "branch", "is_turn", *TURN)
     )

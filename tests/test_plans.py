@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
 from mnemoria.plans import fixtures as fx
@@ -110,6 +111,24 @@ def test_transcripts_are_not_sorted(spark):
         assert "rangepartitioning" not in plan(df).lower()
 
 
+def test_transcript_lines_are_parsed_once(spark):
+    """What follows the parse reads its columns; no file is opened and no line parsed again."""
+    parsed, turns = transcripts.parse_lines(fx.v_transcript_lines(spark, SF_DIR))
+    for df in (parsed, turns):
+        assert "parse_json" not in plan(df) and "from_json" not in plan(df)
+
+
+def test_transcripts_are_files_in_few_folders(spark, tmp_path):
+    """A folder of its own for each session cost a task to list it, and several processes to make it."""
+    lines = fx.v_transcript_lines(spark, SF_DIR)
+    fx.write_transcripts(lines, f"file://{tmp_path}/sessions")
+    files = [f for f in (tmp_path / "sessions").rglob("*") if f.is_file()]
+    want = {r.file: r.lines for r in lines.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("row", "line"))).alias("lines")).collect()}
+    assert len(files) == len(want) and len({f.parent for f in files}) <= 64
+    for f in files:
+        assert f.read_text().splitlines() == [x.line for x in want[f"{f.stem}.jsonl"]]
+
+
 def test_notes_are_parsed_once(spark):
     """No filter below the parsed columns builds the text again."""
     filters_ = [line for line in plan(parse_notes(fx.v_notes(spark, SF_DIR))).splitlines() if "Filter" in line]
