@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mnemoria.operators.search import B, K1, merge_ranked, query_terms, weighted_queries
+from mnemoria.operators.search import B, CHUNK, K1, merge_ranked, query_terms, weighted_queries
 from mnemoria.runtime import ship_package, stored
 from mnemoria.scale import in_blocks
 
@@ -60,6 +60,21 @@ def _as_members(rows: DataFrame) -> DataFrame:
     )
 
 
+def counted_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(shard, id, term, times) of rows (shard, id, content_tokenized), a piece of a batch at a time and without a Python string a word."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, CHUNK):
+            piece = batch.slice(at, CHUNK)
+            words = pc.split_pattern(piece.column("content_tokenized"), " ")
+            row = np.repeat(np.arange(len(words)), np.diff(np.asarray(words.offsets)))
+            coded = words.flatten().dictionary_encode()
+            code, n = np.unique(row * len(coded.dictionary) + coded.indices.to_numpy(), return_counts=True)
+            row, term = np.divmod(code, len(coded.dictionary))
+            own = pa.array(row)
+            columns = [piece.column("shard").take(own), piece.column("id").take(own), coded.dictionary.take(pa.array(term))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(n.astype(np.int32))], names=["shard", "id", "term", "times"])
+
+
 def write_index(memories: DataFrame, path: str, shard_rows: int = SHARD_ROWS) -> TextIndex:
     """Index the tokenised rows of ``memories`` (ids are unique) below ``path``; on an index there, add them as a part of their own.
 
@@ -74,22 +89,8 @@ def write_index(memories: DataFrame, path: str, shard_rows: int = SHARD_ROWS) ->
     shards = max(1, -(-corpus.count() // shard_rows))
     shard = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")
 
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            words = pc.split_pattern(pa.array(batch["content_tokenized"], pa.string()), " ")
-            if not len(words):
-                continue
-            row = np.repeat(np.arange(len(words)), np.diff(np.asarray(words.offsets)))
-            coded = words.flatten().dictionary_encode()
-            code, n = np.unique(row * len(coded.dictionary) + coded.indices.to_numpy(), return_counts=True)
-            row, term = np.divmod(code, len(coded.dictionary))
-            yield pd.DataFrame({
-                "shard": batch["shard"].to_numpy()[row], "id": batch["id"].to_numpy()[row],
-                "term": coded.dictionary.take(pa.array(term)).to_pandas(), "times": n.astype(np.int32),
-            })
-
-    terms = corpus.select(shard.alias("shard"), "id", "content_tokenized").mapInPandas(
-        counted, "shard int, id bigint, term string, times int"
+    terms = corpus.select(shard.alias("shard"), "id", "content_tokenized").mapInArrow(
+        counted_terms, "shard int, id bigint, term string, times int"
     ).filter(F.col("term") != "")
     # One exchange serves the grouping and the files: a folder's postings of a span of shards make one file.
     postings = (

@@ -278,3 +278,19 @@ def test_json_content_is_measured_unescaped(spark, store, queries):
     assert lengths[1][0] - lengths[1][1] == len(',"content":') + compact
     assert lengths[2][0] - lengths[2][1] == len(',"content":') + len('"plain \\"needle\\""')
     assert all(r.pinned is False for r in hits.collect())
+
+
+def test_terms_are_counted_in_pieces():
+    """A batch of many rows is not split into words as a whole."""
+    import pyarrow as pa
+
+    from mnemoria.operators.text_index import CHUNK, counted_terms
+
+    n = 2 * CHUNK + 1
+    batch = pa.RecordBatch.from_pydict({"shard": [i % 2 for i in range(n)], "id": list(range(n)), "content_tokenized": ["b a b"] * n})
+    pieces = list(counted_terms([batch]))
+    assert [p.num_rows for p in pieces] == [2 * CHUNK, 2 * CHUNK, 2]
+    rows = [r for p in pieces for r in p.to_pylist()]
+    assert sorted((r["shard"], r["id"], r["term"], r["times"]) for r in rows) == sorted(
+        (i % 2, i, t, k) for i in range(n) for t, k in (("a", 1), ("b", 2))
+    )
