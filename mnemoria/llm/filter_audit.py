@@ -11,11 +11,10 @@ from __future__ import annotations
 
 import itertools
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -25,6 +24,8 @@ from mnemoria.llm.terms import SHARD_WORDS, Vocabulary, one_list, shard_number
 
 #: Different words after which a task begins a new unit, and words of all units in a part of the dictionary.
 UNIT_WORDS, PART_WORDS = 500_000, 500_000
+#: Words that become Python strings at once.
+SLICE = 65_536
 LETTERS = "ABCDE"
 ORDERS = ["".join(order) for order in itertools.permutations(LETTERS)]
 
@@ -42,12 +43,19 @@ class Rules:
 @dataclass(frozen=True)
 class Matrix:
     """``dictionary`` (part, first, words): the word at place i of a row has the number first + i, from 0 without gaps.
-    ``shards`` (offsets, columns, times, and a list per column of ``kept``): rows of the matrix."""
+    ``coded`` has shards under the codes of their units, with the numbers of these codes."""
 
     dictionary: DataFrame
-    shards: DataFrame
+    coded: DataFrame
     kept: tuple[str, ...]
 
+    @property
+    def shards(self) -> DataFrame:
+        """(offsets, columns, times, and a list per column of ``kept``): rows of the matrix."""
+        names = ["offsets", "columns", "times", *self.kept]
+        kinds = {f.name: f.dataType.simpleString() for f in self.coded.schema} | {"columns": "array<bigint>"}
+        return self.coded.mapInArrow(renumbering(names), ", ".join(f"`{c}` {kinds[c]}" for c in names))
+
 
 def local_shards(docs: DataFrame, text: str, keep: list[str], shard_words: int, unit_words: int) -> DataFrame:
     """CSR shards under the codes of a unit's own words, and one row with these ``words`` per unit.
@@ -63,6 +71,7 @@ def local_shards(docs: DataFrame, text: str, keep: list[str], shard_words: int,
     names = ["unit", "words", "offsets", "columns", "times", *keep]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Texts are held as the codes of their words, four bytes each, never as the words.
         task, made, held, n, words = TaskContext.get().partitionId(), 0, [], 0, Vocabulary()
         columns: list[list[pa.Array]] = [[] for _ in keep]
         kinds_of: list[pa.DataType] = []
@@ -72,7 +81,7 @@ def local_shards(docs: DataFrame, text: str, keep: list[str], shard_words: int,
 
         def csr() -> pa.RecordBatch:
             sizes = np.fromiter(map(len, held), np.int64, len(held))
-            codes = np.fromiter(map(words.__getitem__, itertools.chain.from_iterable(held)), np.int64, int(sizes.sum()))
+            codes = np.concatenate(held)
             width = max(len(words), 1)
             entry, times = np.unique(np.repeat(np.arange(len(held)), sizes) * width + codes, return_counts=True)
             offsets = np.searchsorted(entry, np.arange(len(held) + 1) * width)
@@ -88,7 +97,8 @@ def local_shards(docs: DataFrame, text: str, keep: list[str], shard_words: int,
             begin, texts = 0, batch.column(0)
             kinds_of = [batch.schema.field(name).type for name in keep]
             for i in range(len(texts)):
-                held.append((texts[i].as_py() or b"").split())
+                found = (texts[i].as_py() or b"").split()
+                held.append(np.fromiter(map(words.__getitem__, found), np.int32, len(found)))
                 n += len(held[-1])
                 if n >= shard_words:
                     for parts, name in zip(columns, keep):
@@ -124,7 +134,8 @@ def dictionary_parts(vocabularies: DataFrame, part_words: int) -> tuple[DataFram
         for batch in batches:
             for unit, words in zip(batch.column(0), batch.column(1)):
                 words = words.values
-                part = np.fromiter((xxhash.xxh32_intdigest(w) % parts for w in words.to_pylist()), np.int64, len(words))
+                each = itertools.chain.from_iterable(words.slice(at, SLICE).to_pylist() for at in range(0, len(words), SLICE))
+                part = np.fromiter((xxhash.xxh32_intdigest(w) % parts for w in each), np.int64, len(words))
                 order = np.argsort(part, kind="stable")
                 for places in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
                     if len(places):
@@ -135,14 +146,17 @@ def dictionary_parts(vocabularies: DataFrame, part_words: int) -> tuple[DataFram
     def number(table: pa.Table) -> pa.Table:
         lists = [x.values for x in table.column("words")]
         coded = pa.concat_arrays(lists).dictionary_encode()
-        ends = np.cumsum([len(x) for x in lists])
-        codes = [x.tolist() for x in np.split(coded.indices.to_numpy(), ends[:-1])]
         n = table.num_rows
+        # The last row, that of the words, has no codes.
+        ends = np.cumsum([0, *map(len, lists), 0])
+        codes = pa.ListArray.from_arrays(
+            pa.array(ends, pa.int32()), coded.indices.cast(pa.int64()), mask=pa.array([False] * n + [True])
+        )
         out = {
             "part": pa.array([table.column("part")[0].as_py()] * (n + 1), pa.int64()),
             "unit": pa.array([*table.column("unit").to_pylist(), None], pa.int64()),
             "locals": pa.array([*[x.values for x in table.column("locals")], None], pa.list_(pa.int32())),
-            "codes": pa.array([*codes, None], pa.list_(pa.int64())),
+            "codes": codes,
             "words": pa.array([*[None] * n, coded.dictionary], pa.list_(pa.string())),
         }
         return pa.table(out)
@@ -177,6 +191,11 @@ def document_term_matrix(
     shards = local.where("words IS NULL").select("unit", *names)
     # A unit of empty texts has no word and thus no codes.
     joined = shards.join(by_unit, "unit", "left").select(*names, "__locals", "__codes")
+    return Matrix(dictionary, joined, tuple(keep))
+
+
+def renumbering(names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From rows of ``Matrix.coded`` to those of ``Matrix.shards``, one at a time."""
 
     def renumber(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,27 +210,30 @@ def document_term_matrix(
                 values = [one_list(pa.array(columns, pa.int64())) if name == "columns" else row.column(name) for name in names]
                 yield pa.RecordBatch.from_arrays(values, names)
 
-    kinds = {f.name: f.dataType.simpleString() for f in shards.schema} | {"columns": "array<bigint>"}
-    return Matrix(dictionary, joined.mapInArrow(renumber, ", ".join(f"`{c}` {kinds[c]}" for c in names)), tuple(keep))
+    return renumber
 
 
 def row_counts(matrix: Matrix) -> DataFrame:
-    """The kept columns of each row with ``n_words``, the sum of its entries, and ``n_distinct``, the number of its columns."""
-
-    @F.pandas_udf("array<struct<n_words: bigint, n_distinct: bigint>>")
-    def counts(offsets: pd.Series, columns: pd.Series, times: pd.Series) -> pd.Series:
-        out = []
-        for bounds, words, values in zip(offsets, columns, times):
-            row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-            held = np.asarray(values, dtype=np.int64) * (np.asarray(words) >= 0)
-            total = np.bincount(row, held, len(bounds) - 1).astype(np.int64)
-            distinct = np.bincount(row, held > 0, len(bounds) - 1).astype(np.int64)
-            out.append([{"n_words": w, "n_distinct": d} for w, d in zip(total.tolist(), distinct.tolist())])
-        return pd.Series(out)
-
-    zipped = F.arrays_zip(counts("offsets", "columns", "times").alias("n"), *matrix.kept)
-    row = matrix.shards.select(F.explode(zipped).alias("row"))
-    return row.select("row.n.n_words", "row.n.n_distinct", *[F.col(f"row.`{c}`") for c in matrix.kept])
+    """The kept columns of each row with ``n_words``, the sum of its entries, and ``n_distinct``, the number of its columns.
+
+    A shard is renumbered and counted in one Python worker: as two steps, each task would have two that hold it.
+    """
+    kept = list(matrix.kept)
+    renumber = renumbering(["offsets", "columns", "times", *kept])
+    kinds = {f.name: f.dataType.elementType.simpleString() for f in matrix.coded.schema if f.name in kept}
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard in renumber(batches):
+            bounds, words, times = (shard.column(c)[0].values.to_numpy() for c in ("offsets", "columns", "times"))
+            n = len(bounds) - 1
+            row = np.repeat(np.arange(n), np.diff(bounds))
+            held = times.astype(np.int64) * (words >= 0)
+            total = np.bincount(row, held, n).astype(np.int64)
+            distinct = np.bincount(row, held > 0, n).astype(np.int64)
+            lists = [shard.column(c)[0].values for c in kept]
+            yield pa.RecordBatch.from_arrays([pa.array(total), pa.array(distinct), *lists], ["n_words", "n_distinct", *kept])
+
+    return matrix.coded.mapInArrow(count, "n_words bigint, n_distinct bigint" + "".join(f", `{c}` {kinds[c]}" for c in kept))
 
 
 def failing(docs: DataFrame, text: str = "text", part: str = "lang", rules: Rules = Rules()) -> DataFrame:

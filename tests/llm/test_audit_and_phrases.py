@@ -98,6 +98,14 @@ def test_matrix_rows_are_the_documents_words(spark):
     assert sorted(got, key=key) == sorted(wanted, key=key)
 
 
+def test_a_shard_is_renumbered_and_counted_in_one_worker(spark):
+    docs = spark.createDataFrame([(1, "a b a"), (2, None), (3, "b")], "doc_id LONG, text STRING").coalesce(1)
+    counted = filter_audit.row_counts(filter_audit.document_term_matrix(docs))
+    assert sorted(map(tuple, counted.collect())) == [(0, 0, 2), (1, 1, 3), (3, 2, 1)]
+    plan = counted._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "EvalPython" not in plan
+
+
 def brute_phrases(rows, least, top):
     f = {}
     for _, text, lang in rows:
