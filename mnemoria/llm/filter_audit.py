@@ -43,7 +43,7 @@ class Rules:
 @dataclass(frozen=True)
 class Matrix:
     """``dictionary`` (part, first, words): the word at place i of a row has the number first + i, from 0 without gaps.
-    ``coded`` has shards under the codes of their units, with the numbers of these codes."""
+    ``coded`` has shards under the codes of their units, and before the shards of a unit, in rows of their own, the numbers of these codes."""
 
     dictionary: DataFrame
     coded: DataFrame
@@ -120,7 +120,7 @@ def local_shards(docs: DataFrame, text: str, keep: list[str], shard_words: int,
 
 
 def dictionary_parts(vocabularies: DataFrame, part_words: int) -> tuple[DataFrame, DataFrame]:
-    """(dictionary, codes) of rows (unit, words): ``codes`` has (unit, locals, codes), one row per unit and part.
+    """(dictionary, codes) of rows (unit, words): ``codes`` has (unit, locals, codes, first), one row per unit and part; numbers are first + code.
 
     Words are dealt out to parts by their hash, a list per unit and part; in a part, a word that several units have gets one
     number. A part holds ``part_words`` of the units' words on average, and a word is there once per unit.
@@ -170,9 +170,7 @@ def dictionary_parts(vocabularies: DataFrame, part_words: int) -> tuple[DataFram
     firsts = words.select("part", F.size("words").cast("long").alias("n")).select(
         "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first")
     )
-    codes = numbered.where("words IS NULL").join(firsts, "part").select(
-        "unit", "locals", F.transform("codes", lambda x: x + F.col("first")).alias("codes")
-    )
+    codes = numbered.where("words IS NULL").join(firsts, "part").select("unit", "locals", "codes", "first")
     return words.join(firsts, "part").select("part", "first", "words"), codes
 
 
@@ -186,28 +184,34 @@ def document_term_matrix(
     keep = ["doc_id"] if keep is None else keep
     local = stored(local_shards(docs, text, keep, shard_words, unit_words), "term-shards")
     dictionary, codes = dictionary_parts(local.where("words IS NOT NULL"), PART_WORDS)
-    by_unit = codes.groupBy("unit").agg(F.collect_list("locals").alias("__locals"), F.collect_list("codes").alias("__codes"))
-    names = ["offsets", "columns", "times", *keep]
-    shards = local.where("words IS NULL").select("unit", *names)
-    # A unit of empty texts has no word and thus no codes.
-    joined = shards.join(by_unit, "unit", "left").select(*names, "__locals", "__codes")
-    return Matrix(dictionary, joined, tuple(keep))
+    shards = local.where("words IS NULL").select("unit", "offsets", "columns", "times", *keep)
+    # A shard never carries its unit's codes: they come before it, in the short rows of their parts, once for all shards of the unit.
+    pieces = codes.select("unit", *[F.col(c).alias(f"__{c}") for c in ("locals", "codes", "first")])
+    both = shards.unionByName(pieces, allowMissingColumns=True).repartition("unit")
+    return Matrix(dictionary, both.sortWithinPartitions("unit", F.col("offsets").isNotNull()), tuple(keep))
 
 
 def renumbering(names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """From rows of ``Matrix.coded`` to those of ``Matrix.shards``, one at a time."""
+    """From rows of ``Matrix.coded`` to those of ``Matrix.shards``, one at a time. Of the numbers, those of one unit are held."""
 
     def renumber(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, places, numbers, of = None, [], [], None
         for batch in batches:
-            for i in range(len(batch)):
-                row = batch.slice(i, 1)
-                columns = row.column("columns")[0].values.to_numpy()
-                if len(columns):
-                    places = row.column("__locals")[0].values.flatten().to_numpy()
-                    of = np.zeros(len(places), dtype=np.int64)
-                    of[places] = row.column("__codes")[0].values.flatten().to_numpy()
-                    columns = of[columns]
-                values = [one_list(pa.array(columns, pa.int64())) if name == "columns" else row.column(name) for name in names]
+            for i, own in enumerate(batch.column("unit").to_pylist()):
+                if own != unit:
+                    unit, places, numbers, of = own, [], [], None
+                if not batch.column("offsets")[i].is_valid:
+                    places.append(batch.column("__locals")[i].values.to_numpy().copy())
+                    numbers.append(batch.column("__codes")[i].values.to_numpy() + batch.column("__first")[i].as_py())
+                    continue
+                if of is None:
+                    # A unit of empty texts has no word and thus no codes.
+                    of = np.zeros(sum(map(len, places)), dtype=np.int64)
+                    for at, values in zip(places, numbers):
+                        of[at] = values
+                    places, numbers = [], []
+                columns = of[batch.column("columns")[i].values.to_numpy()]
+                values = [one_list(pa.array(columns, pa.int64())) if name == "columns" else batch.column(name).slice(i, 1) for name in names]
                 yield pa.RecordBatch.from_arrays(values, names)
 
     return renumber

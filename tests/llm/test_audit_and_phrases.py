@@ -106,6 +106,17 @@ def test_a_shard_is_renumbered_and_counted_in_one_worker(spark):
     assert plan.count("MapInArrow") == 1 and "EvalPython" not in plan
 
 
+def test_codes_of_a_unit_come_once_however_many_shards_it_has(spark):
+    rows = [(i, " ".join(f"w{(i + j) % 40}" for j in range(20))) for i in range(50)] + [(50, None), (51, "")]
+    docs = spark.createDataFrame(rows, "doc_id LONG, text STRING").coalesce(1)
+    matrix = filter_audit.document_term_matrix(docs, shard_words=20, unit_words=10_000)
+    held = matrix.coded.collect()
+    shards, pieces = [r for r in held if r["offsets"] is not None], [r for r in held if r["offsets"] is None]
+    assert len(shards) > 40 and sum(len(r["__codes"]) for r in pieces) == 40
+    assert all(r["__codes"] is None and r["__locals"] is None for r in shards)
+    assert sorted(map(tuple, filter_audit.row_counts(matrix).collect()), key=lambda r: r[2]) == [(20, 20, i) for i in range(50)] + [(0, 0, 50), (0, 0, 51)]
+
+
 def brute_phrases(rows, least, top):
     f = {}
     for _, text, lang in rows:
