@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from mnemoria.llm.common import documents, ship_package, stored, text_or_empty
-from mnemoria.llm.terms import SHARD_WORDS, Vocabulary, global_codes, one_list, shard_number
+from mnemoria.llm.terms import SHARD_WORDS, Vocabulary, global_codes, one_list, packed, shard_number, unpacked
 from mnemoria.scale import global_positions
 
 #: Words of the longest phrase.
@@ -46,7 +46,7 @@ class Settings:
 
 
 def sequences(docs: DataFrame, text: str, lang: str, shard_words: int) -> DataFrame:
-    """(shard, lang, codes, words, times): texts in lower case (A-Z) as codes of ``words`` from 1 on; 0 ends a piece."""
+    """(shard, lang, n_codes, codes, words, times): texts in lower case (A-Z) as ``packed`` codes of ``words`` from 1 on; 0 ends a piece."""
     ship_package(docs.sparkSession)
     narrow = docs.select(
         text_or_empty(text).cast("binary").alias("text"), F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang")
@@ -60,10 +60,10 @@ def sequences(docs: DataFrame, text: str, lang: str, shard_words: int) -> DataFr
             for name, (words, parts) in held.items():
                 codes = np.concatenate([np.zeros(0, np.int32), *parts])
                 times = np.bincount(codes, minlength=len(words) + 1)[1:]
-                lists = [one_list(pa.array(codes, pa.int32())), one_list(words.strings()), one_list(pa.array(times, pa.int64()))]
+                own = [pa.array([shard_number(task, made)], pa.int64()), pa.array([name], pa.string()), pa.array([len(codes)], pa.int64())]
+                lists = [one_list(words.strings()), one_list(pa.array(times, pa.int64()))]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([shard_number(task, made)], pa.int64()), pa.array([name], pa.string()), *lists],
-                    ["shard", "lang", "codes", "words", "times"],
+                    [*own, pa.array([packed(codes)], pa.binary()), *lists], ["shard", "lang", "n_codes", "codes", "words", "times"]
                 )
                 made += 1
             held.clear()
@@ -85,7 +85,7 @@ def sequences(docs: DataFrame, text: str, lang: str, shard_words: int) -> DataFr
                     n = 0
         yield from shards()
 
-    return narrow.mapInArrow(encode, "shard bigint, lang string, codes array<int>, words array<string>, times array<bigint>")
+    return narrow.mapInArrow(encode, "shard bigint, lang string, n_codes bigint, codes binary, words array<string>, times array<bigint>")
 
 
 def windows(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -152,42 +152,49 @@ def frequent_prefixes(words: np.ndarray, times: np.ndarray, least: int, partial:
     return np.concatenate(found), np.concatenate(counts)
 
 
-_BLOB = "bucket bigint, split int, partial boolean, words array<int>, times array<bigint>"
+_BLOB = "bucket bigint, split int, partial boolean, n bigint, suffixes binary"
 
 
-def _blob(bucket: int, split: int, partial: bool, words: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
-    """One row: suffixes column by column, as sorted columns compress well."""
-    lists = [one_list(pa.array(words.T.reshape(-1), pa.int32())), one_list(pa.array(times, pa.int64()))]
+def _blobs(rows: list[tuple[int, int, bool, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """Rows (bucket, split, partial, words, times): suffixes column by column, as sorted columns compress well."""
+    buckets, splits, partial, words, times = zip(*rows)
     return pa.RecordBatch.from_arrays(
-        [pa.array([bucket], pa.int64()), pa.array([split], pa.int32()), pa.array([partial]), *lists],
-        ["bucket", "split", "partial", "words", "times"],
+        [
+            pa.array(buckets, pa.int64()), pa.array(splits, pa.int32()), pa.array(partial, pa.bool_()), pa.array(map(len, times), pa.int64()),
+            pa.array([packed(w.T.astype(np.int32), t.astype(np.int64)) for w, t in zip(words, times)], pa.binary()),
+        ],
+        ["bucket", "split", "partial", "n", "suffixes"],
     )
 
 
 def _arrays(batch: pa.RecordBatch | pa.Table, row: int) -> tuple[np.ndarray, np.ndarray]:
-    words, times = (batch.column(c)[row].values.to_numpy(zero_copy_only=False) for c in ("words", "times"))
-    return words.reshape(DEPTH, -1).T, times
+    n = batch.column("n")[row].as_py()
+    data = unpacked(batch.column("suffixes")[row], n * (4 * DEPTH + 8))
+    words = np.frombuffer(data, np.int32, n * DEPTH)
+    return words.reshape(DEPTH, n).T, np.frombuffer(data, np.int64, n, 4 * DEPTH * n)
 
 
 def routed(shards: DataFrame, codes: DataFrame, buckets: int) -> DataFrame:
-    """Suffixes of the shards as rows (bucket, split, partial, words, times), one per shard and bucket of leading pairs."""
+    """Suffixes of the shards as rows of ``_BLOB``, one per shard and bucket of leading pairs."""
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
-                local, places, known = (batch.column(c)[i].values.to_numpy() for c in ("codes", "locals", "global"))
+                places, known = (batch.column(c)[i].values.to_numpy() for c in ("locals", "global"))
+                n = batch.column("n_codes")[i].as_py()
+                local = np.frombuffer(unpacked(batch.column("codes")[i], 4 * n), np.int32, n)
                 of = np.zeros(int(local.max(initial=0)) + 1, dtype=np.int32)
                 of[places + 1] = known
                 words, times = windows(of[local])
                 bucket = (mixed(words[:, :2]) % _U(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-                for part in np.split(order, cuts):
-                    if len(part):
-                        yield _blob(int(bucket[part[0]]), 0, False, words[part], times[part])
+                rows = [(int(bucket[part[0]]), 0, False, words[part], times[part]) for part in np.split(order, cuts) if len(part)]
+                if rows:
+                    yield _blobs(rows)
 
-    joined = shards.select("shard", "codes").join(codes.withColumnRenamed("codes", "global"), "shard")
-    return joined.select("codes", "locals", "global").mapInArrow(route, _BLOB)
+    joined = shards.select("shard", "n_codes", "codes").join(codes.withColumnRenamed("codes", "global"), "shard")
+    return joined.select("n_codes", "codes", "locals", "global").mapInArrow(route, _BLOB)
 
 
 def split_wide(blobs: DataFrame, sizes: DataFrame, settings: Settings) -> DataFrame:
@@ -199,10 +206,10 @@ def split_wide(blobs: DataFrame, sizes: DataFrame, settings: Settings) -> DataFr
                 words, times = _arrays(batch, i)
                 splits = batch.column("splits")[i].as_py()
                 where = (mixed(words) % _U(splits)).astype(np.int64)
-                for split in np.unique(where).tolist():
-                    yield _blob(batch.column("bucket")[i].as_py(), split, True, words[where == split], times[where == split])
+                bucket = batch.column("bucket")[i].as_py()
+                yield _blobs([(bucket, x, True, words[where == x], times[where == x]) for x in np.unique(where).tolist()])
 
-    wide = blobs.join(sizes, "bucket").select("bucket", "splits", "words", "times").mapInArrow(cut, _BLOB)
+    wide = blobs.join(sizes, "bucket").select("bucket", "splits", "n", "suffixes").mapInArrow(cut, _BLOB)
     return blobs.join(sizes, "bucket", "left_anti").select(*[c.split()[0] for c in _BLOB.split(", ")]).unionByName(wide)
 
 
@@ -211,7 +218,7 @@ def phrase_counts(shards: DataFrame, codes: DataFrame, n_words: int, settings: S
     spark = shards.sparkSession
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_words // settings.bucket_rows))
     blobs = stored(routed(shards, codes, buckets), "suffixes")
-    rows = blobs.groupBy("bucket").agg(F.sum(F.size("times").cast("long")).alias("rows"))
+    rows = blobs.groupBy("bucket").agg(F.sum("n").alias("rows"))
     rows = stored(rows, "bucket-rows")
     total = rows.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
     usual = max(1, total // buckets)

@@ -6,6 +6,7 @@ of a shard meet the dictionary, never single occurrences, so a word that is ever
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -36,6 +37,17 @@ def one_list(values: pa.Array | pa.ChunkedArray) -> pa.Array:
     return pa.LargeListArray.from_arrays(pa.array([0, len(values)], pa.int64()), values).cast(pa.list_(values.type))
 
 
+def packed(*numbers: np.ndarray) -> bytes:
+    """Arrays as one short run of bytes. Spark holds a column of arrays many times over: each entry with its levels, and in a file's
+    batches by the number of rows, however long these are."""
+    return pa.compress(b"".join(np.ascontiguousarray(x).tobytes() for x in numbers), codec="zstd", asbytes=True)
+
+
+def unpacked(data: pa.Scalar, size: int) -> pa.Buffer:
+    """The ``size`` bytes of ``packed`` arrays, read from a row."""
+    return pa.decompress(data.as_buffer(), decompressed_size=size, codec="zstd")
+
+
 def shard_number(task: int, shard: int) -> int:
     return task * TASK_SHARDS + shard
 

@@ -165,6 +165,24 @@ def test_phrases_equal_counting_all(spark, shard_words, bucket_rows, most_over,
     assert sorted(map(tuple, got.collect())) == brute_phrases(rows, 30, top)
 
 
+def test_suffixes_of_a_bucket_are_short_rows(spark):
+    """Neither codes nor suffixes lie in array columns, whose entries Spark holds several times over; a wide bucket's cuts neither."""
+    docs = spark.createDataFrame([(1, "hot pair " * 20_000, "en"), (2, "cold " * 3, "en")], "doc_id LONG, text STRING, lang STRING").coalesce(1)
+    shards = collocations.sequences(docs, "text", "lang", 500_000)
+    assert dict(shards.dtypes)["codes"] == "binary" and sum(len(r["codes"]) for r in shards.collect()) < 20_000
+    codes = shards.selectExpr("shard", "array(0, 1, 2) AS locals", "array(7, 8, 9) AS codes")
+    blobs = collocations.routed(shards, codes, 3)
+    assert not [kind for _, kind in blobs.dtypes if "array" in kind]
+    sizes = spark.createDataFrame([(b, 2) for b in range(3)], "bucket LONG, splits INT")
+    for rows, partial in ((blobs, False), (collocations.split_wide(blobs, sizes, collocations.Settings()), True)):
+        got, table = Counter(), rows.toArrow()
+        for i in range(table.num_rows):
+            words, times = collocations._arrays(table, i)
+            got.update(dict(zip(map(tuple, words.tolist()), times.tolist())))
+            assert table.column("partial")[i].as_py() is partial and len(words) == len(times) == table.column("n")[i].as_py()
+        assert got == {(7, 8, 7, 8): 19_999, (8, 7, 8, 7): 19_998, (7, 8, 0, 0): 1, (8, 7, 8, 0): 1, (9, 9, 9, 0): 1, (9, 9, 0, 0): 1}
+
+
 def test_phrases_of_nothing(spark):
     assert collocations.collocations(spark.createDataFrame([], "doc_id LONG, text STRING, lang STRING")).count() == 0
 
