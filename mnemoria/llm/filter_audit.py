@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from mnemoria.llm.common import documents, ship_package, stored, text_or_empty
-from mnemoria.llm.terms import SHARD_WORDS, Vocabulary, one_list, shard_number
+from mnemoria.llm.terms import SHARD_WORDS, Vocabulary, one_list, packed, shard_number, unpacked
 
 #: Different words after which a task begins a new unit, and words of all units in a part of the dictionary.
 UNIT_WORDS, PART_WORDS = 500_000, 500_000
@@ -53,22 +53,25 @@ class Matrix:
     def shards(self) -> DataFrame:
         """(offsets, columns, times, and a list per column of ``kept``): rows of the matrix."""
         names = ["offsets", "columns", "times", *self.kept]
-        kinds = {f.name: f.dataType.simpleString() for f in self.coded.schema} | {"columns": "array<bigint>"}
+        kinds = {f.name: f.dataType.simpleString() for f in self.coded.schema}
+        kinds |= {"offsets": "array<int>", "columns": "array<bigint>", "times": "array<int>"}
         return self.coded.mapInArrow(renumbering(names), ", ".join(f"`{c}` {kinds[c]}" for c in names))
 
 
 def local_shards(docs: DataFrame, text: str, keep: list[str], shard_words: int, unit_words: int) -> DataFrame:
     """CSR shards under the codes of a unit's own words, and one row with these ``words`` per unit.
 
+    A shard's offsets, columns and times are ``packed`` in ``__csr``, for ``__n_rows`` rows and ``__n_entries`` entries.
+
     A unit is a run of shards of one task, which ends when it has ``unit_words`` different words. Null texts are rows without entries.
     """
     ship_package(docs.sparkSession)
     narrow = docs.select(F.col(text).cast("binary").alias("__text"), *keep)
     kinds = {f.name: f.dataType.simpleString() for f in narrow.schema}
-    schema = "unit bigint, words array<string>, offsets array<int>, columns array<int>, times array<int>" + "".join(
+    schema = "unit bigint, words array<string>, __n_rows int, __n_entries int, __csr binary" + "".join(
         f", `{c}` array<{kinds[c]}>" for c in keep
     )
-    names = ["unit", "words", "offsets", "columns", "times", *keep]
+    names = ["unit", "words", "__n_rows", "__n_entries", "__csr", *keep]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Texts are held as the codes of their words, four bytes each, never as the words.
@@ -85,12 +88,13 @@ def local_shards(docs: DataFrame, text: str, keep: list[str], shard_words: int,
             width = max(len(words), 1)
             entry, times = np.unique(np.repeat(np.arange(len(held)), sizes) * width + codes, return_counts=True)
             offsets = np.searchsorted(entry, np.arange(len(held) + 1) * width)
-            lists = [pa.array(offsets, pa.int32()), pa.array(entry % width, pa.int32()), pa.array(times, pa.int32())]
-            lists = [one_list(x) for x in lists + [pa.concat_arrays(parts) for parts in columns]]
-            return pa.RecordBatch.from_arrays([unit(), pa.nulls(1, pa.list_(pa.string())), *lists], names)
+            sizes = [pa.array([n], pa.int32()) for n in (len(held), len(entry))]
+            data = pa.array([packed(*[x.astype(np.int32) for x in (offsets, entry % width, times)])], pa.binary())
+            lists = [one_list(pa.concat_arrays(parts)) for parts in columns]
+            return pa.RecordBatch.from_arrays([unit(), pa.nulls(1, pa.list_(pa.string())), *sizes, data, *lists], names)
 
         def vocabulary() -> pa.RecordBatch:
-            none = [pa.nulls(1, pa.list_(kind)) for kind in [pa.int32()] * 3 + kinds_of]
+            none = [pa.nulls(1, kind) for kind in (pa.int32(), pa.int32(), pa.binary(), *map(pa.list_, kinds_of))]
             return pa.RecordBatch.from_arrays([unit(), one_list(words.strings()), *none], names)
 
         for batch in batches:
@@ -120,7 +124,8 @@ def local_shards(docs: DataFrame, text: str, keep: list[str], shard_words: int,
 
 
 def dictionary_parts(vocabularies: DataFrame, part_words: int) -> tuple[DataFrame, DataFrame]:
-    """(dictionary, codes) of rows (unit, words): ``codes`` has (unit, locals, codes, first), one row per unit and part; numbers are first + code.
+    """(dictionary, codes) of rows (unit, words): ``codes`` has (unit, n, codes, first), one row per unit and part: places
+    in the unit's words and codes in the part, ``packed``; numbers are first + code.
 
     Words are dealt out to parts by their hash, a list per unit and part; in a part, a word that several units have gets one
     number. A part holds ``part_words`` of the units' words on average, and a word is there once per unit.
@@ -139,38 +144,39 @@ def dictionary_parts(vocabularies: DataFrame, part_words: int) -> tuple[DataFram
                 order = np.argsort(part, kind="stable")
                 for places in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
                     if len(places):
-                        own = pa.array([part[places[0]]], pa.int64())
-                        lists = [one_list(pa.array(places, pa.int32())), one_list(words.take(pa.array(places)))]
-                        yield pa.RecordBatch.from_arrays([own, pa.array([unit.as_py()], pa.int64()), *lists], ["part", "unit", "locals", "words"])
+                        own = [pa.array([part[places[0]]], pa.int64()), pa.array([unit.as_py()], pa.int64())]
+                        locals_ = pa.array([packed(places.astype(np.int32))], pa.binary())
+                        listed = one_list(words.take(pa.array(places)))
+                        yield pa.RecordBatch.from_arrays([*own, locals_, listed], ["part", "unit", "locals", "words"])
 
     def number(table: pa.Table) -> pa.Table:
         lists = [x.values for x in table.column("words")]
         coded = pa.concat_arrays(lists).dictionary_encode()
         n = table.num_rows
+        sizes = list(map(len, lists))
+        places = [np.frombuffer(unpacked(x, 4 * size), np.int32) for x, size in zip(table.column("locals"), sizes)]
+        indices = np.split(coded.indices.to_numpy(), np.cumsum(sizes)[:-1])
+        codes = [packed(at, own.astype(np.int32)) for at, own in zip(places, indices)]
         # The last row, that of the words, has no codes.
-        ends = np.cumsum([0, *map(len, lists), 0])
-        codes = pa.ListArray.from_arrays(
-            pa.array(ends, pa.int32()), coded.indices.cast(pa.int64()), mask=pa.array([False] * n + [True])
-        )
         out = {
             "part": pa.array([table.column("part")[0].as_py()] * (n + 1), pa.int64()),
             "unit": pa.array([*table.column("unit").to_pylist(), None], pa.int64()),
-            "locals": pa.array([*[x.values for x in table.column("locals")], None], pa.list_(pa.int32())),
-            "codes": codes,
+            "n": pa.array([*sizes, None], pa.int32()),
+            "n_words": pa.array([*[None] * n, len(coded.dictionary)], pa.int64()),
+            "codes": pa.array([*codes, None], pa.binary()),
             "words": pa.array([*[None] * n, coded.dictionary], pa.list_(pa.string())),
         }
         return pa.table(out)
 
-    dealt = vocabularies.select("unit", "words").mapInArrow(deal, "part bigint, unit bigint, locals array<int>, words array<string>")
-    schema = "part bigint, unit bigint, locals array<int>, codes array<bigint>, words array<string>"
+    dealt = vocabularies.select("unit", "words").mapInArrow(deal, "part bigint, unit bigint, locals binary, words array<string>")
+    schema = "part bigint, unit bigint, n int, n_words bigint, codes binary, words array<string>"
     numbered = stored(dealt.groupBy("part").applyInArrow(number, schema), "term-dictionary")
-    words = numbered.where("words IS NOT NULL").select("part", "words")
+    # Rows are told apart by a number: a test of the words would read them all.
+    words = numbered.where("n IS NULL").select("part", "n_words", "words")
     # One row per part: a few thousand words of bookkeeping for a billion of words.
     before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    firsts = words.select("part", F.size("words").cast("long").alias("n")).select(
-        "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first")
-    )
-    codes = numbered.where("words IS NULL").join(firsts, "part").select("unit", "locals", "codes", "first")
+    firsts = words.select("part", F.coalesce(F.sum("n_words").over(before), F.lit(0)).alias("first"))
+    codes = numbered.where("n IS NOT NULL").join(firsts, "part").select("unit", "n", "codes", "first")
     return words.join(firsts, "part").select("part", "first", "words"), codes
 
 
@@ -183,12 +189,12 @@ def document_term_matrix(
     """
     keep = ["doc_id"] if keep is None else keep
     local = stored(local_shards(docs, text, keep, shard_words, unit_words), "term-shards")
-    dictionary, codes = dictionary_parts(local.where("words IS NOT NULL"), PART_WORDS)
-    shards = local.where("words IS NULL").select("unit", "offsets", "columns", "times", *keep)
+    dictionary, codes = dictionary_parts(local.where("__n_rows IS NULL"), PART_WORDS)
+    shards = local.where("__n_rows IS NOT NULL").drop("words")
     # A shard never carries its unit's codes: they come before it, in the short rows of their parts, once for all shards of the unit.
-    pieces = codes.select("unit", *[F.col(c).alias(f"__{c}") for c in ("locals", "codes", "first")])
+    pieces = codes.select("unit", *[F.col(c).alias(f"__{c}") for c in ("n", "codes", "first")])
     both = shards.unionByName(pieces, allowMissingColumns=True).repartition("unit")
-    return Matrix(dictionary, both.sortWithinPartitions("unit", F.col("offsets").isNotNull()), tuple(keep))
+    return Matrix(dictionary, both.sortWithinPartitions("unit", F.col("__csr").isNotNull()), tuple(keep))
 
 
 def renumbering(names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -200,9 +206,11 @@ def renumbering(names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterat
             for i, own in enumerate(batch.column("unit").to_pylist()):
                 if own != unit:
                     unit, places, numbers, of = own, [], [], None
-                if not batch.column("offsets")[i].is_valid:
-                    places.append(batch.column("__locals")[i].values.to_numpy().copy())
-                    numbers.append(batch.column("__codes")[i].values.to_numpy() + batch.column("__first")[i].as_py())
+                if not batch.column("__csr")[i].is_valid:
+                    size = batch.column("__n")[i].as_py()
+                    at, codes = np.frombuffer(unpacked(batch.column("__codes")[i], 8 * size), np.int32).reshape(2, size)
+                    places.append(at)
+                    numbers.append(codes.astype(np.int64) + batch.column("__first")[i].as_py())
                     continue
                 if of is None:
                     # A unit of empty texts has no word and thus no codes.
@@ -210,8 +218,11 @@ def renumbering(names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterat
                     for at, values in zip(places, numbers):
                         of[at] = values
                     places, numbers = [], []
-                columns = of[batch.column("columns")[i].values.to_numpy()]
-                values = [one_list(pa.array(columns, pa.int64())) if name == "columns" else batch.column(name).slice(i, 1) for name in names]
+                n_rows, n_entries = (batch.column(c)[i].as_py() for c in ("__n_rows", "__n_entries"))
+                data = np.frombuffer(unpacked(batch.column("__csr")[i], 4 * (n_rows + 1 + 2 * n_entries)), np.int32)
+                offsets, columns, times = np.split(data, [n_rows + 1, n_rows + 1 + n_entries])
+                csr = {"offsets": pa.array(offsets), "columns": pa.array(of[columns]), "times": pa.array(times)}
+                values = [one_list(csr[name]) if name in csr else batch.column(name).slice(i, 1) for name in names]
                 yield pa.RecordBatch.from_arrays(values, names)
 
     return renumber

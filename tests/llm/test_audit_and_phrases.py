@@ -111,9 +111,12 @@ def test_codes_of_a_unit_come_once_however_many_shards_it_has(spark):
     docs = spark.createDataFrame(rows, "doc_id LONG, text STRING").coalesce(1)
     matrix = filter_audit.document_term_matrix(docs, shard_words=20, unit_words=10_000)
     held = matrix.coded.collect()
-    shards, pieces = [r for r in held if r["offsets"] is not None], [r for r in held if r["offsets"] is None]
-    assert len(shards) > 40 and sum(len(r["__codes"]) for r in pieces) == 40
-    assert all(r["__codes"] is None and r["__locals"] is None for r in shards)
+    shards, pieces = [r for r in held if r["__csr"] is not None], [r for r in held if r["__csr"] is None]
+    assert len(shards) > 40 and sum(r["__n"] for r in pieces) == 40
+    assert all(r["__codes"] is None for r in shards) and {kind for c, kind in matrix.coded.dtypes if "array" in kind} == {"array<bigint>"}
+    # No word is read to tell the rows apart.
+    plan = matrix.coded._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert not [line for line in plan if "Relation" not in line and re.search(r"\bwords#", line)]
     assert sorted(map(tuple, filter_audit.row_counts(matrix).collect()), key=lambda r: r[2]) == [(20, 20, i) for i in range(50)] + [(0, 0, 50), (0, 0, 51)]
 
 
